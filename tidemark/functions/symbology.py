@@ -1,76 +1,85 @@
 """Contract symbology as closed-form column expressions.
 
-Every function is a pure expression of a code and an as-of date, so the mapping is
-evaluated inside code generation and needs no lookup table and no join.
+Every function is a pure expression of a code and an as-of date: no lookup table, no join.
+Two identities keep the expressions small enough for code generation:
+
+* A month has rolled once the date is past the first of the month, so with
+  ``y = year(as_of)`` the front contract delivers in ``y`` or, when rolled, in ``y + 1``.
+* A year digit stands for the year ``y - 1 + k`` with ``k = (digit - y + 1) mod 10``, hence
+  the position of a contract is ``k``, less 1 when its month has rolled.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import clean_code
 from tidemark.settings import COTTON, MONTH_LETTERS, MONTH_NAMES, MONTH_WORDS, Market
 
+_DIGITS = "0123456789"
+
+
+def _lookup(pairs: dict, key: Column) -> Column:
+    """Value of a literal map, null for an unknown key."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key)
+
+
+def _months(market: Market) -> dict[str, int]:
+    return {w: MONTH_WORDS.index(w) + 1 for w in market.active_months}
 
-def _choose(key: Column, pairs) -> Column:
-    """CASE key WHEN k THEN v ... END (null when no key matches)."""
-    pairs = list(pairs)
-    head, tail = pairs[0], pairs[1:]
-    return reduce(lambda acc, kv: acc.when(key == F.lit(kv[0]), F.lit(kv[1])), tail,
-                  F.when(key == F.lit(head[0]), F.lit(head[1])))
 
+def _letter(month: int) -> str:
+    return MONTH_LETTERS[month - 1]
 
-def _month_numbers(market: Market) -> list[int]:
-    return [MONTH_WORDS.index(w) + 1 for w in market.active_months]
+
+def _rolled(month: Column, as_of: Column) -> Column:
+    """1 when the date is past the first of the month, else 0."""
+    return (F.month(as_of) * 100 + F.dayofmonth(as_of) > month * 100 + 1).cast("int")
+
+
+def _digit_offset(digit: Column, as_of: Column) -> Column:
+    return F.pmod(digit - F.year(as_of) + 1, F.lit(10))
 
 
 def month_of_letter(letter: Column) -> Column:
     """F..Z -> 1..12, null for any other character."""
-    return _choose(letter, ((c, i + 1) for i, c in enumerate(MONTH_LETTERS)))
+    return _lookup({c: i + 1 for i, c in enumerate(MONTH_LETTERS)}, letter)
 
 
 def year_of_digit(digit: Column, as_of: Column) -> Column:
     """The year ending in ``digit`` among last year .. eight years ahead."""
-    base = F.year(as_of) - 1
-    return base + F.pmod(digit - base, F.lit(10))
+    return F.year(as_of) - 1 + _digit_offset(digit, as_of)
 
 
 def first_live_year(month: Column, as_of: Column) -> Column:
     """Delivery year of position 1: a month is live up to and including its first day."""
-    year = F.year(as_of)
-    live = F.make_date(year, month, F.lit(1)) >= as_of
-    return year + F.when(live, 0).otherwise(1)
+    return F.year(as_of) + _rolled(month, as_of)
 
 
-def exchange_prefix(code: Column) -> Column:
-    body = clean_code(code)
-    return F.substr(body, F.lit(1), F.length(body) - 2)
+def _last_digit(body: Column) -> Column:
+    return F.substring(body, -1, 1).try_cast("int")
 
 
 def exchange_letter(code: Column) -> Column:
     """Month letter of a valid exchange code (prefix + letter + year digit), else null."""
     body = clean_code(code)
-    letter = F.substring(body, -2, 1)
-    valid = body.rlike(f"^.+[{MONTH_LETTERS}][0-9]$")
-    return F.when(valid, letter)
+    return F.when(body.rlike(f"^.+[{MONTH_LETTERS}][0-9]$"), F.substring(body, -2, 1))
 
 
 def exchange_year(code: Column, as_of: Column) -> Column:
     """Four-digit delivery year of a valid exchange code, else null."""
-    digit = F.substring(clean_code(code), -1, 1).try_cast("int")
-    return F.when(exchange_letter(code).isNotNull(), year_of_digit(digit, as_of))
+    return F.when(exchange_letter(code).isNotNull(), year_of_digit(_last_digit(clean_code(code)), as_of))
 
 
 def exchange_parts(code: Column, as_of: Column) -> Column:
     """struct(prefix, month_code, month_num, delivery_year); null for an invalid code."""
+    body = clean_code(code)
     letter = exchange_letter(code)
     return F.when(
         letter.isNotNull(),
         F.struct(
-            exchange_prefix(code).alias("prefix"),
+            F.substr(body, F.lit(1), F.length(body) - 2).alias("prefix"),
             letter.alias("month_code"),
             month_of_letter(letter).alias("month_num"),
             exchange_year(code, as_of).alias("delivery_year"),
@@ -81,7 +90,7 @@ def exchange_parts(code: Column, as_of: Column) -> Column:
 def exchange_position(code: Column, as_of: Column) -> Column:
     """1 for the front contract of its month, 2 for the next year's, and so on."""
     month = month_of_letter(exchange_letter(code))
-    return exchange_year(code, as_of) - first_live_year(month, as_of) + 1
+    return _digit_offset(_last_digit(clean_code(code)), as_of) - _rolled(month, as_of)
 
 
 def is_excluded_code(code: Column, market: Market = COTTON) -> Column:
@@ -92,37 +101,47 @@ def is_excluded_generic(generic: Column, market: Market = COTTON) -> Column:
     return clean_code(generic).rlike("^(" + "|".join(market.excluded_generics) + ")")
 
 
+def _slot(stem: Column, digit: Column, as_of: Column, market: Market) -> Column:
+    """Slot name of prefix + month letter and a year digit, null when not tracked."""
+    stems = {market.prefix + _letter(m): (w, m) for w, m in _months(market).items()}
+    stems = {k: v for k, v in stems.items() if k not in market.excluded_prefixes}
+    month = _lookup({k: m for k, (_, m) in stems.items()}, stem)
+    name = _lookup({k: market.prefix + w for k, (w, _) in stems.items()}, stem)
+    position = _digit_offset(digit, as_of) - _rolled(month, as_of)
+    tracked = _lookup({p: str(p) for p in market.positions}, position)
+    return F.concat(name, tracked)
+
+
 def generic_of_exchange(code: Column, as_of: Column, market: Market = COTTON) -> Column:
     """Slot name of an exchange code, null outside the tracked months and positions."""
-    letter = exchange_letter(code)
-    word = _choose(letter, ((MONTH_LETTERS[m - 1], w)
-                            for m, w in zip(_month_numbers(market), market.active_months)))
-    position = exchange_position(code, as_of)
-    tracked = (
-        (exchange_prefix(code) == market.prefix)
-        & ~F.concat(F.lit(market.prefix), letter).isin(*market.excluded_prefixes)
-        & position.isin(*market.positions)
-    )
-    return F.when(tracked, F.concat(F.lit(market.prefix), word, position.cast("string")))
+    body = clean_code(code)
+    stem = F.substr(body, F.lit(1), F.length(body) - 1)
+    return _slot(stem, _last_digit(body), as_of, market)
+
+
+def _option_stem(body: Column, market: Market) -> Column:
+    """Prefix + letter that decides an option's month: serials by their first three
+    characters, other codes of unusual length by the letter before the year digit."""
+    three = F.substring(body, 1, 3)
+    plain = (F.length(body) == 4) | three.isin(*[s for s, _ in market.serial_parents])
+    return F.when(plain, three).when(F.length(body) >= 3, F.concat(F.substring(body, 1, 2), F.substring(body, -2, 1)))
 
 
 def parent_prefix(code: Column, market: Market = COTTON) -> Column:
     """Futures prefix an option month settles into; null when the month is not tracked."""
-    body = clean_code(code)
-    letter = F.when(F.length(body) == 4, F.substring(body, 3, 1)).otherwise(F.substring(body, -2, 1))
-    active = [MONTH_LETTERS[m - 1] for m in _month_numbers(market)]
-    direct = F.when((F.length(body) >= 3) & letter.isin(*active),
-                    F.concat(F.substring(body, 1, 2), letter))
-    if not market.serial_parents:
-        return direct
-    return F.coalesce(_choose(F.substring(body, 1, 3), market.serial_parents), direct)
+    stem = _option_stem(clean_code(code), market)
+    active = [_letter(m) for m in _months(market).values()]
+    direct = F.when(F.substring(stem, 3, 1).isin(*active), stem)
+    return F.coalesce(_lookup(dict(market.serial_parents), stem), direct) if market.serial_parents else direct
 
 
 def option_slot(code: Column, as_of: Column, market: Market = COTTON) -> Column:
     """Slot of an option code: drop excluded months, roll serials, then map the future."""
     body = clean_code(code)
-    future = F.concat(parent_prefix(code, market), F.substring(body, -1, 1))
-    return F.when(~is_excluded_code(code, market), generic_of_exchange(future, as_of, market))
+    stem = _option_stem(body, market)
+    parents = {market.prefix + _letter(m): market.prefix + _letter(m) for m in _months(market).values()}
+    future = _lookup(parents | dict(market.serial_parents), stem)
+    return F.when(~is_excluded_code(code, market), _slot(future, _last_digit(body), as_of, market))
 
 
 def boundary_slot(code: Column, as_of: Column, market: Market = COTTON) -> Column:
@@ -131,28 +150,26 @@ def boundary_slot(code: Column, as_of: Column, market: Market = COTTON) -> Colum
     return F.when(body.isin(*market.slots), body).otherwise(generic_of_exchange(body, as_of, market))
 
 
-_GENERIC = r"^([A-Z]+)([A-Z]{3})(\d+)$"
-
-
 def resolve_generic(generic: Column, as_of: Column) -> Column:
     """struct describing the contract a slot name means on a date; null when it means none."""
     body = clean_code(generic)
-    prefix = F.regexp_extract(body, _GENERIC, 1)
-    word = F.regexp_extract(body, _GENERIC, 2)
-    position = F.regexp_extract(body, _GENERIC, 3).try_cast("int")
-    month = _choose(word, ((w, i + 1) for i, w in enumerate(MONTH_WORDS)))
-    letter = _choose(word, zip(MONTH_WORDS, MONTH_LETTERS))
+    stem = F.rtrim(body, F.lit(_DIGITS))
+    word = F.substring(stem, -3, 3)
+    prefix = F.substr(stem, F.lit(1), F.length(stem) - 3)
+    position = F.substr(body, F.length(stem) + 1).try_cast("int")
+    month = _lookup({w: i + 1 for i, w in enumerate(MONTH_WORDS)}, word)
+    letter = _lookup(dict(zip(MONTH_WORDS, MONTH_LETTERS)), word)
     year = first_live_year(month, as_of) + position - 1
     # a slot looks at most 15 years ahead
-    known = month.isNotNull() & (position >= 1) & (year <= F.year(as_of) + 15)
+    known = body.rlike("^[A-Z]{4,}[0-9]+$") & (position >= 1) & (year <= F.year(as_of) + 15)
     return F.when(
         known,
         F.struct(
             F.concat(prefix, letter, (year % 10).cast("string")).alias("ice_code"),
-            F.concat(prefix, word, position.cast("string")).alias("generic_code"),
+            F.concat(stem, position.cast("string")).alias("generic_code"),
             prefix.alias("prefix"),
             letter.alias("month_code"),
-            _choose(word, zip(MONTH_WORDS, MONTH_NAMES)).alias("month_name"),
+            _lookup(dict(zip(MONTH_WORDS, MONTH_NAMES)), word).alias("month_name"),
             month.alias("month_num"),
             year.alias("delivery_year"),
             position.alias("position"),
@@ -162,21 +179,30 @@ def resolve_generic(generic: Column, as_of: Column) -> Column:
 
 def enrich(df: DataFrame, generic: str, as_of: str, market: Market = COTTON) -> DataFrame:
     """Keep rows whose slot is tracked and add the contract it stands for on the date."""
-    code = clean_code(F.col(generic))
-    return (
-        df.withColumn(generic, code)
-        .filter(F.col(generic).isin(*market.slots))
-        .withColumn("_info", resolve_generic(F.col(generic), F.col(as_of)))
-        .select(
-            *[c for c in df.columns],
-            *[F.col("_info")[f].alias(f)
-              for f in ("ice_code", "month_code", "month_name", "delivery_year", "position")],
-        )
+    slots = {f"{market.prefix}{w}{p}": (m, p) for w, m in _months(market).items() for p in market.positions}
+    key, day = F.col(generic), F.col(as_of)
+    month = _lookup({s: m for s, (m, _) in slots.items()}, key)
+    position = _lookup({s: p for s, (_, p) in slots.items()}, key)
+    letter = _lookup({s: _letter(m) for s, (m, _) in slots.items()}, key)
+    rows = df.withColumn(generic, clean_code(key)).filter(key.isin(*slots)).withColumn(
+        "delivery_year", first_live_year(month, day) + position - 1)
+    return rows.select(
+        *df.columns,
+        F.concat(F.lit(market.prefix), letter, (F.col("delivery_year") % 10).cast("string")).alias("ice_code"),
+        letter.alias("month_code"),
+        _lookup({s: MONTH_NAMES[m - 1] for s, (m, _) in slots.items()}, key).alias("month_name"),
+        "delivery_year", position.alias("position"),
     )
 
 
 def universe(sessions: DataFrame, as_of: str = "session_date", market: Market = COTTON) -> DataFrame:
     """Every tracked slot with its contract, for every session date."""
-    slots = F.explode(F.array(*[F.lit(s) for s in market.slots])).alias("slot")
-    info = resolve_generic(F.col("slot"), F.col(as_of)).alias("_info")
-    return sessions.select(as_of, slots).select(as_of, info).select(as_of, "_info.*")
+    entries = [F.struct(
+        F.lit(f"{market.prefix}{w}{p}").alias("generic_code"), F.lit(market.prefix).alias("prefix"),
+        F.lit(_letter(m)).alias("month_code"), F.lit(MONTH_NAMES[m - 1]).alias("month_name"),
+        F.lit(m).alias("month_num"), F.lit(p).alias("position"))
+        for w, m in _months(market).items() for p in market.positions]
+    rows = sessions.select(as_of, F.explode(F.array(*entries)).alias("s")).select(as_of, "s.*")
+    year = first_live_year(F.col("month_num"), F.col(as_of)) + F.col("position") - 1
+    return rows.withColumn("delivery_year", year).withColumn(
+        "ice_code", F.concat("prefix", "month_code", (F.col("delivery_year") % 10).cast("string")))

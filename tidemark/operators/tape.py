@@ -74,7 +74,8 @@ def _at_marks(tape: DataFrame, marked: DataFrame) -> DataFrame:
         .join(side, "session_date").filter(chosen)
 
 
-def window_slots(tape: DataFrame, market: Market = COTTON, tracked_only: bool = True) -> DataFrame:
+def window_slots(tape: DataFrame, market: Market = COTTON, tracked_only: bool = True,
+                 marked: DataFrame | None = None) -> DataFrame:
     """(session_date, window, generic_code, call, put, total) for both windows.
 
     Overnight is the cumulative at its poll; the day is end minus start per slot, a side that
@@ -82,7 +83,7 @@ def window_slots(tape: DataFrame, market: Market = COTTON, tracked_only: bool =
     slots stay as rows of their own and a ``tracked`` column tells them apart.
     """
     slot = option_slot(F.col("contract"), F.col("session_date"), market)
-    rows = _at_marks(tape, marks(tape, market)).withColumn("slot", slot)
+    rows = _at_marks(tape, marks(tape, market) if marked is None else marked).withColumn("slot", slot)
     tracked = F.col("slot").isNotNull()
     if tracked_only:
         rows = rows.filter(tracked)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,20 +28,6 @@ CONTRACT_SCHEMA = (
     "generated_at timestamp_ntz")
 
 
-@dataclass(frozen=True)
-class FuturesRun:
-    """Lazy results of a run; ``writable`` is off for interim and dry runs."""
-
-    sessions: DataFrame
-    contracts: DataFrame
-    totals: DataFrame
-    rvol: DataFrame
-    history: DataFrame
-    contract_history: DataFrame
-    report: DataFrame
-    writable: bool
-
-
 def metric_rows(totals: DataFrame, metrics: Sequence[str] = tuple(FUTURES_BLOCKS)) -> DataFrame:
     """Wide session totals to (session_date, metric, value)."""
     m = F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in metrics]))
@@ -68,6 +54,65 @@ def contract_rows(contracts: DataFrame, commodity: str, generated_at: Column) ->
     ).select(*FUTURES_CONTRACT_COLUMNS)
 
 
+class FuturesRun:
+    """Results of a run, each built when it is asked for; ``writable`` is off for interim and dry runs."""
+
+    def __init__(self, slots: DataFrame, all_slots: DataFrame, bars: DataFrame, history: DataFrame | None,
+                 sessions: DataFrame | None, commodity: str, window: str, accumulate: bool, mode: str,
+                 write: bool, generated_at: Column, market: Market):
+        self.slots, self.all_slots, self.bars, self.prior_history = slots, all_slots, bars, history
+        self.commodity, self.window, self.accumulate, self.mode = commodity, window, accumulate, mode
+        self.generated_at, self.market = generated_at, market
+        self.writable = write and window != "overnight"
+        self._sessions = sessions
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return B.session_totals(self.slots)
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return self.totals.select("session_date") if self._sessions is None else self._sessions
+
+    @cached_property
+    def contracts(self) -> DataFrame:
+        return B.contract_rows(self.slots, self.market)
+
+    @cached_property
+    def prior(self) -> DataFrame:
+        """Series the sessions are compared with: full from the bars, night and day from history."""
+        computed = B.session_totals(self.all_slots)
+        night_day = metric_rows(computed, ("night", "day"))
+        own = night_day if self.accumulate else night_day.filter(F.lit(False))
+        if self.prior_history is not None:
+            mine = self.prior_history.filter(F.upper("commodity") == self.commodity.upper()).select(
+                F.col("date").alias("session_date"), F.col("night_total").alias("night"),
+                F.col("day_total").alias("day"))
+            old = metric_rows(mine, ("night", "day"))
+            if self.accumulate:
+                old = old.join(computed.select("session_date"), "session_date", "left_anti")
+            own = own.unionByName(old)
+        return own.unionByName(metric_rows(seed_totals(self.bars), ("full",)))
+
+    @cached_property
+    def rvol(self) -> DataFrame:
+        return trailing_against(metric_rows(self.totals), self.prior, ["metric"], "session_date", "value",
+                                mode=self.mode, market=self.market)
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return history_rows(self.totals, self.commodity, self.generated_at)
+
+    @cached_property
+    def contract_history(self) -> DataFrame:
+        return contract_rows(self.contracts, self.commodity, self.generated_at)
+
+    @cached_property
+    def report(self) -> DataFrame:
+        return futures_report(self.sessions, self.totals, self.contracts, self.rvol, self.commodity,
+                              self.generated_at, self.window, self.market)
+
+
 def futures_sessions(readings: DataFrame, bars: DataFrame, history: DataFrame | None = None, *,
                      commodity: str = "CT", dates: DataFrame | None = None, window: str = "eod",
                      prefer_seed: bool = False, accumulate: bool = True, mode: str = "degrade",
@@ -81,34 +126,16 @@ def futures_sessions(readings: DataFrame, bars: DataFrame, history: DataFrame |
     overnight window is interim and never written. ``settle`` writes the slot rows to the
     shared folder first, for runs that feed several sinks.
     """
-    at = clock(generated_at)
     open_day = ~is_holiday(F.col("session_date"), market)
-    slots = B.session_slots(readings.filter(open_day), bars.filter(open_day), market, prefer_seed)
+    every = B.session_slots(readings.filter(open_day), bars.filter(open_day), market, prefer_seed)
     if settle:
-        slots = written(slots)
-    totals = B.session_totals(slots)
-    sessions = totals.select("session_date")
-
-    night_day = metric_rows(totals, ("night", "day"))
-    own = night_day if accumulate else night_day.filter(F.lit(False))
-    if history is not None:
-        mine = history.filter(F.upper("commodity") == commodity.upper()).select(
-            F.col("date").alias("session_date"), F.col("night_total").alias("night"),
-            F.col("day_total").alias("day"))
-        old = metric_rows(mine, ("night", "day"))
-        own = old.join(sessions, "session_date", "left_anti").unionByName(own) if accumulate else old
-    prior = own.unionByName(metric_rows(seed_totals(bars), ("full",)))
-
+        every = written(every)
+    slots, sessions = every, None
     if dates is not None:
-        chosen = dates.select("session_date").distinct()
-        slots, totals = (df.join(chosen, "session_date", "left_semi") for df in (slots, totals))
-        sessions = chosen.filter(open_day)
-    contracts = B.contract_rows(slots, market)
-    rvol = trailing_against(metric_rows(totals), prior, ["metric"], "session_date", "value",
-                            mode=mode, market=market)
-    report = futures_report(sessions, totals, contracts, rvol, commodity, at, window, market)
-    return FuturesRun(sessions, contracts, totals, rvol, history_rows(totals, commodity, at),
-                      contract_rows(contracts, commodity, at), report, write and window != "overnight")
+        sessions = dates.select("session_date").distinct().filter(open_day)
+        slots = every.join(sessions, "session_date", "left_semi")
+    return FuturesRun(slots, every, bars, history, sessions, commodity, window, accumulate, mode, write,
+                      clock(generated_at), market)
 
 
 def seed_ingest(bars: DataFrame, commodity: str = "CT", generated_at=None,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from tidemark.functions.sessions import is_holiday
 from tidemark.functions.symbology import enrich
 from tidemark.operators import tape as T
 from tidemark.operators.sizing import written
-from tidemark.operators.trailing import as_map, trailing_against
+from tidemark.operators.trailing import as_map, trailing, trailing_against
 from tidemark.plans.report import options_report
 from tidemark.settings import COTTON, Market
 
@@ -23,22 +23,6 @@ HISTORY_SCHEMA = (
     "day_snapshot_ts_end timestamp_ntz, generated_at timestamp_ntz")
 
 
-@dataclass(frozen=True)
-class OptionsRun:
-    """Lazy results of a run. Nothing is written until a sink is called."""
-
-    sessions: DataFrame
-    slots: DataFrame
-    totals: DataFrame
-    rvol: DataFrame
-    status: DataFrame
-    history: DataFrame
-    report: DataFrame
-    commodity: str
-    generated_at: Column
-    market: Market
-
-
 def clock(generated_at) -> Column:
     if generated_at is None:
         return F.current_timestamp().cast("timestamp_ntz")
@@ -71,6 +55,57 @@ def history_rows(sessions: DataFrame, totals: DataFrame, commodity: str, generat
         generated_at.alias("generated_at"))
 
 
+class OptionsRun:
+    """Results of a run, each built when it is asked for. Nothing is written until a sink is called."""
+
+    def __init__(self, marked: DataFrame, slots: DataFrame, history: DataFrame | None, commodity: str,
+                 windows: Sequence[str], accumulate: bool, mode: str, generated_at: Column, market: Market):
+        self.marked, self.slots, self.prior_history = marked, slots, history
+        self.commodity, self.windows, self.accumulate, self.mode = commodity, tuple(windows), accumulate, mode
+        self.generated_at, self.market = generated_at, market
+        self.sessions = marked.select("session_date")
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        marks = (("overnight", "overnight_ts"), ("day", "day_start_ts"), ("day", "day_end_ts"))
+        wanted = [F.col(c) if w in self.windows else F.lit(None).cast("timestamp_ntz").alias(c) for w, c in marks]
+        return T.window_totals(self.slots, self.marked.select("session_date", *wanted))
+
+    @cached_property
+    def rvol(self) -> DataFrame:
+        """Totals against the permanent history, and this run's earlier sessions if they count."""
+        current = self.totals.select("session_date", "window", "total")
+        if self.prior_history is None:
+            if self.accumulate:
+                return trailing(current, ["window"], "session_date", "total", mode=self.mode, market=self.market)
+            prior = current.filter(F.lit(False))
+        else:
+            mine = self.prior_history.filter(F.upper("commodity") == self.commodity.upper())
+            prior = history_series(mine)
+            if self.accumulate:
+                prior = prior.join(self.sessions, "session_date", "left_anti").unionByName(current)
+        return trailing_against(current, prior, ["window"], "session_date", "total", mode=self.mode,
+                                market=self.market)
+
+    @cached_property
+    def status(self) -> DataFrame:
+        no_overnight, no_day = F.col("overnight_ts").isNull(), F.col("day_end_ts").isNull()
+        return self.marked.select(
+            "session_date", (~no_overnight).alias("has_overnight"), (~no_day).alias("has_day"),
+            F.lit(0).alias("code"),
+            F.concat_ws("; ", F.when(no_overnight, "no overnight snapshot"),
+                        F.when(no_day, "no day snapshots")).alias("warning"))
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return history_rows(self.sessions, self.totals, self.commodity, self.generated_at)
+
+    @cached_property
+    def report(self) -> DataFrame:
+        return options_report(self.sessions, self.totals, self.slots, self.rvol, self.commodity,
+                              self.generated_at, self.windows, self.market)
+
+
 def options_sessions(tape: DataFrame, history: DataFrame | None = None, *, commodity: str = "CT",
                      windows: Sequence[str] = T.WINDOWS, dates: Sequence[str] | None = None,
                      accumulate: bool = True, mode: str = "degrade", generated_at=None,
@@ -83,42 +118,16 @@ def options_sessions(tape: DataFrame, history: DataFrame | None = None, *, commo
     ``settle`` writes the slot-grain results to the shared folder first: use it when several
     sinks follow, so the tape is scanned once however many results are written.
     """
-    at = clock(generated_at)
     if dates is not None:
         tape = tape.filter(F.col("session_date").isin([F.lit(d).cast("date") for d in dates]))
     tape = tape.filter(~is_holiday(F.col("session_date"), market))
     marked = T.marks(tape, market)
-    wanted = F.col("window").isin(list(windows))
-    slots = T.window_slots(tape, market).filter(wanted)
     if settle:
-        marked, slots = written(marked), written(slots)
-    totals = T.window_totals(slots, marked.select(
-        "session_date",
-        *[F.col(c) if w in windows else F.lit(None).cast("timestamp_ntz").alias(c)
-          for w, c in (("overnight", "overnight_ts"), ("day", "day_start_ts"), ("day", "day_end_ts"))]))
-    sessions = marked.select("session_date")
-
-    current = totals.select("session_date", "window", "total")
-    prior = current
-    if history is not None:
-        mine = history_series(history.filter(F.upper("commodity") == commodity.upper()))
-        prior = mine
-        if accumulate:
-            prior = mine.join(sessions, "session_date", "left_anti").unionByName(
-                current.select("session_date", "window", "total"))
-    elif not accumulate:
-        prior = current.filter(F.lit(False))
-    rvol = trailing_against(current, prior, ["window"], "session_date", "total", mode=mode, market=market)
-
-    status = marked.select(
-        "session_date", F.col("overnight_ts").isNotNull().alias("has_overnight"),
-        F.col("day_end_ts").isNotNull().alias("has_day"), F.lit(0).alias("code"),
-        F.concat_ws("; ",
-                    F.when(F.col("overnight_ts").isNull(), "no overnight snapshot"),
-                    F.when(F.col("day_end_ts").isNull(), "no day snapshots")).alias("warning"))
-    report = options_report(sessions, totals, slots, rvol, commodity, at, windows, market)
-    rows = history_rows(sessions, totals, commodity, at)
-    return OptionsRun(sessions, slots, totals, rvol, status, rows, report, commodity, at, market)
+        marked = written(marked)
+    slots = T.window_slots(tape, market, marked=marked).filter(F.col("window").isin(list(windows)))
+    if settle:
+        slots = written(slots)
+    return OptionsRun(marked, slots, history, commodity, windows, accumulate, mode, clock(generated_at), market)
 
 
 def contract_history(run: OptionsRun) -> DataFrame:

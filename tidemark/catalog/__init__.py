@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bars", "options", "boundaries")
+MODULES = ("bars", "options", "boundaries", "live")
 
 
 def load():

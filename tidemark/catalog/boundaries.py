@@ -164,36 +164,34 @@ def counter_resets(spark, sf):
 
 # ---------------------------------------------------------------- boundary capture from polls
 
-def polls(spark, sf):
-    """Futures polls: one per event, the counter being the number of the contract's events so far that session."""
-    from pyspark.sql import Window
-
-    ev = table(spark, sf, "events").select(
-        _session_of().alias("session_date"), F.col("ts").alias("snap_ts"), "event_id",
+def as_polls(events):
+    """One poll per event. The event number is the cumulative counter; errors carry no values."""
+    good = F.col("event_type") != "error"
+    return events.select(
+        _session_of().alias("session_date"), F.col("ts").alias("snap_ts"),
         pick(F.col("user_id") % 8, *SIDECAR_CODES).alias("contract"),
-        F.when(F.col("event_type") == "error", None).otherwise(F.col("value")).alias("oi"))
-    # a contract's polls of one session; a session is bounded by the poll rate
-    order = Window.partitionBy("session_date", "contract").orderBy("snap_ts", "event_id")
-    seen = F.row_number().over(order).cast("double")
-    return ev.withColumn("volume", F.when(F.col("oi").isNotNull(), seen))
+        F.when(good, F.col("event_id").cast("double")).alias("volume"), F.when(good, F.col("value")).alias("oi"))
+
+
+def polls(spark, sf):
+    return as_polls(table(spark, sf, "events"))
 
 
-_POLLS_SQL = """
-pev AS (SELECT CAST(ts + INTERVAL '3' HOUR AS DATE) AS session_date, ts AS snap_ts, event_id,
+POLLS_SQL = """
+polls AS (SELECT CAST(ts + INTERVAL '3' HOUR AS DATE) AS session_date, ts AS snap_ts,
    CASE user_id % 8 WHEN 0 THEN 'CTH4' WHEN 1 THEN 'CTK4' WHEN 2 THEN 'CTN4' WHEN 3 THEN 'CTZ4'
         WHEN 4 THEN 'CTZ5' WHEN 5 THEN 'CTDEC2' WHEN 6 THEN 'CTV4' ELSE 'CTMAR2' END AS contract,
+   CASE WHEN event_type <> 'error' THEN CAST(event_id AS DOUBLE) END AS volume,
    CASE WHEN event_type <> 'error' THEN value END AS oi FROM events),
-polls AS (SELECT *, CASE WHEN oi IS NOT NULL THEN CAST(ROW_NUMBER() OVER (PARTITION BY session_date, contract
-  ORDER BY snap_ts, event_id) AS DOUBLE) END AS volume FROM pev),
 bt(boundary, off) AS (VALUES ('open', -180), ('0700', 420), ('1420', 860)),
 captured AS (SELECT * FROM (
   SELECT p.session_date, p.contract, b.boundary, p.snap_ts AS "timestamp", p.volume, p.oi,
-    ROW_NUMBER() OVER (PARTITION BY p.session_date, p.contract, b.boundary ORDER BY p.snap_ts, p.event_id) AS rn
+    ROW_NUMBER() OVER (PARTITION BY p.session_date, p.contract, b.boundary ORDER BY p.snap_ts) AS rn
   FROM polls p CROSS JOIN bt b WHERE p.oi IS NOT NULL
     AND p.snap_ts >= CAST(p.session_date AS TIMESTAMP) + b.off * INTERVAL '1' MINUTE) c WHERE rn = 1)"""
 
 
-@query("boundary_capture", f"""WITH {_POLLS_SQL} SELECT session_date, contract, boundary, "timestamp", volume, oi FROM captured""")
+@query("boundary_capture", f"""WITH {POLLS_SQL} SELECT session_date, contract, boundary, "timestamp", volume, oi FROM captured""")
 def boundary_capture(spark, sf):
     return B.capture_boundaries(polls(spark, sf))
 

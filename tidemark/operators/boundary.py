@@ -44,9 +44,8 @@ def boundary_windows(readings: DataFrame, market: Market = COTTON) -> DataFrame:
     ).withColumn("full", F.col("night") + F.col("day"))
     kept = volumes.filter(F.col("generic_code").isNotNull() & (F.col("full") > 0))
     by_exchange_code = (F.col("contract") != F.col("generic_code")).cast("int")
-    best = F.max_by(F.struct("night", "day", "full"), by_exchange_code).alias("v")
-    return kept.groupBy("session_date", "generic_code").agg(best).select(
-        "session_date", "generic_code", "v.night", "v.day", "v.full")
+    return kept.groupBy("session_date", "generic_code").agg(
+        *[F.max_by(c, by_exchange_code).alias(c) for c in ("night", "day", "full")])
 
 
 def seed_slots(bars: DataFrame, market: Market = COTTON) -> DataFrame:
@@ -91,20 +90,48 @@ def contract_rows(slots: DataFrame, market: Market = COTTON) -> DataFrame:
     return enrich(slots, "generic_code", "session_date", market)
 
 
-def capture_boundaries(polls: DataFrame, market: Market = COTTON) -> DataFrame:
-    """First poll on or after each boundary time, once per (session, contract, boundary).
+def _first_readings(market: Market) -> list[Column]:
+    """Per boundary the first poll on or after its time, as plain columns (hash-aggregated).
 
     Boundary times are absolute, so the evening open never triggers the morning boundaries.
-    Polls with neither volume nor open interest are not readings.
     """
-    useful = polls.filter(F.col("volume").isNotNull() | F.col("oi").isNotNull())
-    due = F.explode(F.array(*[F.lit(b) for b in market.boundaries])).alias("boundary")
-    hits = useful.select("session_date", "contract", "snap_ts", "volume", "oi", due).filter(
-        F.col("snap_ts") >= boundary_time(F.col("boundary"), F.col("session_date"), market))
-    first = F.min_by(F.struct("snap_ts", "volume", "oi"), "snap_ts").alias("r")
-    return hits.groupBy("session_date", "contract", "boundary").agg(first).select(
-        "session_date", "contract", "boundary", F.col("r.snap_ts").alias("timestamp"),
-        F.col("r.volume").alias("volume"), F.col("r.oi").alias("oi"))
+    ts = F.col("snap_ts")
+    out = []
+    for b in market.boundaries:
+        at = F.when(ts >= boundary_time(F.lit(b), F.col("session_date"), market), ts)
+        out += [F.min(at).alias(f"ts_{b}"), F.min_by("volume", at).alias(f"volume_{b}"),
+                F.min_by("oi", at).alias(f"oi_{b}")]
+    return out
+
+
+def _reading_rows(wide: DataFrame, market: Market) -> DataFrame:
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(b).alias("boundary"), F.col(f"ts_{b}").alias("timestamp"),
+                 F.col(f"volume_{b}").alias("volume"), F.col(f"oi_{b}").alias("oi"))
+        for b in market.boundaries])).alias("r")
+    return wide.select("session_date", "contract", rows).select("session_date", "contract", "r.*").filter(
+        F.col("timestamp").isNotNull())
+
+
+def useful_polls(polls: DataFrame) -> DataFrame:
+    """Polls with neither volume nor open interest are not readings."""
+    return polls.filter(F.col("volume").isNotNull() | F.col("oi").isNotNull())
+
+
+def capture_boundaries(polls: DataFrame, market: Market = COTTON) -> DataFrame:
+    """First poll on or after each boundary time, once per (session, contract, boundary)."""
+    wide = useful_polls(polls).groupBy("session_date", "contract").agg(*_first_readings(market))
+    return _reading_rows(wide, market)
+
+
+def interim_windows(wide: DataFrame, market: Market = COTTON) -> DataFrame:
+    """Night and day so far: a boundary not reached yet is replaced by the latest reading."""
+    v_open, v_mid, v_end = (F.col(f"volume_{b}") for b in market.boundaries)
+    last = F.col("last_volume")
+    night = clamp(F.coalesce(v_mid, last) - v_open)
+    day = F.when(v_mid.isNotNull(), clamp(F.coalesce(v_end, last) - v_mid))
+    return wide.withColumn("night", F.when(v_open.isNotNull(), night)).withColumn("day", day).withColumn(
+        "full", F.col("night") + F.coalesce(F.col("day"), F.lit(0.0)))
 
 
 def counter_resets(readings: DataFrame, market: Market = COTTON, tolerance: float = 0.5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bars", "options", "boundaries", "live")
+MODULES = ("bars", "options", "boundaries", "live", "gateway")
 
 
 def load():

@@ -279,7 +279,7 @@ lines AS (
   UNION ALL SELECT session_date, 9, 1, 'Generated: 2024-02-01T00:00:00' FROM ftotals)
 SELECT session_date, section, ord, line FROM lines""")
 def futures_report(spark, sf):
-    return run(spark, sf).report.withColumn("ord", F.col("ord").cast("bigint"))
+    return run(spark, sf, settle=True).report.withColumn("ord", F.col("ord").cast("bigint"))
 
 
 @query("refreshed_previous_session", f"""WITH {BARS_SQL}, d AS (SELECT MAX(session_date) AS last_date FROM seed),

@@ -240,7 +240,7 @@ FROM totals t LEFT JOIN c ON c.session_date = t.session_date AND c.win = t.win
 LEFT JOIN tiers r ON r.session_date = t.session_date AND r.win = t.win AND r.tier = 5""")
 def option_payload_windows(spark, sf):
     """The nested session payload, unfolded again to one row per window."""
-    p = P.payload(run(spark, sf))
+    p = P.payload(run(spark, sf, settle=True))
     w = F.explode(F.array(*[F.struct(F.lit(n).alias("window"), F.col(f"windows.{n}").alias("b"))
                             for n in T.WINDOWS])).alias("w")
     b = p.select("session_date", w).select("session_date", "w.window", "w.b").filter(F.col("b").isNotNull())
@@ -304,12 +304,12 @@ lines AS (
   UNION ALL SELECT DISTINCT session_date, 9, 1, 'Generated: 2024-02-01T00:00:00' FROM tape)
 SELECT session_date, section, ord, line FROM lines""")
 def options_report(spark, sf):
-    return run(spark, sf).report.withColumn("ord", F.col("ord").cast("bigint"))
+    return run(spark, sf, settle=True).report.withColumn("ord", F.col("ord").cast("bigint"))
 
 
 @query("options_payload_json")
 def options_payload_json(spark, sf):
     """The payload as one JSON document per session; its content is checked unfolded above."""
-    p = P.payload(run(spark, sf))
+    p = P.payload(run(spark, sf, settle=True))
     body = F.to_json(F.struct(*[c for c in p.columns]), {"ignoreNullFields": "false"})
     return p.select("session_date", body.alias("document"))

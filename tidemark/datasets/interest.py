@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.datasets.slices import COMMODITIES, check_choice, where
 from tidemark.functions.parsing import ratio
 from tidemark.functions.sessions import next_business_day
-from tidemark.functions.symbology import resolve_generic
+from tidemark.functions.symbology import computed, resolve_generic
 from tidemark.settings import COTTON, Market
 
 
@@ -29,10 +29,17 @@ def change(df: DataFrame, keys: Sequence[str], date: str, value: str, name: str)
 
 
 def align_release(options: DataFrame, futures: DataFrame, market: Market = COTTON) -> DataFrame:
-    """Option rows (dated by release, one business day late) with futures of the trade date."""
-    traded = futures.withColumn("release_date", next_business_day(F.col("date"), market)) \
+    """Option rows, dated by release one business day late, with the future they settle into.
+
+    Matches commodity, delivery month and the trade date before the release; a board has one
+    contract per delivery month, so every option row meets at most one future.
+    """
+    info = resolve_generic(F.col("contract"), F.col("date"))
+    month = F.concat(info["month_name"], F.lit(" "), info["delivery_year"].cast("string"))
+    traded = computed(futures, release_date=next_business_day(F.col("date"), market), contract_month=month) \
         .withColumnRenamed("date", "trade_date")
-    return options.withColumnRenamed("date", "release_date").join(traded, ["commodity", "release_date"])
+    return options.withColumnRenamed("date", "release_date").join(
+        traded, ["commodity", "release_date", "contract_month"])
 
 
 def spread_chain(futures: DataFrame, skipped: Sequence[str] = ("OCT",), pairs: int = 5) -> DataFrame:
@@ -41,11 +48,11 @@ def spread_chain(futures: DataFrame, skipped: Sequence[str] = ("OCT",), pairs: i
     One (date, commodity) holds a board of at most a dozen contracts.
     """
     info = resolve_generic(F.col("contract"), F.col("date"))
-    board = futures.withColumn("info", info).filter(
-        F.col("info").isNotNull() & ~F.substring(F.rtrim("contract", F.lit("0123456789")), -3, 3).isin(*skipped))
-    delivery = F.col("info.delivery_year") * 100 + F.col("info.month_num")
+    word = F.substring(F.rtrim("contract", F.lit("0123456789")), -3, 3)
+    board = computed(futures, delivery=info["delivery_year"] * 100 + info["month_num"], word=word).filter(
+        F.col("delivery").isNotNull() & ~F.col("word").isin(*skipped))
     order = Window.partitionBy("date", "commodity").orderBy("delivery")
-    chained = board.withColumn("delivery", delivery).select(
+    chained = board.select(
         "date", "commodity", "contract", F.row_number().over(order).alias("position"),
         F.lead("contract").over(order).alias("back"),
         (F.col("settle") - F.lead("settle").over(order)).alias("settle"))

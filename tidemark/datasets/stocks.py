@@ -60,13 +60,14 @@ def matrix(df: DataFrame, point: str, rows: Sequence[str], value: str, labels: d
     """Bucketed sums per row key, per point and nationally, with the grand totals.
 
     ``level`` tells the grain: 'cell' (rows of a point), 'point' (its total), 'national' (rows
-    over all points) and 'grand'. One pass with grouping sets.
+    over all points) and 'grand'. The cells are summed first, so the grouping sets multiply
+    the few cells and not the lots.
     """
-    sums = [*buckets(F.col(value), labels), F.sum(value).alias("total")]
+    cells = df.groupBy(point, *rows).agg(*buckets(F.col(value), labels), F.sum(value).alias("total"))
     cols = [F.col(c) for c in rows]
-    grouped = df.groupingSets([[F.col(point), *cols], [F.col(point)], cols, []], F.col(point), *cols)
+    grouped = cells.groupingSets([[F.col(point), *cols], [F.col(point)], cols, []], F.col(point), *cols)
     key = F.grouping(point) * 2 + F.grouping(rows[0])
-    out = grouped.agg(*sums, key.alias("_g"))
+    out = grouped.agg(*[F.sum(c).alias(c) for c in (*labels, "total")], key.alias("_g"))
     level = F.element_at(F.array(*[F.lit(x) for x in ("cell", "point", "national", "grand")]),
                          (F.col("_g") + 1).cast("int"))
     return out.withColumn("level", level).drop("_g")
@@ -78,10 +79,15 @@ def with_empty_points(points: DataFrame, totals: DataFrame, point: str, value: s
 
 
 def distribution(df: DataFrame, point: str, bucket: str, value: str, names: Sequence) -> DataFrame:
-    """Buckets as columns by delivery point, with a national row and a total column."""
+    """Buckets as columns by delivery point, with a national row and a total column.
+
+    Points are summed first; the rollup then sees one row per point.
+    """
     sums = buckets(F.col(value), {str(n): F.col(bucket) == F.lit(n) for n in names})
     total = F.sum(F.when(F.col(bucket).isin(list(names)), F.col(value)).otherwise(0)).alias("total")
-    return df.rollup(point).agg(*sums, total).withColumn(point, F.coalesce(point, F.lit("national")))
+    points = df.groupBy(point).agg(*sums, total)
+    out = points.rollup(point).agg(*[F.sum(f"`{c}`").alias(c) for c in [*map(str, names), "total"]])
+    return out.withColumn(point, F.coalesce(point, F.lit("national")))
 
 
 def top_list(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

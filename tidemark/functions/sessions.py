@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,19 @@ def is_due(boundary: Column, session_date: Column, as_of: Column, market: Market
 
 
 def next_business_day(day: Column, market: Market = COTTON) -> Column:
-    """First open day after ``day``: up to thirty closed days in a row are looked through."""
-    ahead = F.transform(F.sequence(F.lit(1), F.lit(31)), lambda i: F.date_add(day, i))
-    return F.element_at(F.filter(ahead, lambda d: ~is_closed(d, market)), 1)
+    """First open day after ``day``: the next weekday, moved on where that is a holiday."""
+    ahead = F.when(F.weekday(day) == 4, 3).when(F.weekday(day) == 5, 2).otherwise(1)
+    weekday = F.date_add(day, ahead)
+    moved = {h: _first_open(h, market) for h in market.closed_dates}
+    if not moved:
+        return weekday
+    table = F.create_map(*[F.lit(date.fromisoformat(str(x))) for kv in moved.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, weekday), weekday)
+
+
+def _first_open(holiday: str, market: Market) -> date:
+    closed = set(market.closed_dates)
+    d = date.fromisoformat(holiday)
+    while d.weekday() >= 5 or d.isoformat() in closed:
+        d += timedelta(days=1)
+    return d

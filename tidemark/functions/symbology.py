@@ -42,6 +42,17 @@ def _digit_offset(digit: Column, as_of: Column) -> Column:
     return F.pmod(digit - F.year(as_of) + 1, F.lit(10))
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated exactly once, at this point of the plan.
+
+    A filter or join on a plain projected column is pushed down with its whole expression,
+    through aggregates and joins to the scan, and would map codes on every raw row instead of
+    on the few rows left here. A generator stops that.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")
+    return df.select("*", made).select(*df.columns, *[F.col("_made")[n].alias(n) for n in columns])
+
+
 def month_of_letter(letter: Column) -> Column:
     """F..Z -> 1..12, null for any other character."""
     return _lookup({c: i + 1 for i, c in enumerate(MONTH_LETTERS)}, letter)

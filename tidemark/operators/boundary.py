@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import clamp, clean_code, ratio
 from tidemark.functions.sessions import boundary_time
-from tidemark.functions.symbology import boundary_slot, enrich
+from tidemark.functions.symbology import boundary_slot, computed, enrich
 from tidemark.settings import COTTON, SOURCE_LIVE, SOURCE_SEED, Market
 
 
@@ -36,9 +36,9 @@ def boundary_windows(readings: DataFrame, market: Market = COTTON) -> DataFrame:
     """
     complete = pivot_boundaries(readings, market).filter(
         F.col("v_open").isNotNull() & F.col("v_mid").isNotNull() & F.col("v_end").isNotNull())
-    volumes = complete.select(
-        "session_date", "contract",
-        boundary_slot(F.col("contract"), F.col("session_date"), market).alias("generic_code"),
+    slot = boundary_slot(F.col("contract"), F.col("session_date"), market)
+    volumes = computed(complete, generic_code=slot).select(
+        "session_date", "contract", "generic_code",
         clamp(F.col("v_mid") - F.col("v_open")).alias("night"),
         clamp(F.col("v_end") - F.col("v_mid")).alias("day"),
     ).withColumn("full", F.col("night") + F.col("day"))

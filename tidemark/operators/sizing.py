@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +23,21 @@ def broadcast_if_small(side: DataFrame, keys: DataFrame, max_rows: int = MAX_BRO
     return F.broadcast(side) if fits else side
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder (a temporary one when unset)."""
+    """A new folder below the folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session may do without that setting and gets a temporary folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        root = _local_folder()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

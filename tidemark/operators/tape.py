@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import clamp, ratio, window_cutoff
-from tidemark.functions.symbology import option_slot
+from tidemark.functions.symbology import computed, option_slot
 from tidemark.operators.sizing import broadcast_if_small
 from tidemark.settings import COTTON, Market
 
@@ -82,8 +82,8 @@ def window_slots(tape: DataFrame, market: Market = COTTON, tracked_only: bool =
     is missing counting 0, clamped at 0. With ``tracked_only`` off, contracts outside the
     slots stay as rows of their own and a ``tracked`` column tells them apart.
     """
-    slot = option_slot(F.col("contract"), F.col("session_date"), market)
-    rows = _at_marks(tape, marks(tape, market) if marked is None else marked).withColumn("slot", slot)
+    at_marks = _at_marks(tape, marks(tape, market) if marked is None else marked)
+    rows = computed(at_marks, slot=option_slot(F.col("contract"), F.col("session_date"), market))
     tracked = F.col("slot").isNotNull()
     if tracked_only:
         rows = rows.filter(tracked)

@@ -70,13 +70,18 @@ class _CompletenessProcessor(StatefulProcessor):
         midnight = calendar.timegm(key[0].timetuple())
         return {name: midnight + minutes * 60 for name, minutes in self.offsets.items()}
 
+    @staticmethod
+    def _end(at: dict[str, int]) -> int:
+        """The next open: the session can have no polls from here on, so its state can go."""
+        return min(at.values()) + 24 * 3600
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         at = self._times(key)
         if self.seen.exists():
             names = set(self.seen.get()[0].split(","))
         else:
             names = set()
-            for t in at.values():
+            for t in (*at.values(), self._end(at)):
                 self.handle.registerTimer((t + self.grace) * 1000)
         for pdf in rows:
             hit = set(pdf.loc[pdf["n"] > 0, "start"])
@@ -89,7 +94,7 @@ class _CompletenessProcessor(StatefulProcessor):
         names = set(self.seen.get()[0].split(",")) if self.seen.exists() else set()
         fired = expiredTimerInfo.getExpiryTimeInMs() // 1000 - self.grace
         late = [name for name, t in at.items() if t == fired and name not in names]
-        if fired == max(at.values()):
+        if fired == self._end(at):
             self.seen.clear()
         if late:
             yield pd.DataFrame({"session_date": [key[0]] * len(late), "boundary": late})

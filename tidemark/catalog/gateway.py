@@ -208,6 +208,14 @@ def stock_by_location(spark, sf):
     return K.by_location(stocks(spark, sf))
 
 
+@query("stock_series", f"""WITH {STOCKS_SQL} SELECT date, {", ".join(f"SUM(bales) FILTER (location = '{p}') AS {p}" for p in POINTS)},
+  SUM(bales) AS total FROM stocks GROUP BY 1""")
+def stock_series(spark, sf):
+    """Full daily history with one column per location."""
+    wide = K.rows_to_years(stocks(spark, sf), ["date"], POINTS, "location", "bales")
+    return wide.withColumn("total", sum(F.coalesce(F.col(p), F.lit(0)) for p in POINTS))
+
+
 @query("stock_rolling_range", f"""WITH {STOCKS_SQL} SELECT date, total,
   MAX(total) OVER w AS hi, MIN(total) OVER w AS lo FROM stock_days
   WINDOW w AS (ORDER BY date RANGE BETWEEN INTERVAL '364' DAY PRECEDING AND CURRENT ROW)""")
@@ -605,10 +613,28 @@ def gamma_terrain(spark, sf):
 
 @query("gamma_balance", f"""WITH {_TERRAIN}, p AS (SELECT *, LAG(spot) OVER w AS s0, LAG(net) OVER w AS g0 FROM terrain
   WINDOW w AS (PARTITION BY trade_date ORDER BY k)),
-c AS (SELECT trade_date, CASE WHEN net = 0 THEN spot ELSE s0 + (spot - s0) * g0 / (g0 - net) END AS b FROM p WHERE sign(g0) * sign(net) < 0 OR net = 0)
-SELECT trade_date, ROUND(arg_min(b, abs(b - 75.0)), 5) AS balance, COUNT(*) AS n_crossings FROM c GROUP BY 1""")
+c AS (SELECT trade_date, CASE WHEN net = 0 THEN spot ELSE s0 + (spot - s0) * g0 / (g0 - net) END AS b, g0 < 0 AND net > 0 AS up FROM p
+  WHERE sign(g0) * sign(net) < 0 OR net = 0)
+SELECT trade_date, ROUND(arg_min(b, abs(b - 75.0)), 5) AS balance, ROUND(arg_min(b, abs(b - 75.0)) FILTER (up), 5) AS gamma_flip,
+  COUNT(*) AS n_crossings FROM c GROUP BY 1""")
 def gamma_balance(spark, sf):
-    return rounded(O.balance_points(O.terrain(chain(spark, sf))), "balance", digits=5)
+    return rounded(O.balance_points(O.terrain(chain(spark, sf))), "balance", "gamma_flip", digits=5)
+
+
+@query("gamma_speed_peak", f"""WITH {_TERRAIN}, p AS (SELECT trade_date, k, (spot + LAG(spot) OVER w) / 2 - 75.0 AS off,
+  ROUND(abs(net - LAG(net) OVER w), 9) AS step FROM terrain WINDOW w AS (PARTITION BY trade_date ORDER BY k))
+SELECT trade_date, ROUND(off, 6) AS speed_peak_offset FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY trade_date ORDER BY step DESC, k) AS rn
+  FROM p WHERE step IS NOT NULL) q WHERE rn = 1""")
+def gamma_speed_peak(spark, sf):
+    return rounded(O.speed_peak(O.terrain(chain(spark, sf))), "speed_peak_offset")
+
+
+@query("gamma_vol_sensitivity", f"""WITH {_TERRAIN}, d2 AS (SELECT trade_date, lots,
+    exp(-pow((ln(75.0 / strike) + 0.5 * 0.26 * 0.26 * 0.5) / (0.26 * sqrt(0.5)), 2) / 2) / sqrt(2 * pi()) / (75.0 * 0.26 * sqrt(0.5)) AS up,
+    exp(-pow((ln(75.0 / strike) + 0.5 * 0.25 * 0.25 * 0.5) / (0.25 * sqrt(0.5)), 2) / 2) / sqrt(2 * pi()) / (75.0 * 0.25 * sqrt(0.5)) AS base FROM lots)
+SELECT trade_date, ROUND(SUM(up * lots) - SUM(base * lots), 6) AS vol_sensitivity FROM d2 GROUP BY 1""")
+def gamma_vol_sensitivity(spark, sf):
+    return rounded(O.vol_sensitivity(chain(spark, sf)), "vol_sensitivity")
 
 
 def _net_at(shift):

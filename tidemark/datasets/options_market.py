@@ -80,11 +80,34 @@ def balance_points(grid: DataFrame) -> DataFrame:
     crossing = pairs.filter((F.signum("g0") * F.signum("net_gex") < 0) | (F.col("net_gex") == 0)).withColumn(
         "balance", F.when(F.col("net_gex") == 0, F.col("spot")).otherwise(
             F.col("s0") + (F.col("spot") - F.col("s0")) * F.col("g0") / (F.col("g0") - F.col("net_gex"))))
+    distance = F.abs(F.col("balance") - F.col("forward"))
+    upward = F.when((F.col("g0") < 0) & (F.col("net_gex") > 0), distance)
     return crossing.groupBy("trade_date").agg(
-        F.min_by("balance", F.abs(F.col("balance") - F.col("forward"))).alias("balance"),
+        F.min_by("balance", distance).alias("balance"), F.min_by("balance", upward).alias("gamma_flip"),
         F.count("*").alias("n_crossings"))
 
 
+def speed_peak(grid: DataFrame) -> DataFrame:
+    """Distance from the forward to the steepest step of the terrain, the lower one on ties."""
+    order = Window.partitionBy("trade_date").orderBy("k")
+    steps = grid.select("trade_date", "forward", "k", ((F.col("spot") + F.lag("spot").over(order)) / 2).alias("middle"),
+                        F.abs(F.col("net_gex") - F.lag("net_gex").over(order)).alias("step"))
+    return steps.filter(F.col("step").isNotNull()).groupBy("trade_date").agg(
+        F.max_by(F.col("middle") - F.col("forward"), F.struct(F.round("step", 9), -F.col("k"))).alias("speed_peak_offset"))
+
+
+def vol_sensitivity(chain: DataFrame, point: float = 0.01) -> DataFrame:
+    """Change of net gamma at the forward for one more point of volatility."""
+    signed = F.when(F.col("put_call") == "C", F.col("open_int")).otherwise(-F.col("open_int"))
+    surface = chain.groupBy("trade_date", "forward", "strike", "vol", "years").agg(F.sum(signed).alias("lots"))
+
+    def net(vol: Column) -> Column:
+        return F.sum(black_gamma(F.col("forward"), F.col("strike"), vol, F.col("years")) * F.col("lots"))
+
+    return surface.groupBy("trade_date").agg(
+        (net(F.col("vol") + point) - net(F.col("vol"))).alias("vol_sensitivity"))
+
+
 def convexity(chain: DataFrame, atm: DataFrame) -> DataFrame:
     """Net gamma at the forward and one and two sigma away from it, per trade date.
 

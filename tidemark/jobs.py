@@ -4,6 +4,7 @@
     futures --root TAPES --out OUT --bars BARS [--date D | --seed | --backtest [--n N]]
             [--window overnight|eod] [--no-write]
     check   --root TAPES --date D [--eod] [--now TIMESTAMP]
+    land    --root TAPES --out OUT
     refresh --root TAPES --out OUT --bars BARS --pulled CSV --today D [--days N]
 
 Exit codes: 0 done (also on a closed date), 1 nothing to process or a missing source,
@@ -19,13 +20,13 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.sessions import is_holiday
 from tidemark.operators.coverage import capture_check
 from tidemark.plans import futures as fut
 from tidemark.plans import options as opt
 from tidemark.settings import COTTON, Market
 from tidemark.sources import market as src
 from tidemark.sources import sinks
+from tidemark.sources.delimited import quarantine
 
 SESSION_KEYS = ("date", "commodity")
 CONTRACT_KEYS = ("date", "commodity", "generic_code")
@@ -123,8 +124,7 @@ def run_futures(spark: SparkSession, root: str, out: str | None, bars_path: str,
             return 1
     else:
         days = [session]
-        wanted = spark.range(1).select(F.lit(session).cast("date").alias("session_date"))
-        run = fut.futures_sessions(readings, bars, history, dates=wanted, window=window, write=write, **common)
+        run = fut.futures_sessions(readings, bars, history, dates=days, window=window, write=write, **common)
     _show(run.report, days)
     if run.writable and out:
         _write_futures(spark, out, run)
@@ -143,6 +143,14 @@ def run_check(spark: SparkSession, root: str, session: str, *, commodity: str =
     return row.code
 
 
+def run_land(spark: SparkSession, root: str, out: str, commodity: str = "CT") -> int:
+    """Store the CSV tapes as Parquet by session, with rejected lines kept next to them."""
+    tape = src.read_tape(spark, root, market_of(commodity))
+    sinks.land(tape, f"{out}/tape")
+    quarantine(tape).write.mode("overwrite").json(f"{out}/tape_rejected")
+    return 0
+
+
 def run_refresh(spark: SparkSession, root: str, out: str, bars_path: str, pulled_path: str, today: str,
                 days: int = 15, commodity: str = "CT") -> int:
     """Merge the re-pulled trailing days into the bars table, then redo the previous session."""
@@ -155,10 +163,8 @@ def run_refresh(spark: SparkSession, root: str, out: str, bars_path: str, pulled
     first = date.fromisoformat(today) - timedelta(days=days)
     table.upsert(pulled.filter((F.col("session_date") >= F.lit(first)) & (F.col("session_date") <= F.lit(today).cast("date"))))
     previous = (date.fromisoformat(today) - timedelta(days=1)).isoformat()
-    wanted = spark.range(1).select(F.lit(previous).cast("date").alias("session_date")).filter(
-        ~is_holiday(F.col("session_date"), market))
     run = fut.futures_sessions(src.read_sidecar(spark, root, market, previous), table.rows(), commodity=commodity,
-                               dates=wanted, accumulate=False, settle=True, market=market)
+                               dates=[previous], accumulate=False, settle=True, market=market)
     _write_futures(spark, out, run)
     return 0
 
@@ -166,7 +172,7 @@ def run_refresh(spark: SparkSession, root: str, out: str, bars_path: str, pulled
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="tidemark.jobs")
     sub = ap.add_subparsers(dest="job", required=True)
-    for name in ("options", "futures", "check", "refresh"):
+    for name in ("options", "futures", "check", "land", "refresh"):
         p = sub.add_parser(name)
         p.add_argument("--commodity", default="CT")
         p.add_argument("--root", required=True)
@@ -203,6 +209,8 @@ def main(argv: list[str] | None = None) -> int:
                            window=a.window, write=not a.no_write, seed=a.seed, backtest=a.n if a.backtest else None)
     if a.job == "check":
         return run_check(spark, a.root, a.date or today, commodity=a.commodity, eod=a.eod, now=a.now)
+    if a.job == "land":
+        return run_land(spark, a.root, a.out, a.commodity)
     return run_refresh(spark, a.root, a.out, a.bars, a.pulled, a.today, a.days, a.commodity)
 
 

@@ -65,9 +65,9 @@ def marks(tape: DataFrame, market: Market = COTTON) -> DataFrame:
     )
 
 
-def _at_marks(tape: DataFrame, marked: DataFrame) -> DataFrame:
+def _at_marks(tape: DataFrame, marked: DataFrame, settled: bool) -> DataFrame:
     """Tape rows of the chosen polls only."""
-    side = broadcast_if_small(marked, tape.select("session_date").distinct())
+    side = broadcast_if_small(marked, marked if settled else tape.select("session_date").distinct())
     ts = F.col("snap_ts")
     chosen = (ts == F.col("overnight_ts")) | (ts == F.col("day_start_ts")) | (ts == F.col("day_end_ts"))
     return tape.select("session_date", "snap_ts", "contract", "call_vol", "put_vol") \
@@ -82,7 +82,7 @@ def window_slots(tape: DataFrame, market: Market = COTTON, tracked_only: bool =
     is missing counting 0, clamped at 0. With ``tracked_only`` off, contracts outside the
     slots stay as rows of their own and a ``tracked`` column tells them apart.
     """
-    at_marks = _at_marks(tape, marks(tape, market) if marked is None else marked)
+    at_marks = _at_marks(tape, marks(tape, market) if marked is None else marked, marked is not None)
     rows = computed(at_marks, slot=option_slot(F.col("contract"), F.col("session_date"), market))
     tracked = F.col("slot").isNotNull()
     if tracked_only:

@@ -114,7 +114,7 @@ class FuturesRun:
 
 
 def futures_sessions(readings: DataFrame, bars: DataFrame, history: DataFrame | None = None, *,
-                     commodity: str = "CT", dates: DataFrame | None = None, window: str = "eod",
+                     commodity: str = "CT", dates: DataFrame | Sequence | None = None, window: str = "eod",
                      prefer_seed: bool = False, accumulate: bool = True, mode: str = "degrade",
                      write: bool = True, generated_at=None, settle: bool = False,
                      market: Market = COTTON) -> FuturesRun:
@@ -122,8 +122,8 @@ def futures_sessions(readings: DataFrame, bars: DataFrame, history: DataFrame |
 
     ``bars`` are the cleaned daily bars (tracked slots). Full volume is compared with earlier
     bar totals, night and day with the permanent history (and, with ``accumulate``, with the
-    sessions of this run). ``dates`` restricts the reported sessions, never the lookback. The
-    overnight window is interim and never written. ``settle`` writes the slot rows to the
+    sessions of this run). ``dates`` (a few dates, or a DataFrame of them) restricts the
+    reported sessions, never the lookback. The overnight window is interim and never written. ``settle`` writes the slot rows to the
     shared folder first, for runs that feed several sinks.
     """
     open_day = ~is_holiday(F.col("session_date"), market)
@@ -131,9 +131,13 @@ def futures_sessions(readings: DataFrame, bars: DataFrame, history: DataFrame |
     if settle:
         every = written(every)
     slots, sessions = every, None
-    if dates is not None:
+    if isinstance(dates, DataFrame):
         sessions = dates.select("session_date").distinct().filter(open_day)
         slots = every.join(sessions, "session_date", "left_semi")
+    elif dates is not None:
+        named = [d if isinstance(d, Column) else F.lit(d).cast("date") for d in dates]
+        slots = every.filter(F.col("session_date").isin(named))
+        sessions = bars.sparkSession.range(1).select(F.explode(F.array(*named)).alias("session_date")).filter(open_day)
     return FuturesRun(slots, every, bars, history, sessions, commodity, window, accumulate, mode, write,
                       clock(generated_at), market)
 
@@ -163,8 +167,7 @@ def refresh(readings: DataFrame, bars: DataFrame, pulled: DataFrame, as_of: Colu
             **options) -> tuple[DataFrame, FuturesRun]:
     """Trailing refresh: merged bars, and the previous session recomputed from them."""
     merged = refresh_bars(bars, pulled, as_of, days)
-    yesterday = bars.sparkSession.range(1).select(F.date_sub(as_of, 1).alias("session_date"))
-    return merged, futures_sessions(readings, merged, dates=yesterday, **options)
+    return merged, futures_sessions(readings, merged, dates=[F.date_sub(as_of, 1)], **options)
 
 
 def tilt_rvol(totals: DataFrame, mode: str = "degrade", market: Market = COTTON) -> DataFrame:

@@ -124,7 +124,7 @@ def options_sessions(tape: DataFrame, history: DataFrame | None = None, *, commo
     marked = T.marks(tape, market)
     if settle:
         marked = written(marked)
-    slots = T.window_slots(tape, market, marked=marked).filter(F.col("window").isin(list(windows)))
+    slots = T.window_slots(tape, market, marked=marked if settle else None).filter(F.col("window").isin(list(windows)))
     if settle:
         slots = written(slots)
     return OptionsRun(marked, slots, history, commodity, windows, accumulate, mode, clock(generated_at), market)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# One rule for both engines' float syntax: no digit separators, no type suffixes.
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|nan)\s*$"
 _BLANKS = " \t\r\n"
 
 
@@ -16,9 +14,15 @@ def clean_code(c: Column) -> Column:
 
 
 def number_or_null(c: Column) -> Column:
-    """Text to double; anything that is not a number becomes null."""
-    text = c.cast("string")
-    return F.when(F.lower(text).rlike(_NUMBER), text.try_cast("double"))
+    """Text to double; anything that is not a plain number becomes null.
+
+    The cast alone would also take type suffixes (1d, 1f) and hexadecimal floats. The guard
+    is a few substring tests, as this runs on every cell of a tape.
+    """
+    text = F.trim(c.cast("string"), F.lit(_BLANKS))
+    suffix = F.right(text, F.lit(1)).isin("d", "D", "f", "F") & (F.lower(F.right(text, F.lit(3))) != "inf")
+    hexadecimal = text.contains("x") | text.contains("X")
+    return F.when(~suffix & ~hexadecimal, text.try_cast("double"))
 
 
 def number_or_zero(c: Column) -> Column:

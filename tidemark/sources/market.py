@@ -14,12 +14,13 @@ from tidemark.functions.parsing import clean_code, number_or_null, number_or_zer
 from tidemark.settings import BAR_COLUMNS, COTTON, SIDECAR_COLUMNS, Market
 from tidemark.sources.delimited import CORRUPT, read_delimited
 
-_SESSION_DIR = r"/(\d{4}-\d{2}-\d{2})/[^/]+$"
 _DATE_GLOB = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]"
 
 
 def session_of_path(path: Column) -> Column:
-    return F.regexp_extract(path, _SESSION_DIR, 1).try_cast("date")
+    """The folder a file lies in, as a date. Plain substrings: evaluated for every row."""
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    return folder.try_cast("date")
 
 
 def session_files(spark: SparkSession, root: str, name: str) -> DataFrame:

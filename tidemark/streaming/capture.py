@@ -56,51 +56,56 @@ def live_windows(polls: DataFrame, market: Market = COTTON, watermark: str = WAT
     return wide.select("session_date", "contract", "last_ts", "night", "day", "full")
 
 
-class _CompletenessProcessor(StatefulProcessor):
-    """Remembers which boundaries of a session were read; a timer judges each one."""
-
-    def __init__(self, offsets: dict[str, int], grace_minutes: int):
-        self.offsets, self.grace = offsets, grace_minutes * 60
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "names string")
-
-    def _times(self, key) -> dict[str, int]:
-        midnight = calendar.timegm(key[0].timetuple())
-        return {name: midnight + minutes * 60 for name, minutes in self.offsets.items()}
-
-    @staticmethod
-    def _end(at: dict[str, int]) -> int:
-        """The next open: the session can have no polls from here on, so its state can go."""
-        return min(at.values()) + 24 * 3600
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at = self._times(key)
-        if self.seen.exists():
-            names = set(self.seen.get()[0].split(","))
-        else:
-            names = set()
-            for t in (*at.values(), self._end(at)):
-                self.handle.registerTimer((t + self.grace) * 1000)
-        for pdf in rows:
-            hit = set(pdf.loc[pdf["n"] > 0, "start"])
-            names |= {name for name, t in at.items() if t in hit}
-        self.seen.update((",".join(sorted(filter(None, names))),))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = self._times(key)
-        names = set(self.seen.get()[0].split(",")) if self.seen.exists() else set()
-        fired = expiredTimerInfo.getExpiryTimeInMs() // 1000 - self.grace
-        late = [name for name, t in at.items() if t == fired and name not in names]
-        if fired == self._end(at):
-            self.seen.clear()
-        if late:
-            yield pd.DataFrame({"session_date": [key[0]] * len(late), "boundary": late})
-
-    def close(self) -> None:
-        pass
+def _completeness_processor(offsets: dict[str, int], grace_minutes: int) -> StatefulProcessor:
+    """The state function, made here so that it travels by value to workers without this package."""
+
+    class CompletenessProcessor(StatefulProcessor):
+        """Remembers which boundaries of a session were read; a timer judges each one."""
+
+        def __init__(self, offsets: dict[str, int], grace_minutes: int):
+            self.offsets, self.grace = offsets, grace_minutes * 60
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.seen = handle.getValueState("seen", "names string")
+
+        def _times(self, key) -> dict[str, int]:
+            midnight = calendar.timegm(key[0].timetuple())
+            return {name: midnight + minutes * 60 for name, minutes in self.offsets.items()}
+
+        @staticmethod
+        def _end(at: dict[str, int]) -> int:
+            """The next open: the session can have no polls from here on, so its state can go."""
+            return min(at.values()) + 24 * 3600
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            at = self._times(key)
+            if self.seen.exists():
+                names = set(self.seen.get()[0].split(","))
+            else:
+                names = set()
+                for t in (*at.values(), self._end(at)):
+                    self.handle.registerTimer((t + self.grace) * 1000)
+            for pdf in rows:
+                hit = set(pdf.loc[pdf["n"] > 0, "start"])
+                names |= {name for name, t in at.items() if t in hit}
+            self.seen.update((",".join(sorted(filter(None, names))),))
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            at = self._times(key)
+            names = set(self.seen.get()[0].split(",")) if self.seen.exists() else set()
+            fired = expiredTimerInfo.getExpiryTimeInMs() // 1000 - self.grace
+            late = [name for name, t in at.items() if t == fired and name not in names]
+            if fired == self._end(at):
+                self.seen.clear()
+            if late:
+                yield pd.DataFrame({"session_date": [key[0]] * len(late), "boundary": late})
+
+        def close(self) -> None:
+            pass
+
+    return CompletenessProcessor(offsets, grace_minutes)
 
 
 def completeness_alerts(polls: DataFrame, market: Market = COTTON, watermark: str = WATERMARK) -> DataFrame:
@@ -123,7 +128,7 @@ def completeness_alerts(polls: DataFrame, market: Market = COTTON, watermark: st
                          F.window_time("w").alias("event_time"), "n")
     polls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return rows.groupBy("session_date").transformWithStateInPandas(
-        statefulProcessor=_CompletenessProcessor(_boundary_offsets(market), market.grace_minutes),
+        statefulProcessor=_completeness_processor(_boundary_offsets(market), market.grace_minutes),
         outputStructType="session_date date, boundary string", outputMode="append", timeMode="EventTime")
 
 

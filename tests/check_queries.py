@@ -1,5 +1,6 @@
 """Compare registered queries with their SQL: python tests/check_queries.py SF [name ...]"""
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -17,7 +18,7 @@ from __spark_entry__ import oracle_sql, queries
 
 def main(sf, names):
     spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false") \
-        .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC") \
+        .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", os.environ.get("CHECK_ZONE", "UTC")) \
         .config("spark.driver.memory", "8g") \
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidemark-check-")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

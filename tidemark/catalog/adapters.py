@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def pick(key: Column, *values: str) -> Column:
     """values[key]."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (key + 1).cast("int"))
+    return F.element_at(F.expr(f"array{values!r}"), (key + 1).cast("int"))
 
 
 # ---------------------------------------------------------------- options tape

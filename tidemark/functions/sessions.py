@@ -14,7 +14,7 @@ from tidemark.settings import COTTON, Market
 def is_holiday(day: Column, market: Market = COTTON) -> Column:
     if not market.closed_dates:
         return F.lit(False)
-    return day.isin(*[F.lit(d).cast("date") for d in market.closed_dates])
+    return F.array_contains(F.expr(f"array({', '.join(f"date'{d}'" for d in market.closed_dates)})"), day)
 
 
 def is_closed(day: Column, market: Market = COTTON) -> Column:
@@ -40,7 +40,7 @@ def is_due(boundary: Column, session_date: Column, as_of: Column, market: Market
     grace = F.expr(f"INTERVAL '{market.grace_minutes}' MINUTE")
     today = as_of.cast("date")
     opened = boundary == market.boundaries[0]
-    passed = F.date_trunc("minute", as_of) >= boundary_time(boundary, session_date, market) + grace
+    passed = as_of >= boundary_time(boundary, session_date, market) + grace
     return (session_date < today) | ((session_date == today) & (opened | passed))
 
 
@@ -51,7 +51,7 @@ def next_business_day(day: Column, market: Market = COTTON) -> Column:
     moved = {h: _first_open(h, market) for h in market.closed_dates}
     if not moved:
         return weekday
-    table = F.create_map(*[F.lit(date.fromisoformat(str(x))) for kv in moved.items() for x in kv])
+    table = F.expr(f"map({', '.join(f"date'{d}'" for pair in moved.items() for d in pair)})")
     return F.coalesce(F.try_element_at(table, weekday), weekday)
 
 

@@ -22,7 +22,7 @@ _DIGITS = "0123456789"
 
 def _lookup(pairs: dict, key: Column) -> Column:
     """Value of a literal map, null for an unknown key."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), key)
+    return F.try_element_at(F.expr(f"map({', '.join(repr(x) for kv in pairs.items() for x in kv)})"), key)
 
 
 def _months(market: Market) -> dict[str, int]:

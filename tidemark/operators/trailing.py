@@ -20,8 +20,17 @@ def volume_flag(rvol: Column, market: Market = COTTON) -> Column:
     return F.when(rvol >= market.high, "HIGH").when(rvol <= market.low, "LOW")
 
 
-def _tier_rows(tier: int, avg: Column, n: Column) -> Column:
-    return F.struct(F.lit(tier).alias("tier"), avg.alias("avg"), n.alias("n"))
+def _tier_array(keys: Sequence[str], date: str, value: str, market: Market, inclusive: bool = False) -> Column:
+    """array(struct(tier, avg, n)): mean and count of up to ``tier`` earlier rows of a series,
+    counting the row itself when ``inclusive``."""
+    by = ", ".join(f"`{k}`" for k in keys)
+
+    def entry(tier: int) -> str:
+        first, last = (f"{tier - 1} PRECEDING", "CURRENT ROW") if inclusive else (f"{tier} PRECEDING", "1 PRECEDING")
+        over = f"OVER (PARTITION BY {by} ORDER BY `{date}` ROWS BETWEEN {first} AND {last})"
+        return f"struct({tier} AS tier, avg(`{value}`) {over} AS avg, count(`{value}`) {over} AS n)"
+
+    return F.expr(f"array({', '.join(entry(t) for t in market.tiers)})")
 
 
 def _finish(df: DataFrame, keep: Sequence[str], value: str, mode: str, market: Market) -> DataFrame:
@@ -50,14 +59,9 @@ def trailing(df: DataFrame, keys: Sequence[str], date: str, value: str, *,
     one exchange, one sort.
     """
     order = Window.partitionBy(*keys).orderBy(date)
-
-    def tier(t: int) -> Column:
-        frame = order.rowsBetween(-t, -1)
-        return _tier_rows(t, F.avg(value).over(frame), F.count(value).over(frame))
-
     series = df.filter(F.col(value).isNotNull())
     rows = series.select(*keys, date, value, F.lag(value, 1).over(order).alias("prev"),
-                         F.array(*[tier(t) for t in market.tiers]).alias("tiers"))
+                         _tier_array(keys, date, value, market).alias("tiers"))
     return _finish(rows, [*keys, date], value, mode, market)
 
 
@@ -69,21 +73,15 @@ def trailing_against(current: DataFrame, prior: DataFrame, keys: Sequence[str],
     then takes over the latest prior row strictly before its date, found by one ordered pass
     over the union. No inequality join.
     """
-    own = Window.partitionBy(*keys).orderBy(date)
-
-    def tier(t: int) -> Column:
-        frame = own.rowsBetween(-(t - 1), 0)
-        return _tier_rows(t, F.avg(value).over(frame), F.count(value).over(frame))
-
     stats = prior.filter(F.col(value).isNotNull()).select(
-        *keys, date, F.lit(1).alias("_prior"), F.array(*[tier(t) for t in market.tiers]).alias("_stats"),
-        F.col(value).alias("_last"))
+        *keys, date, F.lit(1).alias("_prior"), F.col(value).alias("_last"),
+        _tier_array(keys, date, value, market, inclusive=True).alias("_stats"))
     both = current.select(*keys, date, F.lit(0).alias("_prior"), value).unionByName(
         stats, allowMissingColumns=True)
     # current sorts before prior on the same date, so only strictly earlier rows are seen
     before = Window.partitionBy(*keys).orderBy(date, "_prior").rowsBetween(Window.unboundedPreceding, -1)
-    empty = F.array(*[_tier_rows(t, F.lit(None).cast("double"), F.lit(0).cast("bigint"))
-                      for t in market.tiers])
+    empty = F.expr("array(" + ", ".join(
+        f"struct({t} AS tier, CAST(NULL AS DOUBLE) AS avg, 0L AS n)" for t in market.tiers) + ")")
     rows = both.select(
         *keys, date, "_prior", value,
         F.last("_last", ignorenulls=True).over(before).alias("prev"),

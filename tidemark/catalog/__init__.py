@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bars", "options", "boundaries", "live", "gateway")
+MODULES = ("bars", "options", "boundaries", "live", "gateway", "files")
 
 
 def load():

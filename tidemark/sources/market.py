@@ -18,9 +18,12 @@ _DATE_GLOB = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]"
 
 
 def session_of_path(path: Column) -> Column:
-    """The folder a file lies in, as a date. Plain substrings: evaluated for every row."""
+    """The folder a file lies in, ``<date>`` or ``<name>=<date>``, as a date.
+
+    Plain substrings, as this is evaluated for every row.
+    """
     folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
-    return folder.try_cast("date")
+    return F.substring_index(folder, "=", -1).try_cast("date")
 
 
 def session_files(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -36,9 +39,12 @@ def session_files(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def read_tape(spark: SparkSession, root: str, market: Market = COTTON, session: str = _DATE_GLOB,
-              missing: str = "fail") -> DataFrame:
-    """Options tape of one session or all of them; numbers that do not parse count 0."""
-    path = f"{root}/{session}/{market.prefix.lower()}_options_tape.csv"
+              missing: str = "fail", files: str | None = None) -> DataFrame:
+    """Options tape of one session or all of them; numbers that do not parse count 0.
+
+    ``files`` replaces the usual folder layout by another pattern below ``root``.
+    """
+    path = f"{root}/{files or f'{session}/{market.prefix.lower()}_options_tape.csv'}"
     raw = read_delimited(spark, path, ("timestamp", "contract", "strike", "call_vol", "put_vol"),
                          missing=missing)
     return raw.select(
@@ -52,9 +58,9 @@ def read_tape(spark: SparkSession, root: str, market: Market = COTTON, session:
 
 
 def read_sidecar(spark: SparkSession, root: str, market: Market = COTTON, session: str = _DATE_GLOB,
-                 missing: str = "empty") -> DataFrame:
+                 missing: str = "empty", files: str | None = None) -> DataFrame:
     """Boundary readings; a file without a required column raises, extra columns are fine."""
-    path = f"{root}/{session}/{market.prefix.lower()}_futures_volume.csv"
+    path = f"{root}/{files or f'{session}/{market.prefix.lower()}_futures_volume.csv'}"
     raw = read_delimited(spark, path, SIDECAR_COLUMNS, required=SIDECAR_COLUMNS, missing=missing)
     return raw.select(
         session_of_path(F.col("file_path")).alias("session_date"),

@@ -190,6 +190,9 @@ def test_futures_job(spark, tmp_path):
         assert jobs.run_futures(*args, session=D) == 0
     rows = sorted((str(r.date), r.full_total, r.source) for r in spark.read.parquet(f"{out}/history/futures_session_volume").collect())
     assert rows == [("2026-06-15", 38000.0, "bbg_seed"), ("2026-06-16", 44000.0, "bbg_seed"), (D, 800.0, "rtd")]
+    doc = spark.read.json(f"{out}/futures_session_volume").first()
+    assert (doc.date, doc.window, doc.summary.source, doc.ratios.night_share) == (D, "eod", "rtd", 0.75)
+    assert doc.summary.per_contract.CTDEC1.position == 1
     contracts = spark.read.parquet(f"{out}/history/futures_session_volume_by_contract").filter(F.col("date") == F.lit(D).cast("date"))
     # rows of the same key are replaced, other contracts of the date stay
     assert {r.generic_code: r.full for r in contracts.collect()} == {"CTDEC1": 800.0, "CTMAR1": 10204.0, "CTJUL1": 7673.0}

@@ -198,6 +198,9 @@ def test_job_writes_everything_once_and_dry_run_nothing(spark, tmp_path):
     hist = {str(r.date): r.day_total for r in spark.read.parquet(f"{out}/history/session_volume").collect()}
     assert hist == {"2026-06-15": 30.0, "2026-06-16": 30.0, D: None}
     doc = spark.read.json(f"{out}/session_volume").filter(F.col("session_date") == D).first()
+    assert (doc.date, doc.window, doc.day) == (D, "overnight", None)
+    assert doc.overnight.per_contract.CTDEC1.ice_code == "CTZ6" and doc.overnight.snapshot_ts == f"{D} 06:00:00"
+    doc = spark.read.json(f"{out}/session_volume_windows").filter(F.col("session_date") == D).first()
     assert doc.windows.overnight.total == 15.0 and doc.windows.overnight.by_contract[0].generic_code == "CTDEC1"
     text = [r.value for r in spark.read.text(f"{out}/session_volume_report/session_date={D}").collect()]
     assert text[0] == f"SESSION VOLUME -- CT -- {D}" and "  Total          : 15" in text

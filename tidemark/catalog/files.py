@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.catalog import boundaries as bnd
 from tidemark.catalog import options as opt
 from tidemark.catalog.adapters import bars, rounded, sidecar, tape
 from tidemark.catalog.bars import seed
@@ -98,3 +99,24 @@ def landed_tape_totals(spark, sf):
     sinks.land(tape(spark, sf).hint("rebalance", "session_date"), root)
     landed = spark.read.parquet(root).withColumn("session_date", F.col("session_date").cast("date"))
     return rounded(P.options_sessions(landed).totals, "pc_ratio")
+
+
+@query("futures_document_contracts", SQL["futures_contract_history"])
+def futures_document_contracts(spark, sf):
+    """Session documents written as JSON and read back; the contract map unfolded again."""
+    root = shared_folder(spark)
+    documents = fut.document(bnd.run(spark, sf, settle=True))
+    sinks.write_payload(documents, root, by_session=False)
+    docs = spark.read.schema(documents.schema).json(root)
+    rows = docs.select(F.col("date").cast("date").alias("date"), "commodity",
+                       F.explode("summary.per_contract").alias("generic_code", "c"))
+    return rows.select("date", "commodity", "generic_code", "c.*")
+
+
+@query("options_document_contracts", SQL["options_contract_history"])
+def options_document_contracts(spark, sf):
+    docs = P.document(opt.run(spark, sf, settle=True))
+    parts = [docs.select("session_date", F.lit(w).alias("window"), F.explode(f"{w}.per_contract").alias("generic_code", "c"))
+             for w in ("overnight", "day")]
+    rows = parts[0].unionByName(parts[1])
+    return rows.select("session_date", "window", "generic_code", "c.*")

@@ -21,7 +21,7 @@ def latest(df: DataFrame, date: str, keys: Sequence[str] = ()) -> DataFrame:
     if not keys:
         return df.filter(F.col(date) == df.select(F.max(date)).scalar())
     last = df.groupBy(*keys).agg(F.max(date).alias(date))
-    return df.join(broadcast_if_small(last, last), [*keys, date])
+    return df.join(broadcast_if_small(last, df.select(*keys).distinct()), [*keys, date])
 
 
 def check_choice(value: str | None, allowed: Sequence[str], what: str) -> str | None:

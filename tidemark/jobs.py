@@ -76,7 +76,8 @@ def run_options(spark: SparkSession, root: str, out: str | None, *, commodity: s
         run.status.orderBy("session_date").show(truncate=False)
     if write and out:
         sinks.write_report(run.report, f"{out}/session_volume_report")
-        sinks.write_payload(opt.payload(run), f"{out}/session_volume")
+        sinks.write_payload(opt.document(run), f"{out}/session_volume")
+        sinks.write_payload(opt.payload(run), f"{out}/session_volume_windows")
         _history(spark, out, "session_volume_by_contract", CONTRACT_HISTORY_SCHEMA,
                  ("date", "window", "generic_code")).upsert(
             opt.contract_history(run).withColumnRenamed("session_date", "date"))
@@ -90,6 +91,7 @@ CONTRACT_HISTORY_SCHEMA = ("date date, generic_code string, ice_code string, mon
 
 def _write_futures(spark: SparkSession, out: str, run: fut.FuturesRun) -> None:
     sinks.write_report(run.report, f"{out}/futures_session_volume_report")
+    sinks.write_payload(fut.document(run), f"{out}/futures_session_volume")
     _history(spark, out, "futures_session_volume", fut.HISTORY_SCHEMA, SESSION_KEYS).upsert(run.history)
     _history(spark, out, "futures_session_volume_by_contract", fut.CONTRACT_SCHEMA, CONTRACT_KEYS).upsert(
         run.contract_history)

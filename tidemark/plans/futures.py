@@ -142,6 +142,20 @@ def futures_sessions(readings: DataFrame, bars: DataFrame, history: DataFrame |
                       clock(generated_at), market)
 
 
+def document(run: FuturesRun) -> DataFrame:
+    """The session file: one nested row per session with summary, contracts and ratios."""
+    fields = ("ice_code", "delivery_year", "month_code", "month_name", "position", "night", "day", "full")
+    # at most one entry per tracked slot
+    maps = run.contracts.groupBy("session_date").agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct("generic_code", F.struct(*fields))))).alias("per_contract"))
+    return run.totals.join(maps, "session_date").select(
+        "session_date", F.date_format("session_date", "yyyy-MM-dd").alias("date"),
+        F.lit(run.commodity).alias("commodity"), F.lit(run.window).alias("window"),
+        F.struct("source", "night", "day", "full", "per_contract").alias("summary"),
+        F.struct("night_share", "night_day_ratio").alias("ratios"),
+        F.date_format(run.generated_at, "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"))
+
+
 def seed_ingest(bars: DataFrame, commodity: str = "CT", generated_at=None,
                 market: Market = COTTON) -> tuple[DataFrame, DataFrame]:
     """All bar dates as (session history rows, by-contract history rows); full only."""

@@ -160,6 +160,34 @@ def payload(run: OptionsRun) -> DataFrame:
                       run.generated_at.alias("generated_at"))
 
 
+def document(run: OptionsRun) -> DataFrame:
+    """The session file: one nested row per session, a window without data being null."""
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    fields = ("ice_code", "delivery_year", "month_code", "month_name", "call", "put", "total")
+    c = enrich(run.slots, "generic_code", "session_date", run.market)
+    # at most one entry per tracked slot
+    maps = c.groupBy("session_date", "window").agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct("generic_code", F.struct(*fields))))).alias("per_contract"))
+    body = run.totals.join(maps, ["session_date", "window"], "left")
+    common = ["total", "call", "put", "pc_ratio", F.coalesce(
+        "per_contract", F.create_map().cast(maps.schema["per_contract"].dataType)).alias("per_contract")]
+    end = F.date_format("snapshot_ts", stamp)
+    shapes = {"overnight": F.struct(*common, end.alias("snapshot_ts")),
+              "day": F.struct(*common, F.date_format("snapshot_ts_start", stamp).alias("snapshot_ts_start"),
+                              end.alias("snapshot_ts_end"))}
+    blocks = body.select("session_date", *[F.when(F.col("window") == w, b).alias(w) for w, b in shapes.items()])
+    per = run.sessions.unionByName(blocks, allowMissingColumns=True)
+    one = per.groupBy("session_date").agg(*[F.first(w, ignorenulls=True).alias(w) for w in shapes])
+    return one.select(
+        "session_date", F.date_format("session_date", "yyyy-MM-dd").alias("date"),
+        F.lit(run.commodity).alias("commodity"), F.lit(_window_name(run.windows)).alias("window"), "overnight", "day",
+        F.date_format(run.generated_at, "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"))
+
+
+def _window_name(windows: Sequence[str]) -> str:
+    return windows[0] if len(windows) == 1 else "both"
+
+
 def latest_pointer(payloads: DataFrame, root: str) -> DataFrame:
     """Most recent session, when it was built and where its payload lies."""
     last = payloads.agg(F.max("session_date").alias("session_date"),

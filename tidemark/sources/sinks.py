@@ -70,10 +70,16 @@ def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_payload(payload: DataFrame, path: str) -> None:
-    """One JSON document per session below its session_date folder."""
-    payload.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .option("ignoreNullFields", False).partitionBy("session_date").json(path)
+def write_payload(payload: DataFrame, path: str, by_session: bool = True) -> None:
+    """One JSON document per session, below its session_date folder.
+
+    For thousands of sessions at once, ``by_session=False`` writes plain JSON lines instead
+    of one small file per session.
+    """
+    writer = payload.write.mode("overwrite").option("ignoreNullFields", False)
+    if by_session:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy("session_date")
+    writer.json(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

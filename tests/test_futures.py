@@ -211,3 +211,17 @@ def test_refresh_job(spark, tmp_path):
 def test_bars_csv_last_row_wins(spark, tmp_path):
     path = bars_csv(tmp_path / "bars.csv", [(D, "CTDEC1", 1), (D, "ctdec1 ", 2), (D, "CTDEC1", None), (D, "CTDEC3", 5), ("", "CTDEC1", 5)])
     assert [(r.generic, r.volume) for r in clean_bars(read_bars(spark, path)).collect()] == [("CTDEC1", 2.0)]
+
+
+def test_many_sessions_equal_one_by_one(spark):
+    rows = []
+    for d in range(1, 6):
+        rows += three("CTZ6", 10 * d, 20 * d, 35 * d, session=f"2026-06-0{d}") + three("CTH7", d, 3 * d, 3 * d, session=f"2026-06-0{d}")
+    readings, none = readings_df(spark, rows), seed(spark).filter("false")
+    whole = sorted(map(str, P.futures_sessions(readings, none).totals.collect()))
+    single = []
+    for d in range(1, 6):
+        one = readings.filter(F.col("session_date") == F.lit(f"2026-06-0{d}").cast("date"))
+        single += map(str, P.futures_sessions(one, none).totals.collect())
+    assert whole == sorted(single) and len(whole) == 5
+    assert all(r.night + r.day == r.full for r in P.futures_sessions(readings, none).contracts.collect())

@@ -22,7 +22,7 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, header) per file, written once for the checks that follow.
 
     Files are scanned as plain lines, one file per partition, and only the first row of a
-    partition is kept. Splitting lines costs a few percent of parsing them.
+    partition is kept. Splitting lines is cheap next to parsing them.
     """
     probe = spark.newSession()
     probe.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 50))

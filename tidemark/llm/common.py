@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +72,25 @@ def matches(text: Column, pattern: str) -> Column:
     """
     marked = F.regexp_replace(text, pattern, "x")
     return (F.length(marked) - F.length(F.replace(marked, F.lit("x"), F.lit("")))).cast("long")
+
+
+@cache
+def _package() -> str:
+    """A zip of this package in the driver's own temporary folder; Spark hands it to the executors."""
+    root = Path(__file__).resolve().parents[2]
+    out = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark_code.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for file in sorted((root / "tidemark").rglob("*.py")):
+            z.write(file, file.relative_to(root))
+    return str(out)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, once per application; call before using a Python function."""
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        spark.sparkContext.addPyFile(_package())
+        _SHIPPED.add(application)

@@ -1,0 +1,276 @@
+"""Token ids in word-aligned binary files (operator 6).
+
+Documents are range-partitioned and sorted by id; each task encodes its texts with the tokenizer,
+appends the end id to each, codes the ids with Simple-8b in blocks and writes one file. The files
+are read back with Spark's binary reader, decoded as arrays, and give one row per document.
+
+File: ``MAGIC``; the blocks, each its words and then its escapes; a footer of little-endian 64-bit
+integers (per block: offset, words, escapes; per document: id, 1 if the id is null, ids) and at the end
+the number of blocks, of documents and of ids, the footer's offset and ``MAGIC`` again.
+
+Encoding. The tokenizer drops white space and never joins across it, so the ids of a text are those of
+its words between ASCII white space. Tasks keep the ids of up to ``CACHE`` words and encode others;
+words that are letters of the Latin blocks, with or without a comma or full stop, are encoded many to a
+call, as each ends with the one token that ends a word.
+
+A task writes under a name of its own and renames, so a repeated task replaces its file by the same one.
+Defined cases: null and empty texts have the end id alone; null ids come first; rows with the same id
+are ordered by the hash of their text; an empty table gives no files and no rows; extra columns are
+not read.
+"""
+
+from __future__ import annotations
+
+import struct
+import uuid
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm import simple8b
+from tidemark.llm.common import shared_path, ship
+
+MAGIC = b"TMS8\x00\x00\x00\x01"
+END_ID = 1
+CACHE = 400_000
+_FLUSH = 256 * simple8b.BLOCK  # ids coded at a time
+_TAIL = struct.Struct("<4q8s")
+
+
+class Words(dict):
+    """Numbers of words; asking for an unknown word numbers it and notes that its ids are needed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = number = len(self) + 1  # 0 is the end of a document
+        return number
+
+
+def _simple(word: str) -> bool:
+    """Letters that normalisation keeps letters: Latin blocks without the dotted capital I."""
+    return word.isalpha() and max(word) < "ɐ" and "İ" not in word
+
+
+class Encoder:
+    def __init__(self, path: str, end_id: int = END_ID, cache: int = CACHE):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.end_id, self.cache = end_id, cache
+        # ids of tokens that end a word, for cutting a joined encoding into its words
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ending = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ending[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = Words()
+        self.flat, self.counts = [np.array([self.end_id], np.uint32)], [np.array([1], np.int64)]
+
+    def _encode_all(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word, simple ones joined."""
+        out: list = [None] * len(words)
+        simple = [i for i, w in enumerate(words) if _simple(w)]
+        rest = [i for i, w in enumerate(words) if not _simple(w)]
+        for i, ids in zip(rest, self._encode_all([words[i] for i in rest])):
+            out[i] = np.array(ids, np.uint32)
+        groups = [simple[k:k + 64] for k in range(0, len(simple), 64)]
+        for group, ids in zip(groups, self._encode_all([" ".join(words[i] for i in g) for g in groups])):
+            ids = np.array(ids, np.uint32)
+            ends = np.flatnonzero(self.ending[np.minimum(ids, len(self.ending) - 1)]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                parts = np.split(ids, ends[:-1])
+            else:
+                parts = [np.array(x, np.uint32) for x in self._encode_all([words[i] for i in group])]
+            for i, part in zip(group, parts):
+                out[i] = part
+        return out
+
+    def _learn(self) -> None:
+        if not self.words.new:
+            return
+        new = [w.decode("utf-8", "replace") for w in self.words.new]
+        bare = [w[:-1] if w[-1] in ",." and _simple(w[:-1]) else w for w in new]
+        ids = self._ids(bare)
+        tails = {t: np.array(self._encode_all([t])[0], np.uint32) for t in ",."}
+        ids = [np.concatenate((x, tails[w[-1]])) if w != b else x for w, b, x in zip(new, bare, ids)]
+        self.counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.flat.append(np.concatenate(ids))
+        self.words.new = []
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with their end ids, ids per text)."""
+        if len(self.words) > self.cache:
+            self.clear()
+        number, sequence, sizes = self.words.__getitem__, [], []
+        for text in texts:
+            before = len(sequence)
+            sequence.extend(map(number, text.split()))
+            sequence.append(0)
+            sizes.append(len(sequence) - before)
+        self._learn()
+        flat, counts = np.concatenate(self.flat), np.concatenate(self.counts)
+        self.flat, self.counts = [flat], [counts]
+        first = np.cumsum(counts) - counts
+        order = np.array(sequence, np.int64)
+        each = counts[order]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(first[order] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        last = np.cumsum(sizes) - 1
+        return ids, np.diff(ends[last], prepend=0) if len(sizes) else np.zeros(0, np.int64)
+
+
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """One encoder per worker process, so its words serve all tasks of the process."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
+class Writer:
+    """Writes one file of the format above, a run of whole blocks at a time."""
+
+    def __init__(self, out):
+        self.out, self.offset = out, 0
+        self.blocks, self.docs, self.waiting, self.n_ids = [], [], [], 0
+        self._put(MAGIC)
+
+    def _put(self, data: bytes) -> None:
+        self.out.write(data)
+        self.offset += len(data)
+
+    def _code(self, ids: np.ndarray) -> None:
+        for words, escapes in zip(*simple8b.encode(ids)):
+            self.blocks.append((self.offset, len(words), len(escapes)))
+            self._put(words.astype("<u8").tobytes())
+            self._put(escapes.astype("<u8").tobytes())
+
+    def add(self, docs: list[tuple[int, int, int]], ids: np.ndarray) -> None:
+        self.docs.extend(docs)
+        self.waiting.append(ids)
+        self.n_ids += len(ids)
+        if sum(map(len, self.waiting)) >= _FLUSH:
+            ids = np.concatenate(self.waiting)
+            whole = len(ids) // simple8b.BLOCK * simple8b.BLOCK
+            for i in range(0, whole, _FLUSH):
+                self._code(ids[i:min(i + _FLUSH, whole)])
+            self.waiting = [ids[whole:]]
+
+    def close(self) -> None:
+        self._code(np.concatenate(self.waiting) if self.waiting else np.zeros(0, np.uint32))
+        footer = self.offset
+        self._put(np.array(self.blocks, "<i8").tobytes())
+        self._put(np.array(self.docs, "<i8").tobytes())
+        self._put(_TAIL.pack(len(self.blocks), len(self.docs), self.n_ids, footer, MAGIC))
+
+
+def read(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(documents as rows of id, null flag, ids; all ids) of a file."""
+    n_blocks, n_docs, n_ids, footer, magic = _TAIL.unpack(data[-_TAIL.size:])
+    if magic != MAGIC or data[:len(MAGIC)] != MAGIC:
+        raise ValueError("not a file of token ids")
+    blocks = np.frombuffer(data, "<i8", n_blocks * 3, footer).reshape(-1, 3)
+    docs = np.frombuffer(data, "<i8", n_docs * 3, footer + blocks.nbytes).reshape(-1, 3)
+    stored = np.frombuffer(data, "<u8", (footer - len(MAGIC)) // 8, len(MAGIC))
+    if blocks[:, 2].any():
+        at = (blocks[:, 0] - len(MAGIC)) // 8
+        words = np.concatenate([stored[a:a + w] for a, w in zip(at, blocks[:, 1])])
+        escapes = np.concatenate([stored[a + w:a + w + e] for a, w, e in zip(at, blocks[:, 1], blocks[:, 2])])
+    else:
+        words, escapes = stored, stored[:0]
+    ids = np.concatenate([  # some blocks at a time: each needs padding while it is decoded
+        simple8b.decode(words[a:b], blocks[i:i + 256, 1], min(n_ids - i * simple8b.BLOCK, 256 * simple8b.BLOCK), escapes[c:d]).astype(np.uint32)
+        for i in range(0, n_blocks, 256)
+        for a, b in [(blocks[:i, 1].sum(), blocks[:i + 256, 1].sum())]
+        for c, d in [(blocks[:i, 2].sum(), blocks[:i + 256, 2].sum())]] or [np.zeros(0, np.uint32)])
+    return docs, ids
+
+
+def _location(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> list[tuple[str, int]]:
+    """Write the files of ``docs`` (doc_id, text) to a shared folder; (name, ids) of each in order.
+
+    The list has one entry per file, of many thousand documents each.
+    """
+    ship(docs.sparkSession)
+    fs, path = _location(folder)
+    fs.create_dir(path, recursive=True)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tie = F.xxhash64("text")
+    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+
+    def run(batches):
+        fs, path = _location(folder)
+        encode, writer, own = encoder(tokenizer, end_id), None, None
+        name = f"part-{TaskContext.get().partitionId():06d}.ids"
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if writer is None:
+                own = f"{path}/_{name}-{uuid.uuid4().hex}"
+                stream = fs.open_output_stream(own)
+                writer = Writer(stream)
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            keys = batch.column("doc_id").to_pylist()
+            for i in range(0, len(texts), 256):
+                ids, sizes = encode([t or b"" for t in texts[i:i + 256]])
+                writer.add([(k or 0, k is None, n) for k, n in zip(keys[i:i + 256], sizes.tolist())], ids)
+        if writer:
+            writer.close()
+            stream.close()
+            fs.move(own, f"{path}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([writer.n_ids], pa.int64())], ["name", "n_ids"])
+
+    return sorted((r["name"], r["n_ids"]) for r in ordered.mapInArrow(run, "name string, n_ids long").collect())
+
+
+def read_back(docs: DataFrame, folder: str, files: list[tuple[str, int]]) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document in ``files``; ``docs`` gives the session."""
+    spark = docs.sparkSession
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    if not files:
+        return spark.createDataFrame([], schema)
+    before, total = {}, 0
+    for name, n in files:
+        before[name], total = total, total + n
+    shared = spark.sparkContext.broadcast(before)
+
+    def run(batches):
+        for batch in batches:
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
+                rows, ids = read(data.as_buffer())
+                ends = np.cumsum(rows[:, 2])
+                starts = ends - rows[:, 2]
+                view = memoryview(ids.astype("<u4")).cast("B")
+                sums = [zlib.crc32(view[4 * a:4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows[:, 0], mask=rows[:, 1] == 1), pa.array(starts + shared.value[path.rpartition("/")[2]]),
+                     pa.array(rows[:, 2]), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(folder).select("path", "content")
+    return found.mapInArrow(run, schema)
+
+
+def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
+    """Write ``docs`` as files of token ids and return one row per document, read back from them."""
+    folder = folder or shared_path(docs.sparkSession, "token-ids")
+    return read_back(docs, folder, write(docs, folder, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id))

@@ -94,9 +94,11 @@ class BiGRU:
         d_states = d_states + d_hidden @ p["A"].T
         embedded = (p["word"][:, None, :] + p["char"][None, :, :]).reshape(-1, EMBED)
         d_embedded = np.zeros_like(embedded)
+        order = np.argsort(windows.T.ravel(), kind="stable")
+        present, firsts = np.unique(windows.T.ravel()[order], return_index=True)
         for d, part in (("f", d_states[:, :, :HIDDEN]), ("b", d_states[:, :, HIDDEN:])):
             u, back = p[f"U{d}"], np.zeros((len(windows), HIDDEN), np.float32)
-            d_table = np.zeros((len(embedded), 3 * HIDDEN), np.float32)
+            d_inputs = np.empty((windows.shape[1], len(windows), 3 * HIDDEN), np.float32)
             for t, h, z, reset, n in reversed(kept[d]):
                 d_h = back + part[t]
                 d_n = d_h * (1 - z) * (1 - n ** 2)
@@ -105,7 +107,9 @@ class BiGRU:
                 back = d_h * z + d_reset_h * reset + d_gates @ u[:, :2 * HIDDEN].T
                 g[f"U{d}"][:, :2 * HIDDEN] += h.T @ d_gates
                 g[f"U{d}"][:, 2 * HIDDEN:] += (reset * h).T @ d_n
-                np.add.at(d_table, windows[:, t], np.concatenate((d_gates, d_n), axis=1))
+                d_inputs[t, :, :2 * HIDDEN], d_inputs[t, :, 2 * HIDDEN:] = d_gates, d_n
+            d_table = np.zeros((len(embedded), 3 * HIDDEN), np.float32)
+            d_table[present] = np.add.reduceat(d_inputs.reshape(-1, 3 * HIDDEN)[order], firsts, axis=0)
             g[f"c{d}"] = d_table.sum(0)
             g[f"W{d}"] = embedded.T @ d_table
             d_embedded += d_table @ p[f"W{d}"].T
@@ -113,7 +117,7 @@ class BiGRU:
         g["word"], g["char"] = d_embedded.sum(1), d_embedded.sum(0)
         return g
 
-    def fit(self, windows: np.ndarray, target: np.ndarray, steps: int = 600, batch: int = 192, rate: float = 0.01, seed: int = 11) -> "BiGRU":
+    def fit(self, windows: np.ndarray, target: np.ndarray, steps: int = 600, batch: int = 128, rate: float = 0.01, seed: int = 11) -> "BiGRU":
         """Adam over shuffled batches, the rate falling to a tenth."""
         rng = np.random.default_rng(seed)
         first, second = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))

@@ -24,7 +24,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,11 +65,28 @@ class Model:
         self.words, self.grams, self.network = words, grams, network
         self.classes: dict[bytes, int] = {}
 
+    def __getstate__(self) -> dict:
+        return {"words": self.words, "grams": self.grams, "network": self.network, "classes": {}}
+
+    @cached_property
+    def finder(self) -> ahocorasick.Automaton:
+        """Finds all known character sequences of a marked word in one pass."""
+        out = ahocorasick.Automaton()
+        for gram, level in self.grams.items():
+            out.add_word(gram, level)
+        out.make_automaton()
+        return out
+
+    @cached_property
+    def plain(self) -> float:
+        """Score of a window without any level."""
+        return float(self.network.score(np.zeros((1, WINDOW), np.uint8))[0])
+
     def _class(self, token: bytes) -> int:
         """Levels of the most suspicious word of a token, as one number; 0 for none."""
         best = 0
         for word in _LETTERS.findall(token.decode("utf-8", "replace").lower()):
-            char = max((self.grams.get(g, 0) for g in grams(word)), default=0) if self.grams else 0
+            char = max((v for _, v in self.finder.iter(f"^{word}$")), default=0) if self.grams else 0
             best = max(best, self.words.get(word, 0) * LEVELS + char)
         return best
 
@@ -86,8 +105,6 @@ class Model:
         """The highest window score of each text."""
         if self.network is None:
             return np.zeros(len(texts), np.float32)
-        if not hasattr(self, "plain"):
-            self.plain = self.network.score(np.zeros((1, WINDOW), np.uint8))[0]
         best = np.full(len(texts), self.plain, np.float32)
         suspicious, owners = [], []
         for i, text in enumerate(texts):

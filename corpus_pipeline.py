@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, simhash, tokens, toxicity
+from tidemark.llm import decontaminate, mixing, simhash, token_files, toxicity
 from tidemark.llm.common import shared_path, table
 
 
@@ -32,7 +32,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokens.tokenized(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.tokenized(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

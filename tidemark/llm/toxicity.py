@@ -130,24 +130,58 @@ def windows(classes: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
 
+def _words(text: str | None) -> set[str]:
+    return set(_LETTERS.findall((text or "").lower()))
+
+
+_BUCKETS = 1 << 22
+
+
+def _counts(rows: list[tuple[str, int]], n_toxic: int, n_other: int) -> dict[str, tuple[dict[str, int], Counter]]:
+    """Documents of each kind, toxic and other, that hold a word and a character sequence.
+
+    Only what could have a level is counted, in bounded memory: sequences of toxic documents are first
+    counted by hash bucket, then those of full buckets one by one, and other documents only for these.
+    """
+    toxic = [text for text, label in rows if label]
+    least = next(n for n in range(1, n_toxic + 2) if _level(n, 0, n_toxic, n_other) or n > n_toxic)
+    buckets = np.zeros(_BUCKETS, np.int32)
+    words: Counter = Counter()
+    for text in toxic:
+        found = _words(text)
+        words.update(found)
+        buckets[list({hash(g) % _BUCKETS for w in found for g in grams(w)})] += 1
+    hot: Counter = Counter()
+    for text in toxic:
+        hot.update({g for w in _words(text) for g in grams(w) if buckets[hash(g) % _BUCKETS] >= least})
+    words, hot = ({x: n for x, n in found.items() if n >= least} for found in (words, hot))
+    cold_words, cold = Counter(), Counter()
+    finder = ahocorasick.Automaton()
+    for gram in hot:
+        finder.add_word(gram, gram)
+    if hot:
+        finder.make_automaton()
+    for text, label in rows:
+        if not label:
+            found = _words(text)
+            cold_words.update(w for w in found if w in words)
+            cold.update({g for w in found for _, g in finder.iter(f"^{w}$")} if hot else ())
+    return {"word": (words, cold_words), "char": (hot, cold)}
+
+
 def fit(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     """From (text, label) rows."""
-    tokens = [[_LETTERS.findall(t) for t in (text or "").lower().split()] for text, _ in rows]
-    labels = [int(bool(y)) for _, y in rows]
+    rows = [(text, int(bool(label))) for text, label in rows]
+    labels = [label for _, label in rows]
     n_toxic = sum(labels)
     n_other = len(labels) - n_toxic
     if not n_toxic or not n_other:
         return Model({}, {}, None)
-    of_word: dict[str, set] = {}
-    counts = {"word": (Counter(), Counter()), "char": (Counter(), Counter())}
-    for doc, label in zip(tokens, labels):
-        words = {w for token in doc for w in token}
-        counts["word"][label].update(words)
-        counts["char"][label].update(set().union(*(of_word.setdefault(w, grams(w)) for w in words)) if words else ())
+    counts = _counts(rows, n_toxic, n_other)
 
     def levels(kind: str, toxic: int, other: int) -> dict[str, int]:
         """With so many counts taken off: every document sees the others only."""
-        cold, hot = counts[kind]
+        hot, cold = counts[kind]
         return {x: v for x, n in hot.items() if (v := _level(max(0, n - toxic), max(0, cold[x] - other), n_toxic, n_other))}
 
     seen = {label: Model(levels("word", label, 1 - label), levels("char", label, 1 - label), None) for label in (0, 1)}

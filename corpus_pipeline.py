@@ -31,7 +31,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_files.tokenized(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -40,7 +40,7 @@ STAGES = [
     ("simhash_near_dedup", near_dedup),
     ("benchmark_decontamination", without_test_items),
     ("source_mix", source_mix),
-    ("token_ids", token_files),
+    ("token_ids", write_token_files),
 ]
 
 ORACLE_SQL = None  # the network, the fingerprints and the tokenizer are not SQL

@@ -2,8 +2,8 @@
 
 A keyword prefilter passes the texts that can hold any signature. Their words are numbered; at every
 word that some rule starts with, the rules of that word whose second keyword is near are matched
-against the next words. The best rule of a place wins (longer, as it holds the shorter, then
-higher priority), and a detection inside a longer or earlier detection is dropped. Everything happens inside the row: nothing is
+against the next words. Of overlapping detections the longer one wins (so one
+inside another goes), then the one of higher priority, then the first. Everything happens inside the row: nothing is
 shuffled, and the cost is linear in the words.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. Defined cases: null is
@@ -67,14 +67,17 @@ def detections(docs: DataFrame) -> DataFrame:
                 r -> named_struct('hit', regexp_extract(h.near, r.pattern, 1), 'rank', r.rank, 'label', r.label)), m -> m.hit <> ''),
                 m -> struct(length(m.hit) - length(replace(m.hit, ' ', '')) + 1 AS size, m.rank AS rank, m.label AS label))) AS best)),
             d -> d.best IS NOT NULL)"""
-    spans = "transform(picked, d -> struct(d.start AS start, d.start + d.best.size AS end, d.best.label AS label))"
+    spans = "transform(picked, d -> struct(d.start AS start, d.start + d.best.size AS end, d.best.label AS label, d.best.rank AS rank))"
     base = ", ".join(f"struct('{p}' AS phrase, '{label}' AS label, {p.count(' ') + 1} AS size)" for p, label in BASE.items())
     return ruled.withColumn("base", F.expr(f"""
             flatten(transform(hits, h -> transform(filter(array({base}), b -> startswith(concat(h.near, ' '), concat(b.phrase, ' '))),
                 b -> struct(h.at AS start, h.at + b.size AS end, b.label AS label))))""")) \
         .withColumn("picked", F.expr(best)).withColumn("picked", F.expr(spans)) \
         .withColumn("found", F.expr(f"""
-            filter(picked, (d, i) -> NOT exists(slice(picked, greatest(i - {LONGEST}, 0) + 1, least(i, {LONGEST})), e -> e.end >= d.end))""")) \
+            transform(filter(picked, (d, i) -> NOT exists(slice(picked, greatest(i - {LONGEST}, 0) + 1, {2 * LONGEST + 1}), e ->
+                e.start < d.end AND d.start < e.end
+                AND struct(e.end - e.start, e.rank, -e.start) > struct(d.end - d.start, d.rank, -d.start))),
+                d -> struct(d.start AS start, d.end AS end, d.label AS label))""")) \
         .select("doc_id", "n_words", "base", "found")
 
 

@@ -8,10 +8,11 @@ File: ``MAGIC``; the blocks, each its words and then its escapes; a footer of li
 integers (per block: offset, words, escapes; per document: id, 1 if the id is null, ids) and at the end
 the number of blocks, of documents and of ids, the footer's offset and ``MAGIC`` again.
 
-Encoding. The tokenizer drops white space and never joins across it, so the ids of a text are those of
-its words between ASCII white space. Tasks keep the ids of up to ``CACHE`` words and encode others;
-words that are letters of the Latin blocks, with or without a comma or full stop, are encoded many to a
-call, as each ends with the one token that ends a word.
+Encoding. The tokenizer drops white space, never joins across it and encodes runs of letters and runs of
+signs by themselves, in lower case. So the ids of a text are those of its words between ASCII white
+space, and those of a plain word are those of its letters and of the signs after them. Tasks keep the
+ids of up to ``CACHE`` words; unseen runs of letters are encoded many to a call, as each ends with the one
+token that ends a run. Any other word is given to the tokenizer as it stands.
 
 A task writes under a name of its own and renames, so a repeated task replaces its file by the same one.
 Defined cases: null and empty texts have the end id alone; null ids come first; rows with the same id
@@ -21,6 +22,7 @@ not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -38,78 +40,89 @@ from tidemark.llm.common import shared_path, ship
 
 MAGIC = b"TMS8\x00\x00\x00\x01"
 END_ID = 1
-CACHE = 400_000
+CACHE = 600_000
 _FLUSH = 256 * simple8b.BLOCK  # ids coded at a time
 _TAIL = struct.Struct("<4q8s")
 
 
-class Words(dict):
-    """Numbers of words; asking for an unknown word numbers it and notes that its ids are needed."""
+class Numbers(dict):
+    """Numbers of keys in the order they are first asked for; ``new`` lists those added since it was emptied."""
 
     def __init__(self):
         super().__init__()
-        self.new: list[bytes] = []
+        self.new: list = []
 
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self[word] = number = len(self) + 1  # 0 is the end of a document
+    def __missing__(self, key) -> int:
+        self.new.append(key)
+        self[key] = number = len(self)
         return number
 
 
-def _simple(word: str) -> bool:
-    """Letters that normalisation keeps letters: Latin blocks without the dotted capital I."""
-    return word.isalpha() and max(word) < "ɐ" and "İ" not in word
+# Latin letters (without the dotted capital I, whose lower case is no letter), then ASCII signs other than
+# the apostrophe: at most two pieces for the tokenizer, whatever stands around the word.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]*)([!-&(-/:-@\[-`{-~]*)")
+_JOINED = 256  # words encoded in one call
 
 
 class Encoder:
+    """Ids of texts, from the ids of their words, which are kept.
+
+    A word is two pieces: letters in lower case and signs after them, or the whole word and nothing.
+    """
+
     def __init__(self, path: str, end_id: int = END_ID, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id, self.cache = end_id, cache
-        # ids of tokens that end a word, for cutting a joined encoding into its words
+        # tokens that end a piece, for cutting a joined encoding into its words
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ending = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ending[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.words = Words()
-        self.flat, self.counts = [np.array([self.end_id], np.uint32)], [np.array([1], np.int64)]
-
-    def _encode_all(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, simple ones joined."""
-        out: list = [None] * len(words)
-        simple = [i for i, w in enumerate(words) if _simple(w)]
-        rest = [i for i, w in enumerate(words) if not _simple(w)]
-        for i, ids in zip(rest, self._encode_all([words[i] for i in rest])):
-            out[i] = np.array(ids, np.uint32)
-        groups = [simple[k:k + 64] for k in range(0, len(simple), 64)]
-        for group, ids in zip(groups, self._encode_all([" ".join(words[i] for i in g) for g in groups])):
-            ids = np.array(ids, np.uint32)
-            ends = np.flatnonzero(self.ending[np.minimum(ids, len(self.ending) - 1)]) + 1
-            if len(ends) == len(group) and ends[-1] == len(ids):
-                parts = np.split(ids, ends[:-1])
-            else:
-                parts = [np.array(x, np.uint32) for x in self._encode_all([words[i] for i in group])]
-            for i, part in zip(group, parts):
-                out[i] = part
-        return out
+        self.words, self.pieces = Numbers(), Numbers()
+        self.words[b"\n"], self.pieces["\n"], self.pieces[""] = 0, 0, 1  # the end of a document and nothing: no word is white space
+        self.flat = np.array([self.end_id], np.uint32)
+        self.first, self.count = np.array([0, 1]), np.array([1, 0])  # by piece
+        self.letters, self.signs = np.array([0]), np.array([1])  # by word: its pieces
+
+    def _encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self) -> None:
-        if not self.words.new:
-            return
-        new = [w.decode("utf-8", "replace") for w in self.words.new]
-        bare = [w[:-1] if w[-1] in ",." and _simple(w[:-1]) else w for w in new]
-        ids = self._ids(bare)
-        tails = {t: np.array(self._encode_all([t])[0], np.uint32) for t in ",."}
-        ids = [np.concatenate((x, tails[w[-1]])) if w != b else x for w, b, x in zip(new, bare, ids)]
-        self.counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-        self.flat.append(np.concatenate(ids))
+        number, letters, signs = self.pieces.__getitem__, [], []
+        for word in self.words.new:
+            word = word.decode("utf-8", "replace")
+            plain = _PLAIN.fullmatch(word)
+            letters.append(number(plain[1].lower() if plain else word))
+            signs.append(number(plain[2]) if plain else 1)
         self.words.new = []
+        self.letters, self.signs = np.concatenate((self.letters, np.array(letters, np.int64))), np.concatenate((self.signs, np.array(signs, np.int64)))
+        new, self.pieces.new = self.pieces.new, []
+        joined = [bool(p) and p[-1].isalpha() and _PLAIN.fullmatch(p) is not None for p in new]
+        # pieces are kept in their order: runs of letters are joined, signs and whole words are encoded alone
+        groups, at = [], 0
+        while at < len(new):
+            end = at + 1
+            while joined[at] and end < len(new) and joined[end] and end - at < _JOINED:
+                end += 1
+            groups.append((at, end))
+            at = end
+        ids, counts = [], []
+        for (start, end), found in zip(groups, self._encode_all([" ".join(new[a:b]) for a, b in groups])):
+            ends = np.flatnonzero(self.ending[np.minimum(found, len(self.ending) - 1)]) + 1 if end - start > 1 else [len(found)]
+            if len(ends) != end - start or ends[-1] != len(found):
+                parts = self._encode_all(new[start:end])
+                found, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+            ids.append(found)
+            counts.append(np.diff(ends, prepend=0))
+        if new:
+            counts = np.concatenate(counts)
+            ends = len(self.flat) + np.cumsum(counts)
+            self.first, self.count = np.concatenate((self.first, ends - counts)), np.concatenate((self.count, counts))
+            self.flat = np.concatenate((self.flat, *ids))
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with their end ids, ids per text)."""
@@ -121,16 +134,17 @@ class Encoder:
             sequence.extend(map(number, text.split()))
             sequence.append(0)
             sizes.append(len(sequence) - before)
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         self._learn()
-        flat, counts = np.concatenate(self.flat), np.concatenate(self.counts)
-        self.flat, self.counts = [flat], [counts]
-        first = np.cumsum(counts) - counts
         order = np.array(sequence, np.int64)
-        each = counts[order]
+        pieces = np.empty((len(order), 2), np.int64)
+        pieces[:, 0], pieces[:, 1] = self.letters[order], self.signs[order]
+        pieces = pieces.ravel()
+        each = self.count[pieces]
         ends = np.cumsum(each)
-        ids = flat[np.repeat(first[order] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.cumsum(sizes) - 1
-        return ids, np.diff(ends[last], prepend=0) if len(sizes) else np.zeros(0, np.int64)
+        ids = self.flat[np.repeat(self.first[pieces] - (ends - each), each) + np.arange(ends[-1])]
+        return ids, np.diff(ends[2 * np.cumsum(sizes) - 1], prepend=0)
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

@@ -51,7 +51,7 @@ def test_clamped_before_adding_and_zero_dropped(spark):
 
 
 def test_ratios(spark):
-    slots = spark.createDataFrame([(D, "rtd", 30.0, 70.0, 100.0), ("2026-06-16", "bbg_seed", None, None, 50.0)],
+    slots = spark.createDataFrame([(D, "live", 30.0, 70.0, 100.0), ("2026-06-16", "seed", None, None, 50.0)],
                                   "session_date string, source string, night double, day double, full double")
     t = {r.session_date: r for r in B.session_totals(slots).collect()}
     assert t[D].night_share == pytest.approx(0.30) and t[D].night_day_ratio == pytest.approx(30 / 70)
@@ -77,9 +77,9 @@ def test_seed_totals_and_priors(spark):
 def test_readings_win_over_bars_per_session(spark):
     r = readings_df(spark, three("CTZ6", 100, 700, 900))
     t = {str(x.session_date): (x.source, x.full, x.n_contracts) for x in P.futures_sessions(r, seed(spark)).totals.collect()}
-    assert t == {"2026-06-15": ("bbg_seed", 38000.0, 2), "2026-06-16": ("bbg_seed", 44000.0, 2), D: ("rtd", 800.0, 1)}
+    assert t == {"2026-06-15": ("seed", 38000.0, 2), "2026-06-16": ("seed", 44000.0, 2), D: ("live", 800.0, 1)}
     s = {str(x.session_date): x.source for x in P.futures_sessions(r, seed(spark), prefer_seed=True).totals.collect()}
-    assert s[D] == "bbg_seed"
+    assert s[D] == "seed"
 
 
 def test_full_compares_with_bars_and_night_with_history(spark):
@@ -185,13 +185,14 @@ def test_futures_job(spark, tmp_path):
     assert jobs.run_futures(*args, session="2026-05-25") == 0 and not out.exists()
     assert jobs.run_futures(*args, session=D, window="overnight") == 0 and not out.exists()
     assert jobs.run_futures(*args, backtest=2) == 0 and not out.exists()
+    assert jobs.run_futures(*args, session="2026-05-25", backtest=2, write=False) == 0
     assert jobs.run_futures(*args, seed=True) == 0
     for _ in range(2):
         assert jobs.run_futures(*args, session=D) == 0
     rows = sorted((str(r.date), r.full_total, r.source) for r in spark.read.parquet(f"{out}/history/futures_session_volume").collect())
-    assert rows == [("2026-06-15", 38000.0, "bbg_seed"), ("2026-06-16", 44000.0, "bbg_seed"), (D, 800.0, "rtd")]
+    assert rows == [("2026-06-15", 38000.0, "seed"), ("2026-06-16", 44000.0, "seed"), (D, 800.0, "live")]
     doc = spark.read.json(f"{out}/futures_session_volume").first()
-    assert (doc.date, doc.window, doc.summary.source, doc.ratios.night_share) == (D, "eod", "rtd", 0.75)
+    assert (doc.date, doc.window, doc.summary.source, doc.ratios.night_share) == (D, "eod", "live", 0.75)
     assert doc.summary.per_contract.CTDEC1.position == 1
     contracts = spark.read.parquet(f"{out}/history/futures_session_volume_by_contract").filter(F.col("date") == F.lit(D).cast("date"))
     # rows of the same key are replaced, other contracts of the date stay
@@ -205,7 +206,14 @@ def test_refresh_job(spark, tmp_path):
     hist = {str(r.date): r.full_total for r in spark.read.parquet(f"{tmp_path}/out/history/futures_session_volume").collect()}
     assert hist == {D: 57877.0}
     stored = spark.read.parquet(f"{tmp_path}/out/bars")
-    assert stored.count() == 7
+    assert stored.count() == 9 and set(BAR_COLUMNS[2:]) <= set(stored.columns)
+    # a blank re-pull replaces the row, and the seed skips it
+    blank = bars_csv(tmp_path / "blank.csv", [(D, "CTDEC1", None)])
+    assert jobs.run_refresh(spark, str(tmp_path / "in"), str(tmp_path / "out"), bars, blank, "2026-06-18") == 0
+    stored = {(str(r.session_date), r.generic): r.volume for r in spark.read.parquet(f"{tmp_path}/out/bars").collect()}
+    assert stored[D, "CTDEC1"] is None and len(stored) == 9
+    hist = {str(r.date): r.full_total for r in spark.read.parquet(f"{tmp_path}/out/history/futures_session_volume").collect()}
+    assert hist == {D: 17877.0}
 
 
 def test_bars_csv_last_row_wins(spark, tmp_path):

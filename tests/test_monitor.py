@@ -47,6 +47,11 @@ def test_check_job(spark, tmp_path):
     d = "2026-06-17"
     assert jobs.run_check(spark, str(tmp_path), "2026-06-20") == 0
     assert jobs.run_check(spark, str(tmp_path), d, now="2026-06-18 00:00:00") == 2
+    write_sidecar(tmp_path, d, [])
+    assert jobs.run_check(spark, str(tmp_path), d, now="2026-06-18 00:00:00") == 2
+    files = spark.createDataFrame([(d,)], "d string").selectExpr("cast(d as date) session_date")
+    assert check(spark, readings_df(spark, [("2026-06-16", "CTZ6", "open", 1)]), "2026-06-18 00:00:00", files=files)[d] \
+        == ("boundary missing", 2, "open,0700,1420")
     write_sidecar(tmp_path, d, boundary_rows(d, "CTZ6", 1, 2))
     assert jobs.run_check(spark, str(tmp_path), d, now="2026-06-17 14:00:00") == 0
     assert jobs.run_check(spark, str(tmp_path), d, now="2026-06-17 14:00:00", eod=True) == 2

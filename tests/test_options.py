@@ -3,7 +3,6 @@ from builders import tape_df, tape_row, write_tape
 from pyspark.sql import functions as F
 
 from tidemark import jobs
-from tidemark.operators import sizing
 from tidemark.operators import tape as T
 from tidemark.plans import options as P
 from tidemark.sources.market import read_tape, session_files
@@ -102,9 +101,8 @@ def test_many_sessions_in_one_plan_equal_one_by_one(spark):
     assert whole == sorted(single) and whole
 
 
-def test_same_result_without_a_broadcast(spark, monkeypatch):
+def test_same_result_without_a_broadcast(spark):
     want = sorted(map(tuple, T.window_slots(many(spark)).collect()))
-    monkeypatch.setattr(T, "broadcast_if_small", lambda side, keys: sizing.broadcast_if_small(side, keys, max_rows=0))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         df = T.window_slots(many(spark))

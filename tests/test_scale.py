@@ -18,12 +18,6 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_count_decides_on_the_broadcast(spark):
-    side = spark.range(10)
-    assert "BROADCAST" in sizing.broadcast_if_small(side, side, 10)._jdf.queryExecution().logical().toString().upper()
-    assert "BROADCAST" not in sizing.broadcast_if_small(side, side, 9)._jdf.queryExecution().logical().toString().upper()
-
-
 def test_a_cluster_session_needs_a_shared_folder(monkeypatch):
     class Conf:
         values = {"spark.master": "spark://somewhere:7077"}
@@ -98,8 +92,12 @@ def test_latest_per_key(spark):
 
 
 @pytest.mark.parametrize("given,want", [(None, 52), ("x", 52), (-3, 52), (0, 52), ("104", 104), (9999, 700)])
-def test_weeks(given, want):
-    assert slices.weeks_or_default(given) == want
+def test_weeks_with_limits_of_the_caller(given, want):
+    assert slices.weeks_or_default(given, default=52, most=700) == want
+
+
+def test_weeks_are_not_limited_otherwise():
+    assert slices.weeks_or_default("x") is None and slices.weeks_or_default(9999) == 9999
 
 
 def test_invalid_filters_are_refused(spark):

@@ -101,11 +101,11 @@ def test_history_reader(spark, tmp_path):
 
 def test_flatten_history(spark):
     nested = spark.createDataFrame(
-        [("CTDEC1 Comdty", [("2026-06-16", 34000.0, None), (None, 1.0, 1.0), ("2026-06-17", None, 5.0)])],
-        "security string, fieldData array<struct<date:string,PX_VOLUME:double,OPEN_INT:double>>")
+        [("CTDEC1 future", [("2026-06-16", 34000.0, None), (None, 1.0, 1.0), ("2026-06-17", None, 5.0)])],
+        "security string, fieldData array<struct<date:string,DAY_VOLUME:double,OI:double>>")
     got = [(str(r.session_date), r.generic, r.ticker, r.volume, r.open_int, r.px_last)
-           for r in flatten_history(nested).orderBy("session_date").collect()]
-    assert got == [("2026-06-16", "CTDEC1", "CTDEC1 Comdty", 34000.0, None, None), ("2026-06-17", "CTDEC1", "CTDEC1 Comdty", None, 5.0, None)]
+           for r in flatten_history(nested, {"volume": "DAY_VOLUME", "open_int": "OI"}, " future").orderBy("session_date").collect()]
+    assert got == [("2026-06-16", "CTDEC1", "CTDEC1 future", 34000.0, None, None), ("2026-06-17", "CTDEC1", "CTDEC1 future", None, 5.0, None)]
 
 
 def test_report_sink_keeps_line_order(spark, tmp_path):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import boundary as B
+from tidemark.settings import Market
 from tidemark.streaming import capture as L
 
 SCHEMA = "session_date date, snap_ts timestamp_ntz, contract string, volume double, oi double"
@@ -62,3 +63,13 @@ def test_alerts_only_for_unread_boundaries(spark, tmp_path):
     got = sorted((str(r.session_date), r.boundary) for r in L.run_available(L.completeness_alerts(stream), mode="append").collect())
     # 14:20 was read at 14:40 only; the next open at 21:10 only; October does not count
     assert got == [(S1, "1420"), (S2, "0700"), (S2, "1420"), (S2, "open")]
+
+
+def test_alerts_with_a_grace_that_does_not_divide_the_hour(spark, tmp_path):
+    """21:02, 07:04 and 14:26 are read within seven minutes; 14:27 would not be."""
+    files = [[(S1, "2026-06-16 21:02:00", "CTZ6", 5.0)], [(S1, "2026-06-17 07:04:59", "CTZ6", 60.0)],
+             [(S1, "2026-06-17 14:26:59", "CTZ6", 90.0)], [(S2, "2026-06-17 21:07:00", "CTZ6", 1.0)], [(S2, "2026-06-18 06:00:00", "CTZ6", 4.0)]]
+    _, stream = polls(spark, tmp_path, files)
+    alerts = L.completeness_alerts(stream, Market(grace_minutes=7))
+    got = sorted((str(r.session_date), r.boundary) for r in L.run_available(alerts, mode="append").collect())
+    assert got == [(S2, "open")]

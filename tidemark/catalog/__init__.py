@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bars", "options", "boundaries", "live", "gateway", "files")
+MODULES = ("bars", "options", "boundaries", "live", "gateway", "files", "records")
 
 
 def load():

@@ -84,6 +84,35 @@ def seed_previous_session(spark, sf):
     return rounded(out.drop("commodity"), "change_pct")
 
 
+def board_totals(spark, sf):
+    """Session volume of four commodities."""
+    com = pick(F.col("l_suppkey") % 4, "CT", "KC", "CC", "SB")
+    return table(spark, sf, "lineitem").groupBy(com.alias("commodity"), F.col("l_shipdate").cast("date").alias("session_date")) \
+        .agg(F.sum("l_quantity").cast("double").alias("full_volume"))
+
+
+_BOARD_SQL = """
+board_total AS (SELECT CASE l_suppkey % 4 WHEN 0 THEN 'CT' WHEN 1 THEN 'KC' WHEN 2 THEN 'CC' ELSE 'SB' END AS commodity,
+    CAST(l_shipdate AS DATE) AS session_date, CAST(SUM(l_quantity) AS DOUBLE) AS full_volume FROM lineitem GROUP BY 1, 2)"""
+
+
+@query("commodity_session_rvol", f"""WITH {_BOARD_SQL}, {tiers_sql('board_total', 'commodity', 'session_date', 'full_volume')}
+SELECT commodity, session_date, full_volume, {TIER_COLUMNS_SQL} FROM tiers""")
+def commodity_session_rvol(spark, sf):
+    """Every session of every commodity against its own trailing sessions: one window partition each."""
+    return _tiers(R.trailing(board_totals(spark, sf), ["commodity"], "session_date", "full_volume"),
+                  "commodity", "session_date", "full_volume")
+
+
+@query("commodity_previous_session", f"""WITH {_BOARD_SQL}, p AS (
+  SELECT *, LAG(full_volume) OVER (PARTITION BY commodity ORDER BY session_date) AS prev FROM board_total)
+SELECT commodity, session_date, full_volume, prev, ROUND((full_volume / NULLIF(prev, 0) - 1) * 100, 6) AS change_pct,
+  CASE WHEN prev IS NULL THEN NULL WHEN COALESCE(full_volume / NULLIF(prev, 0) - 1, 0) >= 0 THEN 'UP' ELSE 'DOWN' END
+    AS direction FROM p""")
+def commodity_previous_session(spark, sf):
+    return rounded(R.previous_session(board_totals(spark, sf), ["commodity"], "session_date", "full_volume"), "change_pct")
+
+
 @query("seed_prior_values", f"""WITH {BARS_SQL}, w AS (
   SELECT generic, session_date, LAG(volume, 1) OVER o AS p1, LAG(volume, 2) OVER o AS p2, LAG(volume, 3) OVER o AS p3
   FROM seed WINDOW o AS (PARTITION BY generic ORDER BY session_date))
@@ -155,7 +184,7 @@ _INGEST = f"""WITH {BARS_SQL}"""
 
 @query("seed_ingest_sessions", f"""{_INGEST} SELECT session_date AS date, 'CT' AS commodity, CAST(NULL AS DOUBLE) AS night_total,
   CAST(NULL AS DOUBLE) AS day_total, full_volume AS full_total, CAST(NULL AS DOUBLE) AS night_share,
-  CAST(NULL AS DOUBLE) AS night_day_ratio, 'bbg_seed' AS source, '' AS split_source FROM seed_total""")
+  CAST(NULL AS DOUBLE) AS night_day_ratio, 'seed' AS source, '' AS split_source FROM seed_total""")
 def seed_ingest_sessions(spark, sf):
     return P.seed_ingest(seed(spark, sf))[0].drop("generated_at")
 
@@ -179,15 +208,15 @@ def seed_nonzero_days(spark, sf):
     return C.nonzero_days(bars(spark, sf))
 
 
-@query("bars_from_nested_response", f"""WITH {BARS_SQL} SELECT session_date, generic, generic || ' Comdty' AS ticker, volume,
+@query("bars_from_nested_response", f"""WITH {BARS_SQL} SELECT session_date, generic, generic || ' future' AS ticker, volume,
   open_int, px_last, CAST(NULL AS DOUBLE) AS efp_volume FROM bars""")
 def bars_from_nested_response(spark, sf):
     """Bars nested per security and year (at most 366 entries each), then flattened."""
-    rec = F.struct(F.col("session_date").alias("date"), F.col("volume").alias("PX_VOLUME"),
-                   F.col("open_int").alias("OPEN_INT"), F.col("px_last").alias("PX_LAST"))
-    nested = bars(spark, sf).groupBy(F.concat("generic", F.lit(" Comdty")).alias("security"),
+    rec = F.struct(F.col("session_date").alias("date"), F.col("volume").alias("day_volume"),
+                   F.col("open_int"), F.col("px_last"))
+    nested = bars(spark, sf).groupBy(F.concat("generic", F.lit(" future")).alias("security"),
                                      F.year("session_date").alias("y")).agg(F.collect_list(rec).alias("fieldData"))
-    return flatten_history(nested).select("session_date", "generic", "ticker", "volume", "open_int", "px_last",
+    return flatten_history(nested, {"volume": "day_volume"}, " future").select("session_date", "generic", "ticker", "volume", "open_int", "px_last",
                                           "efp_volume")
 
 

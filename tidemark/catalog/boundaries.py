@@ -22,8 +22,8 @@ def run(spark, sf, **kw):
 
 _BOTH = f"""{BARS_SQL}, {SIDECAR_SQL},
 fslots AS (
-  SELECT session_date, generic_code, night, day, full_volume, 'rtd' AS source FROM live
-  UNION ALL SELECT session_date, generic, NULL, NULL, volume, 'bbg_seed' FROM seed
+  SELECT session_date, generic_code, night, day, full_volume, 'live' AS source FROM live
+  UNION ALL SELECT session_date, generic, NULL, NULL, volume, 'seed' FROM seed
   WHERE session_date NOT IN (SELECT session_date FROM live)),
 ftotals AS (
   SELECT session_date, source, SUM(night) AS night, SUM(day) AS day, SUM(full_volume) AS full_volume,
@@ -96,14 +96,12 @@ def futures_rvol(spark, sf):
 
 
 @query("futures_backtest", f"""{_FRVOL}, last5 AS (SELECT session_date FROM seed_total ORDER BY session_date DESC LIMIT 5)
-SELECT session_date, value AS full_volume, tier, ROUND(avg_volume, 6) AS avg, ROUND(rvol, 6) AS rvol FROM done
-WHERE metric = 'full' AND session_date IN (SELECT session_date FROM last5)""")
+SELECT metric, session_date, value AS volume, tier, ROUND(avg_volume, 6) AS avg, ROUND(rvol, 6) AS rvol FROM done
+WHERE session_date IN (SELECT session_date FROM last5)""")
 def futures_backtest(spark, sf):
     """Dry run over the last five bar sessions."""
     out = P.backtest(sidecar(spark, sf), seed(spark, sf), 5, generated_at=AT).rvol
-    out = out.filter(F.col("metric") == "full").select(
-        "session_date", F.col("value").alias("full_volume"), "tier", "avg", "rvol")
-    return rounded(out, "avg", "rvol")
+    return rounded(out.select("metric", "session_date", F.col("value").alias("volume"), "tier", "avg", "rvol"), "avg", "rvol")
 
 
 @query("futures_contract_rank", f"""WITH {_BOTH} SELECT session_date, generic_code, night, day, full_volume AS "full", source,
@@ -115,8 +113,8 @@ def futures_contract_rank(spark, sf):
 @query("settled_bars_preferred", f"""WITH {BARS_SQL}, {SIDECAR_SQL}, s2 AS (
   SELECT session_date + INTERVAL '8766' DAY AS d, generic, volume FROM seed),
 pick AS (SELECT CAST(d AS DATE) AS session_date, generic AS generic_code, CAST(NULL AS DOUBLE) AS night, CAST(NULL AS DOUBLE) AS day,
-    volume AS full_volume, 'bbg_seed' AS source FROM s2
-  UNION ALL SELECT session_date, generic_code, night, day, full_volume, 'rtd' FROM live
+    volume AS full_volume, 'seed' AS source FROM s2
+  UNION ALL SELECT session_date, generic_code, night, day, full_volume, 'live' FROM live
   WHERE session_date NOT IN (SELECT CAST(d AS DATE) FROM s2))
 SELECT session_date, source, SUM(night) AS night, SUM(day) AS day, SUM(full_volume) AS "full", COUNT(*) AS n_contracts
 FROM pick GROUP BY 1, 2""")
@@ -245,10 +243,10 @@ def _three(c):
   FROM fslots f JOIN named n ON n.generic = f.generic_code WHERE full_volume > 0),
 lines AS (
   SELECT session_date, 0 AS section, 0 AS ord, 'FUTURES SESSION VOLUME -- CT -- ' || CAST(session_date AS VARCHAR) ||
-    ' -- EOD (RTD sidecar -- same-day final after 14:20 close)' AS line FROM ftotals
+    ' -- EOD (sidecar -- same-day final after 14:20 close)' AS line FROM ftotals
   UNION ALL SELECT session_date, 0, 1, repeat('=', 64) FROM ftotals
-  UNION ALL SELECT session_date, 0, 2, '  Source: ' || CASE source WHEN 'rtd' THEN 'RTD sidecar (live boundary readings)'
-    ELSE 'Bloomberg seed (historical full only)' END FROM ftotals
+  UNION ALL SELECT session_date, 0, 2, '  Source: ' || CASE source WHEN 'live' THEN 'Sidecar (live boundary readings)'
+    ELSE 'Seed bars (historical full only)' END FROM ftotals
   UNION ALL SELECT session_date, {_SEC}, 0, '' FROM cur
   UNION ALL SELECT session_date, {_SEC}, 1, CASE metric WHEN 'night' THEN 'NIGHT (open 21:00 -> 07:00 ET)'
     WHEN 'day' THEN 'DAY (07:00 -> 14:20 ET)' ELSE 'FULL (open 21:00 -> 14:20 ET)' END FROM cur
@@ -284,13 +282,12 @@ def futures_report(spark, sf):
 @query("refreshed_previous_session", f"""WITH {BARS_SQL}, d AS (SELECT MAX(session_date) AS last_date FROM seed),
 merged AS (SELECT session_date, generic, CASE WHEN session_date > (SELECT last_date FROM d) - INTERVAL '15' DAY
   THEN volume + 1 ELSE volume END AS volume FROM seed)
-SELECT session_date, 'bbg_seed' AS source, CAST(NULL AS DOUBLE) AS night, CAST(NULL AS DOUBLE) AS day, SUM(volume) AS "full",
+SELECT session_date, 'seed' AS source, CAST(NULL AS DOUBLE) AS night, CAST(NULL AS DOUBLE) AS day, SUM(volume) AS "full",
   COUNT(*) AS n_contracts FROM merged WHERE session_date = (SELECT last_date FROM d) GROUP BY 1""")
 def refreshed_previous_session(spark, sf):
     """Trailing refresh run on the day after the last bar date: that session is recomputed."""
     daily = seed(spark, sf)
-    last = daily.agg(F.max("session_date").alias("d")).first().d
-    as_of = F.date_add(F.lit(last), 1)
+    as_of = F.date_add(daily.select(F.max("session_date")).scalar(), 1)
     pulled = daily.withColumn("volume", F.col("volume") + 1)
     merged, out = P.refresh(sidecar(spark, sf), daily, pulled, as_of, 15, generated_at=AT)
     return out.totals.drop("night_share", "night_day_ratio")

@@ -90,14 +90,14 @@ def cotton_bales(spark, sf):
     return table(spark, sf, "lineitem").select(
         pick(F.col("l_suppkey") % 4, "DFW", "GAL", "HOU", "MEM").alias("point"),
         F.col("l_returnflag").alias("color"), F.col("l_linenumber").alias("leaf"), q.alias("bales"),
-        (33 + F.col("l_partkey") % 7).alias("staple"), (25 + F.col("l_partkey") % 8).alias("strength"),
+        (33 + F.col("l_partkey") % 7).alias("staple"), (20 + F.col("l_partkey") % 12).alias("strength"),
         F.year("l_shipdate").alias("crop_year"), F.col("l_suppkey").alias("warehouse"))
 
 
 BALES_SQL = """
 lots AS (SELECT CASE l_suppkey % 4 WHEN 0 THEN 'DFW' WHEN 1 THEN 'GAL' WHEN 2 THEN 'HOU' ELSE 'MEM' END AS point,
     l_returnflag AS color, l_linenumber AS leaf, CAST(l_quantity AS BIGINT) AS bales, 33 + l_partkey % 7 AS staple,
-    25 + l_partkey % 8 AS strength, year(l_shipdate) AS crop_year, l_suppkey AS warehouse FROM lineitem)"""
+    20 + l_partkey % 12 AS strength, year(l_shipdate) AS crop_year, l_suppkey AS warehouse FROM lineitem)"""
 
 
 # ---------------------------------------------------------------- open interest and spreads
@@ -112,11 +112,11 @@ def open_interest_latest(spark, sf):
 @query("open_interest_daily", f"""WITH {FUTURES_SQL}, {OPTIONS_SQL}
 SELECT 'futures' AS dataset, date, commodity, contract AS name, open_int FROM futures WHERE date = (SELECT MAX(date) FROM futures)
 UNION ALL SELECT 'options', date, commodity, contract_month || ' ' || put_call || ' ' || CAST(CAST(strike_px * 10 AS INTEGER) AS VARCHAR),
-  open_int FROM options WHERE date = (SELECT MAX(date) FROM options WHERE put_call = 'C') AND put_call = 'C'""")
+  open_int FROM options WHERE date = (SELECT MAX(date) FROM options)""")
 def open_interest_daily(spark, sf):
     """Two datasets, each at its own latest date."""
     fut = L.latest(futures(spark, sf), "date")
-    opt = L.latest(options(spark, sf).filter(F.col("put_call") == "C"), "date")
+    opt = L.latest(options(spark, sf), "date")
     strike = (F.col("strike_px") * 10).cast("int").cast("string")
     name = F.concat_ws(" ", "contract_month", "put_call", strike)
     return fut.select(F.lit("futures").alias("dataset"), "date", "commodity", F.col("contract").alias("name"),
@@ -208,19 +208,19 @@ def stock_by_location(spark, sf):
     return K.by_location(stocks(spark, sf))
 
 
-@query("stock_series", f"""WITH {STOCKS_SQL} SELECT date, {", ".join(f"SUM(bales) FILTER (location = '{p}') AS {p}" for p in POINTS)},
-  SUM(bales) AS total FROM stocks GROUP BY 1""")
+@query("stock_series", f"""WITH {STOCKS_SQL} SELECT date, {", ".join(f"SUM(bales) FILTER (location = '{p}') AS {p}" for p in POINTS[:4])},
+  SUM(bales) FILTER (location = 'MEM') AS other, SUM(bales) AS total FROM stocks GROUP BY 1""")
 def stock_series(spark, sf):
-    """Full daily history with one column per location."""
-    wide = K.rows_to_years(stocks(spark, sf), ["date"], POINTS, "location", "bales")
-    return wide.withColumn("total", sum(F.coalesce(F.col(p), F.lit(0)) for p in POINTS))
+    """Full daily history with one column per named location, the others and the total."""
+    wide = K.rows_to_years(stocks(spark, sf), ["date"], POINTS[:4], "location", "bales")
+    return wide.withColumn("total", sum(F.coalesce(F.col(p), F.lit(0)) for p in (*POINTS[:4], "other")))
 
 
-@query("stock_rolling_range", f"""WITH {STOCKS_SQL} SELECT date, total,
-  MAX(total) OVER w AS hi, MIN(total) OVER w AS lo FROM stock_days
-  WINDOW w AS (ORDER BY date RANGE BETWEEN INTERVAL '364' DAY PRECEDING AND CURRENT ROW)""")
+@query("stock_rolling_range", f"""WITH {STOCKS_SQL} SELECT location, date, bales AS total,
+  MAX(bales) OVER w AS hi, MIN(bales) OVER w AS lo FROM stocks
+  WINDOW w AS (PARTITION BY location ORDER BY date RANGE BETWEEN INTERVAL '364' DAY PRECEDING AND CURRENT ROW)""")
 def stock_rolling_range(spark, sf):
-    return K.rolling_range(K.daily_totals(stocks(spark, sf)))
+    return K.rolling_range(stocks(spark, sf).withColumnRenamed("bales", "total"), ["location"])
 
 
 _BUCKETS = "SUM(CASE WHEN staple = 33 THEN bales ELSE 0 END) AS s33, SUM(CASE WHEN staple = 34 THEN bales ELSE 0 END) AS s34, " \
@@ -251,30 +251,36 @@ _GPT = ", ".join(f"COALESCE(SUM(bales) FILTER (strength = {n}), 0) AS gpt_{n}" f
 
 
 @query("strength_distribution", f"""WITH {BALES_SQL} SELECT COALESCE(point, 'national') AS point, {_GPT},
-  COALESCE(SUM(bales) FILTER (strength >= 30), 0) AS gpt_30plus, SUM(bales) AS total FROM lots GROUP BY ROLLUP (point)""")
+  COALESCE(SUM(bales) FILTER (strength >= 30), 0) AS gpt_30plus, COALESCE(SUM(bales) FILTER (strength < 25), 0) AS other,
+  SUM(bales) AS total FROM lots GROUP BY ROLLUP (point)""")
 def strength_distribution(spark, sf):
     bucket = F.when(F.col("strength") >= 30, "gpt_30plus").otherwise(F.concat(F.lit("gpt_"), F.col("strength").cast("string")))
     return K.distribution(cotton_bales(spark, sf).withColumn("bucket", bucket), "point", "bucket", "bales",
                           ("gpt_25", "gpt_26", "gpt_27", "gpt_28", "gpt_29", "gpt_30plus"))
 
 
-_YEARS = tuple(range(1992, 2002))
+_YEARS = tuple(range(1996, 2000))  # the derived rows start earlier and end later
 
 
 @query("crop_year_distribution", f"""WITH {BALES_SQL} SELECT COALESCE(point, 'national') AS point,
   {", ".join(f'COALESCE(SUM(bales) FILTER (crop_year = {y}), 0) AS "{y}"' for y in _YEARS)},
-  COALESCE(SUM(bales) FILTER (crop_year BETWEEN {_YEARS[0]} AND {_YEARS[-1]}), 0) AS total FROM lots GROUP BY ROLLUP (point)""")
+  COALESCE(SUM(bales) FILTER (crop_year NOT BETWEEN {_YEARS[0]} AND {_YEARS[-1]}), 0) AS other, SUM(bales) AS total FROM lots GROUP BY ROLLUP (point)""")
 def crop_year_distribution(spark, sf):
     return K.distribution(cotton_bales(spark, sf), "point", "crop_year", "bales", _YEARS)
 
 
-@query("ageing_distribution", f"""WITH {BALES_SQL}, aged AS (SELECT *, 'm' || (staple - 33) AS months FROM lots)
+@query("ageing_distribution", f"""WITH {BALES_SQL}, aged AS (SELECT bales, 'm' || (staple - 33) AS months,
+    CASE WHEN leaf = 7 THEN 'NEW' ELSE point END AS point FROM lots)
 SELECT COALESCE(months, 'national') AS months, COALESCE(SUM(bales) FILTER (point = 'DFW'), 0) AS "DFW", COALESCE(SUM(bales) FILTER (point = 'GAL'), 0) AS "GAL",
   COALESCE(SUM(bales) FILTER (point = 'GSP'), 0) AS "GSP", COALESCE(SUM(bales) FILTER (point = 'HOU'), 0) AS "HOU",
-  COALESCE(SUM(bales) FILTER (point = 'MEM'), 0) AS "MEM", SUM(bales) AS total FROM aged GROUP BY ROLLUP (months)""")
+  COALESCE(SUM(bales) FILTER (point = 'MEM'), 0) AS "MEM", COALESCE(SUM(bales) FILTER (point = 'NEW'), 0) AS other,
+  SUM(bales) AS total FROM aged GROUP BY ROLLUP (months)""")
 def ageing_distribution(spark, sf):
+    """Age by delivery point; a point without a column counts under other."""
     months = F.concat(F.lit("m"), (F.col("staple") - 33).cast("string"))
-    return K.distribution(cotton_bales(spark, sf).withColumn("months", months), "months", "point", "bales", POINTS)
+    point = F.when(F.col("leaf") == 7, "NEW").otherwise(F.col("point"))
+    lots = cotton_bales(spark, sf).withColumn("months", months).withColumn("point", point)
+    return K.distribution(lots, "months", "point", "bales", POINTS)
 
 
 @query("warehouse_top_list", f"""WITH {BALES_SQL} SELECT warehouse, SUM(bales) AS bales FROM lots GROUP BY 1""")
@@ -330,32 +336,48 @@ def positioning_latest(spark, sf):
 
 @query("positioning_last_weeks", f"""WITH {_REPORTS} SELECT report_date, long - short AS mm_net, spread AS mm_spread FROM reports
   WHERE participant = 'mm' ORDER BY report_date DESC LIMIT 52""")
-def positioning_last_weeks(spark, sf):
-    """Last weeks, newest first; an invalid week count means 52."""
+def positioning_last_weeks(spark, sf, weeks="many", default=52):
+    """Last weeks, newest first; here an invalid week count means 52."""
     mm = reports(spark, sf).filter(F.col("participant") == "mm")
-    return L.newest(mm, "report_date", L.weeks_or_default("many")).select(
+    return L.newest(mm, "report_date", L.weeks_or_default(weeks, default)).select(
         "report_date", (F.col("long") - F.col("short")).alias("mm_net"), F.col("spread").alias("mm_spread"))
 
 
+@query("positioning_all_weeks", f"""WITH {_REPORTS} SELECT report_date, long - short AS mm_net, spread AS mm_spread FROM reports
+  WHERE participant = 'mm'""")
+def positioning_all_weeks(spark, sf):
+    """Without a number, every week."""
+    return positioning_last_weeks(spark, sf, None, None)
+
+
 @query("signals_newest", f"WITH {DAILY_SQL} SELECT date, close, n FROM daily ORDER BY date DESC LIMIT 30")
 def signals_newest(spark, sf):
     return L.by_date_or_newest(daily(spark, sf), "date", rows=30)
 
 
+@query("signals_all", f"WITH {DAILY_SQL} SELECT date, close, n FROM daily")
+def signals_all(spark, sf):
+    """Neither a date nor a number of rows: the whole series."""
+    return L.by_date_or_newest(daily(spark, sf), "date")
+
+
 @query("signals_on_date", f"WITH {DAILY_SQL} SELECT date, close, n FROM daily WHERE date = DATE '1996-03-14'")
 def signals_on_date(spark, sf):
     """An exact date wins over the number of rows."""
     return L.by_date_or_newest(daily(spark, sf), "date", exact="1996-03-14", rows=30)
 
 
-@query("volatility_signals", f"""WITH {DAILY_SQL}, r AS (SELECT *, ln(close / NULLIF(LAG(close) OVER (ORDER BY date), 0)) AS lr FROM daily)
-SELECT date, close, n, ROUND(stddev(lr) OVER (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) * sqrt(252) * 100, 6) AS hv30,
-  ROUND(stddev(lr) OVER (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) * sqrt(252) * 100, 6) AS hv60,
+@query("volatility_signals", f"""WITH {FUTURES_SQL}, d AS (SELECT commodity, date, MAX(settle) AS close FROM futures GROUP BY 1, 2),
+r AS (SELECT *, ln(close / NULLIF(LAG(close) OVER (PARTITION BY commodity ORDER BY date), 0)) AS lr FROM d)
+SELECT commodity, date, close,
+  ROUND(stddev(lr) OVER (PARTITION BY commodity ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) * sqrt(252) * 100, 6) AS hv30,
+  ROUND(stddev(lr) OVER (PARTITION BY commodity ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) * sqrt(252) * 100, 6) AS hv60,
   ROUND((close - AVG(close) OVER y) / NULLIF(stddev(close) OVER y, 0), 6) AS zscore_1yr
-FROM r WINDOW y AS (ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)""")
+FROM r WINDOW y AS (PARTITION BY commodity ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)""")
 def volatility_signals(spark, sf):
-    one = daily(spark, sf).withColumn("series", F.lit("ct1"))
-    return rounded(S.vol_signals(one, "close", ["series"], "date").drop("series"), "hv30", "hv60", "zscore_1yr")
+    """Volatility and position of every commodity's daily close."""
+    close = futures(spark, sf).groupBy("commodity", "date").agg(F.max("settle").alias("close"))
+    return rounded(S.vol_signals(close, "close", ["commodity"], "date"), "hv30", "hv60", "zscore_1yr")
 
 
 @query("series_extremes", f"""WITH {_REPORTS}, n AS (SELECT participant, report_date, long AS value FROM reports),
@@ -381,25 +403,43 @@ def on_call_latest(spark, sf):
 
 # ---------------------------------------------------------------- basis, weather, exports
 
-@query("basis_records", """SELECT CAST(l_shipdate AS DATE) AS report_date, n_name AS region, l_returnflag AS color,
-  l_linenumber AS leaf, l_partkey % 1000 - 500 AS basis_points, l_orderkey AS record
-FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
-WHERE l_returnflag = 'N' AND CAST(l_shipdate AS DATE) >= DATE '1996-01-01'
-ORDER BY report_date DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 5000""")
-def basis_records(spark, sf):
-    """Filtered basis records, newest first, up to the documented 5,000."""
-    nation = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("region"))
-    supplier = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
-    rows = table(spark, sf, "lineitem").select(
-        F.col("l_shipdate").cast("date").alias("report_date"), F.col("l_suppkey").alias("s_suppkey"),
-        F.col("l_returnflag").alias("color"), F.col("l_linenumber").alias("leaf"), "l_partkey",
+_BASIS = """
+basis AS (SELECT CAST(l_shipdate AS DATE) AS report_date, n_name AS region, l_returnflag AS color, l_linenumber AS leaf,
+    33 + l_partkey % 7 AS staple, l_linestatus AS cotton_type, l_partkey % 1000 - 500 AS basis_points, l_orderkey AS record
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)"""
+
+
+def basis(spark, sf, start=None, end=None, rows=None, **equals):
+    """Basis records with their region, filtered, newest first up to ``rows`` where that is asked for."""
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("region"))
+    supplier = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    lines = table(spark, sf, "lineitem").select(
+        "l_suppkey", F.col("l_shipdate").cast("date").alias("report_date"), F.col("l_returnflag").alias("color"),
+        F.col("l_linenumber").alias("leaf"), (33 + F.col("l_partkey") % 7).alias("staple"),
+        F.col("l_linestatus").alias("cotton_type"), (F.col("l_partkey") % 1000 - 500).alias("basis_points"),
         F.col("l_orderkey").alias("record"))
-    kept = L.where(rows, "report_date", "1996-01-01", color="N")
-    # the region is a lookup by key, so it is fetched for the 5,000 rows only
-    top = L.newest(kept, "report_date", 5000, "record", "leaf", "l_partkey", "s_suppkey")
-    named = top.join(supplier, "s_suppkey").join(nation, "n_nationkey")
-    return named.select("report_date", "region", "color", "leaf", (F.col("l_partkey") % 1000 - 500).alias("basis_points"),
-                      "record")
+    named = lines.join(supplier, "l_suppkey").join(nation, "s_nationkey").drop("l_suppkey", "s_nationkey")
+    return L.newest(L.where(named, "report_date", start, end, **equals), "report_date", rows, "record", "leaf", "basis_points")
+
+
+@query("basis_records", f"WITH {_BASIS} SELECT * FROM basis WHERE color = 'N' AND report_date >= DATE '1996-01-01'")
+def basis_records(spark, sf):
+    """Records from a date on, all of them."""
+    return basis(spark, sf, "1996-01-01", color="N")
+
+
+@query("basis_records_filtered", f"""WITH {_BASIS} SELECT * FROM basis WHERE report_date BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'
+  AND region = 'GERMANY' AND staple = 35 AND cotton_type = 'O'""")
+def basis_records_filtered(spark, sf):
+    """Date range, region, staple and cotton type together."""
+    return basis(spark, sf, "1996-01-01", "1997-06-30", region="GERMANY", staple=35, cotton_type="O")
+
+
+@query("basis_records_newest", f"""WITH {_BASIS} SELECT * FROM basis WHERE region = 'FRANCE'
+  ORDER BY report_date DESC, record, leaf, basis_points LIMIT 500""")
+def basis_records_newest(spark, sf):
+    """The newest 500 of a region: the limit comes after every filter."""
+    return basis(spark, sf, rows=500, region="FRANCE")
 
 
 def weather(spark, sf):
@@ -455,13 +495,14 @@ def two_source_running_totals(spark, sf):
     return S.two_source_totals(months, "month", "cb", "esr")
 
 
-@query("thirteen_week_average", f"""WITH {_REPORTS}, w AS (SELECT report_date, SUM(long) AS shipments FROM reports GROUP BY 1),
-s AS (SELECT *, AVG(shipments) OVER (ORDER BY report_date ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS sma FROM w)
-SELECT report_date, shipments, ROUND(sma, 6) AS sma_shipments, ROUND(LAG(sma, 13) OVER (ORDER BY report_date), 6) AS lagged_sma_shipments FROM s""")
+@query("thirteen_week_average", f"""WITH {_REPORTS}, w AS (SELECT participant AS destination, report_date, long AS shipments FROM reports),
+s AS (SELECT *, AVG(shipments) OVER (PARTITION BY destination ORDER BY report_date ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS sma FROM w)
+SELECT destination, report_date, shipments, ROUND(sma, 6) AS sma_shipments,
+  ROUND(LAG(sma, 13) OVER (PARTITION BY destination ORDER BY report_date), 6) AS lagged_sma_shipments FROM s""")
 def thirteen_week_average(spark, sf):
-    weeks = reports(spark, sf).groupBy("report_date").agg(F.sum("long").alias("shipments")).withColumn("series", F.lit("us"))
-    out = S.moving_average(weeks, "shipments", ["series"], "report_date")
-    return rounded(out.drop("series"), "sma_shipments", "lagged_sma_shipments")
+    """Moving average of every destination's weekly shipments."""
+    weeks = reports(spark, sf).select(F.col("participant").alias("destination"), "report_date", F.col("long").alias("shipments"))
+    return rounded(S.moving_average(weeks, "shipments", ["destination"], "report_date"), "sma_shipments", "lagged_sma_shipments")
 
 
 @query("crop_progress", """WITH p AS (SELECT n_name AS state, year(o_orderdate) AS yr, week(o_orderdate) AS wk, CAST(COUNT(*) AS DOUBLE) AS pct
@@ -516,11 +557,12 @@ def balance_sheet_identities(spark, sf):
 
 @query("balance_sheet_years_to_rows", f"""WITH {_SHEETS} SELECT s.region, s.attribute, CAST(y.yr AS VARCHAR) AS year, v.value
   FROM (SELECT DISTINCT region, attribute FROM sheets) s CROSS JOIN (VALUES {", ".join(f"({y})" for y in _YEARS)}) y(yr)
-  LEFT JOIN sheets v ON v.region = s.region AND v.attribute = s.attribute AND v.yr = y.yr""")
+  LEFT JOIN sheets v ON v.region = s.region AND v.attribute = s.attribute AND v.yr = y.yr
+UNION ALL SELECT region, attribute, 'other', SUM(value) FILTER (yr NOT BETWEEN {_YEARS[0]} AND {_YEARS[-1]}) FROM sheets GROUP BY 1, 2""")
 def balance_sheet_years_to_rows(spark, sf):
     """Years as columns and back to rows; a year without a value stays as a null row."""
     wide = K.rows_to_years(sheets(spark, sf), ["region", "attribute"], _YEARS, "yr", "value")
-    return K.years_to_rows(wide, ["region", "attribute"], [str(y) for y in _YEARS], "year", "value")
+    return K.years_to_rows(wide, ["region", "attribute"], [*map(str, _YEARS), "other"], "year", "value")
 
 
 # ---------------------------------------------------------------- options market
@@ -615,8 +657,8 @@ def gamma_terrain(spark, sf):
   WINDOW w AS (PARTITION BY trade_date ORDER BY k)),
 c AS (SELECT trade_date, CASE WHEN net = 0 THEN spot ELSE s0 + (spot - s0) * g0 / (g0 - net) END AS b, g0 < 0 AND net > 0 AS up FROM p
   WHERE sign(g0) * sign(net) < 0 OR net = 0)
-SELECT trade_date, ROUND(arg_min(b, abs(b - 75.0)), 5) AS balance, ROUND(arg_min(b, abs(b - 75.0)) FILTER (up), 5) AS gamma_flip,
-  COUNT(*) AS n_crossings FROM c GROUP BY 1""")
+SELECT d.trade_date, ROUND(arg_min(b, abs(b - 75.0)), 5) AS balance, ROUND(arg_min(b, abs(b - 75.0)) FILTER (up), 5) AS gamma_flip,
+  COUNT(b) AS n_crossings FROM (SELECT DISTINCT trade_date FROM chain) d LEFT JOIN c ON c.trade_date = d.trade_date GROUP BY 1""")
 def gamma_balance(spark, sf):
     return rounded(O.balance_points(O.terrain(chain(spark, sf))), "balance", "gamma_flip", digits=5)
 
@@ -646,7 +688,7 @@ def _net_at(shift):
 @query("gamma_convexity", f"""WITH {_TERRAIN}, c AS (SELECT trade_date, {_net_at(0)} AS a, ({_net_at(1)} + {_net_at(-1)}) / 2 AS g1,
   ({_net_at(2)} + {_net_at(-2)}) / 2 AS g2, COUNT(DISTINCT strike) AS n_strikes FROM lots GROUP BY 1)
 SELECT trade_date, ROUND(a, 6) AS atm_gamma, ROUND(g1, 6) AS g_1sigma, ROUND(g2, 6) AS g_2sigma, n_strikes,
-  ROUND(g1 - g2, 6) AS sigma_1_2_spread FROM c WHERE n_strikes >= 20""")
+  ROUND(g1 - g2, 6) AS sigma_1_2_spread, n_strikes < 20 AS is_thin FROM c""")
 def gamma_convexity(spark, sf):
     c = chain(spark, sf)
     atm = c.groupBy("trade_date").agg((F.max("vol") * F.max("forward") * F.sqrt(F.max("years"))).alias("sigma"))

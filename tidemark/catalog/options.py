@@ -307,9 +307,24 @@ def options_report(spark, sf):
     return run(spark, sf, settle=True).report.withColumn("ord", F.col("ord").cast("bigint"))
 
 
-@query("options_payload_json")
+def _json_window(w: str) -> str:
+    return f"""(SELECT CAST(total AS DOUBLE) FROM totals t WHERE t.session_date = s.session_date AND win = '{w}') AS {w}_total,
+  (SELECT CAST(put AS DOUBLE) FROM totals t WHERE t.session_date = s.session_date AND win = '{w}') AS {w}_put,
+  CASE WHEN EXISTS (SELECT 1 FROM totals t WHERE t.session_date = s.session_date AND win = '{w}') THEN
+    (SELECT COUNT(*) FROM slots t WHERE t.session_date = s.session_date AND win = '{w}') END AS {w}_contracts"""
+
+
+@query("options_payload_json", f"""WITH {TAPE_SQL} SELECT s.session_date, 'CT' AS commodity,
+  {_json_window('overnight')}, {_json_window('day')} FROM (SELECT DISTINCT session_date FROM tape) s""")
 def options_payload_json(spark, sf):
-    """The payload as one JSON document per session; its content is checked unfolded above."""
+    """The payload as one JSON document per session, with some of it picked out again by path."""
     p = P.payload(run(spark, sf, settle=True))
-    body = F.to_json(F.struct(*[c for c in p.columns]), {"ignoreNullFields": "false"})
-    return p.select("session_date", body.alias("document"))
+    documents = p.select("session_date", F.to_json(F.struct(*p.columns), {"ignoreNullFields": "false"}).alias("document"))
+
+    def at(path: str, kind: str, name: str):
+        return F.get_json_object("document", f"$.{path}").cast(kind).alias(name)
+
+    windows = [c for w in ("overnight", "day") for c in (
+        at(f"windows.{w}.total", "double", f"{w}_total"), at(f"windows.{w}.put", "double", f"{w}_put"),
+        F.json_array_length(F.get_json_object("document", f"$.windows.{w}.by_contract")).cast("long").alias(f"{w}_contracts"))]
+    return documents.select("session_date", at("commodity", "string", "commodity"), *windows)

@@ -72,19 +72,20 @@ def terrain(chain: DataFrame, steps: int = 45, width: float = 0.45) -> DataFrame
 def balance_points(grid: DataFrame) -> DataFrame:
     """Spot at which net gamma changes sign, interpolated: the crossing nearest the forward.
 
-    A date holds one row per grid step.
+    A date holds one row per grid step. A date without a crossing has nulls and no crossings.
     """
     order = Window.partitionBy("trade_date").orderBy("k")
     pairs = grid.select("trade_date", "forward", "spot", "net_gex", F.lag("spot").over(order).alias("s0"),
                         F.lag("net_gex").over(order).alias("g0"))
-    crossing = pairs.filter((F.signum("g0") * F.signum("net_gex") < 0) | (F.col("net_gex") == 0)).withColumn(
-        "balance", F.when(F.col("net_gex") == 0, F.col("spot")).otherwise(
-            F.col("s0") + (F.col("spot") - F.col("s0")) * F.col("g0") / (F.col("g0") - F.col("net_gex"))))
+    crosses = (F.signum("g0") * F.signum("net_gex") < 0) | (F.col("net_gex") == 0)
+    at = F.when(F.col("net_gex") == 0, F.col("spot")).otherwise(
+        F.col("s0") + (F.col("spot") - F.col("s0")) * F.col("g0") / (F.col("g0") - F.col("net_gex")))
+    crossing = pairs.withColumn("balance", F.when(crosses, at))
     distance = F.abs(F.col("balance") - F.col("forward"))
-    upward = F.when((F.col("g0") < 0) & (F.col("net_gex") > 0), distance)
+    upward = F.when((F.col("g0") < 0) & (F.col("net_gex") > 0), distance)  # null where there is no crossing
     return crossing.groupBy("trade_date").agg(
         F.min_by("balance", distance).alias("balance"), F.min_by("balance", upward).alias("gamma_flip"),
-        F.count("*").alias("n_crossings"))
+        F.count("balance").alias("n_crossings"))
 
 
 def speed_peak(grid: DataFrame) -> DataFrame:
@@ -124,5 +125,5 @@ def convexity(chain: DataFrame, atm: DataFrame) -> DataFrame:
     out = rows.groupBy("trade_date").agg(
         net(0.0).alias("atm_gamma"), ((net(1.0) + net(-1.0)) / 2).alias("g_1sigma"),
         ((net(2.0) + net(-2.0)) / 2).alias("g_2sigma"), F.count_distinct("strike").alias("n_strikes"))
-    return out.filter(F.col("n_strikes") >= MIN_STRIKES).withColumn(
-        "sigma_1_2_spread", F.col("g_1sigma") - F.col("g_2sigma"))
+    return out.withColumn("sigma_1_2_spread", F.col("g_1sigma") - F.col("g_2sigma")) \
+        .withColumn("is_thin", F.col("n_strikes") < MIN_STRIKES)

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.sizing import broadcast_if_small
-
 COMMODITIES = ("CT", "KC", "CC", "SB")
 
 
@@ -21,7 +19,7 @@ def latest(df: DataFrame, date: str, keys: Sequence[str] = ()) -> DataFrame:
     if not keys:
         return df.filter(F.col(date) == df.select(F.max(date)).scalar())
     last = df.groupBy(*keys).agg(F.max(date).alias(date))
-    return df.join(broadcast_if_small(last, df.select(*keys).distinct()), [*keys, date])
+    return df.join(last, [*keys, date])
 
 
 def check_choice(value: str | None, allowed: Sequence[str], what: str) -> str | None:
@@ -46,18 +44,23 @@ def where(df: DataFrame, date: str | None = None, start: str | None = None, end:
     return df
 
 
-def newest(df: DataFrame, date: str, rows: int, *tie_breakers: str) -> DataFrame:
-    """The newest rows, as a distributed top-k."""
-    return df.orderBy(F.desc(date), *tie_breakers).limit(rows)
+def newest(df: DataFrame, date: str, rows: int | None = None, *tie_breakers: str) -> DataFrame:
+    """The newest rows, as a distributed top-k; without a number all rows."""
+    return df if rows is None else df.orderBy(F.desc(date), *tie_breakers).limit(rows)
+
 
+def weeks_or_default(weeks, default: int | None = None, most: int | None = None) -> int | None:
+    """Requested number of weeks; what is no positive number means the default, None all weeks.
 
-def weeks_or_default(weeks, default: int = 52, most: int = 700) -> int:
-    """Requested number of weeks; invalid means the default, large values are clamped."""
+    ``most`` clamps large values where the caller wants it.
+    """
     try:
         n = int(weeks)
     except (TypeError, ValueError):
         return default
-    return min(n, most) if n > 0 else default
+    if n <= 0:
+        return default
+    return n if most is None else min(n, most)
 
 
 def by_date_or_newest(df: DataFrame, date: str, exact: str | None = None, rows: int | None = None) -> DataFrame:

@@ -45,11 +45,10 @@ def by_location(stocks: DataFrame) -> DataFrame:
                                        F.max_by("chg", "date").alias("chg"))
 
 
-def rolling_range(totals: DataFrame, days: int = 364) -> DataFrame:
-    """52-week high and low as of every date, over calendar days."""
-    frame = Window.partitionBy("series").orderBy(F.unix_date("date")).rangeBetween(-days, 0)
-    out = totals.withColumn("series", F.lit("total"))
-    return out.select("date", "total", F.max("total").over(frame).alias("hi"), F.min("total").over(frame).alias("lo"))
+def rolling_range(totals: DataFrame, keys: Sequence[str], days: int = 364) -> DataFrame:
+    """52-week high and low of every series as of every date, over calendar days."""
+    frame = Window.partitionBy(*keys).orderBy(F.unix_date("date")).rangeBetween(-days, 0)
+    return totals.select(*keys, "date", "total", F.max("total").over(frame).alias("hi"), F.min("total").over(frame).alias("lo"))
 
 
 def buckets(value: Column, labels: dict[str, Column]) -> list[Column]:
@@ -79,14 +78,14 @@ def with_empty_points(points: DataFrame, totals: DataFrame, point: str, value: s
 
 
 def distribution(df: DataFrame, point: str, bucket: str, value: str, names: Sequence) -> DataFrame:
-    """Buckets as columns by delivery point, with a national row and a total column.
+    """Buckets as columns by delivery point, with a national row, what no bucket names and a total.
 
     Points are summed first; the rollup then sees one row per point.
     """
-    sums = buckets(F.col(value), {str(n): F.col(bucket) == F.lit(n) for n in names})
-    total = F.sum(F.when(F.col(bucket).isin(list(names)), F.col(value)).otherwise(0)).alias("total")
-    points = df.groupBy(point).agg(*sums, total)
-    out = points.rollup(point).agg(*[F.sum(f"`{c}`").alias(c) for c in [*map(str, names), "total"]])
+    named = F.coalesce(F.col(bucket).isin(list(names)), F.lit(False))
+    sums = buckets(F.col(value), {str(n): F.col(bucket) == F.lit(n) for n in names} | {"other": ~named})
+    points = df.groupBy(point).agg(*sums, F.sum(value).alias("total"))
+    out = points.rollup(point).agg(*[F.sum(f"`{c}`").alias(c) for c in [*map(str, names), "other", "total"]])
     return out.withColumn(point, F.coalesce(point, F.lit("national")))
 
 
@@ -112,4 +111,9 @@ def years_to_rows(wide: DataFrame, keys: Sequence[str], years: Sequence[str], na
 
 
 def rows_to_years(long: DataFrame, keys: Sequence[str], years: Sequence, name: str, value: str) -> DataFrame:
-    return long.groupBy(*keys).pivot(name, list(years)).agg(F.sum(value))
+    """One column per listed year, null without rows, and ``other`` for the years not listed."""
+    def total(of: Column, column: str) -> Column:
+        return F.sum(F.when(of, F.col(value))).alias(column)
+
+    listed = F.coalesce(F.col(name).isin(list(years)), F.lit(False))
+    return long.groupBy(*keys).agg(*[total(F.col(name) == F.lit(y), str(y)) for y in years], total(~listed, "other"))

@@ -112,7 +112,7 @@ def run_futures(spark: SparkSession, root: str, out: str | None, bars_path: str,
             _history(spark, out, "futures_session_volume", fut.HISTORY_SCHEMA, SESSION_KEYS).upsert(rows)
             _history(spark, out, "futures_session_volume_by_contract", fut.CONTRACT_SCHEMA, CONTRACT_KEYS).upsert(contracts)
         return 0
-    if session is not None and session in market.closed_dates:
+    if not backtest and session is not None and session in market.closed_dates:
         print(f"{commodity} closed on {session} -- no session")
         return 0
     readings = src.read_sidecar(spark, root, market, *([] if backtest else [session]))
@@ -138,8 +138,12 @@ def run_check(spark: SparkSession, root: str, session: str, *, commodity: str =
     market = market_of(commodity)
     calendar = spark.range(1).select(F.lit(session).cast("date").alias("session_date"))
     readings = src.read_sidecar(spark, root, market, session)
+    try:
+        files = src.session_files(spark, root, f"{commodity.lower()}_futures_volume.csv")
+    except FileNotFoundError:
+        files = None
     clock = F.lit(now or datetime.now().isoformat(sep=" ", timespec="seconds")).cast("timestamp_ntz")
-    row = capture_check(calendar, readings, clock, market, eod).first()
+    row = capture_check(calendar, readings, clock, market, eod, files).first()
     print(f"CAPTURE CHECK -- {commodity} -- {session}: {row.status}"
           + (f", due {row.due}" if row.due else "") + (f", missing {row.missing}" if row.missing else ""))
     return row.code
@@ -155,17 +159,20 @@ def run_land(spark: SparkSession, root: str, out: str, commodity: str = "CT") ->
 
 def run_refresh(spark: SparkSession, root: str, out: str, bars_path: str, pulled_path: str, today: str,
                 days: int = 15, commodity: str = "CT") -> int:
-    """Merge the re-pulled trailing days into the bars table, then redo the previous session."""
+    """Merge the re-pulled trailing days into the bars table, then redo the previous session.
+
+    The table keeps every bar column, and a re-pulled row replaces the stored one also where it is
+    blank; blanks are skipped when the bars are read as a seed.
+    """
     market = market_of(commodity)
-    table = sinks.HistoryTable(spark, f"{out}/bars", "session_date date, generic string, volume double",
-                               ("session_date", "generic"), date="session_date")
+    table = sinks.HistoryTable(spark, f"{out}/bars", src.BARS_SCHEMA, ("session_date", "generic"), date="session_date")
     if table.rows().isEmpty():
-        table.upsert(src.clean_bars(src.read_bars(spark, bars_path, market), market))
-    pulled = src.clean_bars(src.read_bars(spark, pulled_path, market), market)
+        table.upsert(src.last_bars(src.read_bars(spark, bars_path, market)))
+    pulled = src.last_bars(src.read_bars(spark, pulled_path, market))
     first = date.fromisoformat(today) - timedelta(days=days)
     table.upsert(pulled.filter((F.col("session_date") >= F.lit(first)) & (F.col("session_date") <= F.lit(today).cast("date"))))
     previous = (date.fromisoformat(today) - timedelta(days=1)).isoformat()
-    run = fut.futures_sessions(src.read_sidecar(spark, root, market, previous), table.rows(), commodity=commodity,
+    run = fut.futures_sessions(src.read_sidecar(spark, root, market, previous), src.clean_bars(table.rows(), market), commodity=commodity,
                                dates=[previous], accumulate=False, settle=True, market=market)
     _write_futures(spark, out, run)
     return 0

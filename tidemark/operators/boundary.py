@@ -93,6 +93,8 @@ def contract_rows(slots: DataFrame, market: Market = COTTON) -> DataFrame:
 def _first_readings(market: Market) -> list[Column]:
     """Per boundary the first poll on or after its time, as plain columns (hash-aggregated).
 
+    All three aggregates see the same rows in the same order and compare the same time, so they
+    keep the same poll also where two polls have one time.
     Boundary times are absolute, so the evening open never triggers the morning boundaries.
     """
     ts = F.col("snap_ts")

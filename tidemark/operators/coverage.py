@@ -34,15 +34,19 @@ def boundary_presence(readings: DataFrame, market: Market = COTTON) -> DataFrame
 
 
 def capture_check(calendar: DataFrame, readings: DataFrame, as_of, market: Market = COTTON,
-                  force_all: bool = False) -> DataFrame:
+                  force_all: bool = False, files: DataFrame | None = None) -> DataFrame:
     """Status per calendar date: closed / not due / file missing / boundary missing / OK.
 
-    ``as_of`` is a timestamp expression. Readings reduce to three rows per session before
-    they meet the calendar.
+    ``as_of`` is a timestamp expression. ``files`` lists the sessions that have a file; a file
+    without rows is there, but misses its boundaries. Without it a session with readings has one.
+    Readings reduce to three rows per session before they meet the calendar.
     """
     day = F.col("session_date")
     rank = F.array(*[F.lit(b) for b in market.boundaries])
     present = boundary_presence(readings, market)
+    if files is not None:
+        listed = files.select("session_date", F.lit(None).cast("string").alias("boundary"), F.lit(False).alias("present"))
+        present = present.unionByName(listed)
     seen = present.groupBy("session_date").agg(
         F.lit(True).alias("has_file"),
         F.collect_set(F.when(F.col("present") & F.col("boundary").isin(*market.boundaries),

@@ -1,4 +1,4 @@
-"""Broadcast only what was counted, and a place for tables that must outlive executors."""
+"""A place for tables that must outlive executors."""
 
 from __future__ import annotations
 
@@ -7,21 +7,6 @@ import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# One row per session date of one commodity: 200,000 rows are five centuries.
-MAX_BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(side: DataFrame, keys: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of ``side`` when ``keys`` (one row per row of it) stays in bounds.
-
-    ``keys`` should be the cheapest DataFrame with at least as many rows as ``side``; the
-    count stops at the bound. Beyond the bound the hint is left off and the join shuffles.
-    """
-    fits = keys.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(side) if fits else side
-
 
 @cache
 def _local_folder() -> str:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import clamp, ratio, window_cutoff
 from tidemark.functions.symbology import computed, option_slot
-from tidemark.operators.sizing import broadcast_if_small
 from tidemark.settings import COTTON, Market
 
 WINDOWS = ("overnight", "day")
@@ -65,13 +64,15 @@ def marks(tape: DataFrame, market: Market = COTTON) -> DataFrame:
     )
 
 
-def _at_marks(tape: DataFrame, marked: DataFrame, settled: bool) -> DataFrame:
-    """Tape rows of the chosen polls only."""
-    side = broadcast_if_small(marked, marked if settled else tape.select("session_date").distinct())
-    ts = F.col("snap_ts")
-    chosen = (ts == F.col("overnight_ts")) | (ts == F.col("day_start_ts")) | (ts == F.col("day_end_ts"))
-    return tape.select("session_date", "snap_ts", "contract", "call_vol", "put_vol") \
-        .join(side, "session_date").filter(chosen)
+def _at_marks(tape: DataFrame, marked: DataFrame) -> DataFrame:
+    """Tape rows of the chosen polls only, found by session and poll time.
+
+    The marks become a row per poll, so both columns are join keys: a session splits by its polls
+    and the rows of other polls find no partner.
+    """
+    polls = F.array_distinct(F.array_compact(F.array("overnight_ts", "day_start_ts", "day_end_ts")))
+    side = marked.select("*", F.explode(polls).alias("snap_ts"))
+    return tape.select("session_date", "snap_ts", "contract", "call_vol", "put_vol").join(side, ["session_date", "snap_ts"])
 
 
 def window_slots(tape: DataFrame, market: Market = COTTON, tracked_only: bool = True,
@@ -82,7 +83,7 @@ def window_slots(tape: DataFrame, market: Market = COTTON, tracked_only: bool =
     is missing counting 0, clamped at 0. With ``tracked_only`` off, contracts outside the
     slots stay as rows of their own and a ``tracked`` column tells them apart.
     """
-    at_marks = _at_marks(tape, marks(tape, market) if marked is None else marked, marked is not None)
+    at_marks = _at_marks(tape, marks(tape, market) if marked is None else marked)
     rows = computed(at_marks, slot=option_slot(F.col("contract"), F.col("session_date"), market))
     tracked = F.col("slot").isNotNull()
     if tracked_only:

@@ -16,9 +16,9 @@ OPTION_BLOCKS = {"overnight": "OVERNIGHT (prev 21:00 -> 07:00 ET)", "day": "DAY
 FUTURES_BLOCKS = {"night": "NIGHT (open 21:00 -> 07:00 ET)", "day": "DAY (07:00 -> 14:20 ET)",
                   "full": "FULL (open 21:00 -> 14:20 ET)"}
 FUTURES_LABELS = {"overnight": "OVERNIGHT (interim, no-write)",
-                  "eod": "EOD (RTD sidecar -- same-day final after 14:20 close)"}
-SOURCE_LABELS = {"rtd": "RTD sidecar (live boundary readings)",
-                 "bbg_seed": "Bloomberg seed (historical full only)"}
+                  "eod": "EOD (sidecar -- same-day final after 14:20 close)"}
+SOURCE_LABELS = {"live": "Sidecar (live boundary readings)",
+                 "seed": "Seed bars (historical full only)"}
 HIGH_MARK, LOW_MARK = "  *** HIGH (>=2x)", "  *** LOW (<=0.5x)"
 
 

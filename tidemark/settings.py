@@ -33,8 +33,8 @@ FUTURES_CONTRACT_COLUMNS = (
 )
 
 # Labels of the two futures volume sources.
-SOURCE_LIVE = "rtd"
-SOURCE_SEED = "bbg_seed"
+SOURCE_LIVE = "live"
+SOURCE_SEED = "seed"
 
 
 @dataclass(frozen=True)

@@ -21,15 +21,16 @@ CORRUPT = "_corrupt_record"
 def headers(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, header) per file, written once for the checks that follow.
 
-    Files are scanned as plain lines, one file per partition, and only the first row of a
-    partition is kept. Splitting lines is cheap next to parsing them.
+    Files are scanned as plain lines in splits of the usual size, one split per partition, and
+    only the first row of a file's first split is kept. Splitting lines is cheap next to parsing them.
     """
     probe = spark.newSession()
-    probe.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 50))
-    probe.conf.set("spark.sql.files.openCostInBytes", str(1 << 50))
-    lines = probe.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path"))
+    probe.conf.set("spark.sql.files.openCostInBytes", str(1 << 50))  # no two splits in a partition
+    lines = probe.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path"),
+                                         F.col("_metadata.file_block_start").alias("block"))
     # the lower 33 bits of the id number the rows of a partition
-    first = lines.filter(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    first = lines.withColumn("row", row).filter("row = 0 AND block = 0")
     names = F.split(F.regexp_replace("value", r"^\uFEFF", ""), ",", -1)
     plain = F.transform(names, lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
     target = shared_folder(spark)
@@ -114,5 +115,9 @@ def _mixed_headers(spark, path, found, width, columns) -> DataFrame:
 
 
 def quarantine(df: DataFrame) -> DataFrame:
-    """Rows that did not fit their header, with the file they came from."""
-    return df.filter(F.col(CORRUPT).isNotNull()).select("file_path", "seq", CORRUPT)
+    """Rows that did not fit their header, with the file they came from and what was read of them.
+
+    Spark refuses a scan of nothing but the rejected lines, so use something of ``parsed`` too.
+    """
+    parsed = F.struct(*[c for c in df.columns if c not in ("file_path", "seq", CORRUPT)])
+    return df.filter(F.col(CORRUPT).isNotNull()).select("file_path", "seq", CORRUPT, parsed.alias("parsed"))

@@ -26,10 +26,10 @@ def session_of_path(path: Column) -> Column:
     return F.substring_index(folder, "=", -1).try_cast("date")
 
 
-def session_files(spark: SparkSession, root: str, name: str) -> DataFrame:
+def session_files(spark: SparkSession, root: str, name: str, folder: str = _DATE_GLOB) -> DataFrame:
     """Session dates that hold a file of that name, from the listing alone."""
     try:
-        files = spark.read.format("binaryFile").load(f"{root}/{_DATE_GLOB}/{name}")
+        files = spark.read.format("binaryFile").load(f"{root}/{folder}/{name}")
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" not in str(exc):
             raise
@@ -78,31 +78,45 @@ def read_bars(spark: SparkSession, path: str, market: Market = COTTON) -> DataFr
                       clean_code(F.col("generic")).alias("generic"), "ticker", *numbers, "file_path", "seq")
 
 
+BARS_SCHEMA = "session_date date, generic string, ticker string, " + ", ".join(f"{c} double" for c in BAR_COLUMNS[3:])
+
+
+def last_bars(bars: DataFrame) -> DataFrame:
+    """All bar columns, blanks included, one row per (date, generic): the last of a file wins."""
+    rest = F.struct("ticker", *BAR_COLUMNS[3:])
+    return bars.filter(F.col("session_date").isNotNull()).groupBy("session_date", "generic") \
+        .agg(F.max_by(rest, F.struct("file_path", "seq")).alias("r")).select("session_date", "generic", "r.*")
+
+
 def clean_bars(bars: DataFrame, market: Market = COTTON) -> DataFrame:
     """Tracked slots with a volume: blanks are skipped, never zero-filled; last row wins.
 
-    Needs ``seq`` (row order) only where a (date, generic) can repeat.
+    Needs ``seq`` (row order) only where a (date, generic) can repeat; rows of several files are
+    ordered by their path first.
     """
     generic = clean_code(F.col("generic"))
     kept = bars.withColumn("generic", generic).filter(
         F.col("generic").isin(*market.slots) & F.col("volume").isNotNull() & F.col("session_date").isNotNull())
     if "seq" not in bars.columns:
         return kept.select("session_date", "generic", "volume")
-    return kept.groupBy("session_date", "generic").agg(F.max_by("volume", "seq").alias("volume"))
+    order = F.struct("file_path", "seq") if "file_path" in bars.columns else F.col("seq")
+    return kept.groupBy("session_date", "generic").agg(F.max_by("volume", order).alias("volume"))
+
 
+def flatten_history(nested: DataFrame, fields: dict[str, str] | None = None, suffix: str = "") -> DataFrame:
+    """(security, fieldData array) to long daily bars; absent fields stay null.
 
-def flatten_history(nested: DataFrame) -> DataFrame:
-    """(security, fieldData array) to long daily bars; absent fields stay null."""
-    fields = {"volume": "PX_VOLUME", "open_int": "OPEN_INT", "px_last": "PX_LAST", "px_high": "PX_HIGH",
-              "px_low": "PX_LOW", "px_open": "PX_OPEN", "efp_volume": "EXCHANGE_FOR_PHYSICAL_VOLUME",
-              "efs_volume": "EXCHANGE_FOR_SWAP_VOLUME"}
+    ``fields`` maps the bar columns to the source's field names (the same names by default);
+    ``suffix`` is what the source appends to a generic.
+    """
+    fields = {c: (fields or {}).get(c, c) for c in BAR_COLUMNS[3:]}
     rows = nested.select("security", F.explode("fieldData").alias("r"))
     given = set(rows.schema["r"].dataType.fieldNames())
     values = [(F.col(f"r.{src}").try_cast("double") if src in given else F.lit(None).cast("double")).alias(name)
               for name, src in fields.items()]
     return rows.select(
         F.col("r.date").try_cast("date").alias("session_date"),
-        F.trim(F.regexp_replace("security", " Comdty", "")).alias("generic"),
+        F.trim(F.replace("security", F.lit(suffix), F.lit("")) if suffix else F.col("security")).alias("generic"),
         F.col("security").alias("ticker"), *values,
     ).filter(F.col("session_date").isNotNull())
 

@@ -87,8 +87,8 @@ def _completeness_processor(offsets: dict[str, int], grace_minutes: int) -> Stat
                 for t in (*at.values(), self._end(at)):
                     self.handle.registerTimer((t + self.grace) * 1000)
             for pdf in rows:
-                hit = set(pdf.loc[pdf["n"] > 0, "start"])
-                names |= {name for name, t in at.items() if t in hit}
+                hit = pdf.loc[pdf["n"] > 0, "start"]
+                names |= {name for name, t in at.items() if ((hit >= t) & (hit < t + self.grace)).any()}
             self.seen.update((",".join(sorted(filter(None, names))),))
             return iter(())
 
@@ -111,18 +111,17 @@ def _completeness_processor(offsets: dict[str, int], grace_minutes: int) -> Stat
 def completeness_alerts(polls: DataFrame, market: Market = COTTON, watermark: str = WATERMARK) -> DataFrame:
     """One row per boundary that no tracked contract was read at within the grace period.
 
-    Polls are first counted per grace-long window (partially before the shuffle), so the
-    state function sees at most a day of window counts per session, however many polls there
-    are. A boundary is judged when the watermark passes its grace period. A session without
+    Polls are first counted per minute (partially before the shuffle), so the state function sees
+    at most a day of minute counts per session, however many polls there are. A boundary was read
+    if a minute from its time on, and before its grace period ends, has a poll. A boundary is judged when the watermark passes its grace period. A session without
     a single poll has no state; the batch check reports it as a missing file.
 
     Needs the RocksDB state store provider.
     """
-    grace = f"{market.grace_minutes} minutes"
     tracked = boundary_slot(F.col("contract"), F.col("session_date"), market).isNotNull()
     useful = F.col("volume").isNotNull() | F.col("oi").isNotNull()
     counts = _timed(polls, watermark).groupBy(
-        F.window("event_time", grace).alias("w"), "session_date"
+        F.window("event_time", "1 minute").alias("w"), "session_date"
     ).agg(F.count_if(tracked & useful).alias("n"))
     rows = counts.select("session_date", F.unix_seconds("w.start").alias("start"),
                          F.window_time("w").alias("event_time"), "n")

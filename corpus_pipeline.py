@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, mixing, simhash, token_files, toxicity
-from tidemark.llm.common import shared_path, table
+from tidemark.llm.common import release, remove, shared_path, table
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,13 @@ ORACLE_SQL = None  # the network, the fingerprints and the tokenizer are not SQL
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; doc_id, start, n_tokens, ids_crc32 of what was written."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark)  # what a stage settled on its way and what it read are not needed any more
+        if before:
+            remove(spark, before)
+        before = path
     return docs

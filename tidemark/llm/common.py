@@ -18,16 +18,34 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_root()
     return root.rstrip("/")
 
 
+@cache
+def _own_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-llm-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_TABLES: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables ``written`` so far; call it when no result depends on them any more."""
+    while _TABLES:
+        remove(spark, _TABLES.pop())
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and kept in the shared folder until Spark drops them."""
     spark = df.sparkSession
@@ -44,6 +62,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    _TABLES.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

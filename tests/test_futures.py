@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from builders import SEED, SIDECAR_HEADER, bars_df, boundary_rows, readings_df, write_csv, write_sidecar
 from pyspark.sql import functions as F
@@ -216,6 +218,14 @@ def test_refresh_job(spark, tmp_path):
     assert hist == {D: 17877.0}
 
 
+def test_a_job_removes_its_scratch_tables(spark, tmp_path):
+    bars = bars_csv(tmp_path / "bars.csv", SEED)
+    scratch = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(scratch.iterdir())
+    assert jobs.main(["futures", "--root", str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--bars", bars, "--seed"]) == 0
+    assert (tmp_path / "out").exists() and set(scratch.iterdir()) <= before
+
+
 def test_bars_csv_last_row_wins(spark, tmp_path):
     path = bars_csv(tmp_path / "bars.csv", [(D, "CTDEC1", 1), (D, "ctdec1 ", 2), (D, "CTDEC1", None), (D, "CTDEC3", 5), ("", "CTDEC1", 5)])
     assert [(r.generic, r.volume) for r in clean_bars(read_bars(spark, path)).collect()] == [("CTDEC1", 2.0)]

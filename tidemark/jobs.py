@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.coverage import capture_check
+from tidemark.operators.sizing import release
 from tidemark.plans import futures as fut
 from tidemark.plans import options as opt
 from tidemark.settings import COTTON, Market
@@ -210,17 +211,20 @@ def main(argv: list[str] | None = None) -> int:
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"tidemark-{a.job}").getOrCreate()
     today = datetime.now().strftime("%Y-%m-%d")
-    if a.job == "options":
-        return run_options(spark, a.root, a.out, commodity=a.commodity, session=a.date, window=a.window,
-                           write=not a.no_write, backfill=a.backfill)
-    if a.job == "futures":
-        return run_futures(spark, a.root, a.out, a.bars, commodity=a.commodity, session=a.date or today,
-                           window=a.window, write=not a.no_write, seed=a.seed, backtest=a.n if a.backtest else None)
-    if a.job == "check":
-        return run_check(spark, a.root, a.date or today, commodity=a.commodity, eod=a.eod, now=a.now)
-    if a.job == "land":
-        return run_land(spark, a.root, a.out, a.commodity)
-    return run_refresh(spark, a.root, a.out, a.bars, a.pulled, a.today, a.days, a.commodity)
+    try:
+        if a.job == "options":
+            return run_options(spark, a.root, a.out, commodity=a.commodity, session=a.date, window=a.window,
+                               write=not a.no_write, backfill=a.backfill)
+        if a.job == "futures":
+            return run_futures(spark, a.root, a.out, a.bars, commodity=a.commodity, session=a.date or today,
+                               window=a.window, write=not a.no_write, seed=a.seed, backtest=a.n if a.backtest else None)
+        if a.job == "check":
+            return run_check(spark, a.root, a.date or today, commodity=a.commodity, eod=a.eod, now=a.now)
+        if a.job == "land":
+            return run_land(spark, a.root, a.out, a.commodity)
+        return run_refresh(spark, a.root, a.out, a.bars, a.pulled, a.today, a.days, a.commodity)
+    finally:
+        release(spark)
 
 
 if __name__ == "__main__":

@@ -13,6 +13,17 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="tidemark-")
 
 
+_FOLDERS: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the folders this process was given; call it when no result depends on them any more."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _FOLDERS:
+        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -23,7 +34,8 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = _local_folder()
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{root.rstrip('/')}/{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:

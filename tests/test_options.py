@@ -195,6 +195,12 @@ def test_job_writes_everything_once_and_dry_run_nothing(spark, tmp_path):
     assert jobs.run_options(spark, str(root), str(out), session=D, window="overnight") == 0
     hist = {str(r.date): r.day_total for r in spark.read.parquet(f"{out}/history/session_volume").collect()}
     assert hist == {"2026-06-15": 30.0, "2026-06-16": 30.0, D: None}
+    # a file without a readable poll makes the run fail, but the others are written
+    write_tape(root, "2026-06-18", [tape_row("no time at all", "CTZ6", 1, 1)])
+    write_tape(root, "2026-06-22", [tape_row("2026-06-22 06:00:00", "CTZ6", 10, 5)])
+    assert jobs.run_options(spark, str(root), str(out), backfill=True) == 1
+    assert {str(r.date) for r in spark.read.parquet(f"{out}/history/session_volume").collect()} >= {D, "2026-06-22"}
+    assert jobs.run_options(spark, str(root), str(out), session=D, window="overnight") == 0
     doc = spark.read.json(f"{out}/session_volume").filter(F.col("session_date") == D).first()
     assert (doc.date, doc.window, doc.day) == (D, "overnight", None)
     assert doc.overnight.per_contract.CTDEC1.ice_code == "CTZ6" and doc.overnight.snapshot_ts == f"{D} 06:00:00"

@@ -7,7 +7,7 @@
     land    --root TAPES --out OUT
     refresh --root TAPES --out OUT --bars BARS --pulled CSV --today D [--days N]
 
-Exit codes: 0 done (also on a closed date), 1 nothing to process or a missing source,
+Exit codes: 0 done (also on a closed date), 1 nothing to process, a missing source or an unreadable session,
 2 incomplete capture, 3 usage or configuration error.
 """
 
@@ -64,17 +64,20 @@ def run_options(spark: SparkSession, root: str, out: str | None, *, commodity: s
             print(f"{commodity} closed on {session} -- no session")
             return 0
         tape = src.read_tape(spark, root, market, *([] if backfill else [session]))
+        listed = src.session_files(spark, root, tape_name) if backfill else None
     except FileNotFoundError as exc:
         print(f"FATAL: {exc}", file=sys.stderr)
         return 1
     windows = ("overnight", "day") if window == "both" else (window,)
     table = _history(spark, out, "session_volume", opt.HISTORY_SCHEMA, SESSION_KEYS) if out else None
     run = opt.options_sessions(tape, table.rows() if table else None, commodity=commodity, windows=windows,
-                               accumulate=write, settle=True, market=market)
+                               accumulate=write, settle=True, market=market, listed=listed)
+    code = 0
     if session is not None:
         _show(run.report, [session])
     else:
         run.status.orderBy("session_date").show(truncate=False)
+        code = run.status.agg(F.max("code")).first()[0] or 0
     if write and out:
         sinks.write_report(run.report, f"{out}/session_volume_report")
         sinks.write_payload(opt.document(run), f"{out}/session_volume")
@@ -83,7 +86,7 @@ def run_options(spark: SparkSession, root: str, out: str | None, *, commodity: s
                  ("date", "window", "generic_code")).upsert(
             opt.contract_history(run).withColumnRenamed("session_date", "date"))
         table.upsert(run.history)
-    return 0
+    return code
 
 
 CONTRACT_HISTORY_SCHEMA = ("date date, generic_code string, ice_code string, month_code string, month_name string, "

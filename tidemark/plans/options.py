@@ -64,6 +64,8 @@ class OptionsRun:
         self.commodity, self.windows, self.accumulate, self.mode = commodity, tuple(windows), accumulate, mode
         self.generated_at, self.market = generated_at, market
         self.sessions = marked.select("session_date")
+        self.listed: DataFrame | None = None
+        self.tape: DataFrame | None = None
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -89,12 +91,21 @@ class OptionsRun:
 
     @cached_property
     def status(self) -> DataFrame:
+        """Code 1 for a listed session of which no poll could be read; missing windows only warn."""
+        if self.listed is None:
+            marked = self.marked.withColumn("was_read", F.lit(True))
+        else:
+            listed = self.listed.select("session_date").filter(~is_holiday(F.col("session_date"), self.market))
+            marked = listed.unionByName(self.marked.select("session_date")).distinct() \
+                .join(self.marked, "session_date", "left") \
+                .join(T.snapshots(self.tape).select("session_date", F.lit(True).alias("was_read")).distinct(), "session_date", "left")
         no_overnight, no_day = F.col("overnight_ts").isNull(), F.col("day_end_ts").isNull()
-        return self.marked.select(
+        unread = F.col("was_read").isNull()
+        return marked.select(
             "session_date", (~no_overnight).alias("has_overnight"), (~no_day).alias("has_day"),
-            F.lit(0).alias("code"),
-            F.concat_ws("; ", F.when(no_overnight, "no overnight snapshot"),
-                        F.when(no_day, "no day snapshots")).alias("warning"))
+            unread.cast("int").alias("code"),
+            F.when(unread, "no readable poll").otherwise(F.concat_ws(
+                "; ", F.when(no_overnight, "no overnight snapshot"), F.when(no_day, "no day snapshots"))).alias("warning"))
 
     @cached_property
     def history(self) -> DataFrame:
@@ -109,14 +120,16 @@ class OptionsRun:
 def options_sessions(tape: DataFrame, history: DataFrame | None = None, *, commodity: str = "CT",
                      windows: Sequence[str] = T.WINDOWS, dates: Sequence[str] | None = None,
                      accumulate: bool = True, mode: str = "degrade", generated_at=None,
-                     settle: bool = False, market: Market = COTTON) -> OptionsRun:
+                     settle: bool = False, market: Market = COTTON, listed: DataFrame | None = None) -> OptionsRun:
     """Window volumes, totals, trailing comparison, report and history rows of the sessions.
 
     ``dates`` limits the sessions (and prunes the tape's partitions); without it every tape
     is processed. Holidays produce nothing. ``accumulate`` lets sessions of this run count as
     history of later ones, as when they are processed and written one after another.
     ``settle`` writes the slot-grain results to the shared folder first: use it when several
-    sinks follow, so the tape is scanned once however many results are written.
+    sinks follow, so the tape is scanned once however many results are written. ``listed`` names the
+    sessions that have a tape file, so that one without a readable poll shows in the status; it
+    never stops the others.
     """
     if dates is not None:
         tape = tape.filter(F.col("session_date").isin([F.lit(d).cast("date") for d in dates]))
@@ -127,7 +140,9 @@ def options_sessions(tape: DataFrame, history: DataFrame | None = None, *, commo
     slots = T.window_slots(tape, market, marked=marked if settle else None).filter(F.col("window").isin(list(windows)))
     if settle:
         slots = written(slots)
-    return OptionsRun(marked, slots, history, commodity, windows, accumulate, mode, clock(generated_at), market)
+    run = OptionsRun(marked, slots, history, commodity, windows, accumulate, mode, clock(generated_at), market)
+    run.listed, run.tape = listed, tape
+    return run
 
 
 def contract_history(run: OptionsRun) -> DataFrame:

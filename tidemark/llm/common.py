@@ -8,6 +8,7 @@ import zipfile
 from functools import cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +105,14 @@ def _package() -> str:
     return str(out)
 
 
+def parts(batches, rows: int = 512):
+    """Arrow batches cut small, as their texts become Python objects: a worker holds few at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        pa.default_memory_pool().release_unused()
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import parts, ship
 
 RATE = 0.2
 BLOCK_WORDS = 1_000_000
@@ -179,7 +179,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_wor
     for shared in _indexes(benchmark.withColumn("item_id", F.col("item_id").cast("long")), rate, block_words):
         def run(batches, shared=shared):
             index = shared.value
-            for batch in batches:
+            for batch in parts(batches):
                 found = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                     for item, distance, end in index.search(words(text)) if text else ():
@@ -198,7 +198,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bl
     for shared in _indexes(benchmark.withColumn("item_id", F.col("item_id").cast("long")), rate, block_words):
         def run(batches, shared=shared):
             index = shared.value
-            for batch in batches:
+            for batch in parts(batches):
                 clean = [not (text and index.search(words(text))) for text in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
         docs = docs.mapInArrow(run, docs.schema)

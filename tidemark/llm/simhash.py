@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settled, ship, unused, written
+from tidemark.llm.common import parts, settled, ship, unused, written
 from tidemark.llm.components import components
 
 SHINGLE = 3
@@ -54,7 +54,7 @@ def fingerprint(text: bytes) -> bytes:
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in parts(batches):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         bits = np.frombuffer(b"".join(fingerprint(t or b"") for t in texts), ">i8").astype(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(bits)], ["doc_id", "h", "bits"])

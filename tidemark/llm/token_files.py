@@ -11,7 +11,7 @@ the number of blocks, of documents and of ids, the footer's offset and ``MAGIC``
 Encoding. The tokenizer drops white space, never joins across it and encodes runs of letters and runs of
 signs by themselves, in lower case. So the ids of a text are those of its words between ASCII white
 space, and those of a plain word are those of its letters and of the signs after them. Tasks keep the
-ids of up to ``CACHE`` words; unseen runs of letters are encoded many to a call, as each ends with the one
+ids of up to ``CACHE`` words while they run; unseen runs of letters are encoded many to a call, as each ends with the one
 token that ends a run. Any other word is given to the tokenizer as it stands.
 
 A task writes under a name of its own and renames, so a repeated task replaces its file by the same one.
@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import simple8b
-from tidemark.llm.common import shared_path, ship
+from tidemark.llm.common import parts, shared_path, ship
 
 MAGIC = b"TMS8\x00\x00\x00\x01"
 END_ID = 1
-CACHE = 600_000
+CACHE = 300_000
 _FLUSH = 256 * simple8b.BLOCK  # ids coded at a time
 _TAIL = struct.Struct("<4q8s")
 
@@ -230,24 +230,21 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) ->
     fs.create_dir(path, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    # the number only deals equal rows, which may be any part of the table, to several tasks
+    ordered = rows.repartitionByRange("doc_id", tie, F.rand(7)).sortWithinPartitions("doc_id", tie)
 
     def run(batches):
         fs, path = _location(folder)
         encode, writer, own = encoder(tokenizer, end_id), None, None
         name = f"part-{TaskContext.get().partitionId():06d}.ids"
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in parts(batches, 256):
             if writer is None:
                 own = f"{path}/_{name}-{uuid.uuid4().hex}"
                 stream = fs.open_output_stream(own)
                 writer = Writer(stream)
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            keys = batch.column("doc_id").to_pylist()
-            for i in range(0, len(texts), 256):
-                ids, sizes = encode([t or b"" for t in texts[i:i + 256]])
-                writer.add([(k or 0, k is None, n) for k, n in zip(keys[i:i + 256], sizes.tolist())], ids)
+            ids, sizes = encode([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
+            writer.add([(k or 0, k is None, n) for k, n in zip(batch.column("doc_id").to_pylist(), sizes.tolist())], ids)
+        encode.clear()  # the process serves other tasks, too
         if writer:
             writer.close()
             stream.close()

@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ship
+from tidemark.llm.common import parts, ship
 from tidemark.llm.gru import LEVELS, BiGRU
 
 WINDOW = 64
 STRIDE = 32
 SAMPLE = 6000
 THRESHOLD = 0.3
-_CACHE = 500_000
+_CACHE = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -220,11 +220,10 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
 
     def run(batches):
         model = shared.value
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            scores = [model.score([t or b"" for t in texts[i:i + 512]]) for i in range(0, len(texts), 512)]
-            found = np.concatenate([np.zeros(0, np.float32), *scores]).astype(np.float64)
+        for batch in parts(batches):
+            found = model.score([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "score"])
+        model.classes.clear()  # the process serves other tasks, too
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -237,9 +236,9 @@ def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 
     def run(batches):
         model = shared.value
-        for batch in batches:
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            scores = [model.score([t or b"" for t in texts[i:i + 512]]) for i in range(0, len(texts), 512)]
-            yield batch.filter(pa.array(np.concatenate([np.zeros(0, np.float32), *scores]) < threshold))
+        for batch in parts(batches):
+            scores = model.score([t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()])
+            yield batch.filter(pa.array(scores < threshold))
+        model.classes.clear()
 
     return docs.mapInArrow(run, docs.schema)

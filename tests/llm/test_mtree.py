@@ -1,4 +1,5 @@
 import math
+import pickle
 
 import numpy as np
 import pytest
@@ -44,6 +45,14 @@ def test_hot_vector_ties_and_odd_rows(spark):
     assert got(spark, rows, tree=40, page=8) == plain(rows)
 
 
+def test_one_row_repeated_is_dealt_to_many_trees(spark):
+    rows = table(100) + [(777, [1.0] * 8)] * 300
+    assert got(spark, rows, tree=30, page=8) == plain(rows)
+    vectors = mtree.prepared(spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS)).select("vec_id", "vector")
+    sizes = [len(pickle.loads(r.data).ids) for r in mtree.forest(vectors, 8, 1e5, tree=30, page=8).collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 60
+
+
 def test_few_and_none(spark):
     rows = table(6)
     assert got(spark, rows) == plain(rows) and len(got(spark, rows)) == 5

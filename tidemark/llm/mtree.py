@@ -3,8 +3,8 @@
 Metric. With every vector x extended by sqrt(M^2 - |x|^2), M the largest length, and a query q by zero,
 |q' - x'|^2 = |q|^2 + M^2 - 2 <q, x>: the highest inner products are the smallest distances of a metric.
 
-Trees. Vectors go to the nearest of some sampled pivots; a pivot with many vectors is split by the hash
-of the id, so each tree has about ``TREE`` vectors however they are spread, and is one row. A tree is
+Trees. Vectors go to the nearest of some sampled pivots; those of a pivot with many are dealt in turn,
+so each tree has about ``TREE`` vectors however they are spread or repeated, and is one row. A tree is
 built of pages: entries of inner pages have a routing vector, a covering radius, the distance to
 the parent's routing vector and a child; entries of leaf pages have a vector and that distance.
 
@@ -171,12 +171,17 @@ class Tree:
 
 
 def _assigned(pivots: np.ndarray, size: int, most: float):
+    """Adds the nearest pivot and a running number, by which a pivot's rows are split evenly."""
     def run(batches):
+        seen = 0
         for batch in batches:
             if batch.num_rows:
                 nearest = (_extended(_matrix(batch.column("vector").to_pylist(), size), most) @ pivots.T).argmax(1)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), pa.array(nearest.astype(np.int32))],
-                                                 ["vec_id", "vector", "pivot"])
+                turn = np.arange(seen, seen + batch.num_rows)
+                seen += batch.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("vec_id"), batch.column("vector"), pa.array(nearest.astype(np.int32)), pa.array(turn)],
+                    ["vec_id", "vector", "pivot", "turn"])
     return run
 
 
@@ -186,7 +191,7 @@ def forest(vectors: DataFrame, size: int, most: float, tree: int = TREE, page: i
     wanted = int(min(pivots, max(1, n // tree)))
     sample = vectors.orderBy(F.xxhash64("vec_id", "vector")).limit(wanted).select("vector").collect()
     points = _extended(_matrix([r[0] for r in sample], size), most)
-    dealt = vectors.mapInArrow(_assigned(points, size, most), "vec_id long, vector binary, pivot int")
+    dealt = vectors.mapInArrow(_assigned(points, size, most), "vec_id long, vector binary, pivot int, turn long")
     dealt = written(dealt, "mtree-dealt")
     # one count per pivot, of which there are at most PIVOTS
     counts = {r["pivot"]: r["count"] for r in dealt.groupBy("pivot").count().collect()}
@@ -196,7 +201,7 @@ def forest(vectors: DataFrame, size: int, most: float, tree: int = TREE, page: i
         total += parts[pivot]
     at = F.col("pivot") + 1
     first_of, parts_of = (F.element_at(F.lit(x), at) for x in (first, parts))
-    split = dealt.select("vec_id", "vector", (first_of + F.pmod(F.xxhash64("vec_id", "vector"), parts_of)).cast("int").alias("tree"))
+    split = dealt.select("vec_id", "vector", (first_of + F.pmod("turn", parts_of)).cast("int").alias("tree"))
 
     def build(table):
         order = np.argsort(table.column("vec_id").to_numpy(), kind="stable")
@@ -256,3 +261,16 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: int = SC
     sent = trees.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "tree", F.lit(0).cast("long").alias("vec_id"), "data")
     both = asked.unionByName(sent).repartitionByRange(blocks, "block").sortWithinPartitions("block", "tree", "vec_id")
     return both.mapInArrow(_searched(size, k), schema)
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+  FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""

@@ -23,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_matches": lambda spark, sf: decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op2_source_mix": mixing.TAKEN_SQL, "op9_chat_lines": chats.FORMATTED_SQL}
+SQL: dict[str, str] = {"op1_inner_product_search": mtree.TOP_K_SQL, "op2_source_mix": mixing.TAKEN_SQL, "op9_chat_lines": chats.FORMATTED_SQL}

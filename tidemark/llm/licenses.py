@@ -3,8 +3,9 @@
 A keyword prefilter passes the texts that can hold any signature. Their words are numbered; at every
 word that some rule starts with, the rules of that word whose second keyword is near are matched
 against the next words. Of overlapping detections the longer one wins (so one
-inside another goes), then the one of higher priority, then the first. Everything happens inside the row: nothing is
-shuffled, and the cost is linear in the words.
+inside another goes), then the one of higher priority, then the first; one that lost removes no other. Everything
+happens inside the row: nothing is shuffled, and the cost is linear in the words, but for runs of detections that
+overlap in a chain, whose winners are looked through for each detection of the run.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. Defined cases: null is
 the empty text; a text without detections has null first and last word, empty labels and score 0;
@@ -73,11 +74,16 @@ def detections(docs: DataFrame) -> DataFrame:
             flatten(transform(hits, h -> transform(filter(array({base}), b -> startswith(concat(h.near, ' '), concat(b.phrase, ' '))),
                 b -> struct(h.at AS start, h.at + b.size AS end, b.label AS label))))""")) \
         .withColumn("picked", F.expr(best)).withColumn("picked", F.expr(spans)) \
-        .withColumn("found", F.expr(f"""
-            transform(filter(picked, (d, i) -> NOT exists(slice(picked, greatest(i - {LONGEST}, 0) + 1, {2 * LONGEST + 1}), e ->
-                e.start < d.end AND d.start < e.end
-                AND struct(e.end - e.start, e.rank, -e.start) > struct(d.end - d.start, d.rank, -d.start))),
-                d -> struct(d.start AS start, d.end AS end, d.label AS label))""")) \
+        .withColumn("firsts", F.expr(f"""
+            filter(transform(picked, (d, i) -> if(exists(slice(picked, greatest(i - {LONGEST}, 0) + 1, least(i, {LONGEST})), e -> d.start < e.end), null, i)),
+                i -> i IS NOT NULL)""")) \
+        .withColumn("runs", F.expr("transform(firsts, (i, k) -> slice(picked, i + 1, coalesce(get(firsts, k + 1), size(picked)) - i))")) \
+        .withColumn("found", F.expr("""
+            flatten(transform(runs, run -> transform(if(size(run) = 1, run, array_sort(aggregate(
+                array_sort(run, (d, e) -> if(struct(d.end - d.start, d.rank, -d.start) > struct(e.end - e.start, e.rank, -e.start), -1, 1)),
+                cast(array() as array<struct<start:int,end:int,label:string,rank:int>>),
+                (won, d) -> if(exists(won, e -> e.start < d.end AND d.start < e.end), won, concat(won, array(d)))))),
+                d -> struct(d.start AS start, d.end AS end, d.label AS label))))""")) \
         .select("doc_id", "n_words", "base", "found")
 
 

@@ -1,9 +1,10 @@
 """From raw documents to token files: five stages, each written as Parquet and read again.
 
-Toxic documents go, one document of each near-duplicate group stays, documents that hold test items go,
-sources are mixed to their targets (so a document may come more than once), and the rest is written as
-files of token ids. A stage sees all rows its predecessor kept. Tables of ``sf_dir`` other than the
-documents (labels, benchmark) are read where a stage needs them.
+Toxic documents go, one document of each near-duplicate group stays (groups of near fingerprints, and before test
+items are looked for also of texts that share their five-word shingles), documents that hold test items go, sources
+are mixed to their targets (so a document may come more than once), and the rest is written as files of token ids.
+A stage sees all rows its predecessor kept. Tables of ``sf_dir`` other than the documents (labels, benchmark) are
+read where a stage needs them.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, simhash, token_files, toxicity
-from tidemark.llm.common import release, remove, shared_path, table
+from tidemark.llm import decontaminate, mixing, near_copies, simhash, token_files, toxicity
+from tidemark.llm.common import release, remove, shared_path, table, written
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    # The stage before keeps the groups of op5's fingerprints; near copies further apart than three bits go here.
+    once = written(near_copies.deduplicated(docs), "no-near-copies")
+    return decontaminate.decontaminated(once, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,9 +175,14 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     hash stays, and rows equal in both are the same document, of which one stays.
     """
     prints = written(fingerprinted(docs), "fingerprints")
+    return first_rows(docs, prints, grouped(prints, distance))
+
+
+def first_rows(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root of ``groups`` (bits, root); ``prints`` has the doc_id, h and bits of every row."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
     firsts = prints.groupBy("bits").agg(F.min(order).alias("first"))
-    rooted = firsts.join(grouped(prints, distance), "bits").groupBy("root").agg(F.min("first").alias("first"))
+    rooted = firsts.join(groups, "bits").groupBy("root").agg(F.min("first").alias("first"))
     key, mark, times = unused(docs, "kept_id", "kept_h", "kept_times")
     kept = rooted.select(F.col("first.id").alias(key), F.col("first.h").alias(mark))
     same = prints.groupBy("doc_id", "h").agg(F.count("*").alias("n"))

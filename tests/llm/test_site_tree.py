@@ -70,3 +70,15 @@ def test_repeated_ids_long_pages_and_empty_table(spark):
     got = rows(site_tree.extracted(spark.createDataFrame([(1, "u", long), (1, "u", long), (None, None, "<p>x</p>")], PAGES)), "page_id", "n_chars")
     assert got == sorted([(1, 20000 * 12 - 1), (1, 20000 * 12 - 1), (None, 1)], key=repr)
     assert site_tree.extracted(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_copies_of_a_page_do_not_remove_article_text(spark):
+    def plain(i):
+        return f"<body><div class=top>Follow us</div><div class=body><p>Story {i} alone</p><ul><li>Point {i}</ul><table><tr><td>Cell {i}</table></div></body>"
+
+    table = [(i, f"https://h.example/{i}", plain(max(0, i - 180))) for i in range(200)]  # 181 copies
+    table += [(1000 + i, f"https://a.example/{i}", "<article><h1>T</h1><div class=body>Same words</div></article>") for i in range(12)]
+    table += [(2000 + i, f"https://b.example/{i}", f"<article><h1>T{i}</h1><div class=body>Same words</div></article>") for i in range(12)]
+    got = {r.page_id: r.text for r in site_tree.extracted(spark.createDataFrame(table, PAGES)).collect()}
+    assert got[0] == "Story 0 alone\nPoint 0\nCell 0" and got[199] == "Story 19 alone\nPoint 19\nCell 19"
+    assert got[1003] == "T\nSame words" and got[2003] == "T3\nSame words"

@@ -8,8 +8,9 @@ single page everything). A branch whose importance is below ``LEAST`` is removed
 
 Elements that say what they are keep that importance: none for navigation, headers, footers, asides,
 forms and elements marked as adverts, notices, comments and the like; full for an article and for its
-paragraphs and headings, as a paragraph may well be shared by many pages. Where a page has an article
-or main element, its text is what is read.
+paragraphs and headings, as a paragraph may well be shared by many pages, and no branch in an article goes by
+repetition. Where a page has an article or main element, its text is what is read. Copies of a page on a host
+count as one page.
 
 The tree is counted, not gathered: pages give (node, block) rows, counts are aggregated before and after
 the shuffle, and only the nodes to remove come back, one row per host. A host with a third of all pages
@@ -46,6 +47,21 @@ def _key(text: str) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def _contents(batches):
+    """host, html and a hash of the page's text blocks with their places."""
+    for batch in batches:
+        texts = batch.column("html").to_pylist()
+        found = [_key("\n".join(f"{e.path} {b}" for e, b in markup.read(t)[1])) if t else 0 for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.int64()), batch.column("html")], ["host", "content", "html"])
+
+
+def distinct_contents(pages: DataFrame) -> DataFrame:
+    """host, html of ``pages``, one row of the copies of a page on a host."""
+    ship(pages.sparkSession)
+    rows = pages.select("host", "html").mapInArrow(_contents, "host string, content long, html string")
+    return rows.dropDuplicates(["host", "content"]).select("host", "html")
+
+
 def _features(batches):
     """(host, node, kind, feature) once per page: kind 0 for presentation, 1 for content."""
     for batch in batches:
@@ -70,7 +86,7 @@ def _features(batches):
 def importance(pages: DataFrame) -> DataFrame:
     """host, node, pages, importance: the style trees of all hosts of ``pages`` (host, html)."""
     ship(pages.sparkSession)
-    seen = pages.select("host", "html").mapInArrow(_features, "host string, node long, kind int, feature long")
+    seen = distinct_contents(pages).mapInArrow(_features, "host string, node long, kind int, feature long")
     counted = seen.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"))
     n = F.col("n").cast("double")
     nodes = counted.groupBy("host", "node").agg(
@@ -98,7 +114,7 @@ def main_text(text: str, removed: set[int]) -> str:
         if e is None or not e.tag:
             return False
         if id(e) not in cut:
-            repeated = e.tag in BRANCHES and bool(removed) and id(e) not in around and _key(e.path) in removed
+            repeated = e.tag in BRANCHES and bool(removed) and id(e) not in around and not inside(e) and _key(e.path) in removed
             cut[id(e)] = gone(e.parent) or repeated or markup.is_furniture(e, id(e) in around)
         return cut[id(e)]
 

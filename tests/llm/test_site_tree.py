@@ -82,3 +82,11 @@ def test_copies_of_a_page_do_not_remove_article_text(spark):
     got = {r.page_id: r.text for r in site_tree.extracted(spark.createDataFrame(table, PAGES)).collect()}
     assert got[0] == "Story 0 alone\nPoint 0\nCell 0" and got[199] == "Story 19 alone\nPoint 19\nCell 19"
     assert got[1003] == "T\nSame words" and got[2003] == "T3\nSame words"
+
+
+def test_topics_of_an_article_are_no_furniture():
+    inside = ("<section id='discussion'><h2 id='Navigation'>N</h2><p>d</p></section><h2 id='comments'>C</h2><p class='ad-hoc'>a <span class='ad-hoc'>b</span></p>"
+              "<div id='menu-engineering'>m</div><section id='subscription-model'>s</section>")
+    furniture = "<div class='ad'>x</div><div id='comments'>x</div><section class='comments'>x</section><p hidden>x</p><p>y<span class='ad'>x</span></p>"
+    for tag in ("article", "main"):
+        assert site_tree.main_text(f"<{tag}>{inside}{furniture}</{tag}><div id='menu-bar'>x</div>", set()) == "N\nd\nC\na b\nm\ns\ny"

@@ -28,19 +28,19 @@ class Element:
     parent: "Element | None" = None
     children: list[str] = field(default_factory=list)
     blocks: list[str] = field(default_factory=list)  # of its whole branch, for the style tree
+    unnamed: str = ""  # its marks without the id
 
 
-def _style(tag: str, attributes: str) -> tuple[str, str]:
-    """(what the style tree calls the element, its marks): tag and classes without numbers."""
+def _style(tag: str, attributes: str) -> tuple[str, str, str]:
+    """(what the style tree calls the element, its marks, those without the id): tag and classes without numbers."""
     found = {}
     if attributes and not attributes.isspace():
         for name, value in _ATTRIBUTE.findall(attributes):
             found[name.lower()] = value.strip("\"'").lower()
     classes = ".".join(sorted(_DIGITS.sub("", found.get("class", "")).split()))
-    marks = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    if "hidden" in found or found.get("aria-hidden") == "true":
-        marks += " hidden"
-    return (f"{tag}.{classes}" if classes else tag), marks.strip()
+    hidden = " hidden" if "hidden" in found or found.get("aria-hidden") == "true" else ""
+    marks, unnamed = (" ".join(found.get(k, "") for k in names) + hidden for names in (("class", "id", "role"), ("class", "role")))
+    return (f"{tag}.{classes}" if classes else tag), marks.strip(), unnamed.strip()
 
 
 def read(text: str) -> tuple[list[Element], list[tuple[Element, str]]]:
@@ -84,7 +84,7 @@ def read(text: str) -> tuple[list[Element], list[tuple[Element, str]]]:
                     current.append(" ")
                 elif tag not in VOID and not m[3].rstrip().endswith("/"):
                     # text of an advert within a line is left out without breaking the line
-                    inline.append((tag, _INSERTED.search(_style(tag, m[3])[1]) is not None))
+                    inline.append((tag, _inserted(_style(tag, m[3]), stack)))
                 continue
             flush()
             if tag in CLOSES:
@@ -103,9 +103,9 @@ def read(text: str) -> tuple[list[Element], list[tuple[Element, str]]]:
                     if stack[depth].tag in ("head", "nav", "header"):
                         del stack[depth:]
                         break
-            style, marks = _style(tag, m[3])
+            style, marks, unnamed = _style(tag, m[3])
             stack[-1].children.append(style)
-            stack.append(Element(tag, f"{stack[-1].path}/{style}", marks, stack[-1]))
+            stack.append(Element(tag, f"{stack[-1].path}/{style}", marks, stack[-1], unnamed=unnamed))
             elements.append(stack[-1])
             inline.clear()
         elif tag in INLINE:
@@ -134,6 +134,10 @@ _WHOLE = (r"(?:site-?|page-?|main-?|global-?)?(?:header|footer)|notices?|alerts?
           r"hidden|contentinfo|complementary|colophon|form")
 _FURNITURE = re.compile(rf"(?:^|[\s_-])(?:{_PARTS})(?=$|[\s_-])|(?:^|\s)(?:{_WHOLE})(?=$|\s)")
 _INSERTED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsored|promo|hidden|skip-?link)(?=$|[\s_-])")
+# Within an article whole names only, as parts of them may be its topic; an id of these elements names their topic too.
+_FURNITURE_INSIDE = re.compile(rf"(?:^|\s)(?:{_PARTS}|{_WHOLE})(?=$|\s)")
+_INSERTED_INSIDE = re.compile(r"(?:^|\s)(?:ads?|adverts?|advertisements?|sponsored|promo|hidden|skip-?link)(?=$|\s)")
+_TOPICS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "section"}
 
 
 def furniture(marks: str) -> bool:
@@ -147,6 +151,20 @@ def is_article(element: Element) -> bool:
     return element.tag == "main" or (element.tag == "article" and not _ASIDE_ARTICLE.search(element.marks))
 
 
+def _in_article(element: Element | None) -> bool:
+    while element is not None:
+        if is_article(element):
+            return True
+        element = element.parent
+    return False
+
+
+def _inserted(style: tuple[str, str, str], stack: list[Element]) -> bool:
+    if _INSERTED.search(style[1]) is None:
+        return False
+    return not _in_article(stack[-1]) or _INSERTED_INSIDE.search(style[1]) is not None
+
+
 def is_furniture(element: Element, around_article: bool = False) -> bool:
     """The element by itself, by its tag or marks. A header is one outside an article only.
 
@@ -155,7 +173,10 @@ def is_furniture(element: Element, around_article: bool = False) -> bool:
     if element.tag in FURNITURE_TAGS or element.tag == "article" and not is_article(element):
         return True
     if element.tag not in ("html", "body", "article", "main") and not around_article and furniture(element.marks):
-        return True
+        if not _in_article(element.parent):
+            return True
+        if _FURNITURE_INSIDE.search(element.unnamed if element.tag in _TOPICS else element.marks):
+            return True
     if element.tag == "header":
         up = element.parent
         while up is not None:

@@ -24,7 +24,7 @@ def test_gives_rows(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n != "pipeline") == list(range(1, 12))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n != "pipeline") == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op2_source_mix", "op3_license_scan", "op4_secret_scan", "op9_chat_lines", "op11_host_rules"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import chats, credentials, decontaminate, host_rules, licenses, mixing, mtree, simhash, site_tree, token_files, toxicity
+from tidemark.llm import chats, credentials, decontaminate, host_rules, licenses, mixing, mtree, simhash, site_tree, token_files, toxicity, turn_repair, whitening
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_lines": lambda spark, sf: chats.formatted(table(spark, sf, "conversations")),
     "op10_benchmark_matches": lambda spark, sf: decontaminate.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op11_host_rules": lambda spark, sf: host_rules.digest(table(spark, sf, "documents")),
+    "op12_whitened_components": lambda spark, sf: whitening.whitened(table(spark, sf, "embeddings")),
+    "op13_turn_repair": lambda spark, sf: turn_repair.repaired(table(spark, sf, "conversations")),
     "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {"op1_inner_product_search": mtree.TOP_K_SQL, "op2_source_mix": mixing.TAKEN_SQL, "op9_chat_lines": chats.FORMATTED_SQL,

@@ -73,3 +73,45 @@ def test_alerts_with_a_grace_that_does_not_divide_the_hour(spark, tmp_path):
     alerts = L.completeness_alerts(stream, Market(grace_minutes=7))
     got = sorted((str(r.session_date), r.boundary) for r in L.run_available(alerts, mode="append").collect())
     assert got == [(S2, "open")]
+
+
+def ticks(spark, tmp_path, steps):
+    """A stream of clock ticks, one file for each list of times, read in step with the polls."""
+    for rows in steps:
+        spark.createDataFrame([(t,) for t in rows], "t string").selectExpr("cast(t as timestamp_ntz) tick").coalesce(1) \
+            .write.mode("append").parquet(f"{tmp_path}/ticks")
+    return spark.readStream.schema("tick timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/ticks")
+
+
+def alerts_of(spark, polls, beats):
+    found = L.completeness_alerts(polls, beats=L.heartbeat(beats))
+    return sorted((str(r.session_date), r.boundary) for r in L.run_available(found, mode="append").collect())
+
+
+def test_sessions_without_a_poll_alert_all_boundaries(spark, tmp_path):
+    _, stream = polls(spark, tmp_path, [FILES[0][:1], FILES[1], FILES[2], FILES[3]])
+    beats = ticks(spark, tmp_path, [["2026-06-16 21:00:00", "2026-06-16 21:03:00"], ["2026-06-17 02:00:00"], ["2026-06-17 07:01:00"], ["2026-06-17 14:40:00"],
+                                    ["2026-06-17 21:00:00"], ["2026-06-18 07:00:00"], ["2026-06-18 20:00:00"],
+                                    # the 19th is a holiday, then a weekend, then Sunday's open
+                                    ["2026-06-18 21:10:00"], ["2026-06-20 12:00:00"], ["2026-06-21 21:30:00"], ["2026-06-22 20:00:00"]])
+    assert alerts_of(spark, stream, beats) == [(S1, "1420"), (S2, "0700"), (S2, "1420"), (S2, "open"),
+                                               ("2026-06-22", "0700"), ("2026-06-22", "1420"), ("2026-06-22", "open")]
+
+
+def test_ticks_alone_do_not_alert_before_the_grace_is_over(spark, tmp_path):
+    _, stream = polls(spark, tmp_path, [[(S1, "2026-06-16 21:00:10", "CTZ6", 5.0)]])
+    beats = ticks(spark, tmp_path, [["2026-06-16 21:00:30"], ["2026-06-17 07:12:00"]])
+    assert alerts_of(spark, stream, beats) == []
+
+
+def test_the_callers_session_keeps_its_settings(spark, tmp_path):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    _, stream = polls(spark, tmp_path, FILES[:2])
+    L.run_available(L.completeness_alerts(stream), mode="append")
+    assert spark.conf.get(name, None) == before
+
+
+def test_clock_ticks_are_a_stream_of_the_zone(spark):
+    found = L.heartbeat(L.clock_ticks(spark, "America/New_York"))
+    assert found.isStreaming and dict(found.dtypes) == {"session_date": "date", "snap_ts": "timestamp_ntz"}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.parsing import clean_code, number_or_null, number_or_zero
 from tidemark.settings import BAR_COLUMNS, COTTON, SIDECAR_COLUMNS, Market
 from tidemark.sources.delimited import CORRUPT, read_delimited
+from tidemark.sources.following import follow_delimited
 
 _DATE_GLOB = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]"
 
@@ -45,8 +46,19 @@ def read_tape(spark: SparkSession, root: str, market: Market = COTTON, session:
     ``files`` replaces the usual folder layout by another pattern below ``root``.
     """
     path = f"{root}/{files or f'{session}/{market.prefix.lower()}_options_tape.csv'}"
-    raw = read_delimited(spark, path, ("timestamp", "contract", "strike", "call_vol", "put_vol"),
-                         missing=missing)
+    return _typed_tape(read_delimited(spark, path, _TAPE_CELLS, missing=missing))
+
+
+def follow_tape(spark: SparkSession, root: str, market: Market = COTTON, session: str = _DATE_GLOB, files: str | None = None) -> DataFrame:
+    """The rows of ``read_tape`` as a stream that goes on as the files grow and new ones appear."""
+    path = f"{root}/{files or f'{session}/{market.prefix.lower()}_options_tape.csv'}"
+    return _typed_tape(follow_delimited(spark, path, _TAPE_CELLS))
+
+
+_TAPE_CELLS = ("timestamp", "contract", "strike", "call_vol", "put_vol")
+
+
+def _typed_tape(raw: DataFrame) -> DataFrame:
     return raw.select(
         session_of_path(F.col("file_path")).alias("session_date"),
         F.col("timestamp").try_cast("timestamp_ntz").alias("snap_ts"),

@@ -9,16 +9,19 @@ from __future__ import annotations
 
 import calendar
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.functions.sessions import is_closed
 from tidemark.functions.symbology import boundary_slot
 from tidemark.operators.boundary import _first_readings, _reading_rows, interim_windows, useful_polls
 from tidemark.operators.sizing import shared_folder
+from tidemark.operators.tape import window_slots
 from tidemark.settings import COTTON, Market
 
 WATERMARK = "10 minutes"
@@ -56,6 +59,30 @@ def live_windows(polls: DataFrame, market: Market = COTTON, watermark: str = WAT
     return wide.select("session_date", "contract", "last_ts", "night", "day", "full")
 
 
+def poll_totals(tape: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """A tape stream summed over strikes: one row per (session, poll, contract), with the columns of a tape.
+
+    In update mode the last row of a key is its sum so far; ``latest_rows`` of it is a tape the window operators take.
+    State is dropped a day after the poll, when its session is over.
+    """
+    timed = _timed(tape.filter(F.col("snap_ts").isNotNull()), watermark)
+    return timed.groupBy(F.window("event_time", "1 day").alias("w"), "session_date", "snap_ts", "contract").agg(
+        F.sum("call_vol").alias("call_vol"), F.sum("put_vol").alias("put_vol")).drop("w")
+
+
+def followed_polls(tape: DataFrame, folder: str | None = None) -> DataFrame:
+    """What a followed tape holds now, summed per poll and contract; call it again with the same ``folder`` for what came since.
+
+    The sums are taken up from the folder, so each call reads only what was appended.
+    """
+    return latest_rows(run_available(poll_totals(tape), folder=folder), ["session_date", "snap_ts", "contract"])
+
+
+def live_option_windows(tape: DataFrame, market: Market = COTTON, folder: str | None = None) -> DataFrame:
+    """Windows per slot of ``followed_polls``. Before its end a window is that up to the latest poll, an interim night or day."""
+    return window_slots(followed_polls(tape, folder), market)
+
+
 def _completeness_processor(offsets: dict[str, int], grace_minutes: int) -> StatefulProcessor:
     """The state function, made here so that it travels by value to workers without this package."""
 
@@ -108,24 +135,49 @@ def _completeness_processor(offsets: dict[str, int], grace_minutes: int) -> Stat
     return CompletenessProcessor(offsets, grace_minutes)
 
 
-def completeness_alerts(polls: DataFrame, market: Market = COTTON, watermark: str = WATERMARK) -> DataFrame:
+def heartbeat(ticks: DataFrame, market: Market = COTTON) -> DataFrame:
+    """(session_date, snap_ts) of a stream of clock ticks ``tick`` (the market's wall clock): the session each falls in.
+
+    A session runs from one evening open to the next. Ticks of closed dates are left out.
+    """
+    hour, minute = market.session_open
+    shifted = F.col("tick") + F.expr(f"INTERVAL '{24 * 60 - hour * 60 - minute}' MINUTE")
+    return ticks.select(shifted.cast("date").alias("session_date"), F.col("tick").cast("timestamp_ntz").alias("snap_ts")) \
+        .filter(~is_closed(F.col("session_date"), market))
+
+
+def clock_ticks(spark: SparkSession, zone: str, seconds: int = 60) -> DataFrame:
+    """A stream of the wall clock of ``zone``, a tick every so many seconds, for ``heartbeat``. The engine gives the time."""
+    rate = spark.readStream.format("rate").option("rowsPerSecond", 1).load().filter(F.col("value") % seconds == 0)
+    local = F.convert_timezone(F.current_timezone(), F.lit(zone), F.col("timestamp").cast("timestamp_ntz"))
+    return rate.select(local.alias("tick"))
+
+
+def completeness_alerts(polls: DataFrame, market: Market = COTTON, watermark: str = WATERMARK, beats: DataFrame | None = None) -> DataFrame:
     """One row per boundary that no tracked contract was read at within the grace period.
 
     Polls are first counted per minute (partially before the shuffle), so the state function sees
     at most a day of minute counts per session, however many polls there are. A boundary was read
-    if a minute from its time on, and before its grace period ends, has a poll. A boundary is judged when the watermark passes its grace period. A session without
-    a single poll has no state; the batch check reports it as a missing file.
+    if a minute from its time on, and before its grace period ends, has a poll. It is judged when the watermark
+    passes its grace period.
+
+    ``beats`` (``heartbeat``) is a second stream, merged with the polls before the watermark: a session has its timers
+    from its first tick on and time goes on without polls, so a session without a single poll alerts all its boundaries.
+    Ticks must keep pace with the polls: a tick is a statement that polls older than the watermark behind it have come.
+    Without ``beats`` a session without a poll has no state; the batch check reports it as a missing file.
 
-    Needs the RocksDB state store provider.
+    The query must run with the RocksDB state store provider (``rocksdb_state``).
     """
     tracked = boundary_slot(F.col("contract"), F.col("session_date"), market).isNotNull()
     useful = F.col("volume").isNotNull() | F.col("oi").isNotNull()
-    counts = _timed(polls, watermark).groupBy(
+    seen = polls.select("session_date", "snap_ts", F.coalesce(tracked & useful, F.lit(False)).alias("hit"))
+    if beats is not None:
+        seen = seen.unionByName(beats.select("session_date", "snap_ts", F.lit(False).alias("hit")))
+    counts = _timed(seen, watermark).groupBy(
         F.window("event_time", "1 minute").alias("w"), "session_date"
-    ).agg(F.count_if(tracked & useful).alias("n"))
+    ).agg(F.count_if("hit").alias("n"))
     rows = counts.select("session_date", F.unix_seconds("w.start").alias("start"),
                          F.window_time("w").alias("event_time"), "n")
-    polls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return rows.groupBy("session_date").transformWithStateInPandas(
         statefulProcessor=_completeness_processor(_boundary_offsets(market), market.grace_minutes),
         outputStructType="session_date date, boundary string", outputMode="append", timeMode="EventTime")
@@ -139,19 +191,39 @@ def _boundary_offsets(market: Market) -> dict[str, int]:
     return dict(zip(market.boundaries, minutes))
 
 
-def run_available(stream: DataFrame, mode: str = "update") -> DataFrame:
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB; the session's own setting is as before afterwards.
+
+    A query takes the settings of its session when it is started.
+    """
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def run_available(stream: DataFrame, mode: str = "update", folder: str | None = None) -> DataFrame:
     """Process what is there, one folder per micro-batch; replayed batches overwrite theirs.
 
-    Returns the emitted rows with their ``batch`` number.
+    Returns the emitted rows with their ``batch`` number. With a ``folder`` of an earlier run of the same stream its
+    state and offsets are taken up, and the rows are those of all runs.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = folder or shared_folder(spark)
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    started = stream.writeStream.outputMode(mode).foreachBatch(save) \
-        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    with rocksdb_state(spark):
+        started = stream.writeStream.outputMode(mode).foreachBatch(save) \
+            .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     started.awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
     return spark.read.schema(schema).parquet(f"{folder}/rows")

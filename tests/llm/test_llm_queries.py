@@ -6,7 +6,8 @@ import pytest
 from compare import connect, differences
 
 import corpus_pipeline
-from tidemark.llm import queries, simhash
+from test_near_copies import plain_firsts
+from tidemark.llm import queries
 from tidemark.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -46,9 +47,16 @@ def test_pipeline_stages(spark):
         kept = {r.doc_id for r in out.select("doc_id").collect()}
         assert kept and kept <= {r.doc_id for r in docs.select("doc_id").collect()}
         if name == "simhash_near_dedup":
-            whole = simhash.linked(docs).collect()
-            assert kept == {r.component_id for r in whole}
+            listed = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+            assert kept == {listed[i][0] for i in plain_firsts(listed)}
         docs = spark.createDataFrame(out.collect(), out.schema)
     files = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert files.count() == docs.count()
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        given = table(spark, SF, name)
+        (given if name != "documents" else given.limit(0)).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

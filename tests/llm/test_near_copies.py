@@ -1,9 +1,13 @@
 import random
+from collections import Counter
 
-import corpus_pipeline
+import numpy as np
+import pytest
 from helpers import crowded, docs, rows
+from pyspark.sql import functions as F
 
-from tidemark.llm import near_copies
+import corpus_pipeline
+from tidemark.llm import common, near_copies, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,7 +71,90 @@ def test_pipeline_removes_near_copies_of_distant_fingerprints(spark):
     for i in range(20):
         whole = [rng.choice(words) for _ in range(200)]
         table += [(2 * i, " ".join(whole)), (2 * i + 1, edited(rng, words, whole, 3))]
+    assert simhash.deduplicated(docs(spark, table)).count() > 20  # three bits do not find them all
     left = corpus_pipeline.near_dedup(spark, docs(spark, table), SF)
-    left = spark.createDataFrame(left.collect(), left.schema)
-    assert left.count() > 20  # three bits do not find them all
-    assert sorted(r.doc_id for r in corpus_pipeline.without_test_items(spark, left, SF).collect()) == list(range(0, 40, 2))
+    assert sorted(r.doc_id for r in left.collect()) == list(range(0, 40, 2))
+
+
+def test_unlike_texts_of_near_fingerprints_stay(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "_of_prints", lambda classes: classes.alias("x").join(classes.alias("y"), F.expr("x.bits < y.bits")).selectExpr(
+        "x.bits AS a", "x.n", "y.bits AS b", "y.n AS m"))
+    table = [(i, " ".join(f"d{i}w{k}" for k in range(30))) for i in range(12)]
+    assert near_copies.deduplicated(docs(spark, table)).count() == 12
+
+
+def by_prefixes(table):
+    """How many texts stay, by an exact prefix filter in plain Python."""
+    sets = sorted({frozenset(shingle_set(t)) for _, t in table}, key=len)
+    counts = Counter(g for s in sets for g in s)
+    index, root = {}, list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, s in enumerate(sets):
+        prefix = sorted(s, key=lambda g: (counts[g], g))[:len(s) - -(-4 * len(s) // 5) + 1]
+        for j in {j for g in prefix for j in index.get(g, ())}:
+            shared = len(s & sets[j])
+            if 9 * shared >= 4 * (len(s) + len(sets[j])):
+                root[find(k)] = find(j)
+        for g in prefix:
+            index.setdefault(g, []).append(k)
+    return len({find(k) for k in range(len(sets))})
+
+
+def emitted(spark, table, monkeypatch):
+    """Texts kept, and the pairs that were compared."""
+    compared, verified = [], near_copies._verified
+
+    def counted(pairs, grams):
+        compared.append(pairs.count())
+        return verified(pairs, grams)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    return near_copies.deduplicated(docs(spark, table)).count(), sum(compared)
+
+
+def test_one_bucket_of_many_unlike_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(160)]
+    table = [(i, " ".join(passage + [f"t{i}w{k}" for k in range(40)])) for i in range(5000)]  # 0.66 alike
+    table += [(5000 + i, " ".join(passage + [f"t{i}w{k}" for k in range(38)] + [f"x{i}"])) for i in range(100)]
+    rng.shuffle(table)
+    kept, compared = emitted(spark, table, monkeypatch)
+    assert kept == by_prefixes(table) == 5000
+    assert compared < 40 * len(table)
+
+
+def test_edits_of_a_text_that_is_not_there(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    whole = [rng.choice(words) for _ in range(150)]
+    table = [(i, edited(rng, words, whole, rng.choice([2, 3, 3, 4, 5, 7]))) for i in range(300)]
+    assert emitted(spark, table, monkeypatch)[0] == by_prefixes(table)
+
+
+def test_recall_on_a_table(spark):
+    table = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    assert near_copies.deduplicated(docs(spark, table)).count() == by_prefixes(table)
+
+
+def test_fingerprint_of_a_set():
+    rng = np.random.default_rng(1)
+    for size in (1, 2, 3, 500, 5000):
+        found = rng.integers(0, 1 << 63, size, np.uint64)
+        want = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in found) > size)
+        assert near_copies.print_of(found) % (1 << 64) == want
+    assert near_copies.print_of(np.empty(0, np.uint64)) == 0
+
+
+def test_scratch_tables_of_others_stay(spark):
+    before = common.written(spark.range(3), "mine")
+    with common.scope(spark):
+        inner = common.written(spark.range(5), "inner")
+        assert inner.count() == 5
+    assert before.count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        inner.count()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from functools import cache
 from pathlib import Path
 
@@ -38,13 +39,33 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-_TABLES: list[str] = []
+_SCOPES: list[list[str]] = [[]]
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the tables ``written`` so far; call it when no result depends on them any more."""
-    while _TABLES:
-        remove(spark, _TABLES.pop())
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables ``written`` inside are removed at the end, those of other results are left; scopes nest."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
+
+
+class Scratch:
+    """Tables of one computation, by name, removed as soon as it has read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = shared_path(self.spark, name)
+        return _stored(df, self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        for name in names or [*self.paths]:
+            remove(self.spark, self.paths.pop(name))
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -61,11 +82,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Unlike a checkpoint it is compressed and has exact sizes, so joins choose by them.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    _TABLES.append(path)
+    path = shared_path(df.sparkSession, name)
+    _SCOPES[-1].append(path)
+    return _stored(df, path)
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -1,10 +1,14 @@
 """From raw documents to token files: five stages, each written as Parquet and read again.
 
-Toxic documents go, one document of each near-duplicate group stays (groups of near fingerprints, and before test
-items are looked for also of texts that share their five-word shingles), documents that hold test items go, sources
-are mixed to their targets (so a document may come more than once), and the rest is written as files of token ids.
-A stage sees all rows its predecessor kept. Tables of ``sf_dir`` other than the documents (labels, benchmark) are
-read where a stage needs them.
+Toxic documents go, one document of each near-duplicate group stays (texts whose five-word shingles have a similarity of
+0.8 or more, found by their fingerprints and by minima of their shingles, compared exactly), documents that hold test
+items go, sources are mixed to their targets (so a document may come more than once), and the rest is written as files
+of token ids. A stage sees all rows its predecessor kept. Tables of ``sf_dir`` other than the documents (labels,
+benchmark) are read where a stage needs them.
+
+Defined cases, for every stage: a null or empty text is no toxic one, is a copy of every other such text, holds no test
+item, is repeated at its source's rate like any other and has one token, the end; rows with the same id are rows of their own; an empty table goes through as an empty table; extra
+columns are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,8 +16,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, near_copies, simhash, token_files, toxicity
-from tidemark.llm.common import release, remove, shared_path, table, written
+from tidemark.llm import decontaminate, mixing, near_copies, token_files, toxicity
+from tidemark.llm.common import remove, scope, shared_path, table
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,13 +25,11 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    return near_copies.deduplicated(docs)
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # The stage before keeps the groups of op5's fingerprints; near copies further apart than three bits go here.
-    once = written(near_copies.deduplicated(docs), "no-near-copies")
-    return decontaminate.decontaminated(once, table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scope(spark):  # what a stage settles on its way is not needed any more
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        release(spark)  # what a stage settled on its way and what it read are not needed any more
         if before:
             remove(spark, before)
         before = path

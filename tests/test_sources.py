@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.upsert import merge_counts, upsert
 from tidemark.sources.delimited import quarantine, read_delimited
 from tidemark.sources.market import flatten_history, prior_series, read_history
-from tidemark.sources.sinks import HistoryTable, replace_table, write_report
+from tidemark.sources.sinks import ConflictError, HistoryTable, replace_table, write_report
+from tidemark.sources.versions import read_table
 
 
 def test_headers_in_different_order_are_read_by_name(spark, tmp_path):
@@ -74,12 +75,118 @@ def test_history_table_is_idempotent_and_permanent(spark, tmp_path):
 def test_an_upsert_rewrites_only_the_years_it_touches(spark, tmp_path):
     t = HistoryTable(spark, f"{tmp_path}/h", SCHEMA, KEYS)
     t.upsert(rows(spark, ("2024-05-01", "CT", 1.0, "a"), ("2025-05-01", "CT", 2.0, "b")))
-    before = sorted(p.name for p in (tmp_path / "h" / "year=2024").glob("*.parquet"))
+    before = t.versions.latest()[1]["parts"]
     t.upsert(rows(spark, ("2025-05-02", "CT", 3.0, "c")))
-    assert sorted(p.name for p in (tmp_path / "h" / "year=2024").glob("*.parquet")) == before
+    after = t.versions.latest()[1]["parts"]
+    assert after["2024"] == before["2024"] and after["2025"]["folder"] != before["2025"]["folder"]
     assert t.rows().count() == 3
 
 
+def of(table):
+    return sorted((str(r.date), r.commodity, r.total, r.note) for r in table.rows().collect())
+
+
+def other_first(monkeypatch, table, other, times=1):
+    """Let ``other`` commit just before ``table`` publishes."""
+    publish, left = table.versions.publish, [times]
+
+    def late(number, manifest):
+        if left[0]:
+            left[0] -= 1
+            other(left[0])
+        return publish(number, manifest)
+
+    monkeypatch.setattr(table.versions, "publish", late)
+
+
+def test_of_two_writers_of_one_year_one_begins_again(spark, tmp_path, monkeypatch):
+    a, b = (HistoryTable(spark, f"{tmp_path}/h", SCHEMA, KEYS) for _ in range(2))
+    a.upsert(rows(spark, ("2026-01-01", "CT", 1.0, "first")))
+    other_first(monkeypatch, a, lambda k: b.upsert(rows(spark, ("2026-01-02", "CT", 2.0, "b"), ("2026-01-03", "CT", 3.0, "b"))))
+    counts = a.upsert(rows(spark, ("2026-01-03", "CT", 9.0, "a"), ("2026-01-04", "CT", 4.0, "a")))
+    assert of(a) == [("2026-01-01", "CT", 1.0, "first"), ("2026-01-02", "CT", 2.0, "b"), ("2026-01-03", "CT", 9.0, "a"), ("2026-01-04", "CT", 4.0, "a")]
+    assert counts == {"n_new": 2, "n_kept": 2, "n_total": 4} and a.versions.numbers() == [1, 2, 3]
+
+
+def test_writers_of_different_years_do_not_merge_again(spark, tmp_path, monkeypatch):
+    a, b = (HistoryTable(spark, f"{tmp_path}/h", SCHEMA, KEYS) for _ in range(2))
+    a.upsert(rows(spark, ("2026-01-01", "CT", 1.0, "first")))
+    other_first(monkeypatch, a, lambda k: b.upsert(rows(spark, (f"202{k}-01-02", "CT", 2.0, "b"))), times=2)
+    merged = []
+    write = a._written
+    monkeypatch.setattr(a, "_written", lambda *x: merged.append(1) or write(*x))
+    assert a.upsert(rows(spark, ("2026-01-03", "CT", 9.0, "a")))["n_total"] == 4
+    assert len(merged) == 1 and [r[0] for r in of(a)] == ["2020-01-02", "2021-01-02", "2026-01-01", "2026-01-03"]
+
+
+def test_a_writer_that_is_always_late_gives_up(spark, tmp_path, monkeypatch):
+    a, b = (HistoryTable(spark, f"{tmp_path}/h", SCHEMA, KEYS) for _ in range(2))
+    other_first(monkeypatch, a, lambda k: b.upsert(rows(spark, (f"20{k + 10}-01-02", "CT", 2.0, "b"))), times=3)
+    with pytest.raises(ConflictError):
+        a.upsert(rows(spark, ("2026-01-03", "CT", 9.0, "a")), attempts=2)
+    assert len(of(a)) == 2
+
+
+def test_a_run_killed_before_its_commit_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    t = HistoryTable(spark, f"{tmp_path}/h", SCHEMA, KEYS)
+    t.upsert(rows(spark, ("2025-12-31", "CT", 1.0, "a"), ("2026-01-02", "CT", 2.0, "b")))
+    before, read = of(t), t.rows()
+
+    def killed(number, manifest):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(t.versions, "publish", killed)
+    with pytest.raises(KeyboardInterrupt):
+        t.upsert(rows(spark, ("2025-12-31", "CT", 8.0, "x"), ("2026-01-02", "CT", 9.0, "x")))
+    fresh = HistoryTable(spark, f"{tmp_path}/h", SCHEMA, KEYS)
+    assert of(fresh) == before and read.count() == 2
+    assert len(list((tmp_path / "h" / "_data").iterdir())) == 2  # the files of the killed run name nothing
+    assert fresh.versions.expire(older_than=0) == 1 and of(fresh) == before
+
+
+def test_readers_keep_their_version_until_it_expires(spark, tmp_path):
+    t = HistoryTable(spark, f"{tmp_path}/h", SCHEMA, KEYS)
+    for total in (1.0, 2.0, 3.0):
+        t.upsert(rows(spark, ("2026-01-02", "CT", total, "a")))
+        if total == 1.0:
+            old = t.rows()
+    assert old.first().total == 1.0 and t.rows().first().total == 3.0
+    assert t.versions.expire(keep=1, older_than=3600) == 0 and t.versions.expire(keep=1, older_than=0) == 2
+    assert t.versions.numbers() == [3] and of(t) == [("2026-01-02", "CT", 3.0, "a")]
+
+
+def test_a_history_of_year_folders_is_taken_over(spark, tmp_path):
+    old = rows(spark, ("2025-12-31", "CT", 1.0, "a"), ("2026-01-02", "CT", 2.0, "b"), (None, "CT", 0.0, "n"))
+    old.withColumn("year", F.year("date")).write.partitionBy("year").parquet(f"{tmp_path}/h")
+    t = HistoryTable(spark, f"{tmp_path}/h", SCHEMA, KEYS)
+    assert len(of(t)) == 3
+    assert t.upsert(rows(spark, ("2026-01-02", "CT", 5.0, "c"))) == {"n_new": 1, "n_kept": 2, "n_total": 3}
+    assert of(t) == [("2025-12-31", "CT", 1.0, "a"), ("2026-01-02", "CT", 5.0, "c"), ("None", "CT", 0.0, "n")]
+    t.upsert(rows(spark, (None, "KC", 7.0, "m")))
+    assert len(of(t)) == 4 and t.upsert(rows(spark)) == {"n_new": 0, "n_kept": 4, "n_total": 4}
+
+
+def test_counts_are_those_of_the_merge(spark, tmp_path):
+    t = HistoryTable(spark, f"{tmp_path}/h", SCHEMA, KEYS)
+    old = rows(spark, *[(f"2025-01-{d:02d}", c, 1.0, "o") for d in range(1, 29) for c in ("CT", "KC")], ("2024-02-01", "CT", 1.0, "o"))
+    new = rows(spark, *[(f"2025-01-{d:02d}", "CT", 2.0, "n") for d in range(20, 32)])
+    t.upsert(old)
+    want = merge_counts(old, new, KEYS).first()
+    assert t.upsert(new) == want.asDict()
+    assert t.upsert(new.withColumn("total", F.lit(None).cast("double")), merge="coalesce")["n_total"] == want.n_total
+    assert t.rows().filter("total = 2.0").count() == 12
+
+
+def test_replaced_tables(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    assert replace_table(spark.range(5), path) == 5
+    before = read_table(spark, path)
+    assert replace_table(spark.range(2).selectExpr("id AS other"), path) == 2
+    assert before.count() == 5 and read_table(spark, path).columns == ["other"] and read_table(spark, path).count() == 2
+    spark.range(3).write.parquet(f"{tmp_path}/plain")
+    assert read_table(spark, f"{tmp_path}/plain").count() == 3 and read_table(spark, f"{tmp_path}/none", "id long").count() == 0
+
+
 def test_upsert_ignores_unknown_columns_and_counts(spark):
     old = rows(spark, ("2026-01-01", "CT", 1.0, "a"), ("2026-01-02", "CT", 2.0, "b"))
     new = rows(spark, ("2026-01-02", "CT", 9.0, "z"), ("2026-01-03", "CT", 3.0, "c")).withColumn("extra", F.lit(1))

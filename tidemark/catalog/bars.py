@@ -12,10 +12,12 @@ from tidemark.operators import boundary as B
 from tidemark.operators import coverage as C
 from tidemark.operators import trailing as R
 from tidemark.operators.ranking import last_sessions, rank_contracts
-from tidemark.operators.upsert import merge_counts, upsert
+from tidemark.operators.sizing import shared_folder
+from tidemark.operators.upsert import upsert
 from tidemark.plans import futures as P
 from tidemark.plans import history as H
 from tidemark.sources.market import clean_bars, flatten_history
+from tidemark.sources.sinks import HistoryTable
 
 TIER_COLUMNS = ("tier", "avg", "rvol", "n", "note", "flag")
 
@@ -246,7 +248,10 @@ def trailing_refresh_counts(spark, sf):
     day = _refresh_day()
     recent = _repulled(spark, sf).filter(
         (F.col("session_date") >= F.date_sub(day, 15)) & (F.col("session_date") <= day))
-    return merge_counts(seed(spark, sf), recent, ["session_date", "generic"])
+    table = HistoryTable(spark, shared_folder(spark), "session_date date, generic string, volume double", ("session_date", "generic"), date="session_date")
+    table.upsert(seed(spark, sf))
+    counts = table.upsert(recent)  # counted by the write itself
+    return spark.createDataFrame([tuple(counts.values())], "n_new long, n_kept long, n_total long")
 
 
 @query("last_seed_sessions", f"""WITH {BARS_SQL} SELECT session_date FROM seed_total ORDER BY session_date DESC LIMIT 5""")

@@ -159,7 +159,7 @@ _CHAIN = f"""{FUTURES_SQL}, board AS (
 placed AS (SELECT *, (year(date) + CASE WHEN make_date(year(date), m, 1) >= date THEN 0 ELSE 1 END + p - 1) * 100 + m AS delivery FROM board),
 chained AS (SELECT date, commodity, contract AS front, ROW_NUMBER() OVER w AS k, LEAD(contract) OVER w AS back,
   settle - LEAD(settle) OVER w AS settle FROM placed WINDOW w AS (PARTITION BY date, commodity ORDER BY delivery)),
-spreads AS (SELECT date, commodity, k || '-' || (k + 1) AS spread_label, front, back, settle FROM chained WHERE back IS NOT NULL AND k <= 5)"""
+spreads AS (SELECT date, commodity, k, k || '-' || (k + 1) AS spread_label, front, back, settle FROM chained WHERE back IS NOT NULL)"""
 
 
 @query("spread_chain", f"WITH {_CHAIN} SELECT date, commodity, spread_label, front, back, ROUND(settle, 4) AS settle FROM spreads")
@@ -167,6 +167,11 @@ def spread_chain(spark, sf):
     return rounded(I.spread_chain(futures(spark, sf)), "settle", digits=4)
 
 
+@query("spread_chain_first_five", f"WITH {_CHAIN} SELECT date, commodity, spread_label, front, back, ROUND(settle, 4) AS settle FROM spreads WHERE k <= 5")
+def spread_chain_first_five(spark, sf):
+    return rounded(I.spread_chain(futures(spark, sf), pairs=5), "settle", digits=4)
+
+
 @query("spread_latest", f"""WITH {_CHAIN}, ct AS (SELECT * FROM spreads WHERE commodity = 'CT')
 SELECT date, commodity, spread_label, ROUND(settle, 4) AS settle FROM ct WHERE date = (SELECT MAX(date) FROM ct)""")
 def spread_latest(spark, sf):

@@ -17,6 +17,7 @@ from tidemark.settings import SIDECAR_COLUMNS, Market
 from tidemark.sources import sinks
 from tidemark.sources.delimited import quarantine
 from tidemark.sources.market import prior_series, read_history, read_sidecar, read_tape, session_files
+from tidemark.sources.versions import read_table
 
 _HEADER = "timestamp,contract,strike,call_vol,put_vol"
 
@@ -126,4 +127,4 @@ def replaced_bars(spark, sf):
     root = shared_folder(spark)
     sinks.replace_table(seed(spark, sf), root)
     sinks.replace_table(seed(spark, sf).filter(F.year("session_date") == 1996), root)
-    return spark.read.parquet(root)
+    return read_table(spark, root)

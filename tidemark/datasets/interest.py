@@ -42,8 +42,8 @@ def align_release(options: DataFrame, futures: DataFrame, market: Market = COTTO
         traded, ["commodity", "release_date", "contract_month"])
 
 
-def spread_chain(futures: DataFrame, skipped: Sequence[str] = ("OCT",), pairs: int = 5) -> DataFrame:
-    """Front minus back settlement of neighbouring deliveries: labels 1-2, 2-3, ...
+def spread_chain(futures: DataFrame, skipped: Sequence[str] = ("OCT",), pairs: int | None = None) -> DataFrame:
+    """Front minus back settlement of neighbouring deliveries: labels 1-2, 2-3, ..., all or the first ``pairs``.
 
     One (date, commodity) holds a board of at most a dozen contracts.
     """
@@ -57,7 +57,8 @@ def spread_chain(futures: DataFrame, skipped: Sequence[str] = ("OCT",), pairs: i
         F.lead("contract").over(order).alias("back"),
         (F.col("settle") - F.lead("settle").over(order)).alias("settle"))
     label = F.concat(F.col("position").cast("string"), F.lit("-"), (F.col("position") + 1).cast("string"))
-    return chained.filter(F.col("back").isNotNull() & (F.col("position") <= pairs)).select(
+    wanted = F.col("back").isNotNull() if pairs is None else F.col("back").isNotNull() & (F.col("position") <= pairs)
+    return chained.filter(wanted).select(
         "date", "commodity", label.alias("spread_label"), F.col("contract").alias("front"), "back", "settle")
 
 

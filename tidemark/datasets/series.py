@@ -1,4 +1,7 @@
-"""Statistics of daily and weekly series. Every window holds one named series of dated rows."""
+"""Statistics of daily and weekly series. Every window holds one named series of dated rows.
+
+With ``block_rows`` a window holds a block of that many rows of a series, with the same results (``operators.blocks``).
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import ratio
+from tidemark.operators.blocks import joined, percent_rank, sliding
 
 
 def _rows(keys: Sequence[str], date: str, back: int):
@@ -29,35 +33,49 @@ def realised_vol(keys: Sequence[str], date: str, n: int, per_year: int = 252) ->
     return F.stddev("log_return").over(_rows(keys, date, n - 1)) * F.sqrt(F.lit(per_year)) * 100
 
 
-def vol_signals(df: DataFrame, value: str, keys: Sequence[str], date: str, year: int = 252) -> DataFrame:
+def vol_signals(df: DataFrame, value: str, keys: Sequence[str], date: str, year: int = 252, block_rows: int | None = None) -> DataFrame:
     """30- and 60-day realised volatility and the one-year z-score of a price series."""
-    out = with_log_return(df, value, keys, date)
-    return out.select(
-        *df.columns, realised_vol(keys, date, 30).alias("hv30"), realised_vol(keys, date, 60).alias("hv60"),
-        rolling_zscore(value, keys, date, year).alias("zscore_1yr"))
+    def windows(rows: DataFrame, by: list[str], more: list[str]) -> DataFrame:
+        out = with_log_return(rows, value, by, date)
+        return out.select(
+            *df.columns, *more, realised_vol(by, date, 30).alias("hv30"), realised_vol(by, date, 60).alias("hv60"),
+            rolling_zscore(value, by, date, year).alias("zscore_1yr"))
+
+    # the first return of a frame looks one row further back
+    return sliding(df, keys, date, max(60, year - 1), windows, block_rows)
 
 
 def extremes(df: DataFrame, value: str, keys: Sequence[str], date: str, high: float = 90.0, low: float = 10.0,
-             very_high: float = 95.0, very_low: float = 5.0) -> DataFrame:
+             very_high: float = 95.0, very_low: float = 5.0, block_rows: int | None = None) -> DataFrame:
     """Percentile rank in the whole history, z-score, 20-day volatility and an extreme flag.
 
-    The cut-offs are parameters.
+    The cut-offs are parameters. Mean and deviation of a history are partially aggregated and joined back.
     """
-    whole = Window.partitionBy(*keys)
-    rank = F.percent_rank().over(whole.orderBy(value)) * 100
-    z = ratio(F.col(value) - F.avg(value).over(whole), F.stddev(value).over(whole))
-    out = with_log_return(df, value, keys, date).withColumn("rank", rank).withColumn("zscore", z).withColumn(
-        "vol_20d", realised_vol(keys, date, 20))
+    def windows(rows: DataFrame, by: list[str], more: list[str]) -> DataFrame:
+        return with_log_return(rows, value, by, date).select(*df.columns, *more, realised_vol(by, date, 20).alias("vol_20d"))
+
+    swung = sliding(df, keys, date, 20, windows, block_rows)
+    ranked = percent_rank(swung, keys, value, "rank", block_rows).withColumn("rank", F.col("rank") * 100)
+    if block_rows is None:
+        whole = Window.partitionBy(*keys)
+        out = ranked.withColumn("zscore", ratio(F.col(value) - F.avg(value).over(whole), F.stddev(value).over(whole)))
+    else:
+        sums = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev(value).alias("_spread"))
+        out = joined(ranked, sums, keys).withColumn("zscore", ratio(F.col(value) - F.col("_mean"), F.col("_spread"))).drop("_mean", "_spread")
     flag = (F.when(F.col("rank") >= very_high, "!! HI").when(F.col("rank") <= very_low, "!! LO")
             .when(F.col("rank") >= high, "HI").when(F.col("rank") <= low, "LO"))
-    return out.withColumn("flag", flag).drop("log_return")
+    return out.withColumn("flag", flag).select(*df.columns, "rank", "zscore", "vol_20d", "flag")
 
 
-def moving_average(df: DataFrame, value: str, keys: Sequence[str], date: str, n: int = 13, lag: int = 13) -> DataFrame:
+def moving_average(df: DataFrame, value: str, keys: Sequence[str], date: str, n: int = 13, lag: int = 13,
+                   block_rows: int | None = None) -> DataFrame:
     """n-row moving average and its copy ``lag`` rows earlier (the lag length is a parameter)."""
-    out = df.withColumn(f"sma_{value}", F.avg(value).over(_rows(keys, date, n - 1)))
-    order = Window.partitionBy(*keys).orderBy(date)
-    return out.withColumn(f"lagged_sma_{value}", F.lag(f"sma_{value}", lag).over(order))
+    def windows(rows: DataFrame, by: list[str], more: list[str]) -> DataFrame:
+        out = rows.withColumn(f"sma_{value}", F.avg(value).over(_rows(by, date, n - 1)))
+        order = Window.partitionBy(*by).orderBy(date)
+        return out.select(*df.columns, *more, f"sma_{value}", F.lag(f"sma_{value}", lag).over(order).alias(f"lagged_sma_{value}"))
+
+    return sliding(df, keys, date, n - 1 + lag, windows, block_rows)
 
 
 def running_total(value: str, keys: Sequence[str], date: str) -> Column:

@@ -7,11 +7,14 @@ from datetime import date, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import falls_on_holiday, holidays
 from tidemark.functions.parsing import at_clock
 from tidemark.settings import COTTON, Market
 
 
 def is_holiday(day: Column, market: Market = COTTON) -> Column:
+    if market.holiday_rules:
+        return falls_on_holiday(day, market)
     if not market.closed_dates:
         return F.lit(False)
     return F.array_contains(F.expr(f"array({', '.join(f"date'{d}'" for d in market.closed_dates)})"), day)
@@ -46,6 +49,10 @@ def is_due(boundary: Column, session_date: Column, as_of: Column, market: Market
 
 def next_business_day(day: Column, market: Market = COTTON) -> Column:
     """First open day after ``day``: the next weekday, moved on where that is a holiday."""
+    if market.holiday_rules:
+        near = F.sequence(F.date_add(day, 1), F.date_add(day, 14))  # no market is closed for two weeks
+        closed = F.concat(holidays(F.year(day), market), holidays(F.year(F.date_add(day, 14)), market))
+        return F.filter(near, lambda d: (F.weekday(d) < 5) & ~F.array_contains(closed, d))[0]
     ahead = F.when(F.weekday(day) == 4, 3).when(F.weekday(day) == 5, 2).otherwise(1)
     weekday = F.date_add(day, ahead)
     moved = {h: _first_open(h, market) for h in market.closed_dates}

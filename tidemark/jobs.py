@@ -15,16 +15,18 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.sessions import is_holiday
 from tidemark.operators.coverage import capture_check
 from tidemark.operators.sizing import release
 from tidemark.plans import futures as fut
 from tidemark.plans import options as opt
-from tidemark.settings import COTTON, Market
+from tidemark.settings import COTTON, US_EXCHANGE, Market
 from tidemark.sources import market as src
 from tidemark.sources import sinks
 from tidemark.sources.delimited import quarantine
@@ -45,11 +47,15 @@ def _history(spark: SparkSession, out: str, name: str, schema: str, keys) -> sin
 
 
 def market_of(commodity: str) -> Market:
-    """The default market for cotton; other codes keep its months with their own prefix."""
+    """The default market for cotton; other codes keep its months with their own prefix. Years not listed go by the rules."""
     code = commodity.upper()
     if code == COTTON.prefix:
-        return COTTON
-    return Market(prefix=code, excluded_prefixes=(), excluded_generics=(f"{code}OCT", f"{code}AUG"), serial_parents=())
+        return replace(COTTON, holiday_rules=US_EXCHANGE)
+    return Market(prefix=code, excluded_prefixes=(), excluded_generics=(f"{code}OCT", f"{code}AUG"), serial_parents=(), holiday_rules=US_EXCHANGE)
+
+
+def _closed(spark: SparkSession, session: str, market: Market) -> bool:
+    return spark.range(1).select(is_holiday(F.lit(session).cast("date"), market)).first()[0]
 
 
 def run_options(spark: SparkSession, root: str, out: str | None, *, commodity: str = "CT", session: str | None = None,
@@ -60,7 +66,7 @@ def run_options(spark: SparkSession, root: str, out: str | None, *, commodity: s
         if session is None and not backfill:
             last = src.session_files(spark, root, tape_name).agg(F.max("session_date").alias("d")).first().d
             session = last.isoformat()
-        if session in market.closed_dates:
+        if session and _closed(spark, session, market):
             print(f"{commodity} closed on {session} -- no session")
             return 0
         tape = src.read_tape(spark, root, market, *([] if backfill else [session]))
@@ -116,7 +122,7 @@ def run_futures(spark: SparkSession, root: str, out: str | None, bars_path: str,
             _history(spark, out, "futures_session_volume", fut.HISTORY_SCHEMA, SESSION_KEYS).upsert(rows)
             _history(spark, out, "futures_session_volume_by_contract", fut.CONTRACT_SCHEMA, CONTRACT_KEYS).upsert(contracts)
         return 0
-    if not backtest and session is not None and session in market.closed_dates:
+    if not backtest and session is not None and _closed(spark, session, market):
         print(f"{commodity} closed on {session} -- no session")
         return 0
     readings = src.read_sidecar(spark, root, market, *([] if backtest else [session]))

@@ -1,7 +1,8 @@
 """Comparison of a session with its trailing sessions.
 
 Input is at session grain: one row per key and date, so a window partition holds one series
-(a few thousand rows for decades of sessions), whatever the size of the tape behind it.
+(a few thousand rows for decades of sessions), whatever the size of the tape behind it. For series of
+finer grain ``block_rows`` cuts them into blocks of that many rows (``blocks``), with the same results.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.formats import have_note
 from tidemark.functions.parsing import ratio
+from tidemark.operators.blocks import last_before, sliding
 from tidemark.settings import COTTON, Market
 
 
@@ -23,11 +25,11 @@ def volume_flag(rvol: Column, market: Market = COTTON) -> Column:
 def _tier_array(keys: Sequence[str], date: str, value: str, market: Market, inclusive: bool = False) -> Column:
     """array(struct(tier, avg, n)): mean and count of up to ``tier`` earlier rows of a series,
     counting the row itself when ``inclusive``."""
-    by = ", ".join(f"`{k}`" for k in keys)
+    by = f"PARTITION BY {', '.join(f'`{k}`' for k in keys)} " if keys else ""
 
     def entry(tier: int) -> str:
         first, last = (f"{tier - 1} PRECEDING", "CURRENT ROW") if inclusive else (f"{tier} PRECEDING", "1 PRECEDING")
-        over = f"OVER (PARTITION BY {by} ORDER BY `{date}` ROWS BETWEEN {first} AND {last})"
+        over = f"OVER ({by}ORDER BY `{date}` ROWS BETWEEN {first} AND {last})"
         return f"struct({tier} AS tier, avg(`{value}`) {over} AS avg, count(`{value}`) {over} AS n)"
 
     return F.expr(f"array({', '.join(entry(t) for t in market.tiers)})")
@@ -39,54 +41,54 @@ def _finish(df: DataFrame, keep: Sequence[str], value: str, mode: str, market: M
     degrade: a short lookback still yields an average, with a note.
     strict:  fewer sessions than the tier yield no average and no ratio.
     """
-    tier, n = F.col("t.tier"), F.col("t.n")
+    tier, n = F.col("_tier.tier"), F.col("_tier.n")
     enough = n >= tier
     known = F.col(value).isNotNull() & (enough if mode == "strict" else F.lit(True))
-    avg = F.when(known, F.col("t.avg"))
+    avg = F.when(known, F.col("_tier.avg"))
     rvol = ratio(F.col(value), avg)
     note = F.when(~enough | F.col(value).isNull(), have_note(n, tier))
-    return df.select(*keep, value, "prev", F.explode("tiers").alias("t")).select(
+    return df.select(*keep, value, "prev", F.explode("tiers").alias("_tier")).select(
         *keep, value, tier.alias("tier"), avg.alias("avg"), rvol.alias("rvol"), n.alias("n"),
         enough.alias("available"), note.alias("note"), volume_flag(rvol, market).alias("flag"), "prev",
     )
 
 
 def trailing(df: DataFrame, keys: Sequence[str], date: str, value: str, *,
-             mode: str = "degrade", market: Market = COTTON) -> DataFrame:
+             mode: str = "degrade", market: Market = COTTON, block_rows: int | None = None) -> DataFrame:
     """Each row against the mean of up to ``tier`` earlier rows of its own series.
 
     Rows without a value are skipped, not counted. All tiers share one window specification:
     one exchange, one sort.
     """
-    order = Window.partitionBy(*keys).orderBy(date)
-    series = df.filter(F.col(value).isNotNull())
-    rows = series.select(*keys, date, value, F.lag(value, 1).over(order).alias("prev"),
-                         _tier_array(keys, date, value, market).alias("tiers"))
+    def windows(series: DataFrame, by: list[str], more: list[str]) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(date)
+        return series.select(*keys, date, value, *more, F.lag(value, 1).over(order).alias("prev"),
+                             _tier_array(by, date, value, market).alias("tiers"))
+
+    rows = sliding(df.filter(F.col(value).isNotNull()), keys, date, max(market.tiers), windows, block_rows)
     return _finish(rows, [*keys, date], value, mode, market)
 
 
 def trailing_against(current: DataFrame, prior: DataFrame, keys: Sequence[str], date: str,
-                     value: str, *, mode: str = "degrade", market: Market = COTTON) -> DataFrame:
+                     value: str, *, mode: str = "degrade", market: Market = COTTON, block_rows: int | None = None) -> DataFrame:
     """Rows of ``current`` against earlier rows of another series ``prior`` of the same keys.
 
     The prior series is averaged once per its own row (that row included); each current row
     then takes over the latest prior row strictly before its date, found by one ordered pass
     over the union. No inequality join.
     """
-    stats = prior.filter(F.col(value).isNotNull()).select(
-        *keys, date, F.lit(1).alias("_prior"), F.col(value).alias("_last"),
-        _tier_array(keys, date, value, market, inclusive=True).alias("_stats"))
+    def windows(series: DataFrame, by: list[str], more: list[str]) -> DataFrame:
+        return series.select(*keys, date, *more, F.lit(1).alias("_prior"), F.col(value).alias("_last"),
+                             _tier_array(by, date, value, market, inclusive=True).alias("_stats"))
+
+    stats = sliding(prior.filter(F.col(value).isNotNull()), keys, date, max(market.tiers), windows, block_rows)
     both = current.select(*keys, date, F.lit(0).alias("_prior"), value).unionByName(
         stats, allowMissingColumns=True)
-    # current sorts before prior on the same date, so only strictly earlier rows are seen
-    before = Window.partitionBy(*keys).orderBy(date, "_prior").rowsBetween(Window.unboundedPreceding, -1)
     empty = F.expr("array(" + ", ".join(
         f"struct({t} AS tier, CAST(NULL AS DOUBLE) AS avg, 0L AS n)" for t in market.tiers) + ")")
-    rows = both.select(
-        *keys, date, "_prior", value,
-        F.last("_last", ignorenulls=True).over(before).alias("prev"),
-        F.coalesce(F.last("_stats", ignorenulls=True).over(before), empty).alias("tiers"),
-    ).filter(F.col("_prior") == 0)
+    # current sorts before prior on the same date, so only strictly earlier rows are seen
+    rows = last_before(both, keys, [date, "_prior"], {"prev": "_last", "tiers": "_stats"}, block_rows) \
+        .filter(F.col("_prior") == 0).select(*keys, date, value, "prev", F.coalesce("tiers", empty).alias("tiers"))
     return _finish(rows, [*keys, date], value, mode, market)
 
 
@@ -100,20 +102,23 @@ def direction(value: Column, prev: Column) -> Column:
     return F.when(prev.isNotNull(), F.when(up, "UP").otherwise("DOWN"))
 
 
-def previous_session(df: DataFrame, keys: Sequence[str], date: str, value: str) -> DataFrame:
+def previous_session(df: DataFrame, keys: Sequence[str], date: str, value: str, block_rows: int | None = None) -> DataFrame:
     """Value of the previous session that has one, percent change and direction."""
-    order = Window.partitionBy(*keys).orderBy(date)
-    series = df.filter(F.col(value).isNotNull())
-    out = series.select(*keys, date, value, F.lag(value, 1).over(order).alias("prev"))
+    def windows(series: DataFrame, by: list[str], more: list[str]) -> DataFrame:
+        return series.select(*keys, date, value, *more, F.lag(value, 1).over(Window.partitionBy(*by).orderBy(date)).alias("prev"))
+
+    out = sliding(df.filter(F.col(value).isNotNull()), keys, date, 1, windows, block_rows)
     change = change_percent(F.col(value), F.col("prev"))
     return out.withColumn("change_pct", change).withColumn("direction", direction(F.col(value), F.col("prev")))
 
 
-def prior_values(df: DataFrame, keys: Sequence[str], date: str, value: str, limit: int) -> DataFrame:
+def prior_values(df: DataFrame, keys: Sequence[str], date: str, value: str, limit: int, block_rows: int | None = None) -> DataFrame:
     """The last ``limit`` earlier values per row, newest first; blanks skipped."""
-    order = Window.partitionBy(*keys).orderBy(date).rowsBetween(-limit, -1)
-    series = df.filter(F.col(value).isNotNull())
-    return series.select(*keys, date, F.reverse(F.collect_list(value).over(order)).alias("priors"))
+    def windows(series: DataFrame, by: list[str], more: list[str]) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(date).rowsBetween(-limit, -1)
+        return series.select(*keys, date, *more, F.reverse(F.collect_list(value).over(order)).alias("priors"))
+
+    return sliding(df.filter(F.col(value).isNotNull()), keys, date, limit, windows, block_rows)
 
 
 def as_map(tiers: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -37,6 +37,37 @@ SOURCE_LIVE = "live"
 SOURCE_SEED = "seed"
 
 
+@dataclass(frozen=True)
+class HolidayRule:
+    """A holiday of each year from ``since`` on.
+
+    ``fixed``: month and day, moved from Sunday to Monday, and from Saturday to Friday if ``saturday``. ``weekday``: the
+    ``nth`` weekday ``day`` (Monday 0) of the month, the last one for -1. ``easter``: ``day`` days after Easter Sunday.
+    """
+
+    kind: str
+    month: int = 0
+    day: int = 0
+    nth: int = 0
+    since: int = 0
+    saturday: bool = True
+
+
+# Holidays of the exchange, in the order of the year. A New Year's Day on a Saturday is not made up for.
+US_EXCHANGE = (
+    HolidayRule("fixed", month=1, day=1, saturday=False),
+    HolidayRule("weekday", month=1, day=0, nth=3, since=1998),
+    HolidayRule("weekday", month=2, day=0, nth=3),
+    HolidayRule("easter", day=-2),
+    HolidayRule("weekday", month=5, day=0, nth=-1),
+    HolidayRule("fixed", month=6, day=19, since=2022),
+    HolidayRule("fixed", month=7, day=4),
+    HolidayRule("weekday", month=9, day=0, nth=1),
+    HolidayRule("weekday", month=11, day=3, nth=4),
+    HolidayRule("fixed", month=12, day=25),
+)
+
+
 @dataclass(frozen=True)
 class Market:
     """Everything that distinguishes one commodity from another. Defaults: cotton."""
@@ -50,11 +81,12 @@ class Market:
     excluded_generics: tuple[str, ...] = ("CTOCT", "CTAUG")
     # Serial option month -> futures month it settles into.
     serial_parents: tuple[tuple[str, str], ...] = (("CTU", "CTZ"), ("CTX", "CTZ"), ("CTF", "CTH"))
-    # Exchange holidays of 2026. Pass other years as data.
+    # Exchange holidays of 2026. Other years come from ``holiday_rules``, or none where there are none.
     closed_dates: tuple[str, ...] = (
         "2026-01-01", "2026-01-19", "2026-02-16", "2026-04-03", "2026-05-25",
         "2026-06-19", "2026-07-03", "2026-09-07", "2026-11-26", "2026-12-25",
     )
+    holiday_rules: tuple[HolidayRule, ...] = ()
     tiers: tuple[int, ...] = (5, 10, 20, 30, 60)
     high: float = 2.0
     low: float = 0.5

@@ -14,6 +14,7 @@ from tidemark.functions.parsing import clean_code, number_or_null, number_or_zer
 from tidemark.settings import BAR_COLUMNS, COTTON, SIDECAR_COLUMNS, Market
 from tidemark.sources.delimited import CORRUPT, read_delimited
 from tidemark.sources.following import follow_delimited
+from tidemark.sources.versions import Versions
 
 _DATE_GLOB = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]"
 
@@ -135,12 +136,17 @@ def flatten_history(nested: DataFrame, fields: dict[str, str] | None = None, suf
 
 def read_history(spark: SparkSession, path: str, schema: str, commodity: str | None = None) -> DataFrame:
     """A permanent history table; empty when it was never written. Case-insensitive filter."""
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-            raise
-        df = spark.createDataFrame([], schema)
+    versions = Versions(spark, path)
+    number, manifest = versions.latest()
+    if number:
+        df = versions.read(manifest.get("schema", schema), manifest)
+    else:
+        try:
+            df = spark.read.parquet(path)
+        except AnalysisException as exc:
+            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
+                raise
+            df = spark.createDataFrame([], schema)
     return df if commodity is None else df.filter(F.upper("commodity") == commodity.upper())
 
 

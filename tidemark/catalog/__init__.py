@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bars", "options", "boundaries", "live", "gateway", "files", "records", "calendars", "long")
+MODULES = ("bars", "options", "boundaries", "live", "gateway", "files", "records", "calendars", "long", "commodities")
 
 
 def load():

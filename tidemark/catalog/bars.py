@@ -30,12 +30,16 @@ def _tiers(df, *keys):
     return rounded(df.select(*keys, *TIER_COLUMNS), "avg", "rvol")
 
 
+def _commodity_totals(spark, sf):
+    """Full volume by commodity, which is the prefix of the generics, and session."""
+    named = seed(spark, sf).withColumn("commodity", F.substring("generic", 1, 2))
+    return P.seed_totals(named).withColumnRenamed("full", "full_volume")
+
+
 @query("seed_session_rvol", f"""WITH {BARS_SQL}, {tiers_sql('seed_total', '', 'session_date', 'full_volume')}
 SELECT session_date, full_volume, {TIER_COLUMNS_SQL} FROM tiers""")
 def seed_session_rvol(spark, sf):
-    totals = P.seed_totals(seed(spark, sf)).select("session_date", F.col("full").alias("full_volume"))
-    one = totals.withColumn("commodity", F.lit("CT"))
-    return _tiers(R.trailing(one, ["commodity"], "session_date", "full_volume"), "session_date", "full_volume")
+    return _tiers(R.trailing(_commodity_totals(spark, sf), ["commodity"], "session_date", "full_volume"), "session_date", "full_volume")
 
 
 @query("seed_bars_clean", f"WITH {BARS_SQL} SELECT session_date, generic, volume FROM seed")
@@ -67,9 +71,7 @@ SELECT session_date, full_volume, tier AS lookback, n >= tier AS available, n AS
   CASE WHEN n < tier THEN NULL WHEN rvol >= 2.0 THEN 'HIGH' WHEN rvol <= 0.5 THEN 'LOW' END AS flag
 FROM tiers""")
 def seed_rvol_strict(spark, sf):
-    totals = P.seed_totals(seed(spark, sf)).withColumnRenamed("full", "full_volume")
-    out = R.trailing(totals.withColumn("commodity", F.lit("CT")), ["commodity"], "session_date",
-                     "full_volume", mode="strict")
+    out = R.trailing(_commodity_totals(spark, sf), ["commodity"], "session_date", "full_volume", mode="strict")
     return rounded(out, "avg", "rvol").select(
         "session_date", "full_volume", F.col("tier").alias("lookback"), "available", F.col("n").alias("have"),
         F.col("tier").alias("need"), "avg", "rvol", "flag")
@@ -81,8 +83,7 @@ SELECT session_date, full_volume, prev, ROUND((full_volume / NULLIF(prev, 0) - 1
   CASE WHEN prev IS NULL THEN NULL WHEN COALESCE(full_volume / NULLIF(prev, 0) - 1, 0) >= 0 THEN 'UP' ELSE 'DOWN' END
     AS direction FROM p""")
 def seed_previous_session(spark, sf):
-    totals = P.seed_totals(seed(spark, sf)).withColumnRenamed("full", "full_volume")
-    out = R.previous_session(totals.withColumn("commodity", F.lit("CT")), ["commodity"], "session_date", "full_volume")
+    out = R.previous_session(_commodity_totals(spark, sf), ["commodity"], "session_date", "full_volume")
     return rounded(out.drop("commodity"), "change_pct")
 
 

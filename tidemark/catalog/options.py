@@ -132,11 +132,11 @@ def options_backfill_history(spark, sf):
   CASE WHEN e_ts IS NULL THEN 'no day snapshots' END) AS warning FROM marks WHERE day(session_date) <> 23
 UNION ALL SELECT session_date, FALSE, FALSE, 1, 'no readable poll' FROM marks WHERE day(session_date) = 23""")
 def options_backfill_status(spark, sf):
-    """Every listed session; the times of one cannot be read, which leaves the others as they are."""
-    rows = tape(spark, sf)
-    listed = rows.select("session_date").distinct()
-    readable = rows.filter(F.dayofmonth("session_date") != 23)
-    return P.options_sessions(readable, generated_at=AT, listed=listed).status
+    """Every listed session; the poll times of one are no times, which leaves the others as they are."""
+    text = F.date_format("snap_ts", "yyyy-MM-dd HH:mm:ss")
+    written = F.when(F.dayofmonth("session_date") == 23, F.concat(F.lit("poll "), text)).otherwise(text)
+    rows = tape(spark, sf).withColumn("snap_ts", written.try_cast("timestamp_ntz"))
+    return P.options_sessions(rows, generated_at=AT, listed=rows.select("session_date").distinct()).status
 
 
 @query("options_single_session", f"WITH {TAPE_SQL} SELECT * FROM ({_HISTORY}) h WHERE date = DATE '2024-01-17'")

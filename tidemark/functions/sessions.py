@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import falls_on_holiday, holidays
 from tidemark.functions.parsing import at_clock
-from tidemark.settings import COTTON, Market
+from tidemark.settings import COTTON, Market, listed
 
 
-def is_holiday(day: Column, market: Market = COTTON) -> Column:
+def session_keys(df: DataFrame) -> list[str]:
+    """What names a session of ``df``: its date, and its commodity where rows of several are in one table."""
+    return ["commodity", "session_date"] if "commodity" in df.columns else ["session_date"]
+
+
+def per_market(make: Callable[[Market], Column], market: Market | Sequence[Market]) -> Column:
+    """The column ``make`` gives for a market; of several, that of the row's ``commodity``, null for another."""
+    if isinstance(market, Market):
+        return make(market)
+    first, *rest = listed(market)
+    out = F.when(F.col("commodity") == first.prefix, make(first))
+    for m in rest:
+        out = out.when(F.col("commodity") == m.prefix, make(m))
+    return out
+
+
+def is_holiday(day: Column, market: Market | Sequence[Market] = COTTON) -> Column:
+    if not isinstance(market, Market):
+        return F.coalesce(per_market(lambda m: is_holiday(day, m), market), F.lit(False))
     if market.holiday_rules:
         return falls_on_holiday(day, market)
     if not market.closed_dates:

@@ -11,11 +11,13 @@ Two identities keep the expressions small enough for code generation:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import clean_code
-from tidemark.settings import COTTON, MONTH_LETTERS, MONTH_NAMES, MONTH_WORDS, Market
+from tidemark.settings import COTTON, MONTH_LETTERS, MONTH_NAMES, MONTH_WORDS, Market, listed
 
 _DIGITS = "0123456789"
 
@@ -161,8 +163,8 @@ def boundary_slot(code: Column, as_of: Column, market: Market = COTTON) -> Colum
     return F.when(body.isin(*market.slots), body).otherwise(generic_of_exchange(body, as_of, market))
 
 
-def resolve_generic(generic: Column, as_of: Column) -> Column:
-    """struct describing the contract a slot name means on a date; null when it means none."""
+def resolve_generic(generic: Column, as_of: Column, years_ahead: int = 15) -> Column:
+    """struct describing the contract a slot name means on a date; null when it means none, or one further ahead."""
     body = clean_code(generic)
     stem = F.rtrim(body, F.lit(_DIGITS))
     word = F.substring(stem, -3, 3)
@@ -171,8 +173,7 @@ def resolve_generic(generic: Column, as_of: Column) -> Column:
     month = _lookup({w: i + 1 for i, w in enumerate(MONTH_WORDS)}, word)
     letter = _lookup(dict(zip(MONTH_WORDS, MONTH_LETTERS)), word)
     year = first_live_year(month, as_of) + position - 1
-    # a slot looks at most 15 years ahead
-    known = body.rlike("^[A-Z]{4,}[0-9]+$") & (position >= 1) & (year <= F.year(as_of) + 15)
+    known = body.rlike("^[A-Z]{4,}[0-9]+$") & (position >= 1) & (year <= F.year(as_of) + years_ahead)
     return F.when(
         known,
         F.struct(
@@ -188,9 +189,11 @@ def resolve_generic(generic: Column, as_of: Column) -> Column:
     )
 
 
-def enrich(df: DataFrame, generic: str, as_of: str, market: Market = COTTON) -> DataFrame:
+def enrich(df: DataFrame, generic: str, as_of: str, market: Market | Sequence[Market] = COTTON) -> DataFrame:
     """Keep rows whose slot is tracked and add the contract it stands for on the date."""
-    slots = {f"{market.prefix}{w}{p}": (m, p) for w, m in _months(market).items() for p in market.positions}
+    markets = listed(market)
+    slots = {f"{k.prefix}{w}{p}": (m, p) for k in markets for w, m in _months(k).items() for p in k.positions}
+    prefixes = {f"{k.prefix}{w}{p}": k.prefix for k in markets for w in _months(k) for p in k.positions}
     key, day = F.col(generic), F.col(as_of)
     month = _lookup({s: m for s, (m, _) in slots.items()}, key)
     position = _lookup({s: p for s, (_, p) in slots.items()}, key)
@@ -199,7 +202,7 @@ def enrich(df: DataFrame, generic: str, as_of: str, market: Market = COTTON) ->
         "delivery_year", first_live_year(month, day) + position - 1)
     return rows.select(
         *df.columns,
-        F.concat(F.lit(market.prefix), letter, (F.col("delivery_year") % 10).cast("string")).alias("ice_code"),
+        F.concat(_lookup(prefixes, key), letter, (F.col("delivery_year") % 10).cast("string")).alias("ice_code"),
         letter.alias("month_code"),
         _lookup({s: MONTH_NAMES[m - 1] for s, (m, _) in slots.items()}, key).alias("month_name"),
         "delivery_year", position.alias("position"),

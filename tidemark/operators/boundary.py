@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import clamp, clean_code, ratio
-from tidemark.functions.sessions import boundary_time
+from tidemark.functions.sessions import boundary_time, per_market, session_keys
 from tidemark.functions.symbology import boundary_slot, computed, enrich
-from tidemark.settings import COTTON, SOURCE_LIVE, SOURCE_SEED, Market
+from tidemark.settings import COTTON, SOURCE_LIVE, SOURCE_SEED, Market, listed
 
 
-def pivot_boundaries(readings: DataFrame, market: Market = COTTON) -> DataFrame:
+def pivot_boundaries(readings: DataFrame, market: Market | Sequence[Market] = COTTON) -> DataFrame:
     """One row per (session, contract); the last non-null reading of a boundary wins.
 
-    ``seq`` is the position of a reading in its file, recorded when it was scanned.
+    ``seq`` is the position of a reading in its file, recorded when it was scanned. A session is a date, or a
+    commodity and a date with several markets.
     """
+    keys, market = _keys(readings, market), listed(market)[0]  # those of one plan share their boundaries
     label = F.trim("boundary")
     rows = readings.withColumn("contract", clean_code(F.col("contract"))).filter(
         (F.col("contract") != "") & label.isin(*market.boundaries) & F.col("volume").isNotNull())
@@ -25,45 +29,53 @@ def pivot_boundaries(readings: DataFrame, market: Market = COTTON) -> DataFrame:
         return F.max_by(F.when(hit, F.col("volume")), F.when(hit, F.col("seq")))
 
     v_open, v_mid, v_end = market.boundaries
-    return rows.groupBy("session_date", "contract").agg(
+    return rows.groupBy(*keys, "contract").agg(
         last(v_open).alias("v_open"), last(v_mid).alias("v_mid"), last(v_end).alias("v_end"))
 
 
-def boundary_windows(readings: DataFrame, market: Market = COTTON) -> DataFrame:
+def _keys(df: DataFrame, market: Market | Sequence[Market]) -> list[str]:
+    """What names a session: with one market its date, also where the table has a commodity column."""
+    return ["session_date"] if isinstance(market, Market) else ["commodity", "session_date"]
+
+
+def boundary_windows(readings: DataFrame, market: Market | Sequence[Market] = COTTON) -> DataFrame:
     """(session_date, generic_code, night, day, full) of contracts with all three readings.
 
     Where an exchange code and a slot name describe the same slot, the exchange code wins.
     """
     complete = pivot_boundaries(readings, market).filter(
         F.col("v_open").isNotNull() & F.col("v_mid").isNotNull() & F.col("v_end").isNotNull())
-    slot = boundary_slot(F.col("contract"), F.col("session_date"), market)
+    keys = _keys(readings, market)
+    slot = per_market(lambda m: boundary_slot(F.col("contract"), F.col("session_date"), m), market)
     volumes = computed(complete, generic_code=slot).select(
-        "session_date", "contract", "generic_code",
+        *keys, "contract", "generic_code",
         clamp(F.col("v_mid") - F.col("v_open")).alias("night"),
         clamp(F.col("v_end") - F.col("v_mid")).alias("day"),
     ).withColumn("full", F.col("night") + F.col("day"))
     kept = volumes.filter(F.col("generic_code").isNotNull() & (F.col("full") > 0))
     by_exchange_code = (F.col("contract") != F.col("generic_code")).cast("int")
-    return kept.groupBy("session_date", "generic_code").agg(
+    return kept.groupBy(*keys, "generic_code").agg(
         *[F.max_by(c, by_exchange_code).alias(c) for c in ("night", "day", "full")])
 
 
-def seed_slots(bars: DataFrame, market: Market = COTTON) -> DataFrame:
+def seed_slots(bars: DataFrame, market: Market | Sequence[Market] = COTTON) -> DataFrame:
     """Daily bars as full-only slot rows; night and day are unknown."""
     unknown = F.lit(None).cast("double")
-    return bars.filter(F.col("generic").isin(*market.slots)).select(
-        "session_date", F.col("generic").alias("generic_code"),
+    tracked = per_market(lambda m: F.col("generic").isin(*m.slots), market)
+    return bars.filter(tracked).select(
+        *_keys(bars, market), F.col("generic").alias("generic_code"),
         unknown.alias("night"), unknown.alias("day"), F.col("volume").alias("full"))
 
 
 def prefer(first: DataFrame, first_label: str, second: DataFrame, second_label: str) -> DataFrame:
     """Per session: all slot rows of ``first``, or those of ``second`` where it has none."""
-    covered = first.select("session_date").distinct()
+    keys = session_keys(first)
+    covered = first.select(*keys).distinct()
     return first.withColumn("source", F.lit(first_label)).unionByName(
-        second.join(covered, "session_date", "left_anti").withColumn("source", F.lit(second_label)))
+        second.join(covered, keys, "left_anti").withColumn("source", F.lit(second_label)))
 
 
-def session_slots(readings: DataFrame, bars: DataFrame, market: Market = COTTON,
+def session_slots(readings: DataFrame, bars: DataFrame, market: Market | Sequence[Market] = COTTON,
                   prefer_seed: bool = False) -> DataFrame:
     """Live readings first, daily bars where a session has none (or the other way round)."""
     live = boundary_windows(readings, market)
@@ -81,12 +93,12 @@ def tilt(totals: DataFrame) -> DataFrame:
 
 def session_totals(slots: DataFrame) -> DataFrame:
     """Null-aware totals per session: null only when every input is null."""
-    return tilt(slots.groupBy("session_date", "source").agg(
+    return tilt(slots.groupBy(*session_keys(slots), "source").agg(
         F.sum("night").alias("night"), F.sum("day").alias("day"), F.sum("full").alias("full"),
         F.count("*").alias("n_contracts")))
 
 
-def contract_rows(slots: DataFrame, market: Market = COTTON) -> DataFrame:
+def contract_rows(slots: DataFrame, market: Market | Sequence[Market] = COTTON) -> DataFrame:
     return enrich(slots, "generic_code", "session_date", market)
 
 

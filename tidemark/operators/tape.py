@@ -11,26 +11,29 @@ chosen polls before summing them per slot.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import clamp, ratio, window_cutoff
+from tidemark.functions.sessions import per_market, session_keys
 from tidemark.functions.symbology import computed, option_slot
-from tidemark.settings import COTTON, Market
+from tidemark.settings import COTTON, Market, listed
 
 WINDOWS = ("overnight", "day")
 
 
 def snapshots(tape: DataFrame) -> DataFrame:
     """Distinct polls per session."""
-    return tape.select("session_date", "snap_ts").filter(F.col("snap_ts").isNotNull()).distinct()
+    return tape.select(*session_keys(tape), "snap_ts").filter(F.col("snap_ts").isNotNull()).distinct()
 
 
 def sessions(tape: DataFrame) -> DataFrame:
     """Session dates that have a tape, with the number of polls and their extent."""
     return (
         snapshots(tape)
-        .groupBy("session_date")
+        .groupBy(*session_keys(tape))
         .agg(F.count("*").alias("n_snapshots"),
              F.min("snap_ts").alias("first_ts"), F.max("snap_ts").alias("last_ts"))
     )
@@ -43,14 +46,14 @@ def latest_session(tape: DataFrame) -> DataFrame:
 def last_at_or_before(tape: DataFrame, cutoffs: dict[str, Column]) -> DataFrame:
     """Per session, the latest poll at or before each cutoff (null when there is none)."""
     ts = F.col("snap_ts")
-    return tape.groupBy("session_date").agg(
+    return tape.groupBy(*session_keys(tape)).agg(
         *[F.max(F.when(ts <= cutoff, ts)).alias(name) for name, cutoff in cutoffs.items()]
     )
 
 
-def marks(tape: DataFrame, market: Market = COTTON) -> DataFrame:
+def marks(tape: DataFrame, market: Market | Sequence[Market] = COTTON) -> DataFrame:
     """The polls that define both windows; the day needs two different ones."""
-    day = F.col("session_date")
+    day, market = F.col("session_date"), listed(market)[0]  # those of one plan share their windows
     found = last_at_or_before(tape, {
         "overnight_ts": window_cutoff(day, market.overnight_end, inclusive=False),
         "start_ts": window_cutoff(day, market.day_start),
@@ -58,7 +61,7 @@ def marks(tape: DataFrame, market: Market = COTTON) -> DataFrame:
     })
     has_day = F.col("start_ts") < F.col("end_ts")
     return found.select(
-        "session_date", "overnight_ts",
+        *session_keys(tape), "overnight_ts",
         F.when(has_day, F.col("start_ts")).alias("day_start_ts"),
         F.when(has_day, F.col("end_ts")).alias("day_end_ts"),
     )
@@ -71,20 +74,21 @@ def _at_marks(tape: DataFrame, marked: DataFrame) -> DataFrame:
     and the rows of other polls find no partner.
     """
     polls = F.array_distinct(F.array_compact(F.array("overnight_ts", "day_start_ts", "day_end_ts")))
-    side = marked.select("*", F.explode(polls).alias("snap_ts"))
-    return tape.select("session_date", "snap_ts", "contract", "call_vol", "put_vol").join(side, ["session_date", "snap_ts"])
+    side, keys = marked.select("*", F.explode(polls).alias("snap_ts")), session_keys(tape)
+    return tape.select(*keys, "snap_ts", "contract", "call_vol", "put_vol").join(side, [*keys, "snap_ts"])
 
 
-def window_slots(tape: DataFrame, market: Market = COTTON, tracked_only: bool = True,
+def window_slots(tape: DataFrame, market: Market | Sequence[Market] = COTTON, tracked_only: bool = True,
                  marked: DataFrame | None = None) -> DataFrame:
-    """(session_date, window, generic_code, call, put, total) for both windows.
+    """(session_date, window, generic_code, call, put, total) for both windows, with the commodity if the tape has it.
 
     Overnight is the cumulative at its poll; the day is end minus start per slot, a side that
     is missing counting 0, clamped at 0. With ``tracked_only`` off, contracts outside the
     slots stay as rows of their own and a ``tracked`` column tells them apart.
     """
     at_marks = _at_marks(tape, marks(tape, market) if marked is None else marked)
-    rows = computed(at_marks, slot=option_slot(F.col("contract"), F.col("session_date"), market))
+    keys = session_keys(tape)
+    rows = computed(at_marks, slot=per_market(lambda m: option_slot(F.col("contract"), F.col("session_date"), m), market))
     tracked = F.col("slot").isNotNull()
     if tracked_only:
         rows = rows.filter(tracked)
@@ -96,7 +100,7 @@ def window_slots(tape: DataFrame, market: Market = COTTON, tracked_only: bool =
     def at(mark: str, value: str) -> Column:
         return F.sum(F.when(ts == F.col(mark), F.coalesce(F.col(value), F.lit(0.0))))
 
-    sums = rows.groupBy("session_date", "generic_code", "tracked").agg(
+    sums = rows.groupBy(*keys, "generic_code", "tracked").agg(
         at("overnight_ts", "call_vol").alias("on_call"), at("overnight_ts", "put_vol").alias("on_put"),
         at("day_start_ts", "call_vol").alias("s_call"), at("day_start_ts", "put_vol").alias("s_put"),
         at("day_end_ts", "call_vol").alias("e_call"), at("day_end_ts", "put_vol").alias("e_put"),
@@ -114,9 +118,9 @@ def window_slots(tape: DataFrame, market: Market = COTTON, tracked_only: bool =
                  moved("e_put", "s_put").alias("put")),
     ))
     out = (
-        sums.select("session_date", "generic_code", "tracked", per_window.alias("w"))
+        sums.select(*keys, "generic_code", "tracked", per_window.alias("w"))
         .filter(F.col("w.call").isNotNull())
-        .select("session_date", F.col("w.window").alias("window"), "generic_code", "tracked",
+        .select(*keys, F.col("w.window").alias("window"), "generic_code", "tracked",
                 F.col("w.call").alias("call"), F.col("w.put").alias("put"),
                 (F.col("w.call") + F.col("w.put")).alias("total"))
     )
@@ -132,34 +136,34 @@ def window_marks(marked: DataFrame) -> DataFrame:
                  F.col("day_end_ts").alias("end")),
     )).alias("w")
     return (
-        marked.select("session_date", w).filter(F.col("w.end").isNotNull())
-        .select("session_date", F.col("w.window").alias("window"),
+        marked.select(*session_keys(marked), w).filter(F.col("w.end").isNotNull())
+        .select(*session_keys(marked), F.col("w.window").alias("window"),
                 F.col("w.start").alias("snapshot_ts_start"), F.col("w.end").alias("snapshot_ts"))
     )
 
 
 def window_totals(slots: DataFrame, marked: DataFrame) -> DataFrame:
     """Totals per (session, window). A window that has its polls but no tracked volume is 0."""
-    zero = F.lit(0.0)
+    zero, keys = F.lit(0.0), [*session_keys(slots), "window"]
     base = window_marks(marked).select(
-        "session_date", "window", zero.alias("call"), zero.alias("put"),
+        *keys, zero.alias("call"), zero.alias("put"),
         "snapshot_ts_start", "snapshot_ts")
     sums = base.unionByName(
-        slots.select("session_date", "window", "call", "put"), allowMissingColumns=True
-    ).groupBy("session_date", "window").agg(
+        slots.select(*keys, "call", "put"), allowMissingColumns=True
+    ).groupBy(*keys).agg(
         F.sum("call").alias("call"), F.sum("put").alias("put"),
         F.max("snapshot_ts_start").alias("snapshot_ts_start"),
         F.max("snapshot_ts").alias("snapshot_ts"),
     )
     return sums.select(
-        "session_date", "window", (F.col("call") + F.col("put")).alias("total"), "call", "put",
+        *keys, (F.col("call") + F.col("put")).alias("total"), "call", "put",
         ratio(F.col("put"), F.col("call")).alias("pc_ratio"), "snapshot_ts_start", "snapshot_ts",
     )
 
 
 def full_window(totals: DataFrame) -> DataFrame:
     """Overnight + day per session; a missing window adds nothing."""
-    sums = totals.groupBy("session_date").agg(
+    sums = totals.groupBy(*session_keys(totals)).agg(
         *[F.sum(c).alias(c) for c in ("total", "call", "put")],
         F.count("*").alias("n_windows"))
     return sums.withColumn("pc_ratio", ratio(F.col("put"), F.col("call")))
@@ -167,7 +171,7 @@ def full_window(totals: DataFrame) -> DataFrame:
 
 def short_sessions(tape: DataFrame, market: Market = COTTON) -> DataFrame:
     """Sessions whose last poll is earlier than the end of the day window."""
-    last = tape.groupBy("session_date").agg(F.max("snap_ts").alias("last_ts"))
+    last = tape.groupBy(*session_keys(tape)).agg(F.max("snap_ts").alias("last_ts"))
     end = window_cutoff(F.col("session_date"), market.day_end, inclusive=False)
     return last.withColumn("is_short", F.col("last_ts") < end)
 
@@ -180,7 +184,7 @@ def filter_impact(tape: DataFrame, market: Market = COTTON) -> DataFrame:
     def kept(c: str) -> Column:
         return F.sum(F.when(F.col("tracked"), F.col(c)).otherwise(0.0)).alias(f"{c}_universe")
 
-    return window_slots(tape, market, tracked_only=False).groupBy("session_date", "window").agg(
+    return window_slots(tape, market, tracked_only=False).groupBy(*session_keys(tape), "window").agg(
         F.sum("total").alias("total"), F.sum("call").alias("call"), F.sum("put").alias("put"),
         kept("total"), kept("call"), kept("put"),
     ).withColumn("dropped", F.col("total") - F.col("total_universe"))

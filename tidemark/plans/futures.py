@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.sessions import is_holiday
+from tidemark.functions.sessions import is_holiday, session_keys
 from tidemark.operators import boundary as B
 from tidemark.operators.ranking import last_sessions
 from tidemark.operators.sizing import written
@@ -16,7 +16,7 @@ from tidemark.operators.trailing import trailing, trailing_against
 from tidemark.operators.upsert import upsert
 from tidemark.plans.options import clock
 from tidemark.plans.report import FUTURES_BLOCKS, futures_report
-from tidemark.settings import COTTON, FUTURES_CONTRACT_COLUMNS, FUTURES_HISTORY_COLUMNS, Market
+from tidemark.settings import COTTON, FUTURES_CONTRACT_COLUMNS, FUTURES_HISTORY_COLUMNS, Market, listed
 
 HISTORY_SCHEMA = (
     "date date, commodity string, night_total double, day_total double, full_total double, "
@@ -30,18 +30,23 @@ CONTRACT_SCHEMA = (
 
 def metric_rows(totals: DataFrame, metrics: Sequence[str] = tuple(FUTURES_BLOCKS)) -> DataFrame:
     """Wide session totals to (session_date, metric, value)."""
-    m = F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in metrics]))
-    return totals.select("session_date", m.alias("m")).select("session_date", "m.metric", "m.value")
+    m, keys = F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in metrics])), session_keys(totals)
+    return totals.select(*keys, m.alias("m")).select(*keys, "m.metric", "m.value")
 
 
 def seed_totals(bars: DataFrame) -> DataFrame:
     """Aggregate full volume per session over whatever bars are given."""
-    return bars.groupBy("session_date").agg(F.sum("volume").alias("full"))
+    return bars.groupBy(*session_keys(bars)).agg(F.sum("volume").alias("full"))
+
+
+def _named(df: DataFrame, commodity: str) -> DataFrame:
+    """With the commodity of its rows, or the given one where the table is of one."""
+    return df if "commodity" in df.columns else df.withColumn("commodity", F.lit(commodity.upper()))
 
 
 def history_rows(totals: DataFrame, commodity: str, generated_at: Column) -> DataFrame:
-    return totals.select(
-        F.col("session_date").alias("date"), F.lit(commodity.upper()).alias("commodity"),
+    return _named(totals, commodity).select(
+        F.col("session_date").alias("date"), "commodity",
         F.col("night").alias("night_total"), F.col("day").alias("day_total"),
         F.col("full").alias("full_total"), "night_share", "night_day_ratio", "source",
         F.lit("").alias("split_source"), generated_at.alias("generated_at"),
@@ -49,13 +54,15 @@ def history_rows(totals: DataFrame, commodity: str, generated_at: Column) -> Dat
 
 
 def contract_rows(contracts: DataFrame, commodity: str, generated_at: Column) -> DataFrame:
-    return contracts.withColumn("date", F.col("session_date")).withColumn(
-        "commodity", F.lit(commodity.upper())).withColumn("generated_at", generated_at
-    ).select(*FUTURES_CONTRACT_COLUMNS)
+    return _named(contracts, commodity).withColumn("date", F.col("session_date")).withColumn(
+        "generated_at", generated_at).select(*FUTURES_CONTRACT_COLUMNS)
 
 
 class FuturesRun:
-    """Results of a run, each built when it is asked for; ``writable`` is off for interim and dry runs."""
+    """Results of a run, each built when it is asked for; ``writable`` is off for interim and dry runs.
+
+    A run of several markets has its rows by commodity and date, a run of one by date.
+    """
 
     def __init__(self, slots: DataFrame, all_slots: DataFrame, bars: DataFrame, history: DataFrame | None,
                  sessions: DataFrame | None, commodity: str, window: str, accumulate: bool, mode: str,
@@ -65,6 +72,10 @@ class FuturesRun:
         self.generated_at, self.market = generated_at, market
         self.writable = write and window != "overnight"
         self._sessions = sessions
+        self.keys = session_keys(slots)
+
+    def named_commodity(self) -> Column:
+        return F.col("commodity") if len(self.keys) > 1 else F.lit(self.commodity)
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -72,7 +83,7 @@ class FuturesRun:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return self.totals.select("session_date") if self._sessions is None else self._sessions
+        return self.totals.select(*self.keys) if self._sessions is None else self._sessions
 
     @cached_property
     def contracts(self) -> DataFrame:
@@ -85,19 +96,22 @@ class FuturesRun:
         night_day = metric_rows(computed, ("night", "day"))
         own = night_day if self.accumulate else night_day.filter(F.lit(False))
         if self.prior_history is not None:
-            mine = self.prior_history.filter(F.upper("commodity") == self.commodity.upper()).select(
-                F.col("date").alias("session_date"), F.col("night_total").alias("night"),
+            mine = self.prior_history.select(
+                F.upper("commodity").alias("commodity"), F.col("date").alias("session_date"), F.col("night_total").alias("night"),
                 F.col("day_total").alias("day"))
+            if len(self.keys) == 1:
+                mine = mine.filter(F.col("commodity") == self.commodity.upper()).drop("commodity")
             old = metric_rows(mine, ("night", "day"))
             if self.accumulate:
-                old = old.join(computed.select("session_date"), "session_date", "left_anti")
+                old = old.join(computed.select(*self.keys), self.keys, "left_anti")
             own = own.unionByName(old)
         return own.unionByName(metric_rows(seed_totals(self.bars), ("full",)))
 
     @cached_property
     def rvol(self) -> DataFrame:
-        return trailing_against(metric_rows(self.totals), self.prior, ["metric"], "session_date", "value",
-                                mode=self.mode, market=self.market)
+        out = trailing_against(_named(metric_rows(self.totals), self.commodity), _named(self.prior, self.commodity),
+                               ["commodity", "metric"], "session_date", "value", mode=self.mode, market=listed(self.market)[0])
+        return out if len(self.keys) > 1 else out.drop("commodity")
 
     @cached_property
     def history(self) -> DataFrame:
@@ -109,7 +123,7 @@ class FuturesRun:
 
     @cached_property
     def report(self) -> DataFrame:
-        return futures_report(self.sessions, self.totals, self.contracts, self.rvol, self.commodity,
+        return futures_report(self.sessions, self.totals, self.contracts, self.rvol, self.named_commodity(),
                               self.generated_at, self.window, self.market)
 
 
@@ -117,7 +131,7 @@ def futures_sessions(readings: DataFrame, bars: DataFrame, history: DataFrame |
                      commodity: str = "CT", dates: DataFrame | Sequence | None = None, window: str = "eod",
                      prefer_seed: bool = False, accumulate: bool = True, mode: str = "degrade",
                      write: bool = True, generated_at=None, settle: bool = False,
-                     market: Market = COTTON) -> FuturesRun:
+                     market: Market | Sequence[Market] = COTTON) -> FuturesRun:
     """Night, day and full volume of every session with readings or bars.
 
     ``bars`` are the cleaned daily bars (tracked slots). Full volume is compared with earlier
@@ -125,19 +139,31 @@ def futures_sessions(readings: DataFrame, bars: DataFrame, history: DataFrame |
     sessions of this run). ``dates`` (a few dates, or a DataFrame of them) restricts the
     reported sessions, never the lookback. The overnight window is interim and never written. ``settle`` writes the slot rows to the
     shared folder first, for runs that feed several sinks.
+
+    With several markets the tables have a ``commodity`` column (their prefixes; rows of others are left out), and
+    so have all results; a session is then a commodity and a date. Dates given one by one are reported for each market.
     """
+    if isinstance(market, Market):
+        readings, bars = (df.drop("commodity") for df in (readings, bars))
+    else:
+        prefixes = [m.prefix for m in listed(market)]
+        readings, bars = (df.filter(F.col("commodity").isin(*prefixes)) for df in (readings, bars))
     open_day = ~is_holiday(F.col("session_date"), market)
     every = B.session_slots(readings.filter(open_day), bars.filter(open_day), market, prefer_seed)
     if settle:
         every = written(every)
     slots, sessions = every, None
     if isinstance(dates, DataFrame):
-        sessions = dates.select("session_date").distinct().filter(open_day)
-        slots = every.join(sessions, "session_date", "left_semi")
+        keys = session_keys(every)
+        sessions = dates.select(*keys).distinct().filter(open_day)
+        slots = every.join(sessions, keys, "left_semi")
     elif dates is not None:
         named = [d if isinstance(d, Column) else F.lit(d).cast("date") for d in dates]
         slots = every.filter(F.col("session_date").isin(named))
-        sessions = bars.sparkSession.range(1).select(F.explode(F.array(*named)).alias("session_date")).filter(open_day)
+        sessions = bars.sparkSession.range(1).select(F.explode(F.array(*named)).alias("session_date"))
+        if not isinstance(market, Market):
+            sessions = sessions.select(F.explode(F.array(*[F.lit(p) for p in prefixes])).alias("commodity"), "session_date")
+        sessions = sessions.filter(open_day)
     return FuturesRun(slots, every, bars, history, sessions, commodity, window, accumulate, mode, write,
                       clock(generated_at), market)
 
@@ -146,11 +172,11 @@ def document(run: FuturesRun) -> DataFrame:
     """The session file: one nested row per session with summary, contracts and ratios."""
     fields = ("ice_code", "delivery_year", "month_code", "month_name", "position", "night", "day", "full")
     # at most one entry per tracked slot
-    maps = run.contracts.groupBy("session_date").agg(F.map_from_entries(F.array_sort(F.collect_list(
+    maps = run.contracts.groupBy(*run.keys).agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct("generic_code", F.struct(*fields))))).alias("per_contract"))
-    return run.totals.join(maps, "session_date").select(
+    return run.totals.join(maps, run.keys).select(
         "session_date", F.date_format("session_date", "yyyy-MM-dd").alias("date"),
-        F.lit(run.commodity).alias("commodity"), F.lit(run.window).alias("window"),
+        run.named_commodity().alias("commodity"), F.lit(run.window).alias("window"),
         F.struct("source", "night", "day", "full", "per_contract").alias("summary"),
         F.struct("night_share", "night_day_ratio").alias("ratios"),
         F.date_format(run.generated_at, "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"))
@@ -186,7 +212,7 @@ def refresh(readings: DataFrame, bars: DataFrame, pulled: DataFrame, as_of: Colu
 
 def tilt_rvol(totals: DataFrame, mode: str = "degrade", market: Market = COTTON) -> DataFrame:
     """Night share and night/day ratio against their own trailing sessions."""
-    return trailing(metric_rows(totals, ("night_share", "night_day_ratio")), ["metric"], "session_date",
+    return trailing(metric_rows(totals, ("night_share", "night_day_ratio")), [*session_keys(totals)[:-1], "metric"], "session_date",
                     "value", mode=mode, market=market)
 
 
@@ -194,6 +220,6 @@ def contract_rvol(contracts: DataFrame, mode: str = "degrade", market: Market =
     """Night, day and full of every contract against its own trailing sessions."""
     m = F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("value"))
                             for x in FUTURES_BLOCKS]))
-    long = contracts.select("session_date", "generic_code", m.alias("m")).select(
-        "session_date", "generic_code", "m.metric", "m.value")
-    return trailing(long, ["generic_code", "metric"], "session_date", "value", mode=mode, market=market)
+    keys = session_keys(contracts)
+    long = contracts.select(*keys, "generic_code", m.alias("m")).select(*keys, "generic_code", "m.metric", "m.value")
+    return trailing(long, [*keys[:-1], "generic_code", "metric"], "session_date", "value", mode=mode, market=market)

@@ -8,13 +8,14 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.sessions import is_holiday
+from tidemark import settings
+from tidemark.functions.sessions import is_holiday, per_market, session_keys
 from tidemark.functions.symbology import enrich
 from tidemark.operators import tape as T
 from tidemark.operators.sizing import written
 from tidemark.operators.trailing import as_map, trailing, trailing_against
 from tidemark.plans.report import options_report
-from tidemark.settings import COTTON, Market
+from tidemark.settings import COTTON, Market, listed
 
 HISTORY_SCHEMA = (
     "date date, commodity string, overnight_total double, overnight_call double, overnight_put double, "
@@ -33,8 +34,8 @@ def history_series(history: DataFrame) -> DataFrame:
     """Wide history rows to (session_date, window, total), blanks dropped."""
     w = F.explode(F.array(*[F.struct(F.lit(n).alias("window"), F.col(f"{n}_total").alias("total"))
                             for n in T.WINDOWS])).alias("w")
-    return history.select(F.col("date").alias("session_date"), w).select(
-        "session_date", "w.window", "w.total").filter(F.col("total").isNotNull())
+    return history.select("commodity", F.col("date").alias("session_date"), w).select(
+        "commodity", "session_date", "w.window", "w.total").filter(F.col("total").isNotNull())
 
 
 def history_rows(sessions: DataFrame, totals: DataFrame, commodity: str, generated_at: Column) -> DataFrame:
@@ -42,52 +43,63 @@ def history_rows(sessions: DataFrame, totals: DataFrame, commodity: str, generat
     def of(window: str, c: str) -> Column:
         return F.max(F.when(F.col("window") == window, F.col(c)))
 
-    base = sessions.select("session_date").unionByName(totals, allowMissingColumns=True)
-    wide = base.groupBy("session_date").agg(
+    keys = session_keys(sessions)
+    base = sessions.select(*keys).unionByName(totals, allowMissingColumns=True)
+    wide = base.groupBy(*keys).agg(
         *[of(w, c).alias(f"{w}_{c}") for w in T.WINDOWS for c in ("total", "call", "put", "pc_ratio")],
         of("overnight", "snapshot_ts").alias("overnight_snapshot_ts"),
         of("day", "snapshot_ts_start").alias("day_snapshot_ts_start"),
         of("day", "snapshot_ts").alias("day_snapshot_ts_end"))
     return wide.select(
-        F.col("session_date").alias("date"), F.lit(commodity.upper()).alias("commodity"),
+        F.col("session_date").alias("date"), (F.col("commodity") if len(keys) > 1 else F.lit(commodity.upper())).alias("commodity"),
         "overnight_total", "overnight_call", "overnight_put", "overnight_pc_ratio", "overnight_snapshot_ts",
         "day_total", "day_call", "day_put", "day_pc_ratio", "day_snapshot_ts_start", "day_snapshot_ts_end",
         generated_at.alias("generated_at"))
 
 
 class OptionsRun:
-    """Results of a run, each built when it is asked for. Nothing is written until a sink is called."""
+    """Results of a run, each built when it is asked for. Nothing is written until a sink is called.
+
+    A run of several markets has its rows by commodity and date, a run of one by date.
+    """
 
     def __init__(self, marked: DataFrame, slots: DataFrame, history: DataFrame | None, commodity: str,
-                 windows: Sequence[str], accumulate: bool, mode: str, generated_at: Column, market: Market):
+                 windows: Sequence[str], accumulate: bool, mode: str, generated_at: Column, market: Market | Sequence[Market]):
         self.marked, self.slots, self.prior_history = marked, slots, history
         self.commodity, self.windows, self.accumulate, self.mode = commodity, tuple(windows), accumulate, mode
         self.generated_at, self.market = generated_at, market
-        self.sessions = marked.select("session_date")
+        self.keys = session_keys(marked)
+        self.sessions = marked.select(*self.keys)
         self.listed: DataFrame | None = None
         self.tape: DataFrame | None = None
 
+    def named_commodity(self) -> Column:
+        return F.col("commodity") if len(self.keys) > 1 else F.lit(self.commodity)
+
     @cached_property
     def totals(self) -> DataFrame:
         marks = (("overnight", "overnight_ts"), ("day", "day_start_ts"), ("day", "day_end_ts"))
         wanted = [F.col(c) if w in self.windows else F.lit(None).cast("timestamp_ntz").alias(c) for w, c in marks]
-        return T.window_totals(self.slots, self.marked.select("session_date", *wanted))
+        return T.window_totals(self.slots, self.marked.select(*self.keys, *wanted))
 
     @cached_property
     def rvol(self) -> DataFrame:
         """Totals against the permanent history, and this run's earlier sessions if they count."""
-        current = self.totals.select("session_date", "window", "total")
-        if self.prior_history is None:
-            if self.accumulate:
-                return trailing(current, ["window"], "session_date", "total", mode=self.mode, market=self.market)
-            prior = current.filter(F.lit(False))
+        named = len(self.keys) > 1
+        mine = F.col("commodity") if named else F.lit(self.commodity.upper())
+        current = self.totals.select(mine.alias("commodity"), "session_date", "window", "total")
+        series, market = ["commodity", "window"], listed(self.market)[0]
+        if self.prior_history is None and self.accumulate:
+            out = trailing(current, series, "session_date", "total", mode=self.mode, market=market)
         else:
-            mine = self.prior_history.filter(F.upper("commodity") == self.commodity.upper())
-            prior = history_series(mine)
-            if self.accumulate:
-                prior = prior.join(self.sessions, "session_date", "left_anti").unionByName(current)
-        return trailing_against(current, prior, ["window"], "session_date", "total", mode=self.mode,
-                                market=self.market)
+            prior = current.filter(F.lit(False))
+            if self.prior_history is not None:
+                prior = history_series(self.prior_history.withColumn("commodity", F.upper("commodity")))
+                prior = prior if named else prior.filter(F.col("commodity") == self.commodity.upper())
+                if self.accumulate:
+                    prior = prior.join(self.sessions, self.keys, "left_anti").unionByName(current)
+            out = trailing_against(current, prior, series, "session_date", "total", mode=self.mode, market=market)
+        return out if named else out.drop("commodity")
 
     @cached_property
     def status(self) -> DataFrame:
@@ -95,14 +107,14 @@ class OptionsRun:
         if self.listed is None:
             marked = self.marked.withColumn("was_read", F.lit(True))
         else:
-            listed = self.listed.select("session_date").filter(~is_holiday(F.col("session_date"), self.market))
-            marked = listed.unionByName(self.marked.select("session_date")).distinct() \
-                .join(self.marked, "session_date", "left") \
-                .join(T.snapshots(self.tape).select("session_date", F.lit(True).alias("was_read")).distinct(), "session_date", "left")
+            there = self.listed.select(*self.keys).filter(~is_holiday(F.col("session_date"), self.market))
+            marked = there.unionByName(self.marked.select(*self.keys)).distinct() \
+                .join(self.marked, self.keys, "left") \
+                .join(T.snapshots(self.tape).select(*self.keys, F.lit(True).alias("was_read")).distinct(), self.keys, "left")
         no_overnight, no_day = F.col("overnight_ts").isNull(), F.col("day_end_ts").isNull()
         unread = F.col("was_read").isNull()
         return marked.select(
-            "session_date", (~no_overnight).alias("has_overnight"), (~no_day).alias("has_day"),
+            *self.keys, (~no_overnight).alias("has_overnight"), (~no_day).alias("has_day"),
             unread.cast("int").alias("code"),
             F.when(unread, "no readable poll").otherwise(F.concat_ws(
                 "; ", F.when(no_overnight, "no overnight snapshot"), F.when(no_day, "no day snapshots"))).alias("warning"))
@@ -113,14 +125,14 @@ class OptionsRun:
 
     @cached_property
     def report(self) -> DataFrame:
-        return options_report(self.sessions, self.totals, self.slots, self.rvol, self.commodity,
+        return options_report(self.sessions, self.totals, self.slots, self.rvol, self.named_commodity(),
                               self.generated_at, self.windows, self.market)
 
 
 def options_sessions(tape: DataFrame, history: DataFrame | None = None, *, commodity: str = "CT",
                      windows: Sequence[str] = T.WINDOWS, dates: Sequence[str] | None = None,
                      accumulate: bool = True, mode: str = "degrade", generated_at=None,
-                     settle: bool = False, market: Market = COTTON, listed: DataFrame | None = None) -> OptionsRun:
+                     settle: bool = False, market: Market | Sequence[Market] = COTTON, listed: DataFrame | None = None) -> OptionsRun:
     """Window volumes, totals, trailing comparison, report and history rows of the sessions.
 
     ``dates`` limits the sessions (and prunes the tape's partitions); without it every tape
@@ -130,7 +142,14 @@ def options_sessions(tape: DataFrame, history: DataFrame | None = None, *, commo
     sinks follow, so the tape is scanned once however many results are written. ``listed`` names the
     sessions that have a tape file, so that one without a readable poll shows in the status; it
     never stops the others.
+
+    With several markets the tape has a ``commodity`` column (their prefixes; rows of others are left out), and so
+    have all results; the commodity is part of every key.
     """
+    if isinstance(market, Market):
+        tape = tape.drop("commodity")
+    else:
+        tape = tape.filter(F.col("commodity").isin(*[m.prefix for m in settings.listed(market)]))
     if dates is not None:
         tape = tape.filter(F.col("session_date").isin([F.lit(d).cast("date") for d in dates]))
     tape = tape.filter(~is_holiday(F.col("session_date"), market))
@@ -148,7 +167,7 @@ def options_sessions(tape: DataFrame, history: DataFrame | None = None, *, commo
 def contract_history(run: OptionsRun) -> DataFrame:
     """Permanent per-contract rows keyed by (session_date, window, generic_code)."""
     named = enrich(run.slots, "generic_code", "session_date", run.market)
-    return named.select("session_date", "generic_code", "ice_code", "month_code", "month_name",
+    return named.select(*run.keys, "generic_code", "ice_code", "month_code", "month_name",
                         "delivery_year", "window", "total", "call", "put")
 
 
@@ -157,21 +176,20 @@ def payload(run: OptionsRun) -> DataFrame:
     c = enrich(run.slots, "generic_code", "session_date", run.market)
     fields = ("generic_code", "ice_code", "month_code", "month_name", "delivery_year", "total", "call", "put")
     # at most one entry per tracked slot
-    arrays = c.groupBy("session_date", "window").agg(
+    keys = [*run.keys, "window"]
+    arrays = c.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("by_contract"))
-    tiers = as_map(run.rvol, ["session_date", "window"])
-    body = run.totals.join(arrays, ["session_date", "window"], "left") \
-        .join(tiers, ["session_date", "window"], "left")
+    tiers = as_map(run.rvol, keys)
+    body = run.totals.join(arrays, keys, "left").join(tiers, keys, "left")
     block = F.struct("snapshot_ts_start", "snapshot_ts", "total", "call", "put", "pc_ratio", "rvol",
                      F.coalesce("by_contract", F.array().cast(arrays.schema["by_contract"].dataType))
                      .alias("by_contract"))
-    per = run.sessions.unionByName(body.select("session_date", "window", block.alias("block")),
-                                   allowMissingColumns=True)
-    one = per.groupBy("session_date").agg(F.struct(*[
+    per = run.sessions.unionByName(body.select(*keys, block.alias("block")), allowMissingColumns=True)
+    one = per.groupBy(*run.keys).agg(F.struct(*[
         F.first(F.when(F.col("window") == w, F.col("block")), ignorenulls=True).alias(w)
         for w in T.WINDOWS]).alias("windows"))
-    return one.select("session_date", F.lit(run.commodity).alias("commodity"), "windows",
-                      F.array(*[F.lit(p) for p in run.market.excluded_prefixes]).alias("excluded"),
+    excluded = per_market(lambda m: F.array(*[F.lit(p) for p in m.excluded_prefixes]).cast("array<string>"), run.market)
+    return one.select("session_date", run.named_commodity().alias("commodity"), "windows", excluded.alias("excluded"),
                       run.generated_at.alias("generated_at"))
 
 
@@ -181,21 +199,21 @@ def document(run: OptionsRun) -> DataFrame:
     fields = ("ice_code", "delivery_year", "month_code", "month_name", "call", "put", "total")
     c = enrich(run.slots, "generic_code", "session_date", run.market)
     # at most one entry per tracked slot
-    maps = c.groupBy("session_date", "window").agg(F.map_from_entries(F.array_sort(F.collect_list(
+    maps = c.groupBy(*run.keys, "window").agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct("generic_code", F.struct(*fields))))).alias("per_contract"))
-    body = run.totals.join(maps, ["session_date", "window"], "left")
+    body = run.totals.join(maps, [*run.keys, "window"], "left")
     common = ["total", "call", "put", "pc_ratio", F.coalesce(
         "per_contract", F.create_map().cast(maps.schema["per_contract"].dataType)).alias("per_contract")]
     end = F.date_format("snapshot_ts", stamp)
     shapes = {"overnight": F.struct(*common, end.alias("snapshot_ts")),
               "day": F.struct(*common, F.date_format("snapshot_ts_start", stamp).alias("snapshot_ts_start"),
                               end.alias("snapshot_ts_end"))}
-    blocks = body.select("session_date", *[F.when(F.col("window") == w, b).alias(w) for w, b in shapes.items()])
+    blocks = body.select(*run.keys, *[F.when(F.col("window") == w, b).alias(w) for w, b in shapes.items()])
     per = run.sessions.unionByName(blocks, allowMissingColumns=True)
-    one = per.groupBy("session_date").agg(*[F.first(w, ignorenulls=True).alias(w) for w in shapes])
+    one = per.groupBy(*run.keys).agg(*[F.first(w, ignorenulls=True).alias(w) for w in shapes])
     return one.select(
         "session_date", F.date_format("session_date", "yyyy-MM-dd").alias("date"),
-        F.lit(run.commodity).alias("commodity"), F.lit(_window_name(run.windows)).alias("window"), "overnight", "day",
+        run.named_commodity().alias("commodity"), F.lit(_window_name(run.windows)).alias("window"), "overnight", "day",
         F.date_format(run.generated_at, "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"))
 
 

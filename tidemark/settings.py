@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 # Exchange month letters in calendar order, month words and names.
@@ -104,3 +105,12 @@ class Market:
 
 
 COTTON = Market()
+
+
+def listed(market: Market | Sequence[Market]) -> tuple[Market, ...]:
+    """One market or several of one plan; these may differ in prefix, months, exclusions and holidays only."""
+    markets = (market,) if isinstance(market, Market) else tuple(market)
+    shared = {(m.tiers, m.high, m.low, m.session_open, m.overnight_end, m.day_start, m.day_end, m.boundaries, m.grace_minutes) for m in markets}
+    if len(shared) != 1 or len({m.prefix for m in markets}) != len(markets):
+        raise ValueError("markets of one plan share their windows, boundaries and tiers, and differ in their prefix")
+    return markets

@@ -6,12 +6,14 @@ Layout of the tapes: ``<root>/<YYYY-MM-DD>/<commodity>_options_tape.csv`` and
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.parsing import clean_code, number_or_null, number_or_zero
-from tidemark.settings import BAR_COLUMNS, COTTON, SIDECAR_COLUMNS, Market
+from tidemark.settings import BAR_COLUMNS, COTTON, SIDECAR_COLUMNS, Market, listed
 from tidemark.sources.delimited import CORRUPT, read_delimited
 from tidemark.sources.following import follow_delimited
 from tidemark.sources.versions import Versions
@@ -40,28 +42,40 @@ def session_files(spark: SparkSession, root: str, name: str, folder: str = _DATE
         .filter(F.col("session_date").isNotNull()).distinct()
 
 
-def read_tape(spark: SparkSession, root: str, market: Market = COTTON, session: str = _DATE_GLOB,
+def read_tape(spark: SparkSession, root: str, market: Market | Sequence[Market] = COTTON, session: str = _DATE_GLOB,
               missing: str = "fail", files: str | None = None) -> DataFrame:
     """Options tape of one session or all of them; numbers that do not parse count 0.
 
     ``files`` replaces the usual folder layout by another pattern below ``root``.
     """
-    path = f"{root}/{files or f'{session}/{market.prefix.lower()}_options_tape.csv'}"
-    return _typed_tape(read_delimited(spark, path, _TAPE_CELLS, missing=missing))
+    path = f"{root}/{files or f'{session}/{_file_names(market, "options_tape")}'}"
+    return _typed_tape(read_delimited(spark, path, _TAPE_CELLS, missing=missing), market)
 
 
-def follow_tape(spark: SparkSession, root: str, market: Market = COTTON, session: str = _DATE_GLOB, files: str | None = None) -> DataFrame:
+def follow_tape(spark: SparkSession, root: str, market: Market | Sequence[Market] = COTTON, session: str = _DATE_GLOB, files: str | None = None) -> DataFrame:
     """The rows of ``read_tape`` as a stream that goes on as the files grow and new ones appear."""
-    path = f"{root}/{files or f'{session}/{market.prefix.lower()}_options_tape.csv'}"
-    return _typed_tape(follow_delimited(spark, path, _TAPE_CELLS))
+    path = f"{root}/{files or f'{session}/{_file_names(market, "options_tape")}'}"
+    return _typed_tape(follow_delimited(spark, path, _TAPE_CELLS), market)
 
 
 _TAPE_CELLS = ("timestamp", "contract", "strike", "call_vol", "put_vol")
 
 
-def _typed_tape(raw: DataFrame) -> DataFrame:
+def _file_names(market: Market | Sequence[Market], kind: str) -> str:
+    """The file of a market in a session's folder, or a pattern for those of several."""
+    names = ",".join(m.prefix.lower() for m in listed(market))
+    return f"{names if isinstance(market, Market) else '{' + names + '}'}_{kind}.csv"
+
+
+def _commodity(market: Market | Sequence[Market]) -> list[Column]:
+    """The commodity a file is of, by its name, where a table holds several."""
+    name = F.substring_index("file_path", "/", -1)
+    return [] if isinstance(market, Market) else [F.upper(F.substring_index(name, "_", 1)).alias("commodity")]
+
+
+def _typed_tape(raw: DataFrame, market: Market | Sequence[Market]) -> DataFrame:
     return raw.select(
-        session_of_path(F.col("file_path")).alias("session_date"),
+        *_commodity(market), session_of_path(F.col("file_path")).alias("session_date"),
         F.col("timestamp").try_cast("timestamp_ntz").alias("snap_ts"),
         F.col("contract"), number_or_null(F.col("strike")).alias("strike"),
         number_or_zero(F.col("call_vol")).alias("call_vol"),
@@ -70,14 +84,14 @@ def _typed_tape(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_sidecar(spark: SparkSession, root: str, market: Market = COTTON, session: str = _DATE_GLOB,
+def read_sidecar(spark: SparkSession, root: str, market: Market | Sequence[Market] = COTTON, session: str = _DATE_GLOB,
                  missing: str = "empty", files: str | None = None) -> DataFrame:
     """Boundary readings; a file without a required column raises, extra columns are fine."""
-    path = f"{root}/{files or f'{session}/{market.prefix.lower()}_futures_volume.csv'}"
+    path = f"{root}/{files or f'{session}/{_file_names(market, "futures_volume")}'}"
     raw = read_delimited(spark, path, SIDECAR_COLUMNS, required=SIDECAR_COLUMNS, missing=missing)
     return raw.select(
         session_of_path(F.col("file_path")).alias("session_date"),
-        "timestamp", "commodity", "contract", "boundary",
+        "timestamp", F.upper("commodity").alias("commodity") if not isinstance(market, Market) else F.col("commodity"), "contract", "boundary",
         number_or_null(F.col("volume")).alias("volume"), number_or_null(F.col("oi")).alias("oi"),
         "file_path", "seq", CORRUPT,
     )

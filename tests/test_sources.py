@@ -3,6 +3,7 @@ from builders import write_csv
 from pyspark.sql import functions as F
 
 from tidemark.operators.upsert import merge_counts, upsert
+from tidemark.sources import delimited
 from tidemark.sources.delimited import quarantine, read_delimited
 from tidemark.sources.market import flatten_history, prior_series, read_history
 from tidemark.sources.sinks import ConflictError, HistoryTable, replace_table, write_report
@@ -219,3 +220,40 @@ def test_report_sink_keeps_line_order(spark, tmp_path):
     df = spark.range(50).selectExpr("date'2026-06-17' session_date", "1 section", "cast(id as int) ord", "concat('line ', id) line")
     write_report(df.repartition(8), f"{tmp_path}/r")
     assert [r.value for r in spark.read.text(f"{tmp_path}/r").collect()] == [f"line {i}" for i in range(50)]
+
+
+class Counted:
+    """A file that counts what is read of it."""
+
+    def __init__(self, data):
+        self.data, self.at = data, 0
+
+    def read(self, n):
+        part = self.data[self.at:self.at + n]
+        self.at += len(part)
+        return part
+
+
+def test_a_header_costs_one_block_whatever_the_size_of_the_file():
+    first_line = delimited.line_reader()[0]
+    for body in (b"", b"x" * 10, b"1,2\n" * 1_000_000):
+        file = Counted(b"a,b\r\n" + body)
+        assert first_line(file) == b"a,b" and file.at <= 1 << 13
+    wide = b",".join(b"c%d" % i for i in range(5000))
+    assert first_line(Counted(wide + b"\n1")) == wide and first_line(Counted(wide)) == wide and first_line(Counted(b"")) == b""
+
+
+def test_both_ways_to_read_headers_agree(spark, tmp_path):
+    for i, text in enumerate(("a,b\n1,2\n", "\ufeffa, \"b\"\r\n3,4\r\n", "only", "", "é,b\n")):
+        folder = tmp_path / f"d {i}=x%20y"
+        folder.mkdir()
+        (folder / "x.csv").write_text(text, newline="")
+    path = f"{tmp_path}/*/x.csv"
+    listed, scanned = (sorted(map(tuple, f(spark, path).collect())) for f in (delimited._listed_lines, delimited._scanned_lines))
+    assert [(p, v.rstrip("\r")) for p, v in scanned] == [(p, v.lstrip("\ufeff")) for p, v in listed] and len(listed) == 4
+    found = {r.file_path.split("/")[-2][2:3]: r.header for r in delimited.headers(spark, path).collect()}
+    assert sorted(found.values()) == [["a", "b"], ["a", "b"], ["only"], ["é", "b"]]
+
+
+def test_stores_that_only_spark_opens(spark):
+    assert not delimited._openable("viewfs://cluster/x") and delimited._openable("/x") and delimited._openable("hdfs://a/b") and delimited._openable("file:/x")

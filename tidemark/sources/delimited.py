@@ -2,7 +2,7 @@
 
 Spark's CSV reader maps a user schema by position and takes the header of one file for all,
 so a reordered file would be read wrongly without an error. Here the header of every file is
-read first (on executors) and cells are picked by name.
+read first (its first line only, on executors) and cells are picked by name.
 """
 
 from __future__ import annotations
@@ -18,19 +18,62 @@ from tidemark.operators.sizing import shared_folder
 CORRUPT = "_corrupt_record"
 
 
-def headers(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, header) per file, written once for the checks that follow.
+def _openable(path: str) -> bool:
+    """Can tasks open files of this scheme themselves? Other stores are read by Spark only."""
+    scheme = path.partition(":")[0] if ":" in path.split("/")[0] else ""
+    return scheme in ("", "file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
 
-    Files are scanned as plain lines in splits of the usual size, one split per partition, and
-    only the first row of a file's first split is kept. Splitting lines is cheap next to parsing them.
-    """
+
+def line_reader():
+    """Functions for tasks, made here so that they travel by value to workers without this package."""
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    def first_line(file, block: int = 1 << 13) -> bytes:
+        """The bytes of an open file up to its first line break; no more is read than one block too many."""
+        parts = []
+        while True:
+            part = file.read(block)
+            at = part.find(b"\n")
+            parts.append(part if at < 0 else part[:at])
+            if at >= 0 or not part:
+                return b"".join(parts).removesuffix(b"\r")
+
+    def lines(batches):
+        for batch in batches:
+            paths, found = batch.column("file_path").to_pylist(), []
+            for uri in paths:
+                fs, name = pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+                with fs.open_input_file(name) as file:
+                    found.append(first_line(file).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.string())], ["file_path", "value"])
+
+    return first_line, lines
+
+
+def _listed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, value): the first line of each file. Files are listed by Spark and opened in tasks, a few kilobytes each."""
+    listing = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file_path"), "length")
+    return listing.filter("length > 0").select("file_path").mapInArrow(line_reader()[1], "file_path string, value string")
+
+
+def _scanned_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same from a scan of all lines, for stores that only Spark can open: the first row of a file's first split is kept."""
     probe = spark.newSession()
     probe.conf.set("spark.sql.files.openCostInBytes", str(1 << 50))  # no two splits in a partition
     lines = probe.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path"),
                                          F.col("_metadata.file_block_start").alias("block"))
     # the lower 33 bits of the id number the rows of a partition
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    first = lines.withColumn("row", row).filter("row = 0 AND block = 0")
+    return lines.withColumn("row", row).filter("row = 0 AND block = 0").select("file_path", "value")
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, header) per file, written once for the checks that follow.
+
+    The bytes read do not grow with the size of the files, where tasks can open them.
+    """
+    first = _listed_lines(spark, path) if _openable(path) else _scanned_lines(spark, path)
     names = F.split(F.regexp_replace("value", r"^\uFEFF", ""), ",", -1)
     plain = F.transform(names, lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
     target = shared_folder(spark)

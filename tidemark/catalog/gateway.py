@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.adapters import pick, rounded, table
 from tidemark.catalog.registry import query
+from tidemark.operators.sizing import shared_folder
 from tidemark.datasets import documents as D
 from tidemark.datasets import interest as I
 from tidemark.datasets import options_market as O
 from tidemark.datasets import series as S
 from tidemark.datasets import slices as L
 from tidemark.datasets import stocks as K
+from tidemark.datasets import term_index as X
 
 # ---------------------------------------------------------------- inputs
 
@@ -710,3 +712,28 @@ def document_search(spark, sf):
         "issue_date", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 1500).cast("int")))
     hits = D.search(docs, "text", "issue_date", term="the", end="2023-06-30")
     return hits.select("doc_id", "issue_date", "lang", "source")
+
+
+def _dated(spark, sf):
+    return table(spark, sf, "documents").withColumn(
+        "issue_date", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 1500).cast("int")))
+
+
+@query("indexed_document_search", """SELECT doc_id, CAST(DATE '2020-01-01' + CAST(doc_id % 1500 AS INTEGER) AS DATE) AS issue_date, lang, source FROM documents
+WHERE list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'the') AND list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'of')
+  AND DATE '2020-01-01' + CAST(doc_id % 1500 AS INTEGER) >= DATE '2020-02-01'""")
+def indexed_document_search(spark, sf):
+    """An index of all words of all texts is written, then searched for two of them."""
+    docs, path = _dated(spark, sf), shared_folder(spark)
+    X.build(docs, "doc_id", "text", path)
+    hits = X.indexed_search(docs, path, "doc_id", "text", "issue_date", term="Of the", start="2020-02-01")
+    return hits.select("doc_id", "issue_date", "lang", "source")
+
+
+@query("word_document_counts", """SELECT word, COUNT(*) AS documents FROM (SELECT DISTINCT doc_id, word FROM (
+  SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents)) WHERE word <> '' GROUP BY 1""")
+def word_document_counts(spark, sf):
+    """The document frequency of every word, as the index keeps it."""
+    path = shared_folder(spark)
+    X.build(table(spark, sf, "documents"), "doc_id", "text", path)
+    return spark.read.schema("word string, documents long").parquet(f"{path}/words").select("word", "documents")

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from helpers import rows
@@ -44,15 +45,18 @@ def site(n, host="h.example", first=0):
 
 
 def test_repeated_branches_go_unlabelled(spark):
-    table = site(12) + site(3, "few.example", 100) + [(200, None, None), (201, "odd", ""), (202, "https://H.example/q?x", "<div class=x7>New words</div>")]
+    table = site(12) + site(3, "few.example", 100) + site(2, "two.example", 150) + [(200, None, None), (201, "odd", ""), (202, "https://H.example/q?x", "<div class=x7>New words</div>")]
     got = {r.page_id: r.text for r in site_tree.extracted(spark.createDataFrame(table, PAGES)).collect()}
     assert got[3] == "Story 3 alone" and got[200] == "" and got[201] == ""
-    assert got[101] == "Follow us everywhere\nStory 1 alone\nRead on and on"  # too few pages to tell
+    assert got[101] == "Story 1 alone"
+    assert got[151] == "Follow us everywhere\nStory 1 alone\nRead on and on"  # two pages are too few to tell
 
 
 def test_importance_is_the_entropy_by_hand(spark):
     pages = spark.createDataFrame(site(8), PAGES).withColumn("host", F.lit("h.example"))
-    paths = {site_tree._key(e.path): e.path for e in read(site(1)[0][2])[0]}
+    body, x, y, p, z = read(site(1)[0][2])[0]
+    assert [e.tag for e in (body, x, y, p, z)] == ["body", "div", "div", "p", "div"] and body.children == ["div.x", "div.y"]
+    paths = {x.node: "/body/div.x", y.node: "/body/div.y", z.node: "/body/div.y/div.z"}
     got = {paths[r.node]: (r.pages, round(r.importance, 6)) for r in site_tree.importance(pages).collect()}
     # .x has one text on all pages; half of the 16 blocks of .y are its own (nothing repeats), half stand on all 8 pages
     assert got == {"/body/div.x": (8, 0.0), "/body/div.y": (8, 0.45), "/body/div.y/div.z": (8, 0.0)}
@@ -90,3 +94,35 @@ def test_topics_of_an_article_are_no_furniture():
     furniture = "<div class='ad'>x</div><div id='comments'>x</div><section class='comments'>x</section><p hidden>x</p><p>y<span class='ad'>x</span></p>"
     for tag in ("article", "main"):
         assert site_tree.main_text(f"<{tag}>{inside}{furniture}</{tag}><div id='menu-bar'>x</div>", set()) == "N\nd\nC\na b\nm\ns\ny"
+
+
+def text_of(page):
+    return site_tree.main_text(page, set())
+
+
+def test_deep_and_unclosed_pages_take_time_in_proportion():
+    deep = "<div><p>some words " * 30_000
+    began = time.perf_counter()
+    assert text_of(deep).count("some words") == 30_000
+    assert time.perf_counter() - began < 20
+    assert text_of("<div>" * 100_000 + "x" + "</div>" * 100_000) == "x"
+    assert text_of("<svg><p>word</p>" * 5000).count("word") == 5000
+
+
+def test_elements_whose_end_is_optional_or_missing_lose_nothing_after_them():
+    assert text_of("<article><p>One</p><datalist><option value=a>A<option value=b>B</datalist><p>Two</p></article>") == "One\nTwo"
+    assert text_of("<article><select><option>A<option>B</select><p>Two</p></article>") == "Two"
+    assert text_of("<article><p>One</p><svg><path d='x'><p>Two</p></article>") == "One\nTwo"
+    assert text_of("<p>a</p><script>var x = '<p>no</p>'") == "a"
+
+
+def test_formulas_stay_in_their_sentence():
+    assert text_of("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be so.</p>") == "Let x=2 be so."
+
+
+def test_names_that_may_be_topics_are_kept():
+    for page in ("<div id=discussion>Words</div>", "<div class=social-history>Words</div>", "<article><section class=discussion>Words</section></article>",
+                 "<article><div class='subscription-model'>Words</div></article>", "<div class=subscription-economy>Words</div>"):
+        assert text_of(page) == "Words", page
+    for page in ("<div class=social>Words</div>", "<div class=social-links>Words</div>", "<div class='comments'>Words</div>", "<div id=subscription>Words</div>"):
+        assert text_of(page) == "", page

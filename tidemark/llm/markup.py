@@ -5,6 +5,9 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import cache
+
+import xxhash
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+", re.S)
 _ODD_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|$)")  # with an unpaired quote
@@ -12,23 +15,33 @@ _ATTRIBUTE = re.compile(r"""(class|role|id|hidden|aria-hidden)(?:\s*=\s*("[^"]*"
 _DIGITS = re.compile(r"\d+")
 # Fixed names of the language.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "option"}
-_IN_TEXT = {"svg", "math", "script", "style", "template", "noscript"}  # do not break a line
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "object", "select", "option", "annotation", "annotation-xml"}
+SWALLOWING = {"script", "style", "textarea", "title"}  # without an end tag these hold the rest of the page; of others only the tag is left out
+_OPTION_END = re.compile(r"</option[^>]*>|(?=<option[\s>]|</?optgroup[\s>]|</select[\s>]|</datalist[\s>])", re.I)  # its end tag is optional
+_IN_TEXT = {"svg", "script", "style", "template", "noscript", "annotation", "annotation-xml"}  # do not break a line
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label",
-          "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+          "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+          "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "msub", "msup",
+          "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd", "semantics"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ROOT = {"html", "body", "article", "main", "section", "div", "td", "th", "li", "ul", "ol", "table", "blockquote", "aside", "nav", "header", "footer", "form"}
 
 
+@cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+
+
 @dataclass
 class Element:
     tag: str
-    path: str
+    node: int  # a hash of the styles from the root to it: its place in the style tree
     marks: str = ""  # class, id and role, lower-case, for telling furniture
     parent: "Element | None" = None
     children: list[str] = field(default_factory=list)
     blocks: list[str] = field(default_factory=list)  # of its whole branch, for the style tree
     unnamed: str = ""  # its marks without the id
+    in_article: bool = False  # itself or an element around it is an article
 
 
 def _style(tag: str, attributes: str) -> tuple[str, str, str]:
@@ -43,21 +56,28 @@ def _style(tag: str, attributes: str) -> tuple[str, str, str]:
     return (f"{tag}.{classes}" if classes else tag), marks.strip(), unnamed.strip()
 
 
-def read(text: str) -> tuple[list[Element], list[tuple[Element, str]]]:
+def key(text: str) -> int:
+    value = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
+def read(text: str, branches: bool = False) -> tuple[list[Element], list[tuple[Element, str]]]:
     """(elements, blocks): every element that is not inline, and each text block with the element it stands in.
 
-    A block ends where an element that is not inline starts or ends. Character references are decoded,
+    Elements come in page order, each after the one it stands in. With ``branches`` they list the blocks of their whole
+    branch, which takes as much as blocks times depth; without, time and space are linear in the text. A block ends where an element that is not inline starts or ends. Character references are decoded,
     white space within a block becomes one space. Elements whose text is not page text are left out.
     """
-    root = Element("", "")
+    root = Element("", 0)
     elements, blocks, stack, inline, current, at = [], [], [root], [], [], 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         words = " ".join("".join(current).split())
         current.clear()
         if words:
             blocks.append((stack[-1], words))
-            up = stack[-1]
+            up = stack[-1] if branches else None
             while up is not None:
                 up.blocks.append(words)
                 up = up.parent
@@ -73,9 +93,11 @@ def read(text: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         tag = m[2].lower()
         if not m[1]:
             if tag in RAW:
-                if not m[3].rstrip().endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(text, at)
-                    at = end.end() if end else len(text)
+                if not m[3].rstrip().endswith("/") and tag not in unclosed:
+                    end = (_OPTION_END if tag == "option" else _end_of(tag)).search(text, at)
+                    if end is None:
+                        unclosed.add(tag)  # nor will a later one be
+                    at = end.end() if end else len(text) if tag in SWALLOWING else at
                 if tag not in _IN_TEXT:
                     flush()
                 continue
@@ -105,8 +127,10 @@ def read(text: str) -> tuple[list[Element], list[tuple[Element, str]]]:
                         break
             style, marks, unnamed = _style(tag, m[3])
             stack[-1].children.append(style)
-            stack.append(Element(tag, f"{stack[-1].path}/{style}", marks, stack[-1], unnamed=unnamed))
-            elements.append(stack[-1])
+            new = Element(tag, key(f"{stack[-1].node}/{style}"), marks, stack[-1], unnamed=unnamed)
+            new.in_article = stack[-1].in_article or is_article(new)
+            stack.append(new)
+            elements.append(new)
             inline.clear()
         elif tag in INLINE:
             for depth in range(len(inline) - 1, -1, -1):
@@ -128,10 +152,10 @@ def read(text: str) -> tuple[list[Element], list[tuple[Element, str]]]:
 FURNITURE_TAGS = {"nav", "footer", "aside", "form", "dialog", "menu", "head", "button", "fieldset"}
 _PARTS = (r"ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|nav|navbar|navigation|menus?|"
           r"breadcrumbs?|masthead|top-?bar|side-?bars?|widgets?|cookies?|consent|gdpr|pop-?ups?|modals?|overlay|newsletters?|subscribe|"
-          r"subscription|signup|sign-?up|login|social|sharing|comments?|respond|replies|reply|disqus|discussion|recommended|"
+          r"signup|sign-?up|login|sharing|comments?|respond|replies|reply|disqus|recommended|"
           r"recommendations|pagination|pager|skip-?links?")
 _WHOLE = (r"(?:site-?|page-?|main-?|global-?)?(?:header|footer)|notices?|alerts?|search(?:-?form|-?box|-?bar)?|share|related(?:-?posts?|-?articles?|-?links?)?|"
-          r"hidden|contentinfo|complementary|colophon|form")
+          r"hidden|contentinfo|complementary|colophon|form|subscription(?:-?(?:form|box))?|social(?:-?(?:links?|icons?|media|share|bar|buttons?|nav))?")
 _FURNITURE = re.compile(rf"(?:^|[\s_-])(?:{_PARTS})(?=$|[\s_-])|(?:^|\s)(?:{_WHOLE})(?=$|\s)")
 _INSERTED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsored|promo|hidden|skip-?link)(?=$|[\s_-])")
 # Within an article whole names only, as parts of them may be its topic; an id of these elements names their topic too.
@@ -151,18 +175,10 @@ def is_article(element: Element) -> bool:
     return element.tag == "main" or (element.tag == "article" and not _ASIDE_ARTICLE.search(element.marks))
 
 
-def _in_article(element: Element | None) -> bool:
-    while element is not None:
-        if is_article(element):
-            return True
-        element = element.parent
-    return False
-
-
 def _inserted(style: tuple[str, str, str], stack: list[Element]) -> bool:
     if _INSERTED.search(style[1]) is None:
         return False
-    return not _in_article(stack[-1]) or _INSERTED_INSIDE.search(style[1]) is not None
+    return not stack[-1].in_article or _INSERTED_INSIDE.search(style[1]) is not None
 
 
 def is_furniture(element: Element, around_article: bool = False) -> bool:
@@ -173,15 +189,8 @@ def is_furniture(element: Element, around_article: bool = False) -> bool:
     if element.tag in FURNITURE_TAGS or element.tag == "article" and not is_article(element):
         return True
     if element.tag not in ("html", "body", "article", "main") and not around_article and furniture(element.marks):
-        if not _in_article(element.parent):
+        if not element.parent.in_article:
             return True
         if _FURNITURE_INSIDE.search(element.unnamed if element.tag in _TOPICS else element.marks):
             return True
-    if element.tag == "header":
-        up = element.parent
-        while up is not None:
-            if is_article(up):
-                return False
-            up = up.parent
-        return True
-    return False
+    return element.tag == "header" and not element.parent.in_article

@@ -4,7 +4,8 @@ The pages of a host are merged: elements with the same path of styles (tags and
 of its tree. A node's importance has two parts. Presentation: the entropy of the child styles it has
 over its pages (many layouts are important, one is not). Content: one less the mean entropy of its
 text blocks over its pages (a block that stands on all pages is worth nothing, one that stands on a
-single page everything). A branch whose importance is below ``LEAST`` is removed from every page.
+single page everything). It is held against a prior of ``PRIOR`` pages of full importance, so that few pages say
+little. A branch whose importance is then below ``LEAST`` is removed from every page.
 
 Elements that say what they are keep that importance: none for navigation, headers, footers, asides,
 forms and elements marked as adverts, notices, comments and the like; full for an article and for its
@@ -24,7 +25,6 @@ empty result; extra columns are not read.
 from __future__ import annotations
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ from tidemark.llm import markup
 from tidemark.llm.common import ship, written
 
 LEAST = 0.2
-LEAST_PAGES = 5  # a tree of fewer pages says nothing about repetition
+PRIOR = 0.5  # pages of full importance that every node is taken to have had before: a branch of few pages is doubted less
 GAMMA = 0.9  # weight of content against presentation
 # Elements the tree may remove; text elements themselves are never removed by repetition.
 BRANCHES = {"div", "section", "ul", "ol", "dl", "table", "figure", "details", "center", "nav", "footer", "aside", "header", "form"}
@@ -42,16 +42,11 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def _key(text: str) -> int:
-    value = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-    return value - (1 << 64) if value >= 1 << 63 else value
-
-
 def _contents(batches):
     """host, html and a hash of the page's text blocks with their places."""
     for batch in batches:
         texts = batch.column("html").to_pylist()
-        found = [_key("\n".join(f"{e.path} {b}" for e, b in markup.read(t)[1])) if t else 0 for t in texts]
+        found = [markup.key("\n".join(f"{e.node} {b}" for e, b in markup.read(t)[1])) if t else 0 for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.int64()), batch.column("html")], ["host", "content", "html"])
 
 
@@ -70,12 +65,12 @@ def _features(batches):
             if not text:
                 continue
             found = set()
-            for e in markup.read(text)[0]:
+            for e in markup.read(text, branches=True)[0]:
                 if e.tag in BRANCHES:
-                    node, last = _key(e.path), None
+                    node, last = e.node, None
                     shape = [last := c for c in e.children if c != last]  # runs of one style count as one
-                    found.add((node, 0, _key("/".join(shape))))
-                    found.update((node, 1, _key(b)) for b in set(e.blocks))
+                    found.add((node, 0, markup.key("/".join(shape))))
+                    found.update((node, 1, markup.key(b)) for b in set(e.blocks))
             rows += [(site, *f) for f in found]
         columns = list(zip(*rows)) or [()] * 4
         yield pa.RecordBatch.from_arrays(
@@ -84,7 +79,10 @@ def _features(batches):
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """host, node, pages, importance: the style trees of all hosts of ``pages`` (host, html)."""
+    """host, node, pages, importance, held: the style trees of all hosts of ``pages`` (host, html).
+
+    ``held`` is the importance with the prior: it is nearer to one the fewer pages a node was seen on.
+    """
     ship(pages.sparkSession)
     seen = distinct_contents(pages).mapInArrow(_features, "host string, node long, kind int, feature long")
     counted = seen.groupBy("host", "node", "kind", "feature").agg(F.count("*").alias("n"))
@@ -97,37 +95,25 @@ def importance(pages: DataFrame) -> DataFrame:
     size = F.log(F.col("pages").cast("double"))
     presentation = F.when(F.col("pages") > 1, (size - F.col("layouts") / F.col("pages")) / size).otherwise(1.0)
     content = F.when((F.col("pages") > 1) & (F.col("blocks") > 0), 1 - F.col("repeated") / (F.col("blocks") * size)).otherwise(1.0)
-    return nodes.select("host", "node", "pages", ((1 - GAMMA) * presentation + GAMMA * content).alias("importance"))
+    own = (1 - GAMMA) * presentation + GAMMA * content
+    return nodes.select("host", "node", "pages", own.alias("importance"), ((own * F.col("pages") + PRIOR) / (F.col("pages") + PRIOR)).alias("held"))
 
 
 def main_text(text: str, removed: set[int]) -> str:
     """The blocks of a page that stand in no removed branch, one to a line."""
     elements, blocks = markup.read(text)
-    within = {id(e) for e in elements if markup.is_article(e)}
     around, up = set(), next((e for e in elements if markup.is_article(e)), None)
     while up is not None:
         around.add(id(up))
         up = up.parent
-    cut: dict[int, bool] = {}
-
-    def gone(e: markup.Element) -> bool:
-        if e is None or not e.tag:
-            return False
-        if id(e) not in cut:
-            repeated = e.tag in BRANCHES and bool(removed) and id(e) not in around and not inside(e) and _key(e.path) in removed
-            cut[id(e)] = gone(e.parent) or repeated or markup.is_furniture(e, id(e) in around)
-        return cut[id(e)]
-
-    def inside(e: markup.Element | None) -> bool:
-        while e is not None:
-            if id(e) in within:
-                return True
-            e = e.parent
-        return False
-
-    live = [(e, b) for e, b in blocks if not gone(e)]
-    if any(not gone(e) for e in elements if id(e) in within):
-        live = [(e, b) for e, b in live if inside(e)]
+    gone: set[int] = set()
+    for e in elements:  # each after the one it stands in
+        if id(e.parent) in gone or e.tag in BRANCHES and e.node in removed and id(e) not in around and not e.in_article \
+                or markup.is_furniture(e, id(e) in around):
+            gone.add(id(e))
+    live = [(e, b) for e, b in blocks if id(e) not in gone]
+    if any(markup.is_article(e) and id(e) not in gone for e in elements):
+        live = [(e, b) for e, b in live if e.in_article]
     return "\n".join(b for _, b in live)
 
 
@@ -139,10 +125,10 @@ def _extract(batches):
             ["page_id", "url", "text", "n_chars"])
 
 
-def extracted(pages: DataFrame, least: float = LEAST, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extracted(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """page_id, url, text, n_chars: one row per page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host(F.col("url")).alias("host"))
-    trees = importance(rows).where((F.col("pages") >= least_pages) & (F.col("importance") < least))
+    trees = importance(rows).where(F.col("held") < least)
     removed = written(trees.groupBy("host").agg(F.collect_list("node").alias("removed")), "style-trees")
     return rows.join(removed, "host", "left").select("page_id", "url", "html", "removed") \
         .mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from helpers import crowded, docs
 from hypothesis import given, settings
@@ -54,3 +55,20 @@ def test_weak_parts_need_a_complement_in_scope(spark):
 def test_empty_and_crowded(spark):
     assert credentials.digest(docs(spark, [])).count() == 0
     assert credentials.digest(crowded(docs(spark, [(None, "token=abcdefghijkl")]))).first().n_assign == 1
+
+
+def test_many_spans_take_time_in_proportion(spark):
+    def took(n):
+        table = docs(spark, [(1, " ".join(f"{i:016x}" for i in range(n)))]).cache()
+        table.count()
+        began = time.perf_counter()
+        assert credentials.digest(table).first().n_hex == n
+        return time.perf_counter() - began
+
+    took(100)
+    few, many = min(took(4000) for _ in range(2)), took(32_000)
+    assert many < 16 * few + 2
+
+
+def test_spans_over_many_chunks(spark):
+    check(spark, [" ".join(["token=abcdefghijklmn", "deadbeefdeadbeef00", "é"] * n) for n in (1, 21, 63, 64, 65, 128, 129, 700)])

@@ -32,6 +32,7 @@ ENDPOINT = r"""(?i)(?:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x
 SCOPE = 400
 _SHORTEST = 6  # code points of the shortest part, s3:// and one more
 KINDS = ("assign", "access", "hex", "bare", "endpoint")
+_CHUNK = 128  # pieces; even, so that a chunk begins between matches
 _MARK, _OTHER = "\u0001", "\u0002"
 
 
@@ -40,20 +41,35 @@ def spans(text: Column, pattern: str, kind: int) -> Column:
 
     Matches are set between marks that occur in no pattern (a mark in the text is replaced by
     another sign first, which moves nothing), the text is split at the marks, and the lengths of the
-    pieces before a match give its start.
+    pieces before a match give its start. Pieces are taken in chunks, each walked from the length of those
+    before it, as a list that grows by a piece is copied for each piece.
     """
     marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}")
-    pieces = F.split(marked, _MARK)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("hit"),
-                     F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,word:string>>)").alias("out"))
+    start = F.lit(0).cast("long")
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        found = F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end"), piece.alias("word"))
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"),
-                        F.when(acc["hit"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+    def total(chunk: Column) -> Column:
+        return F.aggregate(chunk, start, lambda n, piece: n + F.length(piece))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    def begins(chunks: Column) -> Column:
+        empty = F.struct(start.alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        return F.aggregate(chunks, empty, lambda acc, chunk: F.struct(
+            (acc["at"] + total(chunk)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def found_in(chunk: Column, begin: Column) -> Column:
+        none = F.struct(begin.alias("at"), F.lit(False).alias("hit"), F.expr(_NONE).alias("out"))
+
+        def step(acc: Column, piece: Column) -> Column:
+            end = acc["at"] + F.length(piece)
+            found = F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end"), piece.alias("word"))
+            return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"),
+                            F.when(acc["hit"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(chunk, none, step, lambda acc: acc["out"])
+
+    # a transform of a one-element array binds its value to a name, so that it is made once
+    chunks = F.transform(F.array(F.split(marked, _MARK)), lambda pieces: F.transform(
+        F.sequence(F.lit(1), F.size(pieces), F.lit(_CHUNK)), lambda i: F.slice(pieces, i, F.lit(_CHUNK))))[0]
+    return F.transform(F.array(chunks), lambda c: F.flatten(F.zip_with(c, begins(c), found_in)))[0]
 
 
 _NONE = "cast(array() as array<struct<start:bigint,kind:int,end:bigint,word:string>>)"

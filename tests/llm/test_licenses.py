@@ -69,17 +69,15 @@ def test_empty_and_crowded(spark):
 
 
 def greedy(text):
-    """Every place's best rule, taken in order of length, priority and start where no taken one overlaps."""
+    """Every match of every rule, taken in order of length, priority and start where no taken one overlaps."""
     words, every = WORD.findall(text.translate(LOWER)), []
     for i in range(len(words)):
-        near, hits = " ".join(words[i:i + LONGEST]), []
+        near = " ".join(words[i:i + LONGEST])
         for r in rules():
             m = re.search(r["pattern"], near) if r["lead"] == words[i] and r["need"] in near else None
             if m and m[1]:
-                hits.append((m[1].count(" ") + 1, r["rank"], r["label"]))
-        if hits:
-            size, rank, label = max(hits)
-            every.append((-size, -rank, i, i + size, label))
+                size = m[1].count(" ") + 1
+                every.append((-size, -r["rank"], i, i + size, r["label"]))
     taken = []
     for _, _, start, end, label in sorted(every):
         if not any(s < end and start < e for s, e, _ in taken):
@@ -90,8 +88,8 @@ def greedy(text):
 def test_a_beaten_detection_removes_no_other(spark):
     rng = random.Random(4)
     parts = ["BSD", "2", "3", "Clause", "License", "Licence", "Apache", "2.0", "MIT", "GNU", "GPL", "v3", "CC", "BY", "SA", "4.0", "the", "or"]
-    texts = ["BSD-2-Clause, BSD-3-Clause", "BSD-3-Clause BSD-2-Clause BSD-4-Clause, MIT", "BSD 2 Clause " * 300, "no licence"]
+    texts = ["gpl 3 clause bsd", "mpl 2 clause bsd", "BSD-2-Clause, BSD-3-Clause", "BSD-3-Clause BSD-2-Clause BSD-4-Clause, MIT", "BSD 2 Clause " * 300, "no licence"]
     texts += [" ".join(rng.choice(parts) for _ in range(60)) for _ in range(60)]
     got = {r.doc_id: [tuple(d) for d in r.found or ()] for r in licenses.detections(docs(spark, list(enumerate(texts)))).collect()}
     assert got == {i: greedy(t) for i, t in enumerate(texts)}
-    assert check(spark, texts[:1]) == ["bsd-2-clause,bsd-3-clause"]
+    assert check(spark, texts[:3]) == ["bsd-3-clause,gpl", "bsd-2-clause,mpl", "bsd-2-clause,bsd-3-clause"]

@@ -2,7 +2,7 @@
 
 A keyword prefilter passes the texts that can hold any signature. Their words are numbered; at every
 word that some rule starts with, the rules of that word whose second keyword is near are matched
-against the next words. Of overlapping detections the longer one wins (so one
+against the next words; all that match take part. Of overlapping detections the longer one wins (so one
 inside another goes), then the one of higher priority, then the first; one that lost removes no other. Everything
 happens inside the row: nothing is shuffled, and the cost is linear in the words, but for runs of detections that
 overlap in a chain, whose winners are looked through for each detection of the run.
@@ -62,13 +62,15 @@ def detections(docs: DataFrame) -> DataFrame:
             array_join(slice(words, i + 1, {LONGEST}), ' ') AS near), null)), h -> h IS NOT NULL)""")).drop("words")
     ruled = places.withColumn("rules", F.from_json(F.lit(json.dumps(by_lead)), _RULE))
     best = """
-        filter(transform(hits, h -> struct(h.at AS start, array_max(
+        filter(transform(hits, h -> struct(h.at AS start,
             transform(filter(transform(
                 filter(element_at(rules, h.lead), r -> instr(h.near, r.need) > 0),
                 r -> named_struct('hit', regexp_extract(h.near, r.pattern, 1), 'rank', r.rank, 'label', r.label)), m -> m.hit <> ''),
-                m -> struct(length(m.hit) - length(replace(m.hit, ' ', '')) + 1 AS size, m.rank AS rank, m.label AS label))) AS best)),
-            d -> d.best IS NOT NULL)"""
-    spans = "transform(picked, d -> struct(d.start AS start, d.start + d.best.size AS end, d.best.label AS label, d.best.rank AS rank))"
+                m -> struct(length(m.hit) - length(replace(m.hit, ' ', '')) + 1 AS size, m.rank AS rank, m.label AS label)) AS rivals)),
+            d -> size(d.rivals) > 0)"""
+    # a place reaches as far as its longest rival; places that reach into each other are a run
+    spans = "transform(picked, d -> struct(d.start AS start, d.start + array_max(d.rivals).size AS end, d.rivals AS rivals))"
+    rivals = "flatten(transform(run, p -> transform(p.rivals, c -> struct(p.start AS start, p.start + c.size AS end, c.label AS label, c.rank AS rank))))"
     base = ", ".join(f"struct('{p}' AS phrase, '{label}' AS label, {p.count(' ') + 1} AS size)" for p, label in BASE.items())
     return ruled.withColumn("base", F.expr(f"""
             flatten(transform(hits, h -> transform(filter(array({base}), b -> startswith(concat(h.near, ' '), concat(b.phrase, ' '))),
@@ -78,8 +80,8 @@ def detections(docs: DataFrame) -> DataFrame:
             filter(transform(picked, (d, i) -> if(exists(slice(picked, greatest(i - {LONGEST}, 0) + 1, least(i, {LONGEST})), e -> d.start < e.end), null, i)),
                 i -> i IS NOT NULL)""")) \
         .withColumn("runs", F.expr("transform(firsts, (i, k) -> slice(picked, i + 1, coalesce(get(firsts, k + 1), size(picked)) - i))")) \
-        .withColumn("found", F.expr("""
-            flatten(transform(runs, run -> transform(if(size(run) = 1, run, array_sort(aggregate(
+        .withColumn("found", F.expr(f"""
+            flatten(transform(transform(runs, run -> {rivals}), run -> transform(if(size(run) = 1, run, array_sort(aggregate(
                 array_sort(run, (d, e) -> if(struct(d.end - d.start, d.rank, -d.start) > struct(e.end - e.start, e.rank, -e.start), -1, 1)),
                 cast(array() as array<struct<start:int,end:int,label:string,rank:int>>),
                 (won, d) -> if(exists(won, e -> e.start < d.end AND d.start < e.end), won, concat(won, array(d)))))),

@@ -83,3 +83,16 @@ def test_bounds_save_computations():
     tree._x = tree.x.astype(np.float64).view(Counted)
     tree.search(-1, x[0], (np.zeros(0), np.zeros(0, np.int64)), 20)
     assert sum(seen) < 1000
+
+
+def test_vectors_too_long_for_exact_doubles(spark):
+    rng = np.random.default_rng(5)
+    rows = table(120, 1.0, size=2) + [(2, [2.0e6, 1.0]), (201, [2.0e6, 1.5]), (202, [2.0e6, 1.25]), (220, [1.5e6, -7.0]), (240, [-2.0e6, 3.0])]
+    rows += [(300 + i, [float(v) for v in rng.normal(scale=1e6, size=2)]) for i in range(60)]
+    assert got(spark, rows, tree=30, page=8) == plain(rows)
+
+
+def test_scores_beyond_a_long_are_ranked_exactly(spark):
+    rows = [(20, [1e12, 1.0])] + [(i, [1e12 - 70_000.0 * i, 0.0]) for i in range(1, 9)]
+    found = got(spark, rows, k=5)
+    assert [r[2] for r in found] == [1, 2, 3, 4, 5] and {r[3] for r in found} == {(1 << 63) - 1}

@@ -11,14 +11,15 @@ the parent's routing vector and a child; entries of leaf pages have a vector and
 Search. Queries are dealt into blocks, every block is sent all trees, one at a time. A query visits the
 pages of a tree in order of their lower bound, and skips entries whose stored parent distance already
 shows that they are too far (triangle inequality); what it has found bounds the next trees. Scores are
-exact: components are whole numbers, and the doubles that sum them are below 2^53.
+exact: components are whole numbers, and the doubles that sum them are below 2^53; where a squared length reaches
+that, doubles only bound the search and scores are summed in whole numbers of any size.
 
 The sample of pivots (at most ``PIVOTS`` rows) only decides which tree a vector is in; every vector is
 in one, and every query is compared with every tree until its bound excludes it.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part, nor do
-rows without an id and vectors whose squared length after scaling reaches 2^53; shorter vectors count as
-filled up with zeros; rows with the same id are rows of their own, each a query or a candidate, but
+rows without an id and vectors (of doubles) whose squared length is beyond a double; shorter vectors count as filled up with zeros; a score beyond a long is ranked as it is and
+returned as the nearest long; rows with the same id are rows of their own, each a query or a candidate, but
 never of that id; fewer candidates than k are all returned; an empty table gives an empty result; extra
 columns are not read.
 """
@@ -42,7 +43,7 @@ TREE = 4096
 PAGE = 256
 PIVOTS = 1024
 _BLOCK = 2048  # queries in a block
-_MOST = float(1 << 53)
+_EXACT = float(1 << 53)  # sums of products below this are exact in doubles
 
 
 def _prepared(scale: int):
@@ -52,7 +53,7 @@ def _prepared(scale: int):
             for key, raw in zip(batch.column("vec_id").to_pylist(), batch.column("embedding")):
                 x = np.floor(scale * np.asarray(raw.values.to_numpy(zero_copy_only=False), np.float64))
                 length = float(x @ x)
-                if length < _MOST:
+                if np.isfinite(length):
                     ids.append(key)
                     vectors.append(x.tobytes())
                     lengths.append(length)
@@ -79,6 +80,11 @@ def _matrix(vectors: list[bytes], size: int) -> np.ndarray:
     return out
 
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Doubles that are whole numbers as Python's."""
+    return np.array([int(v) for v in x.ravel().tolist()], object).reshape(x.shape)
+
+
 def _extended(x: np.ndarray, most: float) -> np.ndarray:
     """With the coordinate that gives all rows the length sqrt(most)."""
     return np.hstack((x, np.sqrt(np.maximum(0, most - (x * x).sum(1)))[:, None]))
@@ -126,12 +132,13 @@ class Tree:
         """``found`` (scores, ids; best first) with this tree's vectors that belong to the best k."""
         scores, ids = found
         own = float(q @ q)
+        whole = None if self.most < _EXACT and own < _EXACT else _whole(q)
         slack = 1e-6 * (1 + np.sqrt(self.most + own))
         points = self.points
 
         def reach() -> float:
             """The distance beyond which nothing can enter the best k."""
-            return np.inf if len(scores) < k else float(np.sqrt(max(0.0, own + self.most - 2 * scores[-1]))) + slack
+            return np.inf if len(scores) < k else float(np.sqrt(max(0.0, own + self.most - 2 * float(scores[-1])))) + slack
 
         limit, heap = reach(), [(0.0, 0, None)]
         while heap:
@@ -141,13 +148,13 @@ class Tree:
             page = self.pages[number]
             if page[0] == "leaf":
                 rows = page[1] if to_parent is None else page[1][np.abs(to_parent - page[2]) <= limit]
-                new = points[rows] @ q
+                new = points[rows] @ q if whole is None else _whole(points[rows]) @ whole
                 keep = self.ids[rows] != key
                 if len(scores) >= k:
                     keep &= new >= scores[-1]
                 if keep.any():
                     scores, ids = np.concatenate((scores, new[keep])), np.concatenate((ids, self.ids[rows[keep]]))
-                    best = np.lexsort((ids, -scores))[:k]
+                    best = np.lexsort((ids, -scores))[:k] if whole is None else sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
                     scores, ids = scores[best], ids[best]
                     limit = reach()
                 continue
@@ -220,7 +227,7 @@ def _searched(size: int, k: int):
             columns[0] += [key] * len(ids)
             columns[1] += range(1, len(ids) + 1)
             columns[2] += ids.tolist()
-            columns[3] += scores.astype(np.int64).tolist()
+            columns[3] += [max(-1 << 63, min((1 << 63) - 1, int(v))) for v in scores.tolist()]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()),
                                            pa.array(columns[3], pa.int64())], ["query_id", "rank", "vec_id", "score"])
 

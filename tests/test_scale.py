@@ -108,3 +108,15 @@ def test_invalid_filters_are_refused(spark):
     with pytest.raises(ValueError, match="put/call"):
         options_history(df, pc="Q")
     assert options_history(df, commodity="ct", pc="c").count() == 1
+
+
+def test_a_scope_removes_its_own_folders_only(spark):
+    from tidemark.operators.sizing import scope, written
+
+    mine = written(spark.range(3).toDF("x"))
+    with scope(spark):
+        inner = written(spark.range(5).toDF("x"))
+        assert inner.count() == 5
+    assert mine.count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        inner.count()

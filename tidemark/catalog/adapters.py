@@ -22,6 +22,7 @@ def pick(key: Column, *values: str) -> Column:
 
 # ---------------------------------------------------------------- options tape
 
+# Contract codes of the derived tape.
 TAPE_CODES = ("CTH4", "CTH5", "CTK4", "CTK5", "CTN4", "CTN5", "CTZ4", "CTZ5",
               "CTU4", "CTX4", "CTF5", "CTV4", "CTQ4", "CTZ6", "KCZ4", "CTZ4")
 
@@ -111,6 +112,7 @@ totals AS (
 
 # ---------------------------------------------------------------- daily bars
 
+# Slot names of the derived bars.
 GENERICS = ("CTMAR1", "CTMAR2", "CTMAY1", "CTMAY2", "CTJUL1", "CTJUL2", "CTDEC1", "CTDEC2", "CTOCT1", "CTAUG1")
 
 
@@ -145,6 +147,7 @@ seed_named AS (
 
 # ---------------------------------------------------------------- boundary readings
 
+# Codes of the derived readings, both spellings.
 SIDECAR_CODES = ("CTH4", "CTK4", "CTN4", "CTZ4", "CTZ5", "CTDEC2", "CTV4", "CTMAR2")
 
 

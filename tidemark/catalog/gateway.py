@@ -17,6 +17,7 @@ from tidemark.datasets import term_index as X
 
 # ---------------------------------------------------------------- inputs
 
+# Months and positions of the derived board.
 BOARD = ("MAR1", "MAR2", "MAY1", "MAY2", "JUL1", "JUL2", "DEC1", "DEC2", "OCT1", "OCT2")
 
 
@@ -70,6 +71,7 @@ DAILY_SQL = """
 daily AS (SELECT CAST(o_orderdate AS DATE) AS date, MAX(o_totalprice) AS close, CAST(COUNT(*) AS DOUBLE) AS n
   FROM orders GROUP BY 1)"""
 
+# Delivery points.
 POINTS = ("DFW", "GAL", "GSP", "HOU", "MEM")
 
 
@@ -304,6 +306,7 @@ def warehouse_summary(spark, sf):
 
 # ---------------------------------------------------------------- positioning, signals
 
+# Classes of participants.
 _PARTS = ("producer", "swap", "mm", "other", "nonrep")
 
 
@@ -533,6 +536,7 @@ def crop_progress(spark, sf):
 
 # ---------------------------------------------------------------- balance sheets
 
+# Lines of a balance sheet.
 _ATTRS = ("BegStk", "Prod", "Imports", "DomUse", "Exports", "EndStk")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.sessions import is_holiday
 from tidemark.operators.coverage import capture_check
-from tidemark.operators.sizing import release
+from tidemark.operators.sizing import scope
 from tidemark.plans import futures as fut
 from tidemark.plans import options as opt
 from tidemark.settings import COTTON, US_EXCHANGE, Market
@@ -220,7 +220,7 @@ def main(argv: list[str] | None = None) -> int:
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"tidemark-{a.job}").getOrCreate()
     today = datetime.now().strftime("%Y-%m-%d")
-    try:
+    with scope(spark):  # what the job settles on its way goes when it ends
         if a.job == "options":
             return run_options(spark, a.root, a.out, commodity=a.commodity, session=a.date, window=a.window,
                                write=not a.no_write, backfill=a.backfill)
@@ -232,8 +232,6 @@ def main(argv: list[str] | None = None) -> int:
         if a.job == "land":
             return run_land(spark, a.root, a.out, a.commodity)
         return run_refresh(spark, a.root, a.out, a.bars, a.pulled, a.today, a.days, a.commodity)
-    finally:
-        release(spark)
 
 
 if __name__ == "__main__":

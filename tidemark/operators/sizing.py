@@ -4,24 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 @cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="tidemark-")
 
 
-_FOLDERS: list[str] = []
+_SCOPES: list[list[str]] = [[]]
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the folders this process was given; call it when no result depends on them any more."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _FOLDERS:
-        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
-        path.getFileSystem(conf).delete(path, True)
+@contextmanager
+def scope(spark: SparkSession):
+    """Folders given inside are removed at the end, those of other results are left; scopes nest."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in _SCOPES.pop():
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,11 +38,12 @@ def shared_folder(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = _local_folder()
-    _FOLDERS.append(f"{root.rstrip('/')}/{uuid.uuid4().hex}")
-    return _FOLDERS[-1]
+    _SCOPES[-1].append(f"{root.rstrip('/')}/{uuid.uuid4().hex}")
+    return _SCOPES[-1][-1]
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:

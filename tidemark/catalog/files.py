@@ -17,7 +17,7 @@ from tidemark.operators.sizing import shared_folder
 from tidemark.plans import futures as fut
 from tidemark.plans import options as P
 from tidemark.settings import BAR_COLUMNS, SIDECAR_COLUMNS
-from tidemark.sources import sinks
+from tidemark.sources import landed, sinks
 from tidemark.sources.market import clean_bars, read_bars, read_sidecar, read_tape
 
 
@@ -101,6 +101,14 @@ def landed_tape_totals(spark, sf):
     return rounded(P.options_sessions(landed).totals, "pc_ratio")
 
 
+@query("marked_tape_totals", SQL["option_window_totals"])
+def marked_tape_totals(spark, sf):
+    """The same from the files that hold a poll of some window, found in the index of a landed tape."""
+    root = shared_folder(spark)
+    landed.land(tape(spark, sf).hint("rebalance", "session_date"), root, rows_per_file=50)
+    return rounded(P.options_sessions(landed.read_marked(spark, root)).totals, "pc_ratio")
+
+
 @query("futures_document_contracts", SQL["futures_contract_history"])
 def futures_document_contracts(spark, sf):
     """Session documents written as JSON and read back; the contract map unfolded again."""

@@ -28,7 +28,7 @@ from tidemark.plans import futures as fut
 from tidemark.plans import options as opt
 from tidemark.settings import COTTON, US_EXCHANGE, Market
 from tidemark.sources import market as src
-from tidemark.sources import sinks
+from tidemark.sources import landed, sinks
 from tidemark.sources.delimited import quarantine
 
 SESSION_KEYS = ("date", "commodity")
@@ -162,7 +162,7 @@ def run_check(spark: SparkSession, root: str, session: str, *, commodity: str =
 def run_land(spark: SparkSession, root: str, out: str, commodity: str = "CT") -> int:
     """Store the CSV tapes as Parquet by session, with rejected lines kept next to them."""
     tape = src.read_tape(spark, root, market_of(commodity))
-    sinks.land(tape, f"{out}/tape")
+    landed.land(tape, f"{out}/tape")
     quarantine(tape).write.mode("overwrite").json(f"{out}/tape_rejected")
     return 0
 

@@ -104,15 +104,17 @@ class HistoryTable:
         self.rows().orderBy(*self.keys).select(*cols).write.mode("overwrite").option("header", True).csv(path)
 
 
-def land(tape: DataFrame, path: str) -> None:
+def land(tape: DataFrame, path: str, rows_per_file: int = 0) -> None:
     """Tape as Parquet, one folder per session, polls in order.
 
     No shuffle: a tape file is read by one task and written by it. The order makes the poll
-    column compress to almost nothing, and later scans read only the columns they use.
+    column compress to almost nothing, and later scans read only the columns they use. ``rows_per_file``
+    cuts a session into files of so many rows (0: as few as there are).
     """
     columns = ("session_date", "snap_ts", "contract", "strike", "call_vol", "put_vol")
     tape.select(*columns).sortWithinPartitions("session_date", "snap_ts").write.mode("overwrite") \
-        .option("partitionOverwriteMode", "dynamic").partitionBy("session_date").parquet(path)
+        .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file) \
+        .partitionBy("session_date").parquet(path)
 
 
 def replace_table(df: DataFrame, path: str, attempts: int = 10) -> int:

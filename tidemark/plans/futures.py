@@ -73,6 +73,7 @@ class FuturesRun:
         self.writable = write and window != "overnight"
         self._sessions = sessions
         self.keys = session_keys(slots)
+        self.is_settled = False
 
     def named_commodity(self) -> Column:
         return F.col("commodity") if len(self.keys) > 1 else F.lit(self.commodity)
@@ -121,8 +122,23 @@ class FuturesRun:
     def contract_history(self) -> DataFrame:
         return contract_rows(self.contracts, self.commodity, self.generated_at)
 
+    def settled(self) -> "FuturesRun":
+        """The same run over written slot rows, so readings and bars are not read for each result."""
+        if self.is_settled:
+            return self
+        every = written(self.all_slots)
+        slots = every if self.slots is self.all_slots else every.join(self._sessions, self.keys, "left_semi")
+        run = FuturesRun(slots, every, self.bars, self.prior_history, self._sessions, self.commodity, self.window, self.accumulate, self.mode,
+                         True, self.generated_at, self.market)
+        run.writable, run.is_settled = self.writable, True
+        return run
+
     @cached_property
     def report(self) -> DataFrame:
+        """Lines of all blocks; eight parts of it read the slot rows, which are settled for that."""
+        return self.settled()._report()
+
+    def _report(self) -> DataFrame:
         return futures_report(self.sessions, self.totals, self.contracts, self.rvol, self.named_commodity(),
                               self.generated_at, self.window, self.market)
 
@@ -164,8 +180,10 @@ def futures_sessions(readings: DataFrame, bars: DataFrame, history: DataFrame |
         if not isinstance(market, Market):
             sessions = sessions.select(F.explode(F.array(*[F.lit(p) for p in prefixes])).alias("commodity"), "session_date")
         sessions = sessions.filter(open_day)
-    return FuturesRun(slots, every, bars, history, sessions, commodity, window, accumulate, mode, write,
-                      clock(generated_at), market)
+    run = FuturesRun(slots, every, bars, history, sessions, commodity, window, accumulate, mode, write,
+                     clock(generated_at), market)
+    run.is_settled = settle
+    return run
 
 
 def document(run: FuturesRun) -> DataFrame:

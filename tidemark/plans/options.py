@@ -72,6 +72,7 @@ class OptionsRun:
         self.sessions = marked.select(*self.keys)
         self.listed: DataFrame | None = None
         self.tape: DataFrame | None = None
+        self.is_settled = False
 
     def named_commodity(self) -> Column:
         return F.col("commodity") if len(self.keys) > 1 else F.lit(self.commodity)
@@ -123,8 +124,21 @@ class OptionsRun:
     def history(self) -> DataFrame:
         return history_rows(self.sessions, self.totals, self.commodity, self.generated_at)
 
+    def settled(self) -> "OptionsRun":
+        """The same run over written marks and slot rows (a few for each session), so the tape is not read for each result."""
+        if self.is_settled:
+            return self
+        run = OptionsRun(written(self.marked), written(self.slots), self.prior_history, self.commodity, self.windows, self.accumulate,
+                         self.mode, self.generated_at, self.market)
+        run.listed, run.tape, run.is_settled = self.listed, self.tape, True
+        return run
+
     @cached_property
     def report(self) -> DataFrame:
+        """Lines of all blocks; eight parts of it read the slot rows, which are settled for that."""
+        return self.settled()._report()
+
+    def _report(self) -> DataFrame:
         return options_report(self.sessions, self.totals, self.slots, self.rvol, self.named_commodity(),
                               self.generated_at, self.windows, self.market)
 
@@ -160,7 +174,7 @@ def options_sessions(tape: DataFrame, history: DataFrame | None = None, *, commo
     if settle:
         slots = written(slots)
     run = OptionsRun(marked, slots, history, commodity, windows, accumulate, mode, clock(generated_at), market)
-    run.listed, run.tape = listed, tape
+    run.listed, run.tape, run.is_settled = listed, tape, settle
     return run
 
 

@@ -8,8 +8,9 @@ from tidemark import jobs
 from tidemark.operators import boundary as B
 from tidemark.operators import trailing as R
 from tidemark.plans import futures as P
-from tidemark.sources.market import clean_bars, read_bars, read_sidecar
 from tidemark.settings import BAR_COLUMNS
+from tidemark.sources.market import clean_bars, read_bars, read_sidecar
+from tidemark.sources.versions import read_table
 
 D = "2026-06-17"
 
@@ -191,12 +192,12 @@ def test_futures_job(spark, tmp_path):
     assert jobs.run_futures(*args, seed=True) == 0
     for _ in range(2):
         assert jobs.run_futures(*args, session=D) == 0
-    rows = sorted((str(r.date), r.full_total, r.source) for r in spark.read.parquet(f"{out}/history/futures_session_volume").collect())
+    rows = sorted((str(r.date), r.full_total, r.source) for r in read_table(spark, f"{out}/history/futures_session_volume").collect())
     assert rows == [("2026-06-15", 38000.0, "seed"), ("2026-06-16", 44000.0, "seed"), (D, 800.0, "live")]
     doc = spark.read.json(f"{out}/futures_session_volume").first()
     assert (doc.date, doc.window, doc.summary.source, doc.ratios.night_share) == (D, "eod", "live", 0.75)
     assert doc.summary.per_contract.CTDEC1.position == 1
-    contracts = spark.read.parquet(f"{out}/history/futures_session_volume_by_contract").filter(F.col("date") == F.lit(D).cast("date"))
+    contracts = read_table(spark, f"{out}/history/futures_session_volume_by_contract").filter(F.col("date") == F.lit(D).cast("date"))
     # rows of the same key are replaced, other contracts of the date stay
     assert {r.generic_code: r.full for r in contracts.collect()} == {"CTDEC1": 800.0, "CTMAR1": 10204.0, "CTJUL1": 7673.0}
 
@@ -205,16 +206,16 @@ def test_refresh_job(spark, tmp_path):
     bars = bars_csv(tmp_path / "bars.csv", SEED)
     pulled = bars_csv(tmp_path / "pulled.csv", [(D, "CTDEC1", 40000), ("2026-01-02", "CTDEC1", 9)])
     assert jobs.run_refresh(spark, str(tmp_path / "in"), str(tmp_path / "out"), bars, pulled, "2026-06-18") == 0
-    hist = {str(r.date): r.full_total for r in spark.read.parquet(f"{tmp_path}/out/history/futures_session_volume").collect()}
+    hist = {str(r.date): r.full_total for r in read_table(spark, f"{tmp_path}/out/history/futures_session_volume").collect()}
     assert hist == {D: 57877.0}
-    stored = spark.read.parquet(f"{tmp_path}/out/bars")
+    stored = read_table(spark, f"{tmp_path}/out/bars")
     assert stored.count() == 9 and set(BAR_COLUMNS[2:]) <= set(stored.columns)
     # a blank re-pull replaces the row, and the seed skips it
     blank = bars_csv(tmp_path / "blank.csv", [(D, "CTDEC1", None)])
     assert jobs.run_refresh(spark, str(tmp_path / "in"), str(tmp_path / "out"), bars, blank, "2026-06-18") == 0
-    stored = {(str(r.session_date), r.generic): r.volume for r in spark.read.parquet(f"{tmp_path}/out/bars").collect()}
+    stored = {(str(r.session_date), r.generic): r.volume for r in read_table(spark, f"{tmp_path}/out/bars").collect()}
     assert stored[D, "CTDEC1"] is None and len(stored) == 9
-    hist = {str(r.date): r.full_total for r in spark.read.parquet(f"{tmp_path}/out/history/futures_session_volume").collect()}
+    hist = {str(r.date): r.full_total for r in read_table(spark, f"{tmp_path}/out/history/futures_session_volume").collect()}
     assert hist == {D: 17877.0}
 
 

@@ -6,6 +6,7 @@ from tidemark import jobs
 from tidemark.operators import tape as T
 from tidemark.plans import options as P
 from tidemark.sources.market import read_tape, session_files
+from tidemark.sources.versions import read_table
 
 D = "2026-06-17"
 
@@ -188,18 +189,18 @@ def test_job_writes_everything_once_and_dry_run_nothing(spark, tmp_path):
     assert jobs.run_options(spark, str(tmp_path / "nowhere"), str(out)) == 1
     for _ in range(2):
         assert jobs.run_options(spark, str(root), str(out), backfill=True) == 0
-    hist = spark.read.parquet(f"{out}/history/session_volume")
+    hist = read_table(spark, f"{out}/history/session_volume")
     assert sorted((str(r.date), r.overnight_total, r.day_total) for r in hist.collect()) == [
         ("2026-06-15", 15.0, 30.0), ("2026-06-16", 15.0, 30.0), (D, 15.0, 30.0)]
     # an overnight-only run replaces the whole row of its date and nothing else
     assert jobs.run_options(spark, str(root), str(out), session=D, window="overnight") == 0
-    hist = {str(r.date): r.day_total for r in spark.read.parquet(f"{out}/history/session_volume").collect()}
+    hist = {str(r.date): r.day_total for r in read_table(spark, f"{out}/history/session_volume").collect()}
     assert hist == {"2026-06-15": 30.0, "2026-06-16": 30.0, D: None}
     # a file without a readable poll makes the run fail, but the others are written
     write_tape(root, "2026-06-18", [tape_row("no time at all", "CTZ6", 1, 1)])
     write_tape(root, "2026-06-22", [tape_row("2026-06-22 06:00:00", "CTZ6", 10, 5)])
     assert jobs.run_options(spark, str(root), str(out), backfill=True) == 1
-    assert {str(r.date) for r in spark.read.parquet(f"{out}/history/session_volume").collect()} >= {D, "2026-06-22"}
+    assert {str(r.date) for r in read_table(spark, f"{out}/history/session_volume").collect()} >= {D, "2026-06-22"}
     assert jobs.run_options(spark, str(root), str(out), session=D, window="overnight") == 0
     doc = spark.read.json(f"{out}/session_volume").filter(F.col("session_date") == D).first()
     assert (doc.date, doc.window, doc.day) == (D, "overnight", None)

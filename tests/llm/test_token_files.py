@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import crowded, docs, rows
 from tokenizers import Tokenizer
@@ -69,3 +70,48 @@ def test_repeated_rows_and_small_cache(spark):
 
 def test_empty_table(spark):
     assert token_files.tokenized(docs(spark, [])).count() == 0
+
+
+def test_pieces_are_encoded_once_however_many_words_they_make():
+    letters = [a + b for a in "abcdefgh" for b in "klmnop"]
+    text = " ".join(f"{w}{s}" for w in letters for s in ("", ".", ",", ";", "!", "?")).encode()
+    encoder = token_files.Encoder(PATH, cache=100)  # fewer than the words, more than their pieces
+    given, encode_all = [], encoder._encode_all
+    encoder._encode_all = lambda texts: given.extend(texts) or encode_all(texts)
+    first = encoder([text])[0].tolist()
+    assert given
+    given.clear()
+    assert encoder([text, text.upper()])[0].tolist() == first * 2 and not given
+
+
+@pytest.mark.parametrize("cache", [0, 7, 100_000])
+def test_every_text_has_the_ids_of_the_tokenizer_whatever_is_kept(cache):
+    rng = random.Random(cache)
+    signs = "abcXYZéÉßİıſȺⱥɃɏŉ ́ΣσяЖ日🎉'’.,;!<|>#-_0123½\t\n\r\x0b\x0c\x1c\x85\xa0 \x00"
+    encoder, tokenizer = token_files.Encoder(PATH, cache=cache), Tokenizer.from_file(PATH)
+    for _ in range(12):
+        texts = ["".join(rng.choice(signs + "  ") for _ in range(rng.choice([0, 1, 9, 400]))).encode() for _ in range(30)]
+        texts += [b"ab\xff cd\xe2\x82 ef\xe2\x82", (rng.choice(ODD) or "").encode()]
+        ids, sizes = encoder(texts)
+        want = [[*tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, 1] for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(encoder.known) <= cache
+
+
+def test_long_pieces_are_not_kept():
+    encoder = token_files.Encoder(PATH)
+    for text in ("short " + "long" * 1000, "x0" * 5000 + " short", "日本" * 300 + "!"):
+        ids, _ = encoder([text.encode()])
+        assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    assert set(encoder.known.to_pylist()) == {"short", ""} and len(encoder.kept) == 2
+
+
+def test_chunks_hold_whole_rows_of_about_one_size():
+    texts = ["x" * n for n in (0, 3, 40, 5, 5, 5, 200, 1)] + [None, "é", None]
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    for given in ([whole], [whole.slice(0, 4), whole.slice(4, 0), whole.slice(4)], [whole.slice(i, 1) for i in range(len(texts))]):
+        got = list(token_files.chunks(iter(given), 50))
+        assert pa.Table.from_batches(got).to_pydict() == whole.to_pydict()
+        assert all(sum(len(t or "") for t in c.column("text").to_pylist()[:-1]) < 50 for c in got)
+    assert len(list(token_files.chunks(iter([whole.slice(i, 1) for i in range(len(texts))]), 1 << 20))) == 1
+    assert list(token_files.chunks(iter([]))) == []

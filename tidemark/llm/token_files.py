@@ -10,8 +10,9 @@ the number of blocks, of documents and of ids, the footer's offset and ``MAGIC``
 
 Encoding. The tokenizer drops white space, never joins across it and encodes runs of letters and runs of
 signs by themselves, in lower case. So the ids of a text are those of its words between ASCII white
-space, and those of a plain word are those of its letters and of the signs after them. Tasks keep the
-ids of up to ``CACHE`` words while they run; unseen runs of letters are encoded many to a call, as each ends with the one
+space, and those of a plain word are those of its letters and of the signs after them. Texts are taken
+some megabytes at a time as Arrow arrays, in which each distinct word is looked at once. Worker processes keep
+the ids of up to ``CACHE`` short pieces; unseen runs of letters are encoded many to a call, as each ends with the one
 token that ends a run. Any other word is given to the tokenizer as it stands.
 
 A task writes under a name of its own and renames, so a repeated task replaces its file by the same one.
@@ -22,7 +23,7 @@ not read.
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import uuid
 import zlib
@@ -30,42 +31,40 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import simple8b
-from tidemark.llm.common import parts, shared_path, ship
+from tidemark.llm.common import shared_path, ship
 
 MAGIC = b"TMS8\x00\x00\x00\x01"
 END_ID = 1
 CACHE = 300_000
+CHUNK = 8 << 20  # bytes of text encoded at a time
 _FLUSH = 256 * simple8b.BLOCK  # ids coded at a time
 _TAIL = struct.Struct("<4q8s")
 
 
-class Numbers(dict):
-    """Numbers of keys in the order they are first asked for; ``new`` lists those added since it was emptied."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list = []
-
-    def __missing__(self, key) -> int:
-        self.new.append(key)
-        self[key] = number = len(self)
-        return number
-
-
 # Latin letters (without the dotted capital I, whose lower case is no letter), then ASCII signs other than
 # the apostrophe: at most two pieces for the tokenizer, whatever stands around the word.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]*)([!-&(-/:-@\[-`{-~]*)")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+_PLAIN = rf"^(?P<letters>[{_LETTERS}]*)(?P<signs>[!-&(-/:-@\[-`{{-~]*)$"
+_RUN = f"^[{_LETTERS}]+$"
 _JOINED = 256  # words encoded in one call
+_KEPT = 32  # bytes of the longest piece that is kept
+
+
+def _lists(ids: list[np.ndarray], counts: np.ndarray) -> pa.ListArray:
+    """Lists of ``counts`` ids each."""
+    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint32), *ids])))
 
 
 class Encoder:
-    """Ids of texts, from the ids of their words, which are kept.
+    """Ids of texts, from the ids of the pieces of their words, of which short ones are kept.
 
     A word is two pieces: letters in lower case and signs after them, or the whole word and nothing.
     """
@@ -82,76 +81,64 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.pieces = Numbers(), Numbers()
-        self.words[b"\n"], self.pieces["\n"], self.pieces[""] = 0, 0, 1  # the end of a document and nothing: no word is white space
-        self.flat = np.array([self.end_id], np.uint32)
-        self.first, self.count = np.array([0, 1]), np.array([1, 0])  # by piece
-        self.letters, self.signs = np.array([0]), np.array([1])  # by word: its pieces
+        self.known, self.kept = pa.array([], pa.string()), _lists([], np.zeros(0, np.int64))  # pieces and the ids of each
 
     def _encode_all(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self) -> None:
-        number, letters, signs = self.pieces.__getitem__, [], []
-        for word in self.words.new:
-            word = word.decode("utf-8", "replace")
-            plain = _PLAIN.fullmatch(word)
-            letters.append(number(plain[1].lower() if plain else word))
-            signs.append(number(plain[2]) if plain else 1)
-        self.words.new = []
-        self.letters, self.signs = np.concatenate((self.letters, np.array(letters, np.int64))), np.concatenate((self.signs, np.array(signs, np.int64)))
-        new, self.pieces.new = self.pieces.new, []
-        joined = [bool(p) and p[-1].isalpha() and _PLAIN.fullmatch(p) is not None for p in new]
-        # pieces are kept in their order: runs of letters are joined, signs and whole words are encoded alone
-        groups, at = [], 0
-        while at < len(new):
-            end = at + 1
-            while joined[at] and end < len(new) and joined[end] and end - at < _JOINED:
-                end += 1
-            groups.append((at, end))
-            at = end
-        ids, counts = [], []
-        for (start, end), found in zip(groups, self._encode_all([" ".join(new[a:b]) for a, b in groups])):
-            ends = np.flatnonzero(self.ending[np.minimum(found, len(self.ending) - 1)]) + 1 if end - start > 1 else [len(found)]
-            if len(ends) != end - start or ends[-1] != len(found):
-                parts = self._encode_all(new[start:end])
-                found, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
-            ids.append(found)
+    def _encode(self, pieces: pa.StringArray) -> pa.ListArray:
+        """Ids of each piece by itself."""
+        found = self._encode_all([p.decode("utf-8", "replace") for p in pieces.cast(pa.binary()).to_pylist()])
+        return _lists(found, np.array([len(x) for x in found], np.int64))
+
+    def _encode_runs(self, runs: pa.StringArray) -> pa.ListArray:
+        """Ids of each run of letters, joined to texts that the tokenizer cuts at the same places."""
+        starts = np.append(np.arange(0, len(runs), _JOINED), len(runs))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), runs), " ").to_pylist()
+        ids, counts = self._encode_all(joined), []
+        for i, found in enumerate(ids):
+            ends = np.flatnonzero(self.ending[np.minimum(found, len(self.ending) - 1)]) + 1
+            if len(ends) != starts[i + 1] - starts[i] or ends[-1] != len(found):
+                alone = self._encode(runs[starts[i]:starts[i + 1]])
+                ids[i], ends = alone.values.to_numpy(), alone.offsets.to_numpy()[1:]
             counts.append(np.diff(ends, prepend=0))
-        if new:
-            counts = np.concatenate(counts)
-            ends = len(self.flat) + np.cumsum(counts)
-            self.first, self.count = np.concatenate((self.first, ends - counts)), np.concatenate((self.count, counts))
-            self.flat = np.concatenate((self.flat, *ids))
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return _lists(ids, np.concatenate([np.zeros(0, np.int64), *counts]))
+
+    def _ids(self, pieces: pa.StringArray) -> pa.ListArray:
+        """Ids of distinct pieces."""
+        unseen = pieces.filter(pc.invert(pc.is_in(pieces, value_set=self.known)))
+        is_run = pc.match_substring_regex(unseen, _RUN)
+        runs, others = unseen.filter(is_run), unseen.filter(pc.invert(is_run))
+        known = pa.concat_arrays([self.known, runs, others])
+        kept = pa.concat_arrays([self.kept, self._encode_runs(runs), self._encode(others)])
+        out = kept.take(pc.index_in(pieces, value_set=known))
+        # when there are too many the first of these are kept, as frequent ones come early
+        known, kept = (known, kept) if len(known) <= self.cache else (pieces, out)
+        short = pc.less_equal(pc.binary_length(known), _KEPT)
+        self.known, self.kept = known.filter(short)[:self.cache], kept.filter(short)[:self.cache]
+        return out
+
+    def __call__(self, texts: pa.StringArray | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with their end ids, ids per text)."""
-        if len(self.words) > self.cache:
-            self.clear()
-        number, sequence, sizes = self.words.__getitem__, [], []
-        for text in texts:
-            before = len(sequence)
-            sequence.extend(map(number, text.split()))
-            sequence.append(0)
-            sizes.append(len(sequence) - before)
-        if not texts:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        self._learn()
-        order = np.array(sequence, np.int64)
-        pieces = np.empty((len(order), 2), np.int64)
-        pieces[:, 0], pieces[:, 1] = self.letters[order], self.signs[order]
-        pieces = pieces.ravel()
-        each = self.count[pieces]
-        ends = np.cumsum(each)
-        ids = self.flat[np.repeat(self.first[pieces] - (ends - each), each) + np.arange(ends[-1])]
-        return ids, np.diff(ends[2 * np.cumsum(sizes) - 1], prepend=0)
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())).cast(pa.binary())
+        split = pc.ascii_split_whitespace(texts.fill_null(b"").view(pa.string()))
+        words = split.flatten().dictionary_encode()
+        plain = pc.extract_regex(words.dictionary, _PLAIN)
+        letters, signs = (pc.struct_field(plain, [i]) for i in range(2))
+        pieces = pa.concat_arrays([pc.coalesce(pc.utf8_lower(letters), words.dictionary), signs.fill_null("")]).dictionary_encode()
+        both = self._ids(pieces.dictionary).take(pa.array(pieces.indices.to_numpy().reshape(2, -1).T.ravel()))
+        by_word = pa.ListArray.from_arrays(both.offsets[::2], both.values)
+        found = by_word.take(words.indices)
+        ends = found.offsets.to_numpy()[split.offsets.to_numpy()[1:]]
+        return np.insert(found.values.to_numpy(), ends, self.end_id), np.diff(ends, prepend=0) + 1
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
 def encoder(path: str, end_id: int) -> Encoder:
-    """One encoder per worker process, so its words serve all tasks of the process."""
+    """One encoder per worker process, so its pieces serve all tasks of the process."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core
     if (path, end_id) not in _ENCODERS:
         _ENCODERS[path, end_id] = Encoder(path, end_id)
     return _ENCODERS[path, end_id]
@@ -216,6 +203,28 @@ def read(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return docs, ids
 
 
+def chunks(batches, size: int = CHUNK):
+    """The same rows in batches of about ``size`` bytes of text, of whole rows."""
+    waiting, held = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        held += batch.nbytes
+        if held >= size:
+            yield from _cut(waiting, size)
+            waiting, held = [], 0
+    yield from _cut(waiting, size)
+
+
+def _cut(batches: list[pa.RecordBatch], size: int):
+    for batch in pa.Table.from_batches(batches).combine_chunks().to_batches() if batches else []:
+        lengths = pc.binary_length(batch.column("text")).fill_null(0).to_numpy()
+        before = np.cumsum(lengths, dtype=np.int64) - lengths
+        starts = np.flatnonzero(np.diff(before // size, prepend=-1)).tolist()
+        for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(start, end - start)
+    pa.default_memory_pool().release_unused()
+
+
 def _location(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
@@ -237,14 +246,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) ->
         fs, path = _location(folder)
         encode, writer, own = encoder(tokenizer, end_id), None, None
         name = f"part-{TaskContext.get().partitionId():06d}.ids"
-        for batch in parts(batches, 256):
+        for batch in chunks(batches):
             if writer is None:
                 own = f"{path}/_{name}-{uuid.uuid4().hex}"
                 stream = fs.open_output_stream(own)
                 writer = Writer(stream)
-            ids, sizes = encode([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
+            ids, sizes = encode(batch.column("text"))
             writer.add([(k or 0, k is None, n) for k, n in zip(batch.column("doc_id").to_pylist(), sizes.tolist())], ids)
-        encode.clear()  # the process serves other tasks, too
         if writer:
             writer.close()
             stream.close()
